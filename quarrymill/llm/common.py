@@ -24,7 +24,9 @@ def cut(df: DataFrame) -> DataFrame:
     context = df.sparkSession.sparkContext
     if not context.getConf().get("spark.checkpoint.dir") and context._jsc.sc().getCheckpointDir().isEmpty():
         context.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
-    return df.checkpoint(eager=True)
+    done = df.checkpoint(eager=True)
+    context._jvm.System.gc()  # lets Spark delete the shuffle files of plans that nothing refers to any more
+    return done
 
 
 def documents(df: DataFrame) -> DataFrame:

@@ -24,19 +24,29 @@ def stars(in_buckets: DataFrame) -> DataFrame:
     return in_buckets.where("node > pivot").select(F.col("node").alias("a"), F.col("pivot").alias("b")).distinct()
 
 
-def crossing(in_buckets: DataFrame, labels: DataFrame) -> DataFrame:
+def apart(in_buckets: DataFrame, labels: DataFrame) -> DataFrame:
+    """(key, node, label, main) of the buckets whose nodes lie in several components; main is the largest of them."""
+    placed = in_buckets.select("key", "node").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    sizes = placed.groupBy("key", "label").agg(F.count(F.lit(1)).alias("n"))
+    mixed = sizes.groupBy("key").agg(F.max_by("label", F.struct("n", "label")).alias("main"), F.count(F.lit(1)).alias("labels")).where("labels > 1").select("key", "main")
+    return placed.join(mixed, "key")
+
+
+def crossing(entries: DataFrame, sketches: DataFrame, similarity: float) -> DataFrame:
     """Distinct candidate links (a, b), a > b, between nodes that share a bucket and lie in different components.
 
     With the stars' links these are all candidates that can change the components: nodes of one component need no more
-    links. In each bucket the nodes outside its largest component meet the others; nothing else is paired.
+    links. In each bucket of entries (from apart) the nodes outside its main component meet the others.
+    sketches(node, bands, bits): a pair counts in its first common bucket only, and only if its one-bit signatures put
+    its similarity above `similarity`; at six standard deviations below the limit this loses a link in a thousand million.
     """
-    placed = in_buckets.select("key", "node").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    sizes = placed.groupBy("key", "label").agg(F.count(F.lit(1)).alias("n"))
-    mixed = sizes.groupBy("key").agg(F.max_by("label", F.struct("n", "label")).alias("main"), F.count(F.lit(1)).alias("labels")).where("labels > 1").select("key", "main")
-    there = placed.join(mixed, "key")
-    few = there.where("label != main").select("key", F.col("node").alias("x"), F.col("label").alias("lx"))
-    many = there.select("key", F.col("node").alias("y"), F.col("label").alias("ly"), (F.col("label") == F.col("main")).alias("in_main"))
-    met = few.join(many, (few["key"] == many["key"]) & (F.col("lx") != F.col("ly")) & (F.col("in_main") | (F.col("x") > F.col("y"))))
+    there = entries.join(sketches, "node")
+    few = there.where("label != main").select("key", F.col("node").alias("x"), F.col("label").alias("lx"), F.col("bands").alias("bx"), F.col("bits").alias("sx"))
+    many = there.select(F.col("key").alias("k"), F.col("node").alias("y"), F.col("label").alias("ly"), (F.col("label") == F.col("main")).alias("in_main"), F.col("bands").alias("by"), F.col("bits").alias("sy"))
+    differ = F.aggregate(F.zip_with("sx", "sy", lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda n, d: n + d)
+    near = differ <= F.size("sx") * F.lit(64 * (1 - similarity) / 2)
+    first = F.array_position(F.zip_with("bx", "by", lambda p, q: p == q), True) == F.array_position("bx", F.col("key"))
+    met = few.join(many, (F.col("key") == F.col("k")) & (F.col("lx") != F.col("ly")) & (F.col("in_main") | (F.col("x") > F.col("y"))) & near & first)
     return met.select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct()
 
 

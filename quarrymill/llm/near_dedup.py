@@ -20,10 +20,12 @@ from pyspark.sql import functions as F
 
 from . import textcore as tc
 from .common import cut, documents
-from .components import buckets, components, crossing, stars
+from .components import apart, buckets, components, crossing, stars
 
 #: 40 bands of 6 values of 120 permutations: a pair at similarity 0.8 is missed with probability 5e-6.
 BANDS, ROWS = 40, 6
+#: Six standard deviations of the similarity that 2048 one-bit values estimate.
+MARGIN = 0.08
 
 
 def _features(batches: Iterator[pa.RecordBatch], k: int, bands: int, rows: int) -> Iterator[pa.RecordBatch]:
@@ -44,6 +46,17 @@ def _features(batches: Iterator[pa.RecordBatch], k: int, bands: int, rows: int)
             yield pa.RecordBatch.from_arrays([ids.slice(first, n).cast(pa.int64()), pa.array(sizes), pa.array(prints, pa.binary()), keys], ["doc_id", "n_shingles", "print", "bands"])
 
 
+def _sketches(batches: Iterator[pa.RecordBatch], k: int, bands: int, rows: int) -> Iterator[pa.RecordBatch]:
+    """(node, bands, bits) of documents that have words."""
+    scheme = tc.MinMax(bands, rows)
+    for batch in batches:
+        for first, end, data, offsets in tc.chunks(batch.column("text")):
+            starts, ends, doc = tc.spans(data, offsets)
+            hashes, bounds = tc.shingles(tc.word_hashes(data, starts, ends), doc, end - first, k)
+            every = np.arange(end - first)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(first, end - first), tc.lists(scheme.keys(hashes, bounds), every, len(every)), tc.lists(scheme.bits(hashes, bounds), every, len(every))], ["node", "bands", "bits"])
+
+
 def _confirm(batches: Iterator[pa.RecordBatch], k: int, percent: int) -> Iterator[pa.RecordBatch]:
     def sets(texts: pa.Array) -> Iterator[np.ndarray]:
         for first, end, data, offsets in tc.chunks(texts):
@@ -84,9 +97,13 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, bands: i
     shared = cut(buckets(nodes.select("node", F.explode("bands").alias("key"))))
     links = cut(confirmed(stars(shared), docs, words, percent))
     labels = components(links)
-    more = cut(confirmed(crossing(shared, labels), docs, words, percent))
-    if not more.isEmpty():
-        labels = components(links.union(more))
+    mixed = cut(apart(shared, labels))
+    if not mixed.isEmpty():
+        far = cut(docs.join(mixed.select(F.col("node").alias("doc_id")).distinct(), "doc_id", "left_semi").where("text is not null"))
+        sketches = cut(far.mapInArrow(lambda it: _sketches(it, words, bands, rows), "node long, bands array<long>, bits array<long>"))
+        more = cut(confirmed(cut(crossing(mixed, sketches, percent / 100 - MARGIN)), far, words, percent))
+        if not more.isEmpty():
+            labels = components(links.union(more))
     named = nodes.select("print", "node").join(labels, "node", "left").select("print", F.coalesce("label", "node").alias("component"))
     out = rows_.select("doc_id", "n_shingles", "print").join(named, "print", "left")
     out = out.withColumn("component_id", F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")))
