@@ -2,20 +2,77 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import near_dedup
+from . import bpe, chat, langid, line_dedup, mixing, near_dedup, quality, topk, toxicity, unigram
 from .common import read
 
+#: Where the public tokenizers' vocabulary files are; QUARRYMILL_TOKENIZERS overrides it.
+TOKENIZERS = os.environ.get("QUARRYMILL_TOKENIZERS", "/opt/tokenizers")
+
 
 def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(read(spark, sf_dir, "documents"), words=4, percent=80)
 
 
+def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row a maximal conversation: conv_id, n_turns, text."""
+    return chat.format_chats(read(spark, sf_dir, "conversations"))
+
+
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(read(spark, sf_dir, "documents"))
+
+
+def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row a document: doc_id, n_tokens."""
+    return unigram.token_counts(read(spark, sf_dir, "documents"), unigram.vocabulary(f"{TOKENIZERS}/piece_bpe_32k.model"))
+
+
+def op5_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = read(spark, sf_dir, "embeddings")
+    return topk.top_k(vectors, vectors.where("vec_id % 100 = 0"), k=10)
+
+
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row a document: its text without repeated lines, how many lines it had and lost."""
+    return line_dedup.dedup_lines(read(spark, sf_dir, "documents"))
+
+
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity.learn(docs, read(spark, sf_dir, "labels")))
+
+
+def op8_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.repeats(read(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
+def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality(read(spark, sf_dir, "documents"))
+
+
+def op10_bpe_encode_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.digests(read(spark, sf_dir, "documents"), f"{TOKENIZERS}/word_bpe_49k.json")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "op1_minhash_near_dedup": op1_minhash_near_dedup,
+    f.__name__: f
+    for f in (
+        op1_minhash_near_dedup,
+        op2_chat_format,
+        op3_language_id,
+        op4_token_counts,
+        op5_exact_top_k,
+        op6_line_dedup,
+        op7_toxicity,
+        op8_mix_sources,
+        op9_quality_rules,
+        op10_bpe_encode_decode,
+    )
 }
 
 ORACLE_SQL: dict[str, str] = {}
