@@ -16,16 +16,23 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """A copy of df with its lineage cut, in the cluster's shared checkpoint folder.
-
-    The folder is spark.checkpoint.dir; only where that is unset (tests on one machine) a local one is made.
-    """
-    context = df.sparkSession.sparkContext
-    if not context.getConf().get("spark.checkpoint.dir") and context._jsc.sc().getCheckpointDir().isEmpty():
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share: spark.checkpoint.dir; only where that is unset (tests on one machine) a
+    local one is made."""
+    context = spark.sparkContext
+    named = context.getConf().get("spark.checkpoint.dir")
+    if named:
+        return named.rstrip("/")
+    if context._jsc.sc().getCheckpointDir().isEmpty():
         context.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
+    return context._jsc.sc().getCheckpointDir().get()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """A copy of df with its lineage cut, in the shared checkpoint folder."""
+    shared_folder(df.sparkSession)
     done = df.checkpoint(eager=True)
-    context._jvm.System.gc()  # lets Spark delete the shuffle files of plans that nothing refers to any more
+    df.sparkSession.sparkContext._jvm.System.gc()  # lets Spark delete the shuffle files of plans that nothing refers to any more
     return done
 
 

@@ -16,7 +16,9 @@ from pyspark.sql import functions as F
 
 from .common import WORD, cut
 
-WEIGHTS, EPOCHS, SEED, SLICES = (5, 2, 1), 3, 17, 1024
+WEIGHTS, EPOCHS, SEED, ROUNDS = (5, 2, 1), 3, 17, 3
+#: Leading hexadecimal digits of the draw that make a slice: 4096 slices.
+SLICE_DIGITS = 3
 
 
 def sized(docs: DataFrame) -> DataFrame:
@@ -50,28 +52,51 @@ def weighted_sources(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS) -> Dat
     return sizes.withColumn("place", place).withColumn("weight", weight)
 
 
-def repeats(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, epochs: float = EPOCHS, seed: int = SEED) -> DataFrame:
+def _first(rows: DataFrame, left: DataFrame) -> DataFrame:
+    """rows(source, slice, draw, doc_id, size), left(source, rest) -> rows that fit into their source's rest, with `fits`:
+    whether the row is among the first, in the order of draw, whose sizes add up to no more than the rest.
+
+    Sums of the slices come first, so the running sum only needs one slice's rows in one task: a source with a third
+    of all rows is spread evenly.
+    """
+    rest = left.select(F.col("source").alias("s"), "rest")
+    rows = rows.join(rest, rows["source"].eqNullSafe(F.col("s"))).where((F.col("rest") > 0) & (F.col("size") <= F.col("rest"))).drop("s")
+    sums = rows.groupBy("source", "slice").agg(F.sum("size").alias("held"))
+    before = F.sum("held").over(Window.partitionBy("source").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1))
+    starts = sums.select(F.col("source").alias("s"), F.col("slice").alias("k"), F.coalesce(before, F.lit(0)).alias("before"))
+    placed = rows.join(starts, rows["source"].eqNullSafe(F.col("s")) & (F.col("slice") == F.col("k"))).drop("s", "k")
+    within = Window.partitionBy("source", "slice").orderBy("draw", "doc_id", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return placed.withColumn("fits", F.col("before") + F.sum("size").over(within) <= F.col("rest")).drop("before", "rest")
+
+
+def repeats(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, epochs: float = EPOCHS, seed: int = SEED, rounds: int = ROUNDS) -> DataFrame:
     """docs(doc_id, source, text) -> doc_id, size, source_size, target, times (whole repetitions of the document), taken.
 
-    The order within a source is cut into SLICES slices of hash values, whose sizes are summed first; the running sum
-    then only needs the rows of one slice in one task, so a source with a third of all rows is spread evenly.
+    Each round of extra repetitions takes the first documents that fit into what is left of the source's rest; the
+    document that no longer fits ends a round, and the next one goes on with the smaller ones.
     """
-    rows = cut(sized(docs))
-    rows = rows.withColumn("draw", F.xxhash64(F.lit(seed), "doc_id")).withColumn("slice", F.pmod("draw", F.lit(SLICES)))
+    draw = F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("doc_id").cast("string")).cast("binary")), 1, 16)
+    rows = cut(sized(docs).withColumn("draw", draw).withColumn("slice", F.substring("draw", 1, SLICE_DIGITS)))
     plan = water_fill(weighted_sources(rows, weights), epochs)
     plan = plan.withColumn("whole", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long"))
-    plan = plan.withColumn("rest", F.col("target") - F.col("whole") * F.col("source_size"))
-    by_slice = rows.groupBy("source", "slice").agg(F.sum("size").alias("in_slice"))
-    before = F.sum("in_slice").over(Window.partitionBy("source").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1))
-    starts = by_slice.withColumn("before", F.coalesce(before, F.lit(0)))
-    starts = starts.join(plan, starts["source"].eqNullSafe(plan["source"])).select(starts["source"].alias("s"), F.col("slice").alias("k"), "before", "source_size", "target", "whole", "rest")
-    placed = rows.join(starts, rows["source"].eqNullSafe(F.col("s")) & (F.col("slice") == F.col("k")))
-    within = Window.partitionBy("source", "slice").orderBy("draw", "doc_id", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    end = F.col("before") + F.sum("size").over(within)
-    # the last document is taken if more than half of it still belongs to the rest; at the cap there is no rest
-    extra = F.when((F.col("rest") > 0) & (end - F.col("size") / 2.0 <= F.col("rest")), 1).otherwise(0)
-    times = (F.col("whole") + extra).cast("long")
-    return placed.select("doc_id", "size", "source_size", F.col("target").cast("double").alias("target"), times.alias("times")).withColumn("taken", F.col("size") * F.col("times"))
+    plan = cut(plan.withColumn("rest", F.col("target") - F.col("whole") * F.col("source_size")))
+    left, open_, taken = plan.select("source", "rest"), rows, []
+    for _ in range(rounds):
+        split = cut(_first(open_, left))
+        taken.append(split.where("fits").drop("fits"))
+        used = taken[-1].groupBy(F.col("source").alias("s")).agg(F.sum("size").alias("used"))
+        left = left.join(used, left["source"].eqNullSafe(F.col("s")), "left").select("source", (F.col("rest") - F.coalesce("used", F.lit(0))).alias("rest"))
+        open_ = split.where("not fits").drop("fits")
+    extra = taken[0]
+    for more in taken[1:]:
+        extra = extra.union(more.select(*extra.columns))
+    counts = rows.withColumn("extra", F.lit(0)).unionByName(extra.select(*rows.columns).withColumn("extra", F.lit(1)))
+    # equal rows are one group: n of them, of which `extra` are taken once more
+    groups = counts.groupBy("doc_id", "source", "size").agg(F.sum(1 - F.col("extra")).alias("n"), F.sum("extra").alias("extra"))
+    each = groups.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("n").cast("int"))))
+    p = plan.select(F.col("source").alias("s"), "source_size", "target", "whole")
+    out = each.join(p, each["source"].eqNullSafe(F.col("s"))).withColumn("times", F.col("whole") + F.when(F.col("copy") <= F.col("extra"), 1).otherwise(0))
+    return out.select("doc_id", "size", "source_size", F.col("target").cast("double").alias("target"), F.col("times").cast("long").alias("times"), (F.col("size") * F.col("times")).cast("long").alias("taken"))
 
 
 def mix(docs: DataFrame, **options) -> DataFrame:

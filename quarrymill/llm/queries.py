@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat, langid, line_dedup, mixing, near_dedup, quality, topk, toxicity, unigram
+from . import bpe, chat, langid, line_dedup, mixing, near_dedup, oracles, quality, topk, toxicity, unigram
 from .common import read
 
 #: Where the public tokenizers' vocabulary files are; QUARRYMILL_TOKENIZERS overrides it.
@@ -75,4 +75,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     )
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = oracles.ORACLE_SQL

@@ -104,7 +104,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, scale: int = SCAL
 
     def pairs(now: DataFrame) -> DataFrame:
         packed = now.groupBy("part", "dim").agg(F.collect_list(F.struct("vec_id", "v", "low", "high", "width")).alias("queries"))
-        everywhere = packed.select("queries", "dim", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).cast("long").alias("lot"))
+        everywhere = packed.select("queries", "dim", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(groups - 1).cast("long"))).alias("lot"))
         return placed.join(everywhere, ["lot", "dim"]).select("queries", "dim", "ids", "numbers")
 
     while (widest := state.agg(F.max(F.col("high") - F.col("low"))).first()[0]) is not None and widest > 0:
