@@ -7,6 +7,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from ..config import COMPLEX_MARKERS, HYBRID, INTENT_SUFFIX, SPLIT_TOKENS, STOP_WORDS, VECTOR
 
@@ -21,12 +22,17 @@ CJK = r"^[一-鿿]+$"
 HEADING = r"(?=[一二三四五六七八九十]+、|\d+\.|[A-Z]\.)"
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def nfkc(texts: pd.Series) -> pd.Series:
     """Unicode NFKC; Spark has no function for it."""
     return texts.map(lambda t: None if t is None else unicodedata.normalize("NFKC", t))
 
 
+def let(value: Column, body) -> Column:
+    """body(value) with value worked out once, even where body uses it inside a lambda or more than once."""
+    return F.transform(F.array(value), body)[0]
+
+
 def compatible(text: Column, ascii_only: bool = False) -> Column:
     return text if ascii_only else nfkc(text)
 
@@ -63,7 +69,7 @@ def infer_headings(text: Column) -> Column:
 
 def tokens(text: Column, stop_words: tuple[str, ...] = STOP_WORDS) -> Column:
     """Distinct lower-case tokens in order of appearance; stop words and single characters other than CJK are left out."""
-    pieces = F.transform(F.split(F.coalesce(text, F.lit("")), TOKEN_BREAK), lambda x: F.lower(trim_all(x)))
+    pieces = F.transform(F.split(F.coalesce(text, F.lit("")), TOKEN_BREAK), lambda x: F.lower(x))
     keep = lambda x: (x != "") & ~x.isin(*stop_words) & ((F.length(x) > 1) | x.rlike(CJK))
     return F.array_distinct(F.filter(pieces, keep))
 

@@ -90,7 +90,7 @@ def readable_size(size: Column) -> Column:
     """1536 -> 1.5 KB; units up to TB."""
     out, units = F.concat(F.format_number(size / 1024.0**4, 1), F.lit(" TB")), ["B", "KB", "MB", "GB"]
     for i in range(3, -1, -1):
-        out = F.when(size < 1024.0 ** (i + 1), F.concat(F.format_string("%.1f", size / F.lit(1024.0**i)), F.lit(f" {units[i]}"))).otherwise(out)
+        out = F.when(size < 1024.0 ** (i + 1), F.concat(F.format_string("%.1f", F.bround(size / F.lit(1024.0**i), 1)), F.lit(f" {units[i]}"))).otherwise(out)
     return out
 
 

@@ -167,13 +167,13 @@ def match_endpoints(relations: DataFrame, entities: DataFrame) -> DataFrame:
     """relations with the canonical names of their ends: by canonical name, what is left by name or alias; unmatched ends
     drop the relation. Only equi-joins."""
     out = relations
-    canonical = entities.select("kb_id", F.col("canonical_name").alias("_c"))
-    other = entities.select("kb_id", "canonical_name", F.explode(F.array_distinct(F.concat(F.array("name"), F.coalesce("aliases", F.array().cast("array<string>"))))).alias("_n"))
-    other = other.groupBy("kb_id", "_n").agg(F.min("canonical_name").alias("_via"))
+    forms = F.explode(F.array_distinct(F.concat(F.array("name"), F.coalesce("aliases", F.array().cast("array<string>")))))
+    canonical = entities.select(F.col("kb_id").alias("_ck"), F.col("canonical_name").alias("_c")).distinct()
+    other = entities.select(F.col("kb_id").alias("_ok"), "canonical_name", forms.alias("_n")).groupBy("_ok", "_n").agg(F.min("canonical_name").alias("_via"))
     for end in ("source", "target"):
-        out = out.join(canonical.withColumnRenamed("_c", f"_{end}"), (out["kb_id"] == canonical["kb_id"]) & (out[end] == F.col(f"_{end}")), "left").drop(canonical["kb_id"])
-        out = out.join(other.select(F.col("kb_id").alias("_k"), "_n", "_via"), F.col(f"_{end}").isNull() & (F.col("kb_id") == F.col("_k")) & (F.col(end) == F.col("_n")), "left")
-        out = out.withColumn(end, F.coalesce(f"_{end}", "_via")).drop(f"_{end}", "_k", "_n", "_via").where(F.col(end).isNotNull())
+        out = out.join(canonical, (F.col("kb_id") == F.col("_ck")) & (F.col(end) == F.col("_c")), "left")
+        out = out.join(other, F.col("_c").isNull() & (F.col("kb_id") == F.col("_ok")) & (F.col(end) == F.col("_n")), "left")
+        out = out.withColumn(end, F.coalesce("_c", "_via")).drop("_ck", "_c", "_ok", "_n", "_via").where(F.col(end).isNotNull())
     return out
 
 
@@ -313,7 +313,7 @@ def preview_graph(entities: DataFrame, relations: DataFrame, nodes: int = 80, ed
     inside = relations
     for end in ("source", "target"):
         inside = inside.join(top.select("kb_id", F.col("canonical_name").alias(end)), ["kb_id", end], "left_semi")
-    return top, inside.orderBy(F.desc("evidence_count"), "source", "target", "type").limit(edges)
+    return top, inside.orderBy(F.desc("evidence_count"), "source", "target", "type", "kb_id").limit(edges)
 
 
 def with_lookup_keys(entities: DataFrame, ascii_only: bool = False) -> DataFrame:

@@ -6,15 +6,16 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import HYBRID
-from ..functions.text import occurrences, tokens
+from ..functions.text import let, occurrences, tokens
 
 #: Robertson & Zaragoza (2009).
 K1, B = 1.2, 0.75
+WORD_BREAK = r"[^\p{L}\p{N}_]+"
 
 
 def postings(chunks: DataFrame) -> DataFrame:
     """chunks(kb_id, chunk_id, content) -> kb_id, token, chunk_id, tf, length (tokens of the chunk, with repeats)."""
-    split = F.filter(F.split(F.lower("content"), r"(?U)[^\w]+"), lambda t: t != "")
+    split = F.filter(F.split(F.lower("content"), WORD_BREAK), lambda t: t != "")
     words = chunks.select("kb_id", "chunk_id", split.alias("words")).select("kb_id", "chunk_id", F.size("words").alias("length"), F.explode("words").alias("token"))
     return words.groupBy("kb_id", "token", "chunk_id").agg(F.count(F.lit(1)).alias("tf"), F.first("length").alias("length"))
 
@@ -25,9 +26,9 @@ def bm25(queries: DataFrame, chunks: DataFrame) -> DataFrame:
     The postings meet the queries' tokens in an equi-join; no query is compared with a chunk that has none of its tokens.
     """
     index = postings(chunks)
-    sizes = chunks.select("kb_id", F.size(F.filter(F.split(F.lower("content"), r"(?U)[^\w]+"), lambda t: t != "")).alias("length"))
+    sizes = chunks.select("kb_id", F.size(F.filter(F.split(F.lower("content"), WORD_BREAK), lambda t: t != "")).alias("length"))
     stats = sizes.groupBy("kb_id").agg(F.count(F.lit(1)).alias("n"), F.avg("length").alias("mean"))
-    split = F.array_distinct(F.filter(F.split(F.lower("query_text"), r"(?U)[^\w]+"), lambda t: t != ""))
+    split = F.array_distinct(F.filter(F.split(F.lower("query_text"), WORD_BREAK), lambda t: t != ""))
     asked = queries.select("query_id", "kb_id", F.explode(split).alias("token"))
     wanted = index.join(asked.select("kb_id", "token").distinct(), ["kb_id", "token"], "left_semi")
     df = wanted.groupBy("kb_id", "token").agg(F.count(F.lit(1)).alias("df"))
@@ -41,20 +42,21 @@ def bm25(queries: DataFrame, chunks: DataFrame) -> DataFrame:
 def containing(queries: DataFrame, chunks: DataFrame, gram: int = 3) -> DataFrame:
     """Pairs (query_id, kb_id, chunk_id) where the chunk contains one of the query's tokens anywhere, whatever its case.
 
-    Chunks and tokens meet on a character trigram of the token (its rarest would do; the first is taken), then the
-    containment is verified. Tokens shorter than that meet on their first character.
+    A token holds no white space, so it stands within one word of a chunk. Tokens meet the distinct words of a knowledge base
+    on a character trigram (shorter tokens on their first character), the containment is verified on the word, and the words'
+    postings give the chunks: texts are split once and never compared with queries.
     """
     asked = queries.select("query_id", "kb_id", F.explode(tokens(F.col("query_text"))).alias("token"))
-    asked = asked.withColumn("gram", F.substring("token", 1, gram))
-    low = chunks.select("kb_id", "chunk_id", F.lower("content").alias("low"))
-    n = F.length("low")
-    starts = F.when(n > 0, F.sequence(F.lit(1), n)).otherwise(F.array().cast("array<int>"))
-    short = F.transform(starts, lambda i: F.substring("low", i, F.lit(1)))
-    pairs = F.transform(starts, lambda i: F.substring("low", i, F.lit(2)))
-    grams = F.array_distinct(F.concat(short, pairs, F.transform(starts, lambda i: F.substring("low", i, F.lit(gram)))))
+    asked = asked.withColumn("gram", F.when(F.length("token") < gram, F.substring("token", 1, 1)).otherwise(F.substring("token", 1, gram)))
+    held = F.array_distinct(F.filter(F.split(F.lower("content"), r"(?U)\s+"), lambda w: w != ""))
+    words = chunks.select("kb_id", "chunk_id", F.explode(held).alias("word"))
+    n = F.length("word")
+    grams = F.array_distinct(F.transform(F.sequence(F.lit(1), n), lambda i: F.substring("word", i, F.lit(gram))))
+    grams = F.array_distinct(F.concat(F.split("word", ""), grams))
     wanted = asked.select("kb_id", "gram").distinct()
-    held = low.select("kb_id", "chunk_id", "low", F.explode(grams).alias("gram")).join(wanted, ["kb_id", "gram"], "left_semi")
-    return held.join(asked, ["kb_id", "gram"]).where(F.contains("low", "token")).select("query_id", "kb_id", "chunk_id").distinct()
+    near = words.select("kb_id", "word").distinct().withColumn("gram", F.explode(grams)).join(wanted, ["kb_id", "gram"], "left_semi")
+    matched = near.join(asked, ["kb_id", "gram"]).where(F.contains("word", "token")).select("query_id", "kb_id", "word").distinct()
+    return matched.join(words, ["kb_id", "word"]).select("query_id", "kb_id", "chunk_id").distinct()
 
 
 def score(candidates: DataFrame, top_k: int | None = None, config=HYBRID) -> DataFrame:
@@ -63,16 +65,16 @@ def score(candidates: DataFrame, top_k: int | None = None, config=HYBRID) -> Dat
     Coverage and damped counts of the query's tokens as substrings, a penalty for long chunks, a share of the full-text
     score where there is one.
     """
-    counted = candidates.withColumns({"_tokens": tokens(F.col("query_text")), "_low": F.lower("content")})
-    counted = counted.withColumn("_counts", F.transform("_tokens", lambda t: occurrences(F.col("_low"), t)))
+    counts = let(F.struct(tokens(F.col("query_text")).alias("t"), F.lower("content").alias("low")), lambda x: F.transform(x["t"], lambda t: occurrences(x["low"], t)))
+    counted = candidates.withColumn("_counts", counts)
     hits, tf = F.size(F.filter("_counts", lambda n: n > 0)), F.aggregate("_counts", F.lit(0), lambda s, n: s + F.least(F.lit(3), n))
-    raw = (0.7 * hits / F.size("_tokens") + 0.3 * (tf / (tf + 2.0))) * F.greatest(F.lit(0.6), F.least(F.lit(1.0), 300.0 / F.greatest(F.lit(300.0), F.length("content").cast("double"))))
+    raw = (0.7 * hits / F.size("_counts") + 0.3 * (tf / (tf + 2.0))) * F.greatest(F.lit(0.6), F.least(F.lit(1.0), 300.0 / F.greatest(F.lit(300.0), F.length("content").cast("double"))))
     ft = F.coalesce(F.col("ft_score"), F.lit(0.0))
     mixed = F.when(ft > 0, raw * 0.75 + F.least(F.lit(1.0), ft / (ft + 5.0)) * 0.25).otherwise(raw)
     final = F.pow(F.greatest(F.lit(0.0), F.least(F.lit(1.0), mixed)), F.lit(max(0.5, config.keyword_power)))
-    out = counted.where((F.size("_tokens") > 0) & (hits > 0)).withColumn("_raw", final)
+    out = counted.withColumn("_raw", F.when(hits > 0, final)).where("_raw IS NOT NULL")
     best = F.max("_raw").over(Window.partitionBy("query_id"))
-    out = out.withColumn("_best", best).where("_best > 0").withColumn("score", F.round(F.col("_raw") / F.col("_best"), 6)).drop("_tokens", "_low", "_counts", "_raw", "_best")
+    out = out.withColumn("_best", best).where("_best > 0").withColumn("score", F.round(F.col("_raw") / F.col("_best"), 6)).drop("_counts", "_raw", "_best")
     if top_k is None:
         return out
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "chunk_id"))

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import HYBRID, VECTOR
-from ..functions.text import tokens
+from ..functions.text import let, tokens
 
 
 def by_query(*order: Column | str) -> Window:
@@ -64,8 +64,7 @@ def min_max(df: DataFrame, column: str = "final_score", out: str = "normalized")
 
 def overlap(query: Column, content: Column) -> Column:
     """Share of the query's tokens that the content has."""
-    own = tokens(query)
-    return F.when(F.size(own) > 0, F.size(F.array_intersect(own, tokens(content))) / F.size(own)).otherwise(0.0)
+    return let(tokens(query), lambda own: F.when(F.size(own) > 0, F.size(F.array_intersect(own, tokens(content))) / F.size(own)).otherwise(0.0))
 
 
 def rerank_hybrid(df: DataFrame, config=HYBRID) -> DataFrame:
@@ -74,7 +73,8 @@ def rerank_hybrid(df: DataFrame, config=HYBRID) -> DataFrame:
     Normalised fusion score and token overlap, bonuses for graph evidence, a penalty for rows without either. A query without
     tokens keeps its scores.
     """
-    scored = min_max(df).withColumns({"_overlap": overlap(F.col("query_text"), F.col("content")), "_graph": F.array_contains("channels", "graph") | F.coalesce(F.col("source").startswith("graph_"), F.lit(False))})
+    marked = df.withColumns({"_overlap": overlap(F.col("query_text"), F.col("content")), "_graph": F.array_contains("channels", "graph") | F.coalesce(F.col("source").startswith("graph_"), F.lit(False))})
+    scored = min_max(marked)  # its window keeps the overlap from being worked out more than once
     bonus = F.when(F.col("_graph"), 0.08).otherwise(0.0) + F.when(F.col("source") == "graph_direct", 0.12).otherwise(0.0) + F.when(F.lower("match_stage") == "exact", 0.08).otherwise(0.0)
     raw = config.rerank_alpha * F.col("normalized") + (1 - config.rerank_alpha) * F.col("_overlap") + bonus
     raw = F.when(~F.col("_graph") & (F.col("_overlap") < 0.05), raw * 0.68).otherwise(raw)

@@ -9,6 +9,7 @@ from html.parser import HTMLParser
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 #: Encodings tried in this order; the last never fails.
 ENCODINGS = ("utf-8", "gbk", "gb2312", "latin-1")
@@ -140,17 +141,17 @@ def json_text(raw: str | None, lines: bool = False) -> str | None:
     return "\n\n".join(blocks)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def html_to_text(pages: pd.Series) -> pd.Series:
     return pages.map(html_text)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def decode_bytes(content: pd.Series) -> pd.Series:
     return content.map(decode)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def render(content: pd.Series, ext: pd.Series) -> pd.Series:
     """File contents as text by their extension."""
     kinds = {"html": html_text, "htm": html_text, "json": json_text, "jsonl": lambda t: json_text(t, True)}
