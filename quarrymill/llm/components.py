@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from .common import cut
 
+#: Nodes of a block, and nodes of a bucket that is compared pair by pair at most.
+BLOCK, SMALL = 128, 64
+
 
 def buckets(bands: DataFrame) -> DataFrame:
     """bands(node, key) -> (key, node, pivot) for keys that more than one node has; pivot is the key's smallest node.
@@ -50,6 +53,24 @@ def crossing(entries: DataFrame, sketches: DataFrame, similarity: float) -> Data
     return met.select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct()
 
 
+def sized(entries: DataFrame) -> DataFrame:
+    """entries with members, the number of nodes in the bucket."""
+    return entries.join(entries.groupBy("key").agg(F.count(F.lit(1)).alias("members")), "key")
+
+
+def block_pairs(entries: DataFrame, texts: DataFrame, block: int = BLOCK) -> DataFrame:
+    """Large buckets as pairs of blocks: (left, right), lists of (node, label, text) of about `block` nodes.
+
+    A bucket of m nodes gives (m / block)**2 / 2 rows that are spread over all tasks; each is compared in one piece, and only
+    true links come out. entries(key, node, label, members), texts(node, text).
+    """
+    parts = F.ceil(F.col("members") / block)
+    placed = entries.withColumn("part", F.pmod(F.xxhash64("node"), parts)).join(texts, "node")
+    blocks = placed.groupBy("key", "part").agg(F.collect_list(F.struct("node", "label", "text")).alias("held"))
+    left, right = blocks.select("key", F.col("part").alias("i"), F.col("held").alias("left")), blocks.select("key", F.col("part").alias("j"), F.col("held").alias("right"))
+    return left.join(right, "key").where("i <= j").select("left", "right")
+
+
 def components(links: DataFrame) -> DataFrame:
     """links(a, b) -> (node, label) for every node of a link: label is the smallest node that it reaches.
 

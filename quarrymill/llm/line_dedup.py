@@ -5,6 +5,10 @@ removed. A line's set: its distinct 8-character shingles (a shorter line is one
 stand. Min-max signatures are cut into bands, candidate links are confirmed by the exact Jaccard similarity of the whole
 sets, and union-find over the confirmed links leaves one line of each component: the first, by doc_id and position.
 
+Equal lines are one node, named by a 64-bit hash of the content; 128 bits decide what is equal. Only nodes of different
+content become candidates. In buckets of up to SMALL nodes candidates that can join two components are filtered by
+one-bit signatures and confirmed pair by pair; larger buckets are compared as pairs of blocks, which return true links only.
+
 Defined results: a null text stays null and has no lines; rows without a doc_id keep their text and are compared with
 nothing; rows that share a doc_id are copies of one document and are edited alike; other columns are ignored. A line is
 numbered doc_id * 2**24 + position, so |doc_id| must stay under 2**39 (else Spark reports an overflow).
@@ -16,19 +20,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textcore as tc
 from .common import cut, documents
-from .components import apart, buckets, components, crossing, stars
+from .components import SMALL, apart, block_pairs, buckets, components, crossing, sized, stars
 
 #: 16 bands of 4 values of 32 permutations: a pair at similarity 0.8 is missed with probability 2e-4, at 0.85 with 7e-6.
 BANDS, ROWS, SHINGLE, PERCENT = 16, 4, 8, 80
 POSITIONS = 1 << 24
-#: Six standard deviations of the similarity that 2048 one-bit values estimate.
-MARGIN = 0.08
+#: Longs of one-bit values, and six standard deviations of the similarity that they estimate.
+LONGS, MARGIN = 16, 0.113
 U64 = np.uint64
 
 
@@ -77,25 +81,29 @@ def _lines(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 
 def _bands(batches: Iterator[pa.RecordBatch], bands: int, rows: int, k: int) -> Iterator[pa.RecordBatch]:
+    """(node, key) of every line that isn't blank; node is Spark's xxhash64 of the line."""
     scheme = tc.MinMax(bands, rows)
     for batch in batches:
-        ids = batch.column("doc_id").cast(pa.int64()).to_numpy(zero_copy_only=False)
-        for first, end, data, offsets in tc.chunks(batch.column("text")):
-            chars, starts, ends, doc, place = _lines(data, offsets)
+        for _, _, data, offsets in tc.chunks(batch.column("text"), 1 << 18):
+            chars, starts, ends, _, _ = _lines(data, offsets)
             if len(starts):
+                at = np.concatenate([np.flatnonzero((data & 0xC0) != 0x80), [len(data)]])  # the byte of every character
+                raw = memoryview(data.tobytes())
+                nodes = np.array([xxhash.xxh64_intdigest(raw[a:b], 42) for a, b in zip(at[starts].tolist(), at[ends].tolist())], U64).view(np.int64)
                 keys = scheme.keys(*_shingle_hashes(chars, starts, ends, k))
-                nodes = ids[first:end][doc] * POSITIONS + place
                 yield pa.RecordBatch.from_arrays([pa.array(np.repeat(nodes, bands)), pa.array(keys.reshape(-1))], ["node", "key"])
 
 
 def _pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The wanted lines of each document: (node, line)."""
+    """The wanted lines of each document: (node, text)."""
     for batch in batches:
-        for row in range(len(batch)):
-            doc_id, wanted = batch.column("doc_id")[row].as_py(), batch.column("wanted")[row].as_py()
-            lines = batch.column("text")[row].as_py().split("\n")
-            wanted = [p for p in wanted if p < len(lines)]
-            yield pa.RecordBatch.from_arrays([pa.array([doc_id * POSITIONS + p for p in wanted], pa.int64()), pa.array([lines[p] for p in wanted], pa.string())], ["node", "line"])
+        nodes, lines = [], []
+        for text, wanted in zip(batch.column("text").to_pylist(), batch.column("wanted").to_pylist(), strict=True):
+            own = text.split("\n")
+            for place in wanted:
+                nodes.append(place["node"])
+                lines.append(own[place["position"]])
+        yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(lines, pa.string())], ["node", "text"])
 
 
 def _line_shingles(lines: pa.Array, k: int, most: int = 1 << 18) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
@@ -109,23 +117,26 @@ def _line_shingles(lines: pa.Array, k: int, most: int = 1 << 18) -> Iterator[tup
 def _sketches(batches: Iterator[pa.RecordBatch], bands: int, rows: int, k: int) -> Iterator[pa.RecordBatch]:
     scheme = tc.MinMax(bands, rows)
     for batch in batches:
-        for first, end, hashes, bounds in _line_shingles(batch.column("line"), k):
+        for first, end, hashes, bounds in _line_shingles(batch.column("text"), k):
             every = np.arange(end - first)
-            yield pa.RecordBatch.from_arrays([batch.column("node").slice(first, end - first), tc.lists(scheme.keys(hashes, bounds), every, len(every)), tc.lists(scheme.bits(hashes, bounds), every, len(every))], ["node", "bands", "bits"])
+            yield pa.RecordBatch.from_arrays([batch.column("node").slice(first, end - first), tc.lists(scheme.keys(hashes, bounds), every, len(every)), tc.lists(scheme.bits(hashes, bounds, LONGS), every, len(every))], ["node", "bands", "bits"])
 
 
-def _confirm(batches: Iterator[pa.RecordBatch], k: int, percent: int) -> Iterator[pa.RecordBatch]:
-    def sets(lines: pa.Array) -> Iterator[np.ndarray]:
-        for first, end, hashes, bounds in _line_shingles(lines, k):
-            for i in range(end - first):
-                yield hashes[bounds[i] : bounds[i + 1]]
+def _sets(lines: pa.Array, k: int) -> Iterator[np.ndarray]:
+    for first, end, hashes, bounds in _line_shingles(lines, k):
+        for i in range(end - first):
+            yield np.unique(hashes[bounds[i] : bounds[i + 1]])
 
+
+def _confirm(batches: Iterator[pa.RecordBatch], k: int, percent: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        good = pc.equal(batch.column("line_a"), batch.column("line_b")).to_numpy(zero_copy_only=False).copy()
-        rest = np.flatnonzero(~good)
-        left, right = (batch.column(c).take(pa.array(rest)) for c in ("line_a", "line_b"))
-        for i, x, y in zip(rest, sets(left), sets(right), strict=True):
-            x, y = np.unique(x), np.unique(y)
+        good = np.zeros(len(batch), bool)
+        # each distinct text of the batch is cut into shingles once
+        coded = pa.concat_arrays([batch.column("text_a"), batch.column("text_b")]).dictionary_encode()
+        sets = list(_sets(coded.dictionary, k))
+        index = coded.indices.to_numpy()
+        for i, (p, q) in enumerate(zip(index[: len(batch)], index[len(batch) :])):
+            x, y = sets[p], sets[q]
             if min(len(x), len(y)) * 100 >= percent * max(len(x), len(y)):
                 both = np.concatenate([x, y])
                 both.sort()
@@ -134,34 +145,78 @@ def _confirm(batches: Iterator[pa.RecordBatch], k: int, percent: int) -> Iterato
         yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(good))
 
 
-def _picked(nodes: DataFrame, docs: DataFrame) -> DataFrame:
-    """nodes(node), distinct -> (node, line). Only the documents' texts are shuffled, not every line."""
-    wanted = nodes.groupBy(F.shiftright("node", 24).alias("doc_id")).agg(F.collect_list((F.col("node").bitwiseAND(POSITIONS - 1)).cast("int")).alias("wanted"))
-    return docs.join(wanted, "doc_id").select("doc_id", "text", "wanted").mapInArrow(_pick, "node long, line string")
-
-
-def _confirmed(links: DataFrame, lines: DataFrame, k: int, percent: int) -> DataFrame:
-    both = links.join(lines.select(F.col("node").alias("a"), F.col("line").alias("line_a")), "a").join(lines.select(F.col("node").alias("b"), F.col("line").alias("line_b")), "b")
-    return both.select("a", "b", "line_a", "line_b").mapInArrow(lambda it: _confirm(it, k, percent), "a long, b long").distinct()
+def _confirm_blocks(batches: Iterator[pa.RecordBatch], k: int, percent: int) -> Iterator[pa.RecordBatch]:
+    """True links between nodes of different components of two blocks: all intersections are one product of 0/1 matrices."""
+    for batch in batches:
+        for row in range(len(batch)):
+            sides = [batch.column(c)[row].values for c in ("left", "right")]
+            nodes, labels = ([s.field(c).to_numpy(zero_copy_only=False) for s in sides] for c in (0, 1))
+            if len(np.unique(np.concatenate(labels))) < 2:
+                continue
+            sets = [list(_sets(s.field(2), k)) for s in sides]
+            known = np.unique(np.concatenate(sets[0] + sets[1]))
+            shared = np.zeros((len(sets[0]), len(sets[1])))
+            slabs = [[np.searchsorted(known, x) for x in side] for side in sets]
+            for first in range(0, len(known), 8192):  # a slab of the vocabulary at a time
+                ones = []
+                for side in slabs:
+                    m = np.zeros((len(side), min(8192, len(known) - first)), np.float32)
+                    for i, x in enumerate(side):
+                        m[i, x[(x >= first) & (x < first + 8192)] - first] = 1
+                    ones.append(m)
+                shared += ones[0] @ ones[1].T
+            sizes = [np.array([len(x) for x in side]) for side in sets]
+            near = 100 * shared >= percent * (sizes[0][:, None] + sizes[1][None, :] - shared)
+            i, j = np.nonzero(near & (labels[0][:, None] != labels[1][None, :]))
+            x, y = nodes[0][i], nodes[1][j]
+            yield pa.RecordBatch.from_arrays([pa.array(np.maximum(x, y)), pa.array(np.minimum(x, y))], ["a", "b"])
+
+
+def _picked(nodes: DataFrame, kinds: DataFrame, docs: DataFrame) -> DataFrame:
+    """nodes(node), distinct -> (node, text), from the first place of each. Only the documents' texts are shuffled."""
+    places = nodes.join(kinds.select("node", "first"), "node")
+    wanted = places.groupBy(F.shiftright("first", 24).alias("doc_id")).agg(F.collect_list(F.struct("node", F.col("first").bitwiseAND(POSITIONS - 1).cast("int").alias("position"))).alias("wanted"))
+    one = docs.join(wanted, "doc_id").select("text", "wanted")
+    return one.mapInArrow(_pick, "node long, text string").distinct()
+
+
+def _confirmed(links: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
+    both = links.join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a").join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")
+    return both.select("a", "b", "text_a", "text_b").mapInArrow(lambda it: _confirm(it, k, percent), "a long, b long").distinct()
+
+
+def _places(docs: DataFrame) -> DataFrame:
+    """(node, other, place) of every line that isn't blank: two hashes of its content and its number."""
+    rows = docs.select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("position", "line")).where(F.col("line").rlike(r"[^\x20\x09-\x0D]"))
+    return rows.select(F.xxhash64("line").alias("node"), F.xxhash64(F.lit(1), "line").alias("other"), (F.col("doc_id") * POSITIONS + F.col("position")).alias("place"))
 
 
 def repeated_lines(docs: DataFrame, percent: int = PERCENT, bands: int = BANDS, rows: int = ROWS, shingle: int = SHINGLE) -> DataFrame:
     """docs(doc_id, text) -> (doc_id, position, first_doc_id, first_position) of the lines that repeat an earlier one."""
     docs = documents(docs).where("doc_id is not null and text is not null")
+    kinds = cut(_places(docs).groupBy("node", "other").agg(F.min("place").alias("first"), F.count(F.lit(1)).alias("n")))
     made = docs.mapInArrow(lambda it: _bands(it, bands, rows, shingle), "node long, key long")
-    shared = cut(buckets(made))
+    shared = cut(buckets(made).distinct())
     near = cut(stars(shared))
-    links = cut(_confirmed(near, _picked(near.select(F.explode(F.array("a", "b")).alias("node")).distinct(), docs), shingle, percent))
+    links = cut(_confirmed(near, _picked(near.select(F.explode(F.array("a", "b")).alias("node")).distinct(), kinds, docs), shingle, percent))
     labels = components(links)
-    mixed = cut(apart(shared, labels))
+    mixed = cut(sized(apart(shared, labels)))
     if not mixed.isEmpty():
-        far = cut(_picked(mixed.select("node").distinct(), docs))
-        sketches = cut(far.mapInArrow(lambda it: _sketches(it, bands, rows, shingle), "node long, bands array<long>, bits array<long>"))
-        more = cut(_confirmed(cut(crossing(mixed, sketches, percent / 100 - MARGIN)), far, shingle, percent))
+        far = cut(_picked(mixed.select("node").distinct(), kinds, docs))
+        few, many = mixed.where(F.col("members") <= SMALL), mixed.where(F.col("members") > SMALL)
+        some = far.join(few.select("node").distinct(), "node", "left_semi")
+        sketches = cut(some.mapInArrow(lambda it: _sketches(it, bands, rows, shingle), "node long, bands array<long>, bits array<long>"))
+        more = _confirmed(cut(crossing(few, sketches, percent / 100 - MARGIN)), far, shingle, percent)
+        blocks = block_pairs(many, far).mapInArrow(lambda it: _confirm_blocks(it, shingle, percent), "a long, b long").distinct()
+        more = cut(more.union(blocks))
         if not more.isEmpty():
             labels = components(links.union(more))
+    named = kinds.join(labels, "node", "left")
+    heads = named.where("label IS NOT NULL").groupBy("label").agg(F.min("first").alias("head"))
+    repeated = named.join(heads, "label", "left").withColumn("head", F.coalesce("head", "first")).where("n > 1 OR head <> first").select("node", "other", "head")
+    gone = _places(docs).join(repeated, ["node", "other"]).where("place <> head")
     place = lambda c: F.col(c).bitwiseAND(POSITIONS - 1).cast("int")
-    return labels.where("node != label").select(F.shiftright("node", 24).alias("doc_id"), place("node").alias("position"), F.shiftright("label", 24).alias("first_doc_id"), place("label").alias("first_position"))
+    return gone.select(F.shiftright("place", 24).alias("doc_id"), place("place").alias("position"), F.shiftright("head", 24).alias("first_doc_id"), place("head").alias("first_position"))
 
 
 def _rebuild(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
