@@ -1,0 +1,324 @@
+"""The ten operators and the pipeline against plain versions, on small tables with nulls, empty and repeated rows, ties, clashing columns."""
+
+from __future__ import annotations
+
+import hashlib
+import random
+import re
+import zlib
+from collections import Counter
+
+import numpy as np
+import pytest
+from compare import same, tables
+from pyspark.sql import functions as F
+
+from quarrymill.llm import bpe, chat, components, langid, line_dedup, mixing, near_dedup, oracles, quality, queries, topk, toxicity, unigram
+
+SF = "/root/testdata/sf0.001"
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+DOCS = "doc_id long, text string, lang string, source string, n_chars long, size string, component_id string, node string, key string"
+RNG = random.Random(4)
+VOCAB = ["".join(RNG.choice("abcdefgh") for _ in range(RNG.randrange(2, 7))) for _ in range(400)]
+
+
+def prose(rng, n):
+    return " ".join(rng.choice(VOCAB) for _ in range(n))
+
+
+def changed(rng, text, share):
+    return " ".join(rng.choice(VOCAB) if rng.random() < share else w for w in text.split(" "))
+
+
+def small_docs(spark, extra=()):
+    """Copies, near copies at every distance, blanks, nulls, repeated rows, one long text, in a table with clashing columns."""
+    rng = random.Random(1)
+    base = prose(rng, 120)
+    texts = [base, base, base.upper(), base + "\n" + base, None, "", "  \n\t ", "a", "a b", "a b", "A B c", prose(rng, 30_000), "\n\n\n", "é ñ \U0001f600 漢字", base.replace(" ", "\n")]
+    texts += [changed(rng, base, s / 200) for s in range(40)] + [prose(rng, 50) for _ in range(20)]
+    texts += list(extra)
+    rows = [(i, t, ["en", "de", None][i % 3], ["s0", "s1", "", None][i % 4], len(t or ""), "x", "y", "z", "k") for i, t in enumerate(texts)]
+    rows += [rows[0], rows[4], (None, base, "en", "s0", 1, "x", "y", "z", "k"), (None, None, None, None, None, None, None, None, None)]
+    return spark.createDataFrame(rows, DOCS)
+
+
+def shingle_set(text, k):
+    words = WORD.findall(re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+    return {tuple(words[i : i + k]) for i in range(max(1, len(words) - k + 1))} if words else set()
+
+
+def brute_components(items, similar):
+    parent = {i: i for i in items}
+
+    def root(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    keys = sorted(items)
+    for n, i in enumerate(keys):
+        for j in keys[:n]:
+            if similar(items[i], items[j]):
+                a, b = root(i), root(j)
+                parent[max(a, b)] = min(a, b)
+    return {i: root(i) for i in items}
+
+
+def alike(a, b, percent=80):
+    return bool(a) and bool(b) and 100 * len(a & b) >= percent * len(a | b)
+
+
+@pytest.mark.parametrize("k", [4, 5])
+def test_near_dedup_is_exact(spark, k):
+    docs = small_docs(spark)
+    sets = {r["doc_id"]: shingle_set(r["text"], k) for r in docs.collect() if r["doc_id"] is not None}
+    wanted = brute_components(sets, alike)
+    rows = near_dedup.near_duplicates(docs, words=k).collect()
+    assert len(rows) == docs.count()
+    for r in rows:
+        if r["doc_id"] is None:
+            assert r["component_id"] is None and r["kept"]
+        else:
+            assert (r["n_shingles"], r["component_id"], r["kept"]) == (len(sets[r["doc_id"]]), wanted[r["doc_id"]], wanted[r["doc_id"]] == r["doc_id"])
+    kept = near_dedup.keep_one(docs, words=k)
+    assert kept.columns == docs.columns
+    assert sorted(r["doc_id"] for r in kept.where("doc_id is not null").collect()) == sorted({i for i in wanted if wanted[i] == i})
+
+
+def test_near_dedup_of_nothing(spark):
+    assert near_dedup.near_duplicates(small_docs(spark).limit(0)).count() == 0
+
+
+def test_components(spark):
+    links = spark.createDataFrame([(i + 1, i) for i in range(60)] + [(200, 100), (300, 200), (300, 100)], "a long, b long")
+    assert {r["label"] for r in components.components(links).where("node <= 60").collect()} == {0}
+    assert {r["label"] for r in components.components(links).where("node >= 100").collect()} == {100}
+
+
+def line_sets(rows):
+    out = {}
+    for r in rows:
+        if r["doc_id"] is not None:
+            for i, line in enumerate((r["text"] or "").split("\n")):
+                if line.strip(" \t\n\v\f\r"):
+                    out[(r["doc_id"], i)] = {line[j : j + 8] for j in range(max(1, len(line) - 7))} if len(line) >= 8 else {line}
+    return out
+
+
+@pytest.mark.parametrize("small", [64, 1])
+def test_line_dedup_is_exact(spark, monkeypatch, small):
+    """small = 1 sends every bucket through the comparison by blocks."""
+    monkeypatch.setattr(line_dedup, "SMALL", small)
+    rng = random.Random(2)
+    line = prose(rng, 40)
+    many = ["\n".join(changed(rng, line, s / 150) for s in range(k, k + 6)) for k in range(0, 30, 3)]
+    docs = small_docs(spark, [*many, "short\nshort\nshor", f"{line}\n\n{line}", f"{line}\nown words here"]).where("length(text) < 100000 or text is null")
+    rows = docs.collect()
+    wanted = brute_components(line_sets(rows), alike)
+    gone = {(r["doc_id"], r["position"]) for r in line_dedup.repeated_lines(docs).collect()}
+    assert gone == {i for i in wanted if wanted[i] != i}
+    for r in line_dedup.dedup_lines(docs).collect():
+        source = next(x["text"] for x in rows if x["doc_id"] == r["doc_id"])
+        if r["doc_id"] is not None and source is not None:
+            assert r["text"] == "\n".join(x for i, x in enumerate(source.split("\n")) if (r["doc_id"], i) not in gone)
+    edited = line_dedup.edit_documents(docs)
+    assert edited.columns == docs.columns
+    left = {r["doc_id"]: r for r in edited.collect()}
+    assert None in left and 4 in left and 5 in left and 1 not in left  # nulls and blanks stay, a copy goes
+    assert all(r["n_chars"] == len(r["text"] or "") for r in left.values() if r["n_chars"] is not None and r["doc_id"] is not None)
+    assert line_dedup.dedup_lines(docs.limit(0)).count() == 0
+
+
+def test_python_and_spark_hash_lines_alike(spark):
+    import xxhash
+
+    lines = ["a", "é漢\U0001f600", "x" * 1000, "tail \r"]
+    got = [r["h"] for r in spark.createDataFrame([(x,) for x in lines], "t string").select(F.xxhash64("t").alias("h")).collect()]
+    assert got == [int(np.array(xxhash.xxh64_intdigest(x.encode(), 42), np.uint64).view(np.int64)) for x in lines]
+
+
+@pytest.mark.parametrize("name", sorted(oracles.ORACLE_SQL))
+def test_equals_sql(spark, name):
+    same(queries.QUERIES[name](spark, SF).toPandas(), tables(SF).execute(oracles.ORACLE_SQL[name]).df())
+
+
+def test_mixing(spark):
+    docs = small_docs(spark)
+    rows = mixing.repeats(docs).collect()
+    again = mixing.repeats(docs.repartition(3)).collect()
+    assert sorted(map(str, rows)) == sorted(map(str, again)) and len(rows) == docs.count()
+    assert all(0 <= r["taken"] <= 3 * r["size"] for r in rows)
+    assert sum({(r["source_size"], r["target"]) for r in rows} and [t for _, t in {(r["source_size"], r["target"]) for r in rows}]) == pytest.approx(sum(r["size"] for r in rows))
+    mixed = mixing.mix(docs)
+    assert mixed.columns == docs.columns
+    assert mixing.repeats(docs.limit(0)).count() == 0 and mixing.mix(docs.limit(0)).count() == 0
+
+
+def test_water_filling_clamps_and_reshares(spark):
+    table = spark.createDataFrame([("a", 10, 5, 1), ("b", 100, 2, 2), ("c", 1000, 1, 3)], "source string, source_size long, weight int, place int")
+    got = {r["source"]: r["target"] for r in mixing.water_fill(table).collect()}
+    assert got == {"a": 30.0, "b": 300.0, "c": pytest.approx(780.0)}
+
+
+def test_quality_edges(spark):
+    docs = small_docs(spark, ["# | # | " * 60, "the of and " * 40, "the " + prose(random.Random(3), 80)])
+    rows = {}
+    for r in quality.quality(docs).collect():
+        rows.setdefault(r["doc_id"], r)
+    for d in docs.where("doc_id is not null").collect():
+        words = WORD.findall(d["text"] or "")
+        windows = Counter(zip(words, words[1:], words[2:]))
+        covered = {i + j for i in range(len(words) - 2) for j in range(3) if windows[tuple(words[i : i + 3])] > 1}
+        lines = [x for x in (d["text"] or "").split("\n") if WORD.search(x)]
+        r = rows[d["doc_id"]]
+        assert (r["n_words"], r["word_chars"], r["n_repeat_words"], r["n_dup_lines"]) == (len(words), sum(map(len, words)), len(covered), len(lines) - len(set(lines)))
+        assert r["base_failed"] == (len(words) < 50 or 100 * len(covered) > 50 * len(words)) and not (r["kept"] and r["base_failed"])
+    assert "Python" not in quality.quality(docs)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_top_k_edges(spark):
+    rng = np.random.default_rng(1)
+    vectors = [(i, [float(x) for x in rng.normal(size=4)]) for i in range(60)] + [(100 + i, [1.0, 0.0, 0.0, 0.0]) for i in range(40)]
+    bad = [(200, None), (201, [1.0, None, 0.0, 0.0]), (202, [float("nan"), 0.0, 0.0, 0.0]), (203, [float("inf"), 0.0, 0.0, 0.0]), (204, [1.0, 2.0]), (None, [1.0, 0.0, 0.0, 0.0])]
+    df = spark.createDataFrame([(i, v, "x") for i, v in vectors + bad], "vec_id long, embedding array<float>, score string")
+    whole = {i: np.floor(1024 * np.array(v, np.float32).astype(float)).astype(int) for i, v in vectors}
+    got = {}
+    for r in topk.top_k(df, df.where("vec_id % 20 = 0"), 10).orderBy("query_id", "rank").collect():
+        got.setdefault(r["query_id"], []).append((r["score"], r["vec_id"]))
+    for q in (i for i in whole if i % 20 == 0):
+        assert got[q] == [(-s, v) for s, v in sorted((-int(whole[q] @ x), v) for v, x in whole.items() if v != q)][:10]
+    assert topk.top_k(df.limit(0), df.limit(0), 10).count() == 0
+    assert topk.top_k(df.where("vec_id < 3"), df.where("vec_id = 0"), 10).count() == 2
+
+
+def test_language_id(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    rows = langid.identify(docs).join(docs, "doc_id").where("held_out").collect()
+    assert sum(r["lang"] == r["lang_pred"] for r in rows) >= 0.95 * len(rows)
+    odd = langid.identify(small_docs(spark)).collect()
+    assert all(r["lang_pred"] == "und" and r["score"] == 0 for r in odd if r["doc_id"] in (4, 5, 6, 12))
+    assert all(0 <= r["score"] <= 1 and r["lang_pred"] in ("en", "de", "und") for r in odd)
+    assert all(r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 4 == 2) for r in odd if r["doc_id"] is not None)
+    nothing = small_docs(spark).withColumn("lang", F.lit(None).cast("string"))
+    assert {r["lang_pred"] for r in langid.identify(nothing).collect()} == {"und"}
+
+
+def test_kneser_ney_sums_to_one():
+    import pandas as pd
+
+    text = "the cat sat on the mat and the dog sat on the log".encode()
+    codes, _, _ = langid.grams(np.frombuffer(text, np.uint8), np.array([0, len(text)]))
+    grams, n = np.unique(codes, return_counts=True)
+    model = langid.build(pd.DataFrame({"lang": "en", "gram": grams, "n": n}))
+    for context in (int(codes[5]) >> 5, 12345 % langid.CONTEXTS):
+        every = np.arange(langid.SYMBOLS, dtype=np.int32) + np.int32(context * langid.SYMBOLS)
+        total = sum(np.exp(-model.entropies(np.array([c], np.int32), np.zeros(1, np.int64), 1)[0, 0]) for c in every)
+        assert total == pytest.approx(1.0, abs=1e-4)
+
+
+def test_gradients_are_right():
+    rng = np.random.default_rng(0)
+    net = toxicity.Network.fresh(1)
+    net.p = {k: v.astype(np.float64) for k, v in net.p.items()}
+    net.p["word"] += rng.normal(size=net.p["word"].shape) * 0.3
+    words, index, first = toxicity.read_words(np.frombuffer(b"one two three four five six seven", np.uint8), np.array([0, 33]))
+    at, mask = np.array([[0, 1, 2, 3, 4], [5, 6, 1, 0, 0]]), np.array([[1, 1, 1, 1, 1], [1, 1, 1, 0, 0]], bool)
+    target = np.array([1.0, 0.0])
+
+    def loss():
+        x = net.logits(net.inputs(net.embed(words)), at, mask).astype(float)
+        return float((np.logaddexp(0, x) - target * x).mean())
+
+    grads = net.gradients(words, at, mask, target)
+    for name in ("uf", "xb", "aw", "av", "ow", "cf"):
+        flat = net.p[name].reshape(-1)
+        for i in rng.integers(0, flat.size, 4):
+            before, step = flat[i], 1e-3
+            flat[i] = before + step
+            up = loss()
+            flat[i] = before - step
+            down = loss()
+            flat[i] = before
+            assert grads[name].reshape(-1)[i] == pytest.approx((up - down) / (2 * step), abs=2e-4)
+
+
+def test_toxicity(spark):
+    rng = random.Random(6)
+    bad = ["vilewort", "snarlfoo", "grubzax"]
+    rows = []
+    for i in range(400):
+        words = prose(rng, rng.randrange(5, 200)).split(" ")
+        if i % 4 == 0:
+            words[rng.randrange(len(words))] = rng.choice(bad)
+        rows.append((i, " ".join(words), int(i % 4 == 0)))
+    net = toxicity.train([t for _, t, _ in rows[:300]], [y for _, _, y in rows[:300]])
+    docs = spark.createDataFrame([(i, t) for i, t, _ in rows[300:]] + [(900, None), (901, ""), (902, prose(rng, 20_000) + " " + bad[0]), (None, "x")], "doc_id long, text string")
+    got = {r["doc_id"]: r for r in toxicity.score(docs, net).collect()}
+    right = sum(got[i]["predicted"] == y for i, _, y in rows[300:])
+    assert right >= 95 and got[900]["score"] == 0 and got[901]["score"] == 0 and got[902]["predicted"] == 1
+    assert toxicity.score(docs.limit(0), net).count() == 0
+    untrained = toxicity.train(["a b", "c d"], [0, 0])
+    assert {r["score"] for r in toxicity.score(docs, untrained).collect()} == {0.0}
+
+
+def test_windows_cover_every_word():
+    for n in (0, 1, 47, 48, 49, 88, 89, 500):
+        start, size, _ = toxicity.windows(np.array([3, 3 + n]))
+        assert {i for s, z in zip(start, size) for i in range(s, s + z)} == set(range(3, 3 + n))
+
+
+def fuzz(n):
+    rng = random.Random(9)
+    letters = [chr(c) for c in [*range(0x20, 0x250), *range(0x370, 0x400), 0x1C, 0x85, 0x200B, 0x2028, 0x3000, 0x4E2D, 0x1F600, 0x301, 0xFB01, 0x915]]
+    return ["".join(rng.choice(letters if rng.random() < 0.5 else "abcdefgh 'st re123!!..\n<|endoftext|>") for _ in range(rng.randrange(120))) for _ in range(n)] + ["<|startoftext|>a<|endoftext|> b<|ENDOFTEXT|>", "it's we'll THEY'RE 'S", "ΑΣ ΣΑΣ", "", " ", "a" * 3000]
+
+
+def test_bpe_equals_the_library(spark):
+    from tokenizers import Tokenizer
+
+    path = f"{queries.TOKENIZERS}/word_bpe_49k.json"
+    library, texts = Tokenizer.from_file(path), fuzz(400)
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)] + [(len(texts), None)], "doc_id long, text string")
+    for r in bpe.digests(docs, path).collect():
+        text = texts[r["doc_id"]] if r["doc_id"] < len(texts) else ""
+        ids = library.encode(text, add_special_tokens=False).ids
+        assert (r["n_tokens"], r["ids_sha256"]) == (len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest())
+        assert r["decoded_sha256"] == hashlib.sha256(library.decode(ids, skip_special_tokens=False).encode()).hexdigest()
+    encoder = bpe.Encoder(bpe.TokenizerFile.read(path))
+    for r in bpe.encode(docs.limit(50), path).collect():
+        assert encoder.decode(list(r["ids"])) == r["decoded"]
+    assert bpe.digests(docs.limit(0), path).count() == 0
+
+
+def test_token_counts_equal_the_library(spark):
+    from tokenizers import Tokenizer, models, pre_tokenizers
+
+    vocab = unigram.vocabulary(f"{queries.TOKENIZERS}/piece_bpe_32k.model")
+    library = Tokenizer(models.Unigram(vocab, unk_id=0, byte_fallback=False))
+    library.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.Metaspace(replacement=unigram.MARK, prepend_scheme="always")])
+    texts = [t.replace(unigram.MARK, "") for t in fuzz(400)]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)] + [(len(texts), None)], "doc_id long, text string")
+    for r in unigram.token_counts(docs, vocab).collect():
+        text = texts[r["doc_id"]] if r["doc_id"] < len(texts) else ""
+        assert r["n_tokens"] == len(library.encode(text, add_special_tokens=False).ids), repr(text)
+    ties = unigram.PieceCounter([("<unk>", 0.0), ("a", -1.0), ("b", -1.0), ("ab", -2.0), ("c", -5.0)])
+    assert ties.pieces("ab") == 1 and ties.pieces("xxab") == 2  # the earlier start wins a tie; unknowns are one piece
+
+
+def test_chat_collapse(spark):
+    turns = [(1, 0, "user", "hi"), (1, 1, "assistant", "yo"), (2, 0, "user", "hi"), (3, 0, "user", "hi"), (3, 1, "assistant", "yo"), (3, 2, "user", None), (4, 0, "user", "hi"), (4, 1, "assistant", "yo"), (4, 2, "user", None), (5, 0, None, ""), (None, 0, "user", "x")]
+    rows = {r["conv_id"]: r for r in chat.format_chats(spark.createDataFrame(turns, "conv_id long, turn long, role string, text string").withColumn("h1", F.lit(1))).collect()}
+    assert set(rows) == {3, 5} and rows[3]["n_turns"] == 3
+    assert rows[3]["text"] == "<|im_start|>user\nhi<|im_end|>\n<|im_start|>assistant\nyo<|im_end|>\n<|im_start|>user\n<|im_end|>\n"
+
+
+def test_pipeline(spark):
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "line_dedup", "near_dedup", "mixing", "bpe"]
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    left = docs
+    for name, stage in corpus_pipeline.STAGES[:4]:
+        left = stage(spark, left, SF)
+        assert left.columns == docs.columns, name
+    out = corpus_pipeline.run(spark, SF)
+    assert out.columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"] and 0 < out.count()
