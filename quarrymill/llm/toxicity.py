@@ -207,9 +207,49 @@ def window_logits(net: Network, words: Words, index: np.ndarray, start: np.ndarr
     return out
 
 
-def _lay(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    raw = [t.encode("utf-8") for t in texts]
-    return np.frombuffer(b"".join(raw), np.uint8), np.concatenate([[0], np.cumsum([len(t) for t in raw])]).astype(np.int64)
+@dataclass
+class Shelf:
+    """Labelled texts as runs of a bounded size: distinct words of every run, the runs' first word, and windows of all."""
+
+    words: Words
+    first_word: list[int]
+    index: np.ndarray
+    start: np.ndarray
+    size: np.ndarray
+    doc: np.ndarray
+    run: np.ndarray
+
+    @classmethod
+    def fill(cls, texts: list[str]) -> "Shelf":
+        slots, grams, bounds, index, start, size, doc, run, first_word = [], [], [np.zeros(1, np.int64)], [], [], [], [], [], [0]
+        n_words = n_index = n_grams = 0
+        for first, end, data, offsets in tc.chunks(pa.array(texts, pa.string())):
+            words, own, begins = read_words(data, offsets)
+            s, z, d = windows(begins)
+            slots.append(words.slots)
+            grams.append(words.grams)
+            bounds.append(words.bounds[1:] + n_grams)
+            index.append(own + n_words)
+            start.append(s + n_index)
+            size.append(z)
+            doc.append(d + first)
+            run.append(np.full(len(s), len(first_word) - 1))
+            n_words, n_index, n_grams = n_words + len(words.slots), n_index + len(own), n_grams + len(words.grams)
+            first_word.append(n_words)
+        join = lambda parts: np.concatenate(parts) if parts else np.zeros(0, np.int64)
+        return cls(Words(join(slots), join(grams), join(bounds)), first_word, join(index), join(start), join(size), join(doc), join(run))
+
+    def part(self, run: int) -> Words:
+        a, b = self.first_word[run], self.first_word[run + 1]
+        bounds = self.words.bounds[a : b + 1]
+        return Words(self.words.slots[a:b], self.words.grams[bounds[0] : bounds[-1]], bounds - bounds[0])
+
+    def logits(self, net: Network) -> np.ndarray:
+        out = np.zeros(len(self.start), np.float32)
+        for run in range(len(self.first_word) - 1):
+            own = np.flatnonzero(self.run == run)
+            out[own] = window_logits(net, self.part(run), self.index - self.first_word[run], self.start[own], self.size[own])
+        return out
 
 
 def _best(logits: np.ndarray, doc: np.ndarray, n: int) -> np.ndarray:
@@ -235,34 +275,35 @@ def train(texts: list[str], labels: list[int], epochs: int = EPOCHS, steps: int
     y = np.array(labels, np.float32)
     if len(set(labels)) < 2:
         return net
-    words, index, first = read_words(*_lay(texts))
-    start, size, doc = windows(first)
+    shelf = Shelf.fill(texts)
+    words, index, start, size, doc = shelf.words, shelf.index, shelf.start, shelf.size, shelf.doc
     n = len(texts)
     learns = np.arange(n) % 5 != 0
-    # shrunken log odds of a word's or gram's presence: the first component of its embedding, and a first guess of windows
-    owner = np.repeat(np.arange(n), np.diff(first))
-    there = np.unique(np.stack([index, owner], 1)[learns[owner]], axis=0)
     totals = [max(1, int((learns & (y == label)).sum())) for label in (0, 1)]
-
-    def odds(slots: np.ndarray, docs: np.ndarray, n_slots: int) -> np.ndarray:
-        pairs = np.unique(slots * n + docs)
-        seen = [np.bincount(pairs[y[pairs % n] == label] // n, minlength=n_slots) for label in (0, 1)]
-        return np.log((seen[1] + SHRINK) / (seen[0] * (totals[1] / totals[0]) + SHRINK))
-
-    sizes = np.diff(words.bounds)[there[:, 0]]
-    which = np.arange(sizes.sum()) + np.repeat(words.bounds[there[:, 0]] - np.cumsum(sizes) + sizes, sizes)
-    net.p["word"][:, 0] = ODDS_SCALE * odds(words.slots[there[:, 0]], there[:, 1], WORD_SLOTS)
-    net.p["gram"][:, 0] = ODDS_SCALE * odds(words.grams[which], np.repeat(there[:, 1], sizes), GRAM_SLOTS)
-    sign = net.embed(words)[:, 0]
     at, mask = _index(index, start, size) if len(start) else (np.zeros((0, WINDOW), int), np.zeros((0, WINDOW), bool))
-    guess = np.where(mask, sign[at], -9).max(axis=1, initial=-9)
+    # shrunken log odds of a word's or gram's presence: the first component of its embedding, and a first guess of windows
+    seen = {"word": np.zeros((2, WORD_SLOTS)), "gram": np.zeros((2, GRAM_SLOTS))}
+    for run in range(len(shelf.first_word) - 1):
+        own = np.flatnonzero((shelf.run == run) & learns[doc])
+        pairs = np.unique((at[own] * n + doc[own][:, None])[mask[own]])  # distinct words of each document
+        word, owner = pairs // n, pairs % n
+        sizes = np.diff(words.bounds)[word]
+        which = np.arange(sizes.sum()) + np.repeat(words.bounds[word] - np.cumsum(sizes) + sizes, sizes)
+        for name, slots, docs in (("word", words.slots[word], owner), ("gram", words.grams[which], np.repeat(owner, sizes))):
+            pairs = np.unique(slots * n + docs)
+            for label in (0, 1):
+                seen[name][label] += np.bincount(pairs[y[pairs % n] == label] // n, minlength=seen[name].shape[1])
+    for name, (clean_, toxic_) in seen.items():
+        net.p[name][:, 0] = ODDS_SCALE * np.log((toxic_ + SHRINK) / (clean_ * (totals[1] / totals[0]) + SHRINK))
+    sign = np.concatenate([net.embed(shelf.part(run))[:, 0] for run in range(len(shelf.first_word) - 1)] or [np.zeros(0, np.float32)])
+    guess = np.where(mask, sign[at], -9).max(axis=1, initial=-9) if len(start) else np.zeros(0)
     clean, toxic = np.flatnonzero(learns[doc] & (y[doc] == 0)), np.flatnonzero(learns & (y == 1))
-    moment = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in net.p.items()}
+    moment = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in net.p.items() if k not in ("word", "gram")}
     epochs = max(epochs, -(-steps // max(1, -(-4 * len(toxic) // BATCH))))
     step = 0
     for epoch in range(epochs):
         if epoch >= 0.3 * epochs and epoch % max(1, epochs // 10) == 0:
-            guess = window_logits(net, words, index, start, size)
+            guess = shelf.logits(net)
         best = _best(guess, doc, n)[toxic]
         positive = best[best >= 0]
         hard = clean[np.argsort(-guess[clean], kind="stable")[: len(positive)]]
@@ -284,7 +325,7 @@ def train(texts: list[str], labels: list[int], epochs: int = EPOCHS, steps: int
                 v += 0.001 * (g * g - v)
                 net.p[k] -= rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
     # calibration on the documents that training didn't use
-    logits = window_logits(net, words, index, start, size)
+    logits = shelf.logits(net)
     best = _best(logits, doc, n)
     for chosen in (~learns & (best >= 0), best >= 0):
         x, t = logits[best[chosen]].astype(float), y[chosen].astype(float)
