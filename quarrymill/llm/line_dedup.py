@@ -33,6 +33,8 @@ BANDS, ROWS, SHINGLE, PERCENT = 16, 4, 8, 80
 POSITIONS = 1 << 24
 #: Longs of one-bit values, and six standard deviations of the similarity that they estimate.
 LONGS, MARGIN = 16, 0.113
+#: Lines whose hashes a task keeps at most, so that it gives the rows of equal lines once; others repeat them, harmlessly.
+REMEMBERED = 1_000_000
 U64 = np.uint64
 
 
@@ -82,15 +84,23 @@ def _lines(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 def _bands(batches: Iterator[pa.RecordBatch], bands: int, rows: int, k: int) -> Iterator[pa.RecordBatch]:
     """(node, key) of every line that isn't blank; node is Spark's xxhash64 of the line."""
-    scheme = tc.MinMax(bands, rows)
+    scheme, seen = tc.MinMax(bands, rows), set()
     for batch in batches:
         for _, _, data, offsets in tc.chunks(batch.column("text"), 1 << 18):
             chars, starts, ends, _, _ = _lines(data, offsets)
-            if len(starts):
-                at = np.concatenate([np.flatnonzero((data & 0xC0) != 0x80), [len(data)]])  # the byte of every character
-                raw = memoryview(data.tobytes())
-                nodes = np.array([xxhash.xxh64_intdigest(raw[a:b], 42) for a, b in zip(at[starts].tolist(), at[ends].tolist())], U64).view(np.int64)
-                keys = scheme.keys(*_shingle_hashes(chars, starts, ends, k))
+            at = np.concatenate([np.flatnonzero((data & 0xC0) != 0x80), [len(data)]])  # the byte of every character
+            raw = memoryview(data.tobytes())
+            own = [xxhash.xxh64_intdigest(raw[a:b], 42) for a, b in zip(at[starts].tolist(), at[ends].tolist())]
+            if len(seen) > REMEMBERED:
+                seen.clear()
+            fresh = []  # a line that this task has met before has given its rows
+            for i, node in enumerate(own):
+                if node not in seen:
+                    seen.add(node)
+                    fresh.append(i)
+            if fresh:
+                nodes = np.array([own[i] for i in fresh], U64).view(np.int64)
+                keys = scheme.keys(*_shingle_hashes(chars, starts[fresh], ends[fresh], k))
                 yield pa.RecordBatch.from_arrays([pa.array(np.repeat(nodes, bands)), pa.array(keys.reshape(-1))], ["node", "key"])
 
 
@@ -198,16 +208,17 @@ def repeated_lines(docs: DataFrame, percent: int = PERCENT, bands: int = BANDS,
     made = docs.mapInArrow(lambda it: _bands(it, bands, rows, shingle), "node long, key long")
     shared = cut(buckets(made).distinct())
     near = cut(stars(shared))
-    links = cut(_confirmed(near, _picked(near.select(F.explode(F.array("a", "b")).alias("node")).distinct(), kinds, docs), shingle, percent))
+    # every node of a shared bucket is an end of a star: these texts serve all comparisons
+    texts = cut(_picked(near.select(F.explode(F.array("a", "b")).alias("node")).distinct(), kinds, docs))
+    links = cut(_confirmed(near, texts, shingle, percent))
     labels = components(links)
     mixed = cut(sized(apart(shared, labels)))
     if not mixed.isEmpty():
-        far = cut(_picked(mixed.select("node").distinct(), kinds, docs))
         few, many = mixed.where(F.col("members") <= SMALL), mixed.where(F.col("members") > SMALL)
-        some = far.join(few.select("node").distinct(), "node", "left_semi")
+        some = texts.join(few.select("node").distinct(), "node", "left_semi")
         sketches = cut(some.mapInArrow(lambda it: _sketches(it, bands, rows, shingle), "node long, bands array<long>, bits array<long>"))
-        more = _confirmed(cut(crossing(few, sketches, percent / 100 - MARGIN)), far, shingle, percent)
-        blocks = block_pairs(many, far).mapInArrow(lambda it: _confirm_blocks(it, shingle, percent), "a long, b long").distinct()
+        more = _confirmed(cut(crossing(few, sketches, percent / 100 - MARGIN)), texts, shingle, percent)
+        blocks = block_pairs(many, texts).mapInArrow(lambda it: _confirm_blocks(it, shingle, percent), "a long, b long").distinct()
         more = cut(more.union(blocks))
         if not more.isEmpty():
             labels = components(links.union(more))
