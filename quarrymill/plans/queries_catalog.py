@@ -157,7 +157,7 @@ def _feed(spark, sf_dir):
     return e.select("ts", F.col("event_type").alias("scope"), F.col("value").alias("elapsed"), "user_id", "event_id")
 
 
-@query("SELECT date_trunc('day', ts)::TIMESTAMP AS start, event_type AS scope, count(*) AS n, round(avg(value), 4) AS mean, round(quantile_cont(value, 0.95), 4) AS p95 FROM events GROUP BY ALL")
+@query("SELECT date_trunc('day', ts)::TIMESTAMP AS start, event_type AS scope, count(*) AS n, round(avg(value), 4) AS mean, round(quantile_cont(value, 0.95), 6) AS p95 FROM events GROUP BY ALL")
 def windowed_monitoring(spark, sf_dir):
     return jobs.windowed_figures(_feed(spark, sf_dir)).withColumn("start", F.col("start").cast("timestamp_ntz"))
 

@@ -23,7 +23,7 @@ def windowed_figures(events: DataFrame, window: str = "1 day", slide: str | None
     """events(ts, scope, elapsed) -> start, scope, n, mean, p95 by window; rows later than the delay are dropped."""
     timed = on_time(events).withWatermark("ts", delay)
     frame = F.window("ts", window, slide) if slide else F.window("ts", window)
-    out = timed.groupBy(frame, "scope").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("elapsed"), 4).alias("mean"), F.round(F.percentile("elapsed", 0.95), 4).alias("p95"))
+    out = timed.groupBy(frame, "scope").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("elapsed"), 4).alias("mean"), F.round(F.percentile("elapsed", 0.95), 6).alias("p95"))
     return out.select(F.col("window.start").alias("start"), "scope", "n", "mean", "p95")
 
 

@@ -22,7 +22,7 @@ def plain(df: pd.DataFrame) -> list[tuple]:
         if isinstance(x, bool) or type(x).__name__ == "bool_":
             return str(bool(x))
         try:
-            return f"{float(x):.6f}"
+            return f"{float(x):.9f}"
         except (TypeError, ValueError):
             return str(x)
 
