@@ -11,7 +11,7 @@ independent, so repeated rows count each time; an empty table gives an empty res
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import WORD, cut
@@ -21,10 +21,10 @@ WEIGHTS, EPOCHS, SEED, ROUNDS = (5, 2, 1), 3, 17, 3
 SLICE_DIGITS = 3
 
 
-def sized(docs: DataFrame) -> DataFrame:
-    """doc_id, source and size, the number of words of the text."""
+def sized(docs: DataFrame, *more: str) -> DataFrame:
+    """doc_id, source and size, the number of words of the text, and more columns."""
     words = F.coalesce(F.size(F.regexp_extract_all("text", F.lit(f"({WORD})"), F.lit(1))).cast("long"), F.lit(0))
-    return docs.select("doc_id", "source", F.when(F.col("text").isNull(), 0).otherwise(words).cast("long").alias("size"))
+    return docs.select("doc_id", "source", F.when(F.col("text").isNull(), 0).otherwise(words).cast("long").alias("size"), *more)
 
 
 def water_fill(sources: DataFrame, epochs: float = EPOCHS) -> DataFrame:
@@ -69,8 +69,9 @@ def _first(rows: DataFrame, left: DataFrame) -> DataFrame:
     return placed.withColumn("fits", F.col("before") + F.sum("size").over(within) <= F.col("rest")).drop("before", "rest")
 
 
-def repeats(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, epochs: float = EPOCHS, seed: int = SEED, rounds: int = ROUNDS) -> DataFrame:
-    """docs(doc_id, source, text) -> doc_id, size, source_size, target, times (whole repetitions of the document), taken.
+def planned(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, epochs: float = EPOCHS, seed: int = SEED, rounds: int = ROUNDS) -> DataFrame:
+    """docs(doc_id, source, text) -> doc_id, source, size, n, extra, whole, source_size, target: of the n rows that are alike
+    in the first three, each is taken `whole` times and `extra` of them once more.
 
     Each round of extra repetitions takes the first documents that fit into what is left of the source's rest; the
     document that no longer fits ends a round, and the next one goes on with the smaller ones.
@@ -93,14 +94,36 @@ def repeats(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, epochs: float =
     counts = rows.withColumn("extra", F.lit(0)).unionByName(extra.select(*rows.columns).withColumn("extra", F.lit(1)))
     # equal rows are one group: n of them, of which `extra` are taken once more
     groups = counts.groupBy("doc_id", "source", "size").agg(F.sum(1 - F.col("extra")).alias("n"), F.sum("extra").alias("extra"))
-    each = groups.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("n").cast("int"))))
     p = plan.select(F.col("source").alias("s"), "source_size", "target", "whole")
-    out = each.join(p, each["source"].eqNullSafe(F.col("s"))).withColumn("times", F.col("whole") + F.when(F.col("copy") <= F.col("extra"), 1).otherwise(0))
+    return groups.join(p, groups["source"].eqNullSafe(F.col("s"))).drop("s")
+
+
+def _times() -> Column:
+    """Of the row with the number `copy` within its group."""
+    return (F.col("whole") + F.when(F.col("copy") <= F.col("extra"), 1).otherwise(0)).cast("long")
+
+
+def repeats(docs: DataFrame, **options) -> DataFrame:
+    """docs(doc_id, source, text) -> doc_id, size, source_size, target, times (whole repetitions of the document), taken."""
+    out = planned(docs, **options).withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("n").cast("int")))).withColumn("times", _times())
     return out.select("doc_id", "size", "source_size", F.col("target").cast("double").alias("target"), F.col("times").cast("long").alias("times"), (F.col("size") * F.col("times")).cast("long").alias("taken"))
 
 
+def _keys() -> list[Column]:
+    """doc_id, source and size without nulls, for joins."""
+    tagged = lambda c: F.coalesce(F.concat(F.lit(":"), F.col(c).cast("string")), F.lit(""))
+    return [tagged("doc_id").alias("_id"), tagged("source").alias("_source"), F.col("size").alias("_size")]
+
+
 def mix(docs: DataFrame, **options) -> DataFrame:
-    """docs, every row as many times as the mix takes it (rows that share a doc_id go by the largest of their counts)."""
-    times = repeats(docs, **options).where("doc_id is not null").groupBy(F.col("doc_id").alias("_id")).agg(F.max("times").alias("_times"))
-    joined = docs.join(times, F.col("doc_id") == F.col("_id"))
-    return joined.where("_times > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times").cast("int")))).select(*docs.columns)
+    """docs, every row as many times as the mix takes it, rows without a doc_id as well. Of rows that are alike in doc_id, source
+    and size, those first in the order of a hash of their text get the extra repetitions."""
+    names = ["_id", "_source", "_size"]
+    keys = sized(docs.select("*", F.struct("*").alias("_row")), "_row").select("_row", *_keys())
+    plan = planned(docs, **options).select(*_keys(), "n", "extra", "whole")
+    joined = keys.join(plan, names)
+    # only in groups of which some rows are taken once more do the numbers matter: the others are spread
+    alone = F.when((F.col("extra") > 0) & (F.col("extra") < F.col("n")), 0).otherwise(F.xxhash64("_row.text"))
+    number = F.row_number().over(Window.partitionBy(*names, alone).orderBy(F.xxhash64("_row.text"), "_row.text"))
+    counted = joined.withColumn("copy", F.when(F.col("extra") == F.col("n"), 1).otherwise(F.when(F.col("extra") == 0, 1).otherwise(number)))
+    return counted.withColumn("_times", _times()).where("_times > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times").cast("int")))).select("_row.*")

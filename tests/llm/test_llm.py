@@ -154,6 +154,64 @@ def test_mixing(spark):
     assert mixing.repeats(docs.limit(0)).count() == 0 and mixing.mix(docs.limit(0)).count() == 0
 
 
+def plain_mix(rows):
+    """How often each (doc_id, source, size) is taken, all its rows together, by loops over lists; how often a row is at least."""
+    rows = [(r["doc_id"], r["source"], len(WORD.findall(r["text"] or ""))) for r in rows]
+    names = sorted({s for _, s, _ in rows}, key=lambda s: (s is None, s or ""))
+    weight = {s: (5, 2, 1)[i % 3] for i, s in enumerate(names)}
+    sizes = {s: sum(n for _, x, n in rows if x == s) for s in names}
+    target, free, open_ = {}, float(sum(sizes.values())), set(names)
+    while True:
+        level = free / sum(weight[s] for s in open_)
+        full = {s for s in open_ if 3.0 * sizes[s] <= weight[s] * level}
+        target |= {s: 3.0 * sizes[s] if s in full else weight[s] * level for s in open_}
+        free, open_ = free - sum(target[s] for s in full), open_ - full
+        if not full or not open_:
+            break
+    whole = {s: int(target[s] // sizes[s]) if sizes[s] else 0 for s in names}
+    taken = Counter()
+    for s in names:
+        rest, left = target[s] - whole[s] * sizes[s], []
+        for doc, x, n in rows:
+            if x == s:
+                taken[(doc, s, n)] += whole[s]
+                left.append((hashlib.md5((f"17:{doc}" if doc is not None else "17").encode()).hexdigest()[:16], doc is not None, doc or 0, n))
+        left.sort()
+        for _ in range(3):
+            total, over, limit = 0, [], rest
+            for x in [x for x in left if 0 < limit and x[3] <= limit]:
+                total += x[3]
+                if total <= limit:
+                    taken[(x[2] if x[1] else None, s, x[3])] += 1
+                    rest -= x[3]
+                else:
+                    over.append(x)
+            left = over
+    return +taken, whole
+
+
+def with_null_ids(spark):
+    rng = random.Random(8)
+    rows = [(None if i % 3 else i, prose(rng, 15 + rng.randrange(12)), "en", f"s{i % 7 % 4}" if i % 7 else None) for i in range(120)]
+    rows += [(7000, prose(rng, 20), "en", "s1") for _ in range(5)] + [(None, None, "en", "s1"), rows[1], rows[1]]
+    return spark.createDataFrame([(*r, len(r[1] or ""), "x", "y", "z", "k") for r in rows], DOCS)
+
+
+@pytest.mark.parametrize("make", [small_docs, with_null_ids])
+def test_mix_takes_every_row_as_planned(spark, make):
+    rows = [r.asDict() for r in make(spark).collect()]
+    wanted, whole = plain_mix(rows)
+    assert any(doc is None and n for doc, _, n in wanted)
+    mixed = [r.asDict() for r in mixing.mix(make(spark)).collect()]
+    assert Counter((r["doc_id"], r["source"], len(WORD.findall(r["text"] or ""))) for r in mixed) == wanted
+    given, got = Counter(map(str, rows)), Counter(map(str, mixed))
+    assert set(got) <= set(given)
+    for r in rows:
+        assert whole[r["source"]] <= got[str(r)] / given[str(r)] <= whole[r["source"]] + 1
+    repeats = mixing.repeats(make(spark)).collect()
+    assert sum(r["taken"] for r in repeats) == sum(len(WORD.findall(r["text"] or "")) for r in mixed)
+
+
 def test_water_filling_clamps_and_reshares(spark):
     table = spark.createDataFrame([("a", 10, 5, 1), ("b", 100, 2, 2), ("c", 1000, 1, 3)], "source string, source_size long, weight int, place int")
     got = {r["source"]: r["target"] for r in mixing.water_fill(table).collect()}
@@ -322,3 +380,22 @@ def test_pipeline(spark):
         assert left.columns == docs.columns, name
     out = corpus_pipeline.run(spark, SF)
     assert out.columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"] and 0 < out.count()
+
+
+def test_pipeline_equals_plain_mix_and_library(spark, tmp_path):
+    from tokenizers import Tokenizer
+
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    with_null_ids(spark).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    left = spark.read.parquet(str(tmp_path / "documents.parquet"))
+    for _, stage in corpus_pipeline.STAGES[:3]:
+        left = stage(spark, left, str(tmp_path))
+    rows = [r.asDict() for r in left.collect()]
+    wanted, _ = plain_mix(rows)
+    assert any(doc is None and n for doc, _, n in wanted)
+    out = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert Counter(r["doc_id"] for r in out) == sum((Counter({doc: k}) for (doc, _, _), k in wanted.items()), Counter())
+    library = Tokenizer.from_file(f"{queries.TOKENIZERS}/word_bpe_49k.json")
+    digest = lambda r: hashlib.sha256(np.array(library.encode(r["text"] or "", add_special_tokens=False).ids, "<u4").tobytes()).hexdigest()
+    assert {(r["doc_id"], r["ids_sha256"]) for r in out} <= {(r["doc_id"], digest(r)) for r in rows}
