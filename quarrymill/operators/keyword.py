@@ -82,13 +82,16 @@ def score(candidates: DataFrame, top_k: int | None = None, config=HYBRID) -> Dat
 
 
 def search(queries: DataFrame, chunks: DataFrame, top_k: int, config=HYBRID) -> DataFrame:
-    """Full text first; queries without a full-text hit fall back to substrings. -> query_id, kb_id, chunk_id, score, rank."""
+    """Full text first; queries without a full-text hit fall back to substrings. -> query_id, kb_id, chunk_id, score, rank.
+
+    Only full-text candidates are limited before scoring; those of the fallback have no order yet, so all of them are scored.
+    """
     full = bm25(queries, chunks)
     left = queries.join(full.select("query_id", "kb_id").distinct(), ["query_id", "kb_id"], "left_anti")
-    pairs = full.unionByName(containing(left, chunks).withColumn("ft_score", F.lit(0.0)))
     # the candidates of a query are cut by full-text score before texts are fetched, as its index would
     most = max(top_k * 8, 60)
     rank = F.row_number().over(Window.partitionBy("query_id", "kb_id").orderBy(F.desc("ft_score"), "chunk_id"))
-    pairs = pairs.withColumn("_r", rank).where(F.col("_r") <= most).drop("_r")
+    full = full.withColumn("_r", rank).where(F.col("_r") <= most).drop("_r")
+    pairs = full.unionByName(containing(left, chunks).withColumn("ft_score", F.lit(0.0)))
     rows = pairs.join(queries.select("query_id", "kb_id", "query_text"), ["query_id", "kb_id"]).join(chunks.select("kb_id", "chunk_id", "content"), ["kb_id", "chunk_id"])
     return score(rows, top_k, config).select("query_id", "kb_id", "chunk_id", "score", "rank")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from quarrymill.config import Profile
 from quarrymill.functions import sql as sql_functions
 from quarrymill.functions import text as tx
-from quarrymill.operators import chunking, datasets, evaluate, extraction, graph, ranking, vectors
+from quarrymill.operators import chunking, datasets, evaluate, extraction, graph, keyword, ranking, vectors
 from quarrymill.sources import files, sinks
 from quarrymill.streaming import jobs
 
@@ -89,6 +89,15 @@ def test_entity_merge_golden(spark):
     assert graph.merge_relations(rel, graph.merge_entities(rows)).count() == 0
 
 
+def test_substring_fallback_scores_all_candidates(spark):
+    texts = [(f"c{i:03}", "xabcdy " + "filler " * 100) for i in range(99)] + [("c999", "xabcdy")]
+    chunks = spark.createDataFrame([("kb", c, t) for c, t in texts] + [("kb", "d", "other words")], "kb_id string, chunk_id string, content string")
+    asked = spark.createDataFrame([(1, "kb", "abcd"), (2, "kb", "other")], "query_id long, kb_id string, query_text string")
+    rows = keyword.search(asked, chunks, 3).orderBy("query_id", "rank").collect()
+    assert [(r["query_id"], r["chunk_id"], r["rank"]) for r in rows] == [(1, "c999", 1), (1, "c000", 2), (1, "c001", 3), (2, "d", 1)]
+    assert rows[0]["score"] == 1.0 and rows[1]["score"] < 1.0
+
+
 def test_paths_golden(spark):
     rel = spark.createDataFrame([(1, "a", "b", "r1", ["1"]), (1, "b", "c", "r2", ["2"]), (1, "a", "b", "r3", ["3"])], "kb_id int, source string, target string, type string, chunk_ids array<string>")
     starts = spark.createDataFrame([(1, 1, "a")], "query_id long, kb_id int, entity string")
