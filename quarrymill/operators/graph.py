@@ -51,22 +51,38 @@ def rebind(cached: DataFrame, chunks: DataFrame) -> DataFrame:
 
 def merge_entities(rows: DataFrame) -> DataFrame:
     """rows(kb_id, seq, canonical_name, name, type, labels, aliases, confidence, mention_count, chunk_ids, attributes) -> one row
-    an entity: mentions added up, best confidence, united lists, the first known type, of each attribute the first value."""
+    an entity: mentions added up, best confidence, united lists, the first known type, of each attribute the first value;
+    n_chunks is the number of chunk_ids.
+
+    List elements and attributes are rows, reduced to one a value (attributes: one a key) before any list is built. chunk_ids
+    still makes a list of an entity's distinct chunks; where only n_chunks is selected, Spark leaves that list out.
+    """
+    keys = ["kb_id", "canonical_name"]
     known = F.coalesce("type", F.lit(UNKNOWN)) != UNKNOWN
-    merged = rows.groupBy("kb_id", "canonical_name").agg(
+    merged = rows.groupBy(*keys).agg(
         F.min_by("name", "seq").alias("name"),
         F.coalesce(F.min_by(F.when(known, F.col("type")), F.when(known, F.col("seq"))), F.lit(UNKNOWN)).alias("type"),
-        _union("labels").alias("labels"),
-        _union("aliases").alias("aliases"),
         F.round(F.max("confidence"), 4).alias("confidence"),
         F.sum("mention_count").cast("long").alias("mention_count"),
-        _union("chunk_ids").alias("chunk_ids"),
-        F.array_sort(F.collect_list(F.struct(F.col("seq"), F.map_entries("attributes").alias("e")))).alias("_a"),
     )
-    entries = F.flatten(F.transform("_a", lambda x: x["e"]))
-    # of equal keys the first stays: later ones are filtered by position
-    first = F.filter(entries, lambda e, i: F.array_position(F.transform(entries, lambda x: x["key"]), e["key"]) == i + 1)
-    return merged.withColumn("attributes", F.map_from_entries(first)).drop("_a")
+    lists = ("labels", "aliases", "chunk_ids")
+    item = lambda kind, key, value: F.struct(F.lit(kind).alias("_kind"), key.cast("string").alias("_key"), value.cast("string").alias("_value"))
+    elements = lambda kind: F.transform(kind, lambda x: item(kind, F.lit(None), x))
+    entries = F.transform(F.map_entries("attributes"), lambda e: item("attributes", e["key"], e["value"]))
+    items = rows.select(*keys, "seq", F.explode(F.flatten(F.array_compact(F.array(*map(elements, lists), entries)))).alias("_i")).select(*keys, "seq", "_i.*")
+    # of an attribute all values are one group, of a list each value is one
+    group = F.when(F.col("_kind") != "attributes", F.col("_value")).alias("_group")
+    items = items.groupBy(*keys, "_kind", "_key", group).agg(F.min_by("_value", F.struct("seq", "_value")).alias("_value")).drop("_group")
+    both = merged.unionByName(items, allowMissingColumns=True)
+    of = lambda kind: F.collect_list(F.when(F.col("_kind") == kind, F.struct(F.col("_key").alias("key"), F.col("_value").alias("value"))))
+    return both.groupBy(*keys).agg(
+        *[F.first(c, ignorenulls=True).alias(c) for c in ("name", "type")],
+        *[F.array_sort(F.transform(of(c), lambda x: x["value"])).alias(c) for c in lists[:2]],
+        *[F.first(c, ignorenulls=True).alias(c) for c in ("confidence", "mention_count")],
+        F.array_sort(F.transform(of("chunk_ids"), lambda x: x["value"])).alias("chunk_ids"),
+        F.map_from_entries(F.array_sort(of("attributes"))).alias("attributes"),
+        F.count_if(F.col("_kind") == "chunk_ids").alias("n_chunks"),
+    )
 
 
 def merge_relations(rows: DataFrame, entities: DataFrame) -> DataFrame:

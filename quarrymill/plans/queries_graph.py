@@ -26,7 +26,7 @@ def settled(spark, sf_dir):
 @query(f"""WITH {GRAPH_SQL} SELECT kb_id, name AS canonical_name, name, type, labels, upper(name) AS aliases, confidence, mention_count, n_chunks AS chunks, (SELECT any_value(m.chunk) FROM mentions m WHERE m.kb_id = e.kb_id AND m.name = e.name AND m.seq = (SELECT min(seq) FROM mentions x WHERE x.kb_id = e.kb_id AND x.name = e.name)) AS first_seen FROM entities e""")
 def entity_merge(spark, sf_dir):
     e = entities(spark, sf_dir)
-    return e.select("kb_id", "canonical_name", "name", "type", F.array_join("labels", ",").alias("labels"), F.array_join("aliases", ",").alias("aliases"), "confidence", "mention_count", F.size("chunk_ids").cast("long").alias("chunks"), F.col("attributes")["first_seen"].alias("first_seen"))
+    return e.select("kb_id", "canonical_name", "name", "type", F.array_join("labels", ",").alias("labels"), F.array_join("aliases", ",").alias("aliases"), "confidence", "mention_count", F.col("n_chunks").alias("chunks"), F.col("attributes")["first_seen"].alias("first_seen"))
 
 
 @query(f"WITH {GRAPH_SQL} SELECT kb_id, source, target, type, confidence, evidence_count, n_chunks AS chunks FROM relations")

@@ -89,6 +89,27 @@ def test_entity_merge_golden(spark):
     assert graph.merge_relations(rel, graph.merge_entities(rows)).count() == 0
 
 
+def test_entity_merge_of_many_mentions(spark):
+    """Lists are built of distinct values only; a plain merge gives the same."""
+    one_of = lambda name: F.concat(F.lit(name), (F.col("id") % 7).cast("string"))
+    attributes = F.map_from_arrays(F.array(F.lit("first"), one_of("k")), F.array(F.col("id").cast("string"), F.when(F.col("id") % 2 == 0, "even")))
+    rows = spark.range(3000).select(F.lit(1).alias("kb_id"), (F.col("id") * 7 % 3000).alias("seq"), F.when(F.col("id") > 9, "e").alias("canonical_name"), one_of("n").alias("name"), F.lit("t").alias("type"), F.array(one_of("l"), F.lit(None).cast("string")).alias("labels"), F.when(F.col("id") % 2 == 0, F.array(one_of("a"))).alias("aliases"), F.lit(0.5).alias("confidence"), F.lit(1).alias("mention_count"), F.array((F.col("id") % 50).cast("string")).alias("chunk_ids"), attributes.alias("attributes"))
+    merged = graph.merge_entities(rows)
+    given, got = rows.collect(), {r["canonical_name"]: r for r in merged.collect()}
+    assert set(got) == {"e", None}
+    for name, e in got.items():
+        own = sorted((r for r in given if r["canonical_name"] == name), key=lambda r: r["seq"])
+        first = {}
+        for r in own:
+            first = r["attributes"] | first
+        distinct = lambda c: sorted({x for r in own for x in r[c] or () if x is not None})  # noqa: E731, B023
+        assert (e["name"], e["mention_count"], e["attributes"]) == (own[0]["name"], len(own), first)
+        assert (e["labels"], e["aliases"], e["chunk_ids"]) == ([*distinct("labels"), None], distinct("aliases"), distinct("chunk_ids"))
+        assert e["n_chunks"] == len(e["chunk_ids"])
+    lean = merged.select("name", "attributes", "n_chunks")._jdf.queryExecution().optimizedPlan().toString()
+    assert lean.count("collect_list") == 1  # the attributes, each key once
+
+
 def test_substring_fallback_scores_all_candidates(spark):
     texts = [(f"c{i:03}", "xabcdy " + "filler " * 100) for i in range(99)] + [("c999", "xabcdy")]
     chunks = spark.createDataFrame([("kb", c, t) for c, t in texts] + [("kb", "d", "other words")], "kb_id string, chunk_id string, content string")
