@@ -1,74 +1,195 @@
-"""Candidate links out of band keys, and connected components, as DataFrames that never meet in one task."""
+"""Candidates out of band keys, their confirmation on whole sets, and connected components: DataFrames that never meet in one
+task.
+
+A bucket is what shares a band key. Its nodes first meet one of them, the pivot. Buckets that still span several
+components after that are compared in full: as pairs of blocks of bounded size, which are spread over all tasks and return
+true links only. A pair that shares a bucket and could change the components is never skipped.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut
 
-#: Nodes of a block, and nodes of a bucket that is compared pair by pair at most.
-BLOCK, SMALL = 128, 64
+#: Nodes and bytes of text of a block, about; and the parts in which the links of one pivot are dealt out.
+BLOCK, BLOCK_BYTES, SALTS = 128, 1 << 23, 16
+#: Elements that are compared as bits at a time, and bytes of text that are cut into elements at a time.
+SLAB, RUN_BYTES = 4096, 1 << 20
+
+#: Cuts an array of texts into the sorted distinct hashes of each text's elements.
+Sets = Callable[[pa.Array], Iterator[np.ndarray]]
+
+
+def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by key -> (key, node, pivot) of the keys of several nodes; pivot is the node that came first."""
+    key, pivot, alone = None, None, True
+    for batch in batches:
+        keys, nodes = batch.column("key").to_numpy(), batch.column("node").to_numpy()
+        if not len(keys):
+            continue
+        goes_on = key is not None and keys[0] == key
+        if goes_on:  # the group that the last batch ended in
+            keys, nodes = np.append(key, keys), np.append(pivot, nodes)
+        opens = np.ones(len(keys), bool)
+        opens[1:] = keys[1:] != keys[:-1]
+        first, group = np.flatnonzero(opens), np.cumsum(opens) - 1
+        pivots = nodes[first][group]
+        other = nodes != pivots
+        several = np.zeros(len(first), bool)
+        several[group[other]] = True
+        # the pivot's row goes out with the first row of another node
+        on = other | (opens & several[group])
+        if goes_on and not alone:
+            on[0] = False
+        key, pivot, alone = keys[-1], pivots[-1], not several[-1] and not (goes_on and len(first) == 1 and not alone)
+        yield pa.RecordBatch.from_arrays([pa.array(keys[on]), pa.array(nodes[on]), pa.array(pivots[on])], ["key", "node", "pivot"])
 
 
 def buckets(bands: DataFrame) -> DataFrame:
-    """bands(node, key) -> (key, node, pivot) for keys that more than one node has; pivot is the key's smallest node.
+    """bands(node, key) -> distinct (key, node, pivot) for keys that more than one node has; pivot is any one of them.
 
-    One exchange by key serves the count and the join. Rows stream through both: a key of any size takes constant
-    memory.
+    One exchange by key; sorted rows stream through, so a key of any size takes constant memory.
     """
-    dealt = bands.select("key", "node").repartition("key")
-    shared = dealt.groupBy("key").agg(F.min("node").alias("pivot"), F.max("node").alias("last")).where("pivot < last").select("key", "pivot")
-    return dealt.join(shared.hint("shuffle_hash"), "key")
+    return bands.select("key", "node").repartition("key").sortWithinPartitions("key").mapInArrow(_shared, "key long, node long, pivot long").distinct()
 
 
 def stars(in_buckets: DataFrame) -> DataFrame:
-    """Distinct candidate links (a, b), a > b, from every node of a bucket to the bucket's pivot."""
-    return in_buckets.where("node > pivot").select(F.col("node").alias("a"), F.col("pivot").alias("b")).distinct()
+    """Distinct candidate links (a, b) from every node of a bucket to the bucket's pivot b."""
+    return in_buckets.where("node != pivot").select(F.col("node").alias("a"), F.col("pivot").alias("b")).distinct()
 
 
-def apart(in_buckets: DataFrame, labels: DataFrame) -> DataFrame:
-    """(key, node, label, main) of the buckets whose nodes lie in several components; main is the largest of them."""
-    placed = in_buckets.select("key", "node").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    sizes = placed.groupBy("key", "label").agg(F.count(F.lit(1)).alias("n"))
-    mixed = sizes.groupBy("key").agg(F.max_by("label", F.struct("n", "label")).alias("main"), F.count(F.lit(1)).alias("labels")).where("labels > 1").select("key", "main")
-    return placed.join(mixed, "key")
+def _alike(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    if min(len(x), len(y)) * 100 < percent * max(len(x), len(y)):
+        return False
+    both = np.concatenate([x, y])
+    both.sort()
+    shared = int((both[1:] == both[:-1]).sum())
+    return shared > 0 and 100 * shared >= percent * (len(both) - shared)
+
+
+def _confirm(batches: Iterator[pa.RecordBatch], sets: Sets, percent: int) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        # each distinct text of the batch is cut into elements once
+        coded = pa.concat_arrays([batch.column("text_a"), batch.column("text_b")]).dictionary_encode()
+        own, index = list(sets(coded.dictionary)), coded.indices.to_numpy()
+        good = [_alike(own[p], own[q], percent) for p, q in zip(index[: len(batch)], index[len(batch) :], strict=True)]
+        yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(good, pa.bool_()))
 
 
-def crossing(entries: DataFrame, sketches: DataFrame, similarity: float) -> DataFrame:
-    """Distinct candidate links (a, b), a > b, between nodes that share a bucket and lie in different components.
+def confirmed(links: DataFrame, texts: DataFrame, sets: Sets, percent: int) -> DataFrame:
+    """The links (a, b) whose texts' whole sets are similar enough: 100 * shared >= percent * union. texts(node, text).
 
-    With the stars' links these are all candidates that can change the components: nodes of one component need no more
-    links. In each bucket of entries (from apart) the nodes outside its main component meet the others.
-    sketches(node, bands, bits): a pair counts in its first common bucket only, and only if its one-bit signatures put
-    its similarity above `similarity`; at six standard deviations below the limit this loses a link in a thousand million.
+    A node has few links as `a`, but may be the pivot `b` of very many: those are dealt out in SALTS parts, and the pivot's
+    text goes to each part that has links.
     """
-    there = entries.join(sketches, "node")
-    few = there.where("label != main").select("key", F.col("node").alias("x"), F.col("label").alias("lx"), F.col("bands").alias("bx"), F.col("bits").alias("sx"))
-    many = there.select(F.col("key").alias("k"), F.col("node").alias("y"), F.col("label").alias("ly"), (F.col("label") == F.col("main")).alias("in_main"), F.col("bands").alias("by"), F.col("bits").alias("sy"))
-    differ = F.aggregate(F.zip_with("sx", "sy", lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda n, d: n + d)
-    near = differ <= F.size("sx") * F.lit(64 * (1 - similarity) / 2)
-    first = F.array_position(F.zip_with("bx", "by", lambda p, q: p == q), True) == F.array_position("bx", F.col("key"))
-    met = few.join(many, (F.col("key") == F.col("k")) & (F.col("lx") != F.col("ly")) & (F.col("in_main") | (F.col("x") > F.col("y"))) & near & first)
-    return met.select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct()
+    salted = links.withColumn("salt", F.pmod(F.xxhash64("a"), F.lit(SALTS)))
+    left = salted.join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a")
+    parts = salted.select("b", "salt").distinct()
+    right = parts.join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")
+    both = left.join(right, ["b", "salt"]).select("a", "b", "text_a", "text_b")
+    return both.mapInArrow(lambda it: _confirm(it, sets, percent), "a long, b long").distinct()
 
 
-def sized(entries: DataFrame) -> DataFrame:
-    """entries with members, the number of nodes in the bucket."""
-    return entries.join(entries.groupBy("key").agg(F.count(F.lit(1)).alias("members")), "key")
+def apart(in_buckets: DataFrame, labels: DataFrame) -> DataFrame:
+    """(key, node, label, in_main) of the buckets whose nodes lie in several components: in_main marks the largest of them.
+
+    Buckets of two nodes are left out, as their one pair has been compared, and of buckets that hold the same nodes one stays.
+    """
+    placed = in_buckets.select("key", "node").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    sizes = placed.groupBy("key", "label").agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("node").cast("decimal(20,0)")).alias("print"))
+    kinds = sizes.groupBy("key").agg(F.max_by("label", F.struct("n", "label")).alias("main"), F.count(F.lit(1)).alias("labels"), F.sum("n").alias("members"), F.sum("print").alias("print"))
+    kinds = kinds.where("labels > 1 and members > 2").groupBy("members", "print").agg(F.min_by("key", "key").alias("key"), F.min_by("main", "key").alias("main"))
+    return placed.join(kinds.select("key", "main"), "key").select("key", "node", "label", (F.col("label") == F.col("main")).alias("in_main"))
 
 
-def block_pairs(entries: DataFrame, texts: DataFrame, block: int = BLOCK) -> DataFrame:
-    """Large buckets as pairs of blocks: (left, right), lists of (node, label, text) of about `block` nodes.
+def block_pairs(entries: DataFrame, texts: DataFrame, block: int | None = None, most: int = BLOCK_BYTES) -> DataFrame:
+    """entries(key, node, label, in_main), texts(node, text) -> one row a pair of blocks of a bucket: `blocks`, one or two lists
+    of (node, label, text). Nodes of the main component only meet the others.
 
-    A bucket of m nodes gives (m / block)**2 / 2 rows that are spread over all tasks; each is compared in one piece, and only
-    true links come out. entries(key, node, label, members), texts(node, text).
+    Each block holds about `block` nodes and `most` bytes (a longer text has one to itself, nearly), and goes once to each
+    of its partners; the pairs of a large bucket are spread over all tasks.
     """
-    parts = F.ceil(F.col("members") / block)
-    placed = entries.withColumn("part", F.pmod(F.xxhash64("node"), parts)).join(texts, "node")
-    blocks = placed.groupBy("key", "part").agg(F.collect_list(F.struct("node", "label", "text")).alias("held"))
-    left, right = blocks.select("key", F.col("part").alias("i"), F.col("held").alias("left")), blocks.select("key", F.col("part").alias("j"), F.col("held").alias("right"))
-    return left.join(right, "key").where("i <= j").select("left", "right")
+    block, held = block or BLOCK, entries.join(texts, "node")
+    count, volume = F.count(F.lit(1)), F.sum(F.octet_length("text"))
+    parts = lambda n, size: F.greatest(F.ceil(n / block), F.ceil(size / most))
+    of = lambda c: (F.count_if(c), F.coalesce(F.sum(F.when(c, F.octet_length("text"))), F.lit(0)))
+    main = F.col("in_main")
+    sizes = held.groupBy("key").agg(parts(count, volume).alias("all"), parts(*of(main)).alias("many"), F.greatest(parts(*of(~main)), F.lit(1)).alias("few"))
+    # what fits into one block is compared there
+    whole = F.col("all") <= 1
+    placed = held.join(sizes.select("key", "few", F.when(whole, 0).otherwise(F.col("many")).alias("many"), whole.alias("whole")), "key").withColumn("in_main", main & ~F.col("whole"))
+    # blocks 0 .. few - 1 are of the other components, the rest of the main one
+    part = F.pmod(F.xxhash64("node"), F.when(main, F.greatest("many", F.lit(1))).otherwise(F.col("few"))) + F.when(main, F.col("few")).otherwise(0)
+    blocks = placed.withColumn("part", part).groupBy("key", "part", "few", "many").agg(F.collect_list(F.struct("node", "label", "text")).alias("held"))
+    last = F.when(F.col("part") < F.col("few"), F.col("few") + F.col("many")).otherwise(F.col("few")) - 1
+    meets = blocks.select("key", "held", "part", F.explode(F.sequence(F.lit(0).cast("long"), last.cast("long"))).alias("other"))
+    return meets.groupBy("key", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j")).agg(F.collect_list("held").alias("blocks")).select("blocks")
+
+
+def _runs(batch: pa.RecordBatch) -> Iterator[tuple[pa.ListArray, list[list[int]]]]:
+    """Slices of the column `blocks` with about RUN_BYTES of text (or one row), and for each row the sizes of its blocks."""
+    rows = batch.column("blocks")
+    inner = rows.flatten()
+    block = np.concatenate([[0], np.cumsum(pc.list_value_length(inner).to_numpy())])
+    ends = np.concatenate([[0], np.cumsum(pc.list_value_length(rows).to_numpy())])
+    volume = np.concatenate([[0], np.cumsum(pc.fill_null(pc.binary_length(inner.flatten().field("text")), 0).to_numpy())])[block[ends]]
+    first = 0
+    while first < len(rows):
+        end = max(first + 1, int(np.searchsorted(volume, volume[first] + RUN_BYTES, "right")) - 1)
+        yield rows.slice(first, end - first), [np.diff(block[ends[i] : ends[i + 1] + 1]).tolist() for i in range(first, end)]
+        first = end
+
+
+def _intersections(own: list[np.ndarray], n: int, m: int) -> np.ndarray:
+    """Sizes of the intersections of the first n sets with the last m. A set is a row of bits, one for each element that several
+    sets have."""
+    every = np.concatenate(own)
+    order = np.argsort(every, kind="stable")
+    opens = np.ones(len(every), bool)
+    opens[1:] = every[order[1:]] != every[order[:-1]]
+    group = np.cumsum(opens) - 1
+    often = np.bincount(group) > 1
+    on = often[group]
+    column, row = (np.cumsum(often) - 1)[group[on]], np.repeat(np.arange(len(own)), [len(x) for x in own])[order[on]]
+    shared = np.zeros((n, m), np.int64)
+    for first in range(0, int(often.sum()), SLAB):
+        here = (column >= first) & (column < first + SLAB)
+        ones = np.zeros((len(own), min(SLAB, -(-(int(often.sum()) - first) // 64) * 64)), bool)
+        ones[row[here], column[here] - first] = True
+        bits = np.packbits(ones, axis=1).view(np.uint64)
+        right = bits[len(own) - m :]
+        for i in range(n):
+            shared[i] += np.bitwise_count(bits[i] & right).sum(axis=1, dtype=np.int64)
+    return shared
+
+
+def _confirm_blocks(batches: Iterator[pa.RecordBatch], sets: Sets, percent: int) -> Iterator[pa.RecordBatch]:
+    """True links between nodes of different components, one for each two components of a pair of blocks."""
+    for batch in batches:
+        for rows, sizes in _runs(batch):
+            cells = rows.flatten().flatten()
+            own, at = list(sets(cells.field("text"))), 0
+            nodes, labels = (cells.field(c).to_numpy(zero_copy_only=False) for c in ("node", "label"))
+            for held in sizes:
+                here = slice(at, at := at + sum(held))
+                label, node, volume = labels[here], nodes[here], np.array([len(x) for x in own[here]])
+                n, m = held[0], held[-1]
+                shared = _intersections(own[here], n, m)
+                near = (shared > 0) & (100 * shared >= percent * (volume[:n, None] + volume[None, -m:] - shared))
+                i, j = np.nonzero(near & (label[:n, None] != label[None, -m:]))
+                if len(i):
+                    j += len(label) - m
+                    ends = np.sort(np.stack([label[i], label[j]], axis=1), axis=1)
+                    _, one = np.unique(ends, axis=0, return_index=True)
+                    x, y = node[i[one]], node[j[one]]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.maximum(x, y)), pa.array(np.minimum(x, y))], ["a", "b"])
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -87,3 +208,16 @@ def components(links: DataFrame) -> DataFrame:
         labels = after.select("node", "label")
         if after.where("label != before").isEmpty():
             return labels
+
+
+def linked(shared: DataFrame, texts: DataFrame, sets: Sets, percent: int) -> DataFrame:
+    """shared(key, node, pivot), texts(node, text) of all its nodes -> (node, label): the components of all confirmed links
+    within buckets."""
+    links = cut(confirmed(stars(shared), texts, sets, percent))
+    labels = components(links)
+    mixed = cut(apart(shared, labels))
+    if mixed.isEmpty():
+        return labels
+    pairs = block_pairs(mixed, texts.join(mixed.select("node").distinct(), "node", "left_semi"))
+    more = cut(pairs.mapInArrow(lambda it: _confirm_blocks(it, sets, percent), "a long, b long").distinct())
+    return labels if more.isEmpty() else components(links.union(more))

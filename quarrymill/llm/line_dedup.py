@@ -3,15 +3,15 @@
 Lines are what stands between \\n; a line without a character outside [\\x20\\x09-\\x0D] is blank and is never compared or
 removed. A line's set: its distinct 8-character shingles (a shorter line is one shingle); lines are compared as they
 stand. Min-max signatures are cut into bands, candidate links are confirmed by the exact Jaccard similarity of the whole
-sets, and union-find over the confirmed links leaves one line of each component: the first, by doc_id and position.
+sets, and union-find over the confirmed links leaves one line of each component: the first, by doc_id, text hash and position.
 
 Equal lines are one node, named by a 64-bit hash of the content; 128 bits decide what is equal. Only nodes of different
-content become candidates. In buckets of up to SMALL nodes candidates that can join two components are filtered by
-one-bit signatures and confirmed pair by pair; larger buckets are compared as pairs of blocks, which return true links only.
+content become candidates, see components.
 
-Defined results: a null text stays null and has no lines; rows without a doc_id keep their text and are compared with
-nothing; rows that share a doc_id are copies of one document and are edited alike; other columns are ignored. A line is
-numbered doc_id * 2**24 + position, so |doc_id| must stay under 2**39 (else Spark reports an overflow).
+Defined results: a null text stays null and has no lines; an empty text has no lines that count; rows without a doc_id keep
+their text and are compared with nothing; rows that share a doc_id and the text are copies of one document and are edited
+alike, with different texts they are documents of their own; an empty table gives an empty result; texts and lines of any
+length are read whole; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -25,16 +25,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textcore as tc
-from .common import cut, documents
-from .components import SMALL, apart, block_pairs, buckets, components, crossing, sized, stars
-
-#: 16 bands of 4 values of 32 permutations: a pair at similarity 0.8 is missed with probability 2e-4, at 0.85 with 7e-6.
-BANDS, ROWS, SHINGLE, PERCENT = 16, 4, 8, 80
-POSITIONS = 1 << 24
-#: Longs of one-bit values, and six standard deviations of the similarity that they estimate.
-LONGS, MARGIN = 16, 0.113
-#: Lines whose hashes a task keeps at most, so that it gives the rows of equal lines once; others repeat them, harmlessly.
-REMEMBERED = 1_000_000
+from .common import cut, documents, unused, written
+from .components import buckets, linked
+
+#: 12 bands of 3 values of 18 permutations: a pair at similarity 0.8 is missed with probability 2e-4, at 0.85 with 2e-5.
+BANDS, ROWS, SHINGLE, PERCENT = 12, 3, 8, 80
+#: Lines whose hashes a task keeps at most, so that it signs equal lines once; others are signed again, harmlessly.
+REMEMBERED = 200_000
+LINES = "doc_id long, mark long, position int, node long, other long, keys array<long>"
 U64 = np.uint64
 
 
@@ -82,26 +80,28 @@ def _lines(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return chars, starts[on], ends[on], doc[on], place[on]
 
 
-def _bands(batches: Iterator[pa.RecordBatch], bands: int, rows: int, k: int) -> Iterator[pa.RecordBatch]:
-    """(node, key) of every line that isn't blank; node is Spark's xxhash64 of the line."""
+def _read(batches: Iterator[pa.RecordBatch], bands: int, rows: int, k: int) -> Iterator[pa.RecordBatch]:
+    """LINES of every line that isn't blank: its document (id and Spark's xxhash64 of the text), its number there, 128 bits of
+    its content, and its band keys if this task meets it for the first time."""
     scheme, seen = tc.MinMax(bands, rows), set()
     for batch in batches:
-        for _, _, data, offsets in tc.chunks(batch.column("text"), 1 << 18):
-            chars, starts, ends, _, _ = _lines(data, offsets)
+        ids = batch.column("doc_id").to_numpy()
+        for first, _, data, offsets in tc.chunks(batch.column("text"), 1 << 18):
+            chars, starts, ends, doc, place = _lines(data, offsets)
             at = np.concatenate([np.flatnonzero((data & 0xC0) != 0x80), [len(data)]])  # the byte of every character
             raw = memoryview(data.tobytes())
-            own = [xxhash.xxh64_intdigest(raw[a:b], 42) for a, b in zip(at[starts].tolist(), at[ends].tolist())]
+            marks = np.array([xxhash.xxh64_intdigest(raw[a:b], 42) for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist())], U64).view(np.int64)
+            own = [xxhash.xxh3_128_digest(raw[a:b]) for a, b in zip(at[starts].tolist(), at[ends].tolist())]
+            fresh = []
+            for i, print_ in enumerate(own):
+                if print_ not in seen:
+                    seen.add(print_)
+                    fresh.append(i)
             if len(seen) > REMEMBERED:
                 seen.clear()
-            fresh = []  # a line that this task has met before has given its rows
-            for i, node in enumerate(own):
-                if node not in seen:
-                    seen.add(node)
-                    fresh.append(i)
-            if fresh:
-                nodes = np.array([own[i] for i in fresh], U64).view(np.int64)
-                keys = scheme.keys(*_shingle_hashes(chars, starts[fresh], ends[fresh], k))
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(nodes, bands)), pa.array(keys.reshape(-1))], ["node", "key"])
+            prints = np.frombuffer(b"".join(own), np.int64).reshape(-1, 2)
+            keys = scheme.keys(*_shingle_hashes(chars, starts[fresh], ends[fresh], k)) if fresh else np.zeros((0, bands), np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(ids[first + doc]), pa.array(marks[doc]), pa.array(place.astype(np.int32)), pa.array(prints[:, 0]), pa.array(prints[:, 1]), tc.lists(keys, np.array(fresh, int), len(own))], ["doc_id", "mark", "position", "node", "other", "keys"])
 
 
 def _pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -124,110 +124,46 @@ def _line_shingles(lines: pa.Array, k: int, most: int = 1 << 18) -> Iterator[tup
         yield first, end, *_shingle_hashes(text, at[:-1], at[1:], k)
 
 
-def _sketches(batches: Iterator[pa.RecordBatch], bands: int, rows: int, k: int) -> Iterator[pa.RecordBatch]:
-    scheme = tc.MinMax(bands, rows)
-    for batch in batches:
-        for first, end, hashes, bounds in _line_shingles(batch.column("text"), k):
-            every = np.arange(end - first)
-            yield pa.RecordBatch.from_arrays([batch.column("node").slice(first, end - first), tc.lists(scheme.keys(hashes, bounds), every, len(every)), tc.lists(scheme.bits(hashes, bounds, LONGS), every, len(every))], ["node", "bands", "bits"])
-
-
 def _sets(lines: pa.Array, k: int) -> Iterator[np.ndarray]:
     for first, end, hashes, bounds in _line_shingles(lines, k):
         for i in range(end - first):
-            yield np.unique(hashes[bounds[i] : bounds[i + 1]])
+            yield tc.distinct(hashes[bounds[i] : bounds[i + 1]])
 
 
-def _confirm(batches: Iterator[pa.RecordBatch], k: int, percent: int) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        good = np.zeros(len(batch), bool)
-        # each distinct text of the batch is cut into shingles once
-        coded = pa.concat_arrays([batch.column("text_a"), batch.column("text_b")]).dictionary_encode()
-        sets = list(_sets(coded.dictionary, k))
-        index = coded.indices.to_numpy()
-        for i, (p, q) in enumerate(zip(index[: len(batch)], index[len(batch) :])):
-            x, y = sets[p], sets[q]
-            if min(len(x), len(y)) * 100 >= percent * max(len(x), len(y)):
-                both = np.concatenate([x, y])
-                both.sort()
-                shared = int((both[1:] == both[:-1]).sum())
-                good[i] = 100 * shared >= percent * (len(both) - shared)
-        yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(good))
-
-
-def _confirm_blocks(batches: Iterator[pa.RecordBatch], k: int, percent: int) -> Iterator[pa.RecordBatch]:
-    """True links between nodes of different components of two blocks: all intersections are one product of 0/1 matrices."""
-    for batch in batches:
-        for row in range(len(batch)):
-            sides = [batch.column(c)[row].values for c in ("left", "right")]
-            nodes, labels = ([s.field(c).to_numpy(zero_copy_only=False) for s in sides] for c in (0, 1))
-            if len(np.unique(np.concatenate(labels))) < 2:
-                continue
-            sets = [list(_sets(s.field(2), k)) for s in sides]
-            known = np.unique(np.concatenate(sets[0] + sets[1]))
-            shared = np.zeros((len(sets[0]), len(sets[1])))
-            slabs = [[np.searchsorted(known, x) for x in side] for side in sets]
-            for first in range(0, len(known), 8192):  # a slab of the vocabulary at a time
-                ones = []
-                for side in slabs:
-                    m = np.zeros((len(side), min(8192, len(known) - first)), np.float32)
-                    for i, x in enumerate(side):
-                        m[i, x[(x >= first) & (x < first + 8192)] - first] = 1
-                    ones.append(m)
-                shared += ones[0] @ ones[1].T
-            sizes = [np.array([len(x) for x in side]) for side in sets]
-            near = 100 * shared >= percent * (sizes[0][:, None] + sizes[1][None, :] - shared)
-            i, j = np.nonzero(near & (labels[0][:, None] != labels[1][None, :]))
-            x, y = nodes[0][i], nodes[1][j]
-            yield pa.RecordBatch.from_arrays([pa.array(np.maximum(x, y)), pa.array(np.minimum(x, y))], ["a", "b"])
-
-
-def _picked(nodes: DataFrame, kinds: DataFrame, docs: DataFrame) -> DataFrame:
-    """nodes(node), distinct -> (node, text), from the first place of each. Only the documents' texts are shuffled."""
-    places = nodes.join(kinds.select("node", "first"), "node")
-    wanted = places.groupBy(F.shiftright("first", 24).alias("doc_id")).agg(F.collect_list(F.struct("node", F.col("first").bitwiseAND(POSITIONS - 1).cast("int").alias("position"))).alias("wanted"))
-    one = docs.join(wanted, "doc_id").select("text", "wanted")
-    return one.mapInArrow(_pick, "node long, text string").distinct()
-
-
-def _confirmed(links: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
-    both = links.join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a").join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")
-    return both.select("a", "b", "text_a", "text_b").mapInArrow(lambda it: _confirm(it, k, percent), "a long, b long").distinct()
-
-
-def _places(docs: DataFrame) -> DataFrame:
-    """(node, other, place) of every line that isn't blank: two hashes of its content and its number."""
-    rows = docs.select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("position", "line")).where(F.col("line").rlike(r"[^\x20\x09-\x0D]"))
-    return rows.select(F.xxhash64("line").alias("node"), F.xxhash64(F.lit(1), "line").alias("other"), (F.col("doc_id") * POSITIONS + F.col("position")).alias("place"))
+def _texts(firsts: DataFrame, docs: DataFrame) -> DataFrame:
+    """firsts(node, first place) -> (node, text). Only the documents' texts are shuffled."""
+    wanted = firsts.select("node", "first.*").groupBy("doc_id", "mark").agg(F.collect_list(F.struct("node", "position")).alias("wanted"))
+    one = docs.withColumn("mark", F.xxhash64("text")).join(wanted, ["doc_id", "mark"]).select("text", "wanted")
+    return one.mapInArrow(_pick, "node long, text string").dropDuplicates(["node"])
 
 
 def repeated_lines(docs: DataFrame, percent: int = PERCENT, bands: int = BANDS, rows: int = ROWS, shingle: int = SHINGLE) -> DataFrame:
-    """docs(doc_id, text) -> (doc_id, position, first_doc_id, first_position) of the lines that repeat an earlier one."""
+    """docs(doc_id, text) -> (doc_id, mark, position, first_doc_id, first_position) of the lines that repeat an earlier one; mark
+    is the xxhash64 of the document's text."""
     docs = documents(docs).where("doc_id is not null and text is not null")
-    kinds = cut(_places(docs).groupBy("node", "other").agg(F.min("place").alias("first"), F.count(F.lit(1)).alias("n")))
-    made = docs.mapInArrow(lambda it: _bands(it, bands, rows, shingle), "node long, key long")
-    shared = cut(buckets(made).distinct())
-    near = cut(stars(shared))
-    # every node of a shared bucket is an end of a star: these texts serve all comparisons
-    texts = cut(_picked(near.select(F.explode(F.array("a", "b")).alias("node")).distinct(), kinds, docs))
-    links = cut(_confirmed(near, texts, shingle, percent))
-    labels = components(links)
-    mixed = cut(sized(apart(shared, labels)))
-    if not mixed.isEmpty():
-        few, many = mixed.where(F.col("members") <= SMALL), mixed.where(F.col("members") > SMALL)
-        some = texts.join(few.select("node").distinct(), "node", "left_semi")
-        sketches = cut(some.mapInArrow(lambda it: _sketches(it, bands, rows, shingle), "node long, bands array<long>, bits array<long>"))
-        more = _confirmed(cut(crossing(few, sketches, percent / 100 - MARGIN)), texts, shingle, percent)
-        blocks = block_pairs(many, texts).mapInArrow(lambda it: _confirm_blocks(it, shingle, percent), "a long, b long").distinct()
-        more = cut(more.union(blocks))
-        if not more.isEmpty():
-            labels = components(links.union(more))
+    lines = written(docs.mapInArrow(lambda it: _read(it, bands, rows, shingle), LINES), "lines")
+    shared = cut(buckets(lines.select("node", F.explode("keys").alias("key"))))
+    candidates = shared.select("node").distinct()
+    # lines that stand once and share no band key stay; only the places of the others are needed from here on
+    often = lines.groupBy("node").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("node")
+    places = cut(lines.drop("keys").join(often.union(candidates).distinct().hint("shuffle_hash"), "node", "left_semi"))
+    place = F.struct("doc_id", "mark", "position")
+    kinds = cut(places.groupBy("node", "other").agg(F.min(place).alias("first")))
+    texts = cut(_texts(kinds.join(candidates, "node", "left_semi"), docs))
+    labels = linked(shared, texts, lambda own: _sets(own, shingle), percent)
     named = kinds.join(labels, "node", "left")
     heads = named.where("label IS NOT NULL").groupBy("label").agg(F.min("first").alias("head"))
-    repeated = named.join(heads, "label", "left").withColumn("head", F.coalesce("head", "first")).where("n > 1 OR head <> first").select("node", "other", "head")
-    gone = _places(docs).join(repeated, ["node", "other"]).where("place <> head")
-    place = lambda c: F.col(c).bitwiseAND(POSITIONS - 1).cast("int")
-    return gone.select(F.shiftright("place", 24).alias("doc_id"), place("place").alias("position"), F.shiftright("head", 24).alias("first_doc_id"), place("head").alias("first_position"))
+    head = named.join(heads, "label", "left").select("node", "other", F.coalesce("head", "first").alias("head"))
+    gone = places.join(head, ["node", "other"]).where(place != F.col("head"))
+    return gone.select("doc_id", "mark", "position", F.col("head.doc_id").alias("first_doc_id"), F.col("head.position").alias("first_position"))
+
+
+def _with_dropped(docs: DataFrame, id_: str, text: str, name: str, **options) -> DataFrame:
+    """docs with the numbers of the lines to drop in the column `name`, null if there are none."""
+    key, mark = unused(docs, "_id"), unused(docs, "_mark")
+    gone = repeated_lines(docs, **options).groupBy(F.col("doc_id").alias(key), F.col("mark").alias(mark)).agg(F.collect_set("position").alias(name))
+    same = (F.col(id_).cast("long") == F.col(key)) & (F.xxhash64(F.col(text).cast("string")) == F.col(mark))
+    return docs.join(gone, same, "left").drop(key, mark)
 
 
 def _rebuild(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -245,16 +181,16 @@ def _rebuild(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def dedup_lines(docs: DataFrame, **options) -> DataFrame:
     """docs(doc_id, text) -> one row per row: doc_id, text without repeated lines, n_lines, n_dropped."""
-    gone = repeated_lines(docs, **options).groupBy("doc_id").agg(F.collect_set("position").alias("dropped"))
-    joined = documents(docs).join(gone, "doc_id", "left")
-    return joined.select("doc_id", "text", "dropped").mapInArrow(_rebuild, "doc_id long, text string, n_lines long, n_dropped long")
+    joined = _with_dropped(documents(docs), "doc_id", "text", "dropped", **options)
+    return joined.mapInArrow(_rebuild, "doc_id long, text string, n_lines long, n_dropped long")
 
 
 def _edit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Like _rebuild, for rows of any columns: text and n_chars change, rows left without a word go."""
+    """Like _rebuild, for rows of any columns, the numbers of dropped lines last: text and n_chars change, rows left without a
+    word go."""
     for batch in batches:
         names = batch.schema.names[:-1]
-        texts, dropped = batch.column("text").to_pylist(), batch.column("_dropped").to_pylist()
+        texts, dropped = batch.column("text").to_pylist(), batch.column(len(names)).to_pylist()
         stays = np.ones(len(batch), bool)
         changed = [i for i, gone in enumerate(dropped) if gone]
         for i in changed:
@@ -275,8 +211,6 @@ def edit_documents(docs: DataFrame, **options) -> DataFrame:
     """docs with the repeated lines taken out of text, and all other columns as they are (n_chars follows the text).
 
     A document all of whose words stood in repeated lines is dropped: earlier documents hold them. Documents that had no
-    words before stay.
+    words before stay, as do rows without a doc_id or a text; repeated rows are edited alike.
     """
-    gone = repeated_lines(docs, **options).groupBy(F.col("doc_id").alias("_id")).agg(F.collect_set("position").alias("_dropped"))
-    joined = docs.join(gone, F.col("doc_id").cast("long") == F.col("_id"), "left")
-    return joined.select(*docs.columns, "_dropped").mapInArrow(_edit, docs.schema)
+    return _with_dropped(docs, "doc_id", "text", unused(docs, "_dropped"), **options).mapInArrow(_edit, docs.schema)

@@ -15,17 +15,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import textcore as tc
-from .common import cut, documents
-from .components import apart, buckets, components, crossing, stars
+from .common import cut, documents, unused
+from .components import buckets, linked
 
 #: 40 bands of 6 values of 120 permutations: a pair at similarity 0.8 is missed with probability 5e-6.
 BANDS, ROWS = 40, 6
-#: Six standard deviations of the similarity that 2048 one-bit values estimate.
-MARGIN = 0.08
 
 
 def _features(batches: Iterator[pa.RecordBatch], k: int, bands: int, rows: int) -> Iterator[pa.RecordBatch]:
@@ -39,49 +37,19 @@ def _features(batches: Iterator[pa.RecordBatch], k: int, bands: int, rows: int)
             sizes = np.zeros(n, np.int64)
             prints: list[bytes | None] = [None] * n
             for i in np.flatnonzero(np.diff(bounds)):
-                own = np.unique(hashes[bounds[i] : bounds[i + 1]])
+                own = tc.distinct(hashes[bounds[i] : bounds[i + 1]])
                 sizes[i] = len(own)
                 prints[i] = np.array([tc.mix(own).sum(dtype=np.uint64), tc.mix(own ^ np.uint64(0xA5A5A5A55A5A5A5A)).sum(dtype=np.uint64)]).tobytes()
             keys = tc.lists(scheme.keys(hashes, bounds), np.flatnonzero(np.diff(bounds)), n)
             yield pa.RecordBatch.from_arrays([ids.slice(first, n).cast(pa.int64()), pa.array(sizes), pa.array(prints, pa.binary()), keys], ["doc_id", "n_shingles", "print", "bands"])
 
 
-def _sketches(batches: Iterator[pa.RecordBatch], k: int, bands: int, rows: int) -> Iterator[pa.RecordBatch]:
-    """(node, bands, bits) of documents that have words."""
-    scheme = tc.MinMax(bands, rows)
-    for batch in batches:
-        for first, end, data, offsets in tc.chunks(batch.column("text")):
-            starts, ends, doc = tc.spans(data, offsets)
-            hashes, bounds = tc.shingles(tc.word_hashes(data, starts, ends), doc, end - first, k)
-            every = np.arange(end - first)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(first, end - first), tc.lists(scheme.keys(hashes, bounds), every, len(every)), tc.lists(scheme.bits(hashes, bounds), every, len(every))], ["node", "bands", "bits"])
-
-
-def _confirm(batches: Iterator[pa.RecordBatch], k: int, percent: int) -> Iterator[pa.RecordBatch]:
-    def sets(texts: pa.Array) -> Iterator[np.ndarray]:
-        for first, end, data, offsets in tc.chunks(texts):
-            starts, ends, doc = tc.spans(data, offsets)
-            hashes, bounds = tc.shingles(tc.word_hashes(data, starts, ends), doc, end - first, k)
-            for i in range(end - first):
-                yield np.unique(hashes[bounds[i] : bounds[i + 1]])
-
-    for batch in batches:
-        good = np.zeros(len(batch), bool)
-        for i, (x, y) in enumerate(zip(sets(batch.column("text_a")), sets(batch.column("text_b")), strict=True)):
-            if min(len(x), len(y)) * 100 >= percent * max(len(x), len(y)):
-                both = np.concatenate([x, y])
-                both.sort()
-                shared = int((both[1:] == both[:-1]).sum())
-                good[i] = shared > 0 and 100 * shared >= percent * (len(both) - shared)
-        yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(good))
-
-
-def confirmed(links: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
-    """The links (a, b) whose documents' full sets are similar enough. One exchange of the texts serves both sides."""
-    texts = docs.where("doc_id is not null").repartition("doc_id")
-    left = links.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a")
-    both = left.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b")
-    return both.select("a", "b", "text_a", "text_b").mapInArrow(lambda it: _confirm(it, k, percent), "a long, b long").distinct()
+def _sets(texts: pa.Array, k: int) -> Iterator[np.ndarray]:
+    for first, end, data, offsets in tc.chunks(texts):
+        starts, ends, doc = tc.spans(data, offsets)
+        hashes, bounds = tc.shingles(tc.word_hashes(data, starts, ends), doc, end - first, k)
+        for i in range(end - first):
+            yield tc.distinct(hashes[bounds[i] : bounds[i + 1]])
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
@@ -95,15 +63,8 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, bands: i
     rows_ = cut(made)
     nodes = cut(rows_.where("n_shingles > 0 and doc_id is not null").groupBy("print").agg(F.min("doc_id").alias("node"), F.first("bands").alias("bands")))
     shared = cut(buckets(nodes.select("node", F.explode("bands").alias("key"))))
-    links = cut(confirmed(stars(shared), docs, words, percent))
-    labels = components(links)
-    mixed = cut(apart(shared, labels))
-    if not mixed.isEmpty():
-        far = cut(docs.join(mixed.select(F.col("node").alias("doc_id")).distinct(), "doc_id", "left_semi").where("text is not null"))
-        sketches = cut(far.mapInArrow(lambda it: _sketches(it, words, bands, rows), "node long, bands array<long>, bits array<long>"))
-        more = cut(confirmed(cut(crossing(mixed, sketches, percent / 100 - MARGIN)), far, words, percent))
-        if not more.isEmpty():
-            labels = components(links.union(more))
+    texts = docs.where("doc_id is not null").select(F.col("doc_id").alias("node"), "text").join(shared.select("node").distinct(), "node", "left_semi")
+    labels = linked(shared, cut(texts), lambda own: _sets(own, words), percent)
     named = nodes.select("print", "node").join(labels, "node", "left").select("print", F.coalesce("label", "node").alias("component"))
     out = rows_.select("doc_id", "n_shingles", "print").join(named, "print", "left")
     out = out.withColumn("component_id", F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")))
@@ -111,7 +72,11 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, bands: i
 
 
 def keep_one(docs: DataFrame, **options) -> DataFrame:
-    """The rows of docs that near_duplicates keeps, with all their columns; of rows that share a doc_id one stays."""
-    gone = near_duplicates(docs, **options).where("not kept").select(F.col("doc_id").alias("_gone")).distinct()
-    left = docs.join(gone, F.col("doc_id").cast("long") == F.col("_gone"), "left_anti")
-    return left.where("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(left.where("doc_id is null"))
+    """The rows of docs that near_duplicates keeps, with all their columns; of rows that share a doc_id one stays, the one whose
+    text has the least hash. Rows without a doc_id and rows without words stay; an empty table stays empty."""
+    name, order = unused(docs, "_gone"), unused(docs, "_order")
+    gone = near_duplicates(docs, **options).where("not kept").select(F.col("doc_id").alias(name)).distinct()
+    left = docs.join(gone, F.col("doc_id").cast("long") == F.col(name), "left_anti")
+    first = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64("text"), "text"))
+    one = left.where("doc_id is not null").withColumn(order, first).where(F.col(order) == 1).drop(order)
+    return one.unionByName(left.where("doc_id is null"))

@@ -40,6 +40,14 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U64(31))
 
 
+def distinct(x: np.ndarray) -> np.ndarray:
+    """The different values, sorted."""
+    x = np.sort(x)
+    keep = np.ones(len(x), bool)
+    np.not_equal(x[1:], x[:-1], out=keep[1:])
+    return x[keep]
+
+
 def chunks(texts: pa.Array, most: int = 1 << 20) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, end row, bytes, offsets within them) of runs of whole documents of up to `most` bytes; a longer
     document makes a run of its own. Nulls are empty."""
@@ -129,19 +137,6 @@ class MinMax:
         picked = ends[self.order].astype(U64).reshape(self.bands, self.rows, -1)
         return mix((picked * self.factor[None, :, None]).sum(axis=1, dtype=U64) + self.shift[:, None]).T.view(np.int64)
 
-    def bits(self, hashes: np.ndarray, bounds: np.ndarray, longs: int = 32, seed: int = 9) -> np.ndarray:
-        """int64[documents, longs]: one hashed bit of each end of 32 * longs permutations. Two documents agree in a bit with
-        the probability (1 + similarity) / 2. Every document must have elements."""
-        rng = np.random.default_rng(seed)
-        x, starts = (hashes >> U64(32)).astype(np.uint32), bounds[:-1]
-        out = np.zeros((len(starts), longs), U64)
-        for i in range(32 * longs):
-            v = x * np.uint32(rng.integers(0, 2**31) * 2 + 1) + np.uint32(rng.integers(0, 2**32))
-            for j, end in ((2 * i, np.minimum), (2 * i + 1, np.maximum)):
-                bit = (end.reduceat(v, starts) * np.uint32(0x9E3779B1)) >> np.uint32(31)
-                out[:, j // 64] |= bit.astype(U64) << U64(j % 64)
-        return out.view(np.int64)
-
 
 def lists(rows: np.ndarray, where: np.ndarray, n: int) -> pa.ListArray:
     """A list<int64> array of n rows: rows[i] at where[i], empty lists elsewhere."""

@@ -105,10 +105,10 @@ def line_sets(rows):
     return out
 
 
-@pytest.mark.parametrize("small", [64, 1])
+@pytest.mark.parametrize("small", [128, 2])
 def test_line_dedup_is_exact(spark, monkeypatch, small):
-    """small = 1 sends every bucket through the comparison by blocks."""
-    monkeypatch.setattr(line_dedup, "SMALL", small)
+    """small = 2 deals every bucket out in many blocks."""
+    monkeypatch.setattr(components, "BLOCK", small)
     rng = random.Random(2)
     line = prose(rng, 40)
     many = ["\n".join(changed(rng, line, s / 150) for s in range(k, k + 6)) for k in range(0, 30, 3)]
