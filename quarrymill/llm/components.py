@@ -20,6 +20,8 @@ from .common import cut
 
 #: Nodes and bytes of text of a block, about; and the parts in which the links of one pivot are dealt out.
 BLOCK, BLOCK_BYTES, SALTS = 128, 1 << 23, 16
+#: Links that one task of union-find holds, about.
+LINKS = 250_000
 #: Elements that are compared as bits at a time, and bytes of text that are cut into elements at a time.
 SLAB, RUN_BYTES = 4096, 1 << 20
 
@@ -192,13 +194,39 @@ def _confirm_blocks(batches: Iterator[pa.RecordBatch], sets: Sets, percent: int)
                     yield pa.RecordBatch.from_arrays([pa.array(np.maximum(x, y)), pa.array(np.minimum(x, y))], ["a", "b"])
 
 
+def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Union-find over one partition's links: (a, b) from every node to the least node of its component there."""
+    parent: dict[int, int] = {}
+
+    def root(x: int) -> int:
+        top = x
+        while (up := parent.setdefault(top, top)) != top:
+            top = up
+        while parent[x] != top:
+            parent[x], x = top, parent[x]
+        return top
+
+    for batch in batches:
+        for a, b in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist(), strict=True):
+            a, b = root(a), root(b)
+            if a != b:
+                parent[max(a, b)] = min(a, b)
+    nodes = list(parent)
+    ends = np.array([[x, root(x)] for x in nodes], np.int64).reshape(-1, 2)
+    ends = ends[ends[:, 0] != ends[:, 1]]
+    yield pa.RecordBatch.from_arrays([pa.array(ends[:, 0]), pa.array(ends[:, 1])], ["a", "b"])
+
+
 def components(links: DataFrame) -> DataFrame:
     """links(a, b) -> (node, label) for every node of a link: label is the smallest node that it reaches.
 
-    Rounds of taking the neighbours' smallest label, then the label's label, until nothing changes; the edges and each
-    round's labels are written to the shared checkpoint folder.
+    Distributed union-find: every partition of LINKS links, about, becomes a forest of stars; then rounds of taking the neighbours'
+    smallest label, then the label's label, until nothing changes. The edges and each round's labels are written to the
+    shared checkpoint folder.
     """
-    edges = cut(links.select("a", "b").union(links.select("b", "a")).distinct())
+    links = links.select("a", "b").where("a != b")
+    forest = links.coalesce(-(-links.count() // LINKS) or 1).mapInArrow(_forest, "a long, b long")
+    edges = cut(forest.union(forest.select("b", "a")).distinct())
     labels = cut(edges.groupBy(F.col("a").alias("node")).agg(F.least(F.first("a"), F.min("b")).alias("label")))
     while True:
         near = edges.join(labels, edges["b"] == labels["node"]).groupBy(F.col("a").alias("node")).agg(F.min("label").alias("seen"))
@@ -213,11 +241,17 @@ def components(links: DataFrame) -> DataFrame:
 def linked(shared: DataFrame, texts: DataFrame, sets: Sets, percent: int) -> DataFrame:
     """shared(key, node, pivot), texts(node, text) of all its nodes -> (node, label): the components of all confirmed links
     within buckets."""
-    links = cut(confirmed(stars(shared), texts, sets, percent))
-    labels = components(links)
+    labels = components(cut(confirmed(stars(shared), texts, sets, percent)))
     mixed = cut(apart(shared, labels))
     if mixed.isEmpty():
         return labels
     pairs = block_pairs(mixed, texts.join(mixed.select("node").distinct(), "node", "left_semi"))
     more = cut(pairs.mapInArrow(lambda it: _confirm_blocks(it, sets, percent), "a long, b long").distinct())
-    return labels if more.isEmpty() else components(links.union(more))
+    if more.isEmpty():
+        return labels
+    # the new links join whole components: those become nodes
+    of = lambda c: labels.select(F.col("node").alias(c), F.col("label").alias(f"of_{c}"))
+    between = more.join(of("a"), "a", "left").join(of("b"), "b", "left").select(F.coalesce("of_a", "a").alias("a"), F.coalesce("of_b", "b").alias("b"))
+    merged = components(cut(between)).select(F.col("node").alias("label"), F.col("label").alias("above"))
+    alone = merged.select(F.col("label").alias("node"), F.col("above").alias("label")).join(labels, "node", "left_anti")
+    return cut(labels.join(merged, "label", "left").select("node", F.coalesce("above", "label").alias("label")).union(alone))

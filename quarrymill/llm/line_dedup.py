@@ -32,7 +32,7 @@ from .components import buckets, linked
 BANDS, ROWS, SHINGLE, PERCENT = 12, 3, 8, 80
 #: Lines whose hashes a task keeps at most, so that it signs equal lines once; others are signed again, harmlessly.
 REMEMBERED = 200_000
-LINES = "doc_id long, mark long, position int, node long, other long, keys array<long>"
+LINES = "doc_id long, mark long, position int, node long, other long"
 U64 = np.uint64
 
 
@@ -80,28 +80,43 @@ def _lines(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return chars, starts[on], ends[on], doc[on], place[on]
 
 
-def _read(batches: Iterator[pa.RecordBatch], bands: int, rows: int, k: int) -> Iterator[pa.RecordBatch]:
+def _prints(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> list[bytes]:
+    """128-bit hashes of the lines that stand between these characters."""
+    at = np.concatenate([np.flatnonzero((data & 0xC0) != 0x80), [len(data)]])  # the byte of every character
+    raw = memoryview(data.tobytes())
+    return [xxhash.xxh3_128_digest(raw[a:b]) for a, b in zip(at[starts].tolist(), at[ends].tolist())]
+
+
+def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """LINES of every line that isn't blank: its document (id and Spark's xxhash64 of the text), its number there, 128 bits of
-    its content, and its band keys if this task meets it for the first time."""
-    scheme, seen = tc.MinMax(bands, rows), set()
+    its content."""
     for batch in batches:
         ids = batch.column("doc_id").to_numpy()
         for first, _, data, offsets in tc.chunks(batch.column("text"), 1 << 18):
-            chars, starts, ends, doc, place = _lines(data, offsets)
-            at = np.concatenate([np.flatnonzero((data & 0xC0) != 0x80), [len(data)]])  # the byte of every character
+            _, starts, ends, doc, place = _lines(data, offsets)
             raw = memoryview(data.tobytes())
             marks = np.array([xxhash.xxh64_intdigest(raw[a:b], 42) for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist())], U64).view(np.int64)
-            own = [xxhash.xxh3_128_digest(raw[a:b]) for a, b in zip(at[starts].tolist(), at[ends].tolist())]
-            fresh = []
+            prints = np.frombuffer(b"".join(_prints(data, starts, ends)), np.int64).reshape(-1, 2)
+            yield pa.RecordBatch.from_arrays([pa.array(ids[first + doc]), pa.array(marks[doc]), pa.array(place.astype(np.int32)), pa.array(prints[:, 0]), pa.array(prints[:, 1])], ["doc_id", "mark", "position", "node", "other"])
+
+
+def _bands(batches: Iterator[pa.RecordBatch], bands: int, rows: int, k: int) -> Iterator[pa.RecordBatch]:
+    """(node, key) of every line that isn't blank, where this task meets it for the first time."""
+    scheme, seen = tc.MinMax(bands, rows), set()
+    for batch in batches:
+        for _, _, data, offsets in tc.chunks(batch.column("text"), 1 << 18):
+            chars, starts, ends, _, _ = _lines(data, offsets)
+            own, fresh = _prints(data, starts, ends), []
             for i, print_ in enumerate(own):
                 if print_ not in seen:
                     seen.add(print_)
                     fresh.append(i)
             if len(seen) > REMEMBERED:
                 seen.clear()
-            prints = np.frombuffer(b"".join(own), np.int64).reshape(-1, 2)
-            keys = scheme.keys(*_shingle_hashes(chars, starts[fresh], ends[fresh], k)) if fresh else np.zeros((0, bands), np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(ids[first + doc]), pa.array(marks[doc]), pa.array(place.astype(np.int32)), pa.array(prints[:, 0]), pa.array(prints[:, 1]), tc.lists(keys, np.array(fresh, int), len(own))], ["doc_id", "mark", "position", "node", "other", "keys"])
+            if fresh:
+                nodes = np.frombuffer(b"".join(own[i] for i in fresh), np.int64)[::2]
+                keys = scheme.keys(*_shingle_hashes(chars, starts[fresh], ends[fresh], k))
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(nodes, bands)), pa.array(keys.reshape(-1))], ["node", "key"])
 
 
 def _pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -141,12 +156,12 @@ def repeated_lines(docs: DataFrame, percent: int = PERCENT, bands: int = BANDS,
     """docs(doc_id, text) -> (doc_id, mark, position, first_doc_id, first_position) of the lines that repeat an earlier one; mark
     is the xxhash64 of the document's text."""
     docs = documents(docs).where("doc_id is not null and text is not null")
-    lines = written(docs.mapInArrow(lambda it: _read(it, bands, rows, shingle), LINES), "lines")
-    shared = cut(buckets(lines.select("node", F.explode("keys").alias("key"))))
+    lines = written(docs.mapInArrow(_read, LINES), "lines")
+    shared = cut(buckets(docs.mapInArrow(lambda it: _bands(it, bands, rows, shingle), "node long, key long")))
     candidates = shared.select("node").distinct()
     # lines that stand once and share no band key stay; only the places of the others are needed from here on
     often = lines.groupBy("node").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("node")
-    places = cut(lines.drop("keys").join(often.union(candidates).distinct().hint("shuffle_hash"), "node", "left_semi"))
+    places = cut(lines.join(often.union(candidates).distinct().hint("shuffle_hash"), "node", "left_semi"))
     place = F.struct("doc_id", "mark", "position")
     kinds = cut(places.groupBy("node", "other").agg(F.min(place).alias("first")))
     texts = cut(_texts(kinds.join(candidates, "node", "left_semi"), docs))
