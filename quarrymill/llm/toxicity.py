@@ -5,8 +5,8 @@ its character 4-grams. A text is read in windows of WINDOW words that overlap by
 text, so every word is read. A window's states are pooled by attention into one logit; a text's logit is its highest
 window's, calibrated by a logistic fit on labelled texts that training didn't see.
 
-Training is multiple-instance learning on a bounded sample of labelled documents (PER_LABEL a label): a toxic
-document teaches by the window that looks most toxic (at first by its words' log odds), a clean one by any window.
+Training is multiple-instance learning on a bounded sample of labelled documents (PER_LABEL, LABEL_BYTES and TEXT_BYTES are its
+bounds), in one task; the driver only receives the network. A toxic teaches by the window that looks most toxic (at first by its words' log odds), a clean one by any window.
 
 Defined results: null and blank texts score 0; a row without a doc_id is scored but never learned from; with labels of one
 kind only, or none, every text scores 0; other columns are ignored.
@@ -14,6 +14,7 @@ kind only, or none, every text scores 0; other columns are ignored.
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -28,8 +29,9 @@ from .common import held_out
 WINDOW, OVERLAP = 48, 8
 EMBED, HIDDEN, ATTEND = 12, 8, 8
 WORD_SLOTS, GRAM_SLOTS, GRAM = 1 << 15, 1 << 14, 4
-#: Labelled documents that training reads at most, about, for each label.
-PER_LABEL = 2500
+#: The sample that training reads: labelled documents for each label at most, about; bytes of their texts for each label at most;
+#: longer texts aren't sampled.
+PER_LABEL, LABEL_BYTES, TEXT_BYTES = 2500, 24_000_000, 400_000
 THRESHOLD = 0.3
 #: Passes over the training windows, at least, and steps of gradient descent, at least.
 EPOCHS, STEPS = 10, 400
@@ -229,7 +231,7 @@ class Shelf:
             slots.append(words.slots)
             grams.append(words.grams)
             bounds.append(words.bounds[1:] + n_grams)
-            index.append(own + n_words)
+            index.append((own + n_words).astype(np.int32))
             start.append(s + n_index)
             size.append(z)
             doc.append(d + first)
@@ -354,10 +356,30 @@ def _score(batches: Iterator[pa.RecordBatch], shared, threshold: float) -> Itera
             yield pa.RecordBatch.from_arrays([rows.column("doc_id"), rows.column("held_out"), pa.array(scores), pa.array((scores >= threshold).astype(np.int32))], ["doc_id", "held_out", "score", "predicted"])
 
 
+def _train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The pickled network of a sorted sample of (doc_id, text, toxic); each text teaches once, and a label's texts end with its
+    bytes."""
+    texts: list[str] = []
+    labels: list[int] = []
+    seen, left = set(), {0: LABEL_BYTES, 1: LABEL_BYTES}
+    for batch in batches:
+        for text, toxic in zip(batch.column("text").to_pylist(), batch.column("toxic").to_pylist(), strict=True):
+            left[toxic] -= len(text.encode())
+            if left[toxic] >= 0 and text not in seen:
+                seen.add(text)
+                texts.append(text)
+                labels.append(toxic)
+    del seen
+    order = np.random.default_rng(SEED).permutation(len(texts))
+    net = train([texts[i] for i in order], [labels[i] for i in order])
+    yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(net)], pa.binary())], ["net"])
+
+
 def learn(docs: DataFrame, labels: DataFrame, per_label: int = PER_LABEL) -> Network:
     """Trains on labelled documents that aren't held out: about per_label a label, chosen by a hash of their ids.
 
-    Only the chosen ids, bounded by per_label, are broadcast to fetch the texts.
+    Only the chosen ids, bounded by per_label, are broadcast to fetch the texts; the sample is bounded in rows and bytes, and
+    one task reads it. Without labels of both kinds the network is untrained.
     """
     rows = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1) & ~held_out()).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").cast("int").alias("toxic"))
     counts = {r["toxic"]: r["n"] for r in rows.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
@@ -365,9 +387,10 @@ def learn(docs: DataFrame, labels: DataFrame, per_label: int = PER_LABEL) -> Net
     draw = F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(spread))
     share = {label: int(spread * min(1.0, per_label / n)) for label, n in counts.items()}
     chosen = rows.where(F.when(F.col("toxic") == 1, draw < share.get(1, 0)).otherwise(draw < share.get(0, 0))).limit(3 * per_label)
-    found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("text is not null").join(F.broadcast(chosen), "doc_id").toPandas()
-    found = found.sort_values(["doc_id", "text"]).drop_duplicates("text")
-    return train(found["text"].tolist(), [int(x) for x in found["toxic"]])
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where(F.octet_length("text") <= TEXT_BYTES)
+    sample = texts.join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "toxic", draw.alias("draw"))
+    made = sample.repartition(1).sortWithinPartitions("toxic", "draw", "doc_id", F.xxhash64("text")).mapInArrow(_train, "net binary").first()
+    return pickle.loads(made["net"]) if made else Network.fresh()
 
 
 def score(docs: DataFrame, net: Network, threshold: float = THRESHOLD) -> DataFrame:
@@ -386,6 +409,7 @@ def _keep(batches: Iterator[pa.RecordBatch], shared, threshold: float) -> Iterat
 
 
 def keep_clean(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of docs that score under the threshold, with all columns."""
+    """The rows of docs that score under the threshold, with all columns: nulls and blanks stay, repeated rows share their
+    fate, an empty table stays empty."""
     shared = docs.sparkSession.sparkContext.broadcast(learn(docs, labels))
     return docs.mapInArrow(lambda it: _keep(it, shared, threshold), docs.schema)
