@@ -14,11 +14,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, cut
+from .common import WORD, cut, unused
 
 WEIGHTS, EPOCHS, SEED, ROUNDS = (5, 2, 1), 3, 17, 3
 #: Leading hexadecimal digits of the draw that make a slice: 4096 slices.
 SLICE_DIGITS = 3
+#: Sources up to which their table of a few numbers a source is broadcast; with more, the rows are joined by source and AQE
+#: splits hot ones.
+FEW_SOURCES = 20_000
 
 
 def sized(docs: DataFrame, *more: str) -> DataFrame:
@@ -52,6 +55,11 @@ def weighted_sources(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS) -> Dat
     return sizes.withColumn("place", place).withColumn("weight", weight)
 
 
+def few(sources: DataFrame) -> DataFrame:
+    """One row a source: to be broadcast if their number allows it."""
+    return F.broadcast(sources) if sources.count() <= FEW_SOURCES else sources
+
+
 def _first(rows: DataFrame, left: DataFrame) -> DataFrame:
     """rows(source, slice, draw, doc_id, size), left(source, rest) -> rows that fit into their source's rest, with `fits`:
     whether the row is among the first, in the order of draw, whose sizes add up to no more than the rest.
@@ -59,7 +67,7 @@ def _first(rows: DataFrame, left: DataFrame) -> DataFrame:
     Sums of the slices come first, so the running sum only needs one slice's rows in one task: a source with a third
     of all rows is spread evenly.
     """
-    rest = left.select(F.col("source").alias("s"), "rest")
+    rest = few(left.select(F.col("source").alias("s"), "rest"))
     rows = rows.join(rest, rows["source"].eqNullSafe(F.col("s"))).where((F.col("rest") > 0) & (F.col("size") <= F.col("rest"))).drop("s")
     sums = rows.groupBy("source", "slice").agg(F.sum("size").alias("held"))
     before = F.sum("held").over(Window.partitionBy("source").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1))
@@ -86,7 +94,7 @@ def planned(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, epochs: float =
         split = cut(_first(open_, left))
         taken.append(split.where("fits").drop("fits"))
         used = taken[-1].groupBy(F.col("source").alias("s")).agg(F.sum("size").alias("used"))
-        left = left.join(used, left["source"].eqNullSafe(F.col("s")), "left").select("source", (F.col("rest") - F.coalesce("used", F.lit(0))).alias("rest"))
+        left = cut(left.join(used, left["source"].eqNullSafe(F.col("s")), "left").select("source", (F.col("rest") - F.coalesce("used", F.lit(0))).alias("rest")))
         open_ = split.where("not fits").drop("fits")
     extra = taken[0]
     for more in taken[1:]:
@@ -94,7 +102,7 @@ def planned(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, epochs: float =
     counts = rows.withColumn("extra", F.lit(0)).unionByName(extra.select(*rows.columns).withColumn("extra", F.lit(1)))
     # equal rows are one group: n of them, of which `extra` are taken once more
     groups = counts.groupBy("doc_id", "source", "size").agg(F.sum(1 - F.col("extra")).alias("n"), F.sum("extra").alias("extra"))
-    p = plan.select(F.col("source").alias("s"), "source_size", "target", "whole")
+    p = few(plan.select(F.col("source").alias("s"), "source_size", "target", "whole"))
     return groups.join(p, groups["source"].eqNullSafe(F.col("s"))).drop("s")
 
 
@@ -118,8 +126,8 @@ def _keys() -> list[Column]:
 def mix(docs: DataFrame, **options) -> DataFrame:
     """docs, every row as many times as the mix takes it, rows without a doc_id as well. Of rows that are alike in doc_id, source
     and size, those first in the order of a hash of their text get the extra repetitions."""
-    names = ["_id", "_source", "_size"]
-    keys = sized(docs.select("*", F.struct("*").alias("_row")), "_row").select("_row", *_keys())
+    names, row = ["_id", "_source", "_size"], unused(docs, "_row")
+    keys = sized(docs.withColumn(row, F.struct(*[docs[c] for c in docs.columns])), row).select(F.col(row).alias("_row"), *_keys())
     plan = planned(docs, **options).select(*_keys(), "n", "extra", "whole")
     joined = keys.join(plan, names)
     # only in groups of which some rows are taken once more do the numbers matter: the others are spread
