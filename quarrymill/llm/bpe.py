@@ -68,6 +68,7 @@ class Encoder:
         self.split = regex.compile(file.pattern.replace(r"\s", _SPACE))
         self.special = regex.compile("(" + "|".join(regex.escape(s) for s in sorted(file.special, key=len, reverse=True)) + ")") if file.special else None
         self.longest = max(map(len, file.vocab))
+        self.leads = {s[0] for s in file.special if s}
         self.names = {i: t for t, i in file.vocab.items()} | {i: t for t, i in file.special.items()}
         self.joined: dict[tuple[str, str], bool] = {}
         self.whole: dict[str, bool] = {}
@@ -144,7 +145,7 @@ class Encoder:
     def cut(self, text: str) -> list[tuple[bool, str]]:
         """(is a special token, piece) of a text in order; words are normalised."""
         out: list[tuple[bool, str]] = []
-        for i, part in enumerate(self.special.split(text) if self.special and "<" in text else [text]):
+        for i, part in enumerate(self.special.split(text) if any(c in text for c in self.leads) else [text]):
             if i % 2:
                 out.append((True, part))
             elif part:

@@ -5,13 +5,19 @@ from __future__ import annotations
 import os
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from . import bpe, chat, langid, line_dedup, mixing, near_dedup, oracles, quality, topk, toxicity, unigram
 from .common import read
 
-#: Where the public tokenizers' vocabulary files are; QUARRYMILL_TOKENIZERS overrides it.
-TOKENIZERS = os.environ.get("QUARRYMILL_TOKENIZERS", "/opt/tokenizers")
+
+
+def tokenizer(name: str) -> str:
+    """The place of a public tokenizer's file: in the folder that QUARRYMILL_TOKENIZERS names, else in the public_tokenizers
+    package."""
+    folder = os.environ.get("QUARRYMILL_TOKENIZERS")
+    return os.path.join(folder, name) if folder else public_tokenizers.path(name)
 
 
 def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -29,7 +35,7 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row a document: doc_id, n_tokens."""
-    return unigram.token_counts(read(spark, sf_dir, "documents"), unigram.vocabulary(f"{TOKENIZERS}/piece_bpe_32k.model"))
+    return unigram.token_counts(read(spark, sf_dir, "documents"), unigram.vocabulary(tokenizer("piece_bpe_32k.model")))
 
 
 def op5_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -56,7 +62,7 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_bpe_encode_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bpe.digests(read(spark, sf_dir, "documents"), f"{TOKENIZERS}/word_bpe_49k.json")
+    return bpe.digests(read(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {

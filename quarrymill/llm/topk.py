@@ -9,8 +9,9 @@ A block reports no bins below its own kth best score: the kth best score of all
 most k rows for a query and block, however many candidates tie.
 
 Defined results: vectors that are null or hold null or non-finite components take no part; vectors of different lengths
-are never scored against each other; rows without an id take no part; rows with the query's own id aren't candidates;
-fewer than k candidates are all returned; other columns are ignored.
+are never scored against each other; rows without an id take no part; rows with the query's own id aren't candidates; of query
+rows that share an id the one with the least vector asks, while candidate rows that share an id are candidates each; fewer
+than k candidates are all returned; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -79,13 +80,14 @@ def _histograms(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.Record
 
 def _select(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
     for queries, ids, scores in _scored(batches):
-        order = np.argsort(ids, kind="stable")
+        order, found = np.argsort(ids, kind="stable"), []
         for q, row in zip(queries, scores, strict=True):
             above = np.flatnonzero((row > q["low"]) & (row > _LOWEST))
             ties = order[(row[order] == q["low"])][:k] if q["low"] > _LOWEST else order[:0]
-            own = np.concatenate([above, ties])
-            if len(own):
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(own), q["vec_id"], np.int64)), pa.array(ids[own]), pa.array(row[own])], ["query_id", "vec_id", "score"])
+            found.append(np.concatenate([above, ties]))
+        at, own = np.repeat(np.arange(len(queries)), [len(x) for x in found]), np.concatenate(found)
+        names = np.array([q["vec_id"] for q in queries], np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(names[at]), pa.array(ids[own]), pa.array(scores[at, own])], ["query_id", "vec_id", "score"])
 
 
 def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, scale: int = SCALE) -> DataFrame:
@@ -93,7 +95,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, scale: int = SCAL
     spark = vectors.sparkSession
     groups = int(spark.conf.get("spark.sql.shuffle.partitions"))
     blocks = cut(integer_vectors(vectors, scale).mapInArrow(_pack, "block long, dim int, ids binary, numbers binary, norm double"))
-    asked = cut(integer_vectors(queries, scale))
+    asked = cut(integer_vectors(queries, scale).groupBy("vec_id").agg(F.min("v").alias("v")))
     n_blocks = max(1, -(-asked.count() // QUERY_BLOCK))
     norm = blocks.agg(F.max("norm")).first()[0] or 0.0
     own = F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x.cast("double") * x))

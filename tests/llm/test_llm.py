@@ -334,7 +334,7 @@ def fuzz(n):
 def test_bpe_equals_the_library(spark):
     from tokenizers import Tokenizer
 
-    path = f"{queries.TOKENIZERS}/word_bpe_49k.json"
+    path = queries.tokenizer("word_bpe_49k.json")
     library, texts = Tokenizer.from_file(path), fuzz(400)
     docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)] + [(len(texts), None)], "doc_id long, text string")
     for r in bpe.digests(docs, path).collect():
@@ -351,7 +351,7 @@ def test_bpe_equals_the_library(spark):
 def test_token_counts_equal_the_library(spark):
     from tokenizers import Tokenizer, models, pre_tokenizers
 
-    vocab = unigram.vocabulary(f"{queries.TOKENIZERS}/piece_bpe_32k.model")
+    vocab = unigram.vocabulary(queries.tokenizer("piece_bpe_32k.model"))
     library = Tokenizer(models.Unigram(vocab, unk_id=0, byte_fallback=False))
     library.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.Metaspace(replacement=unigram.MARK, prepend_scheme="always")])
     texts = [t.replace(unigram.MARK, "") for t in fuzz(400)]
@@ -396,6 +396,6 @@ def test_pipeline_equals_plain_mix_and_library(spark, tmp_path):
     assert any(doc is None and n for doc, _, n in wanted)
     out = corpus_pipeline.run(spark, str(tmp_path)).collect()
     assert Counter(r["doc_id"] for r in out) == sum((Counter({doc: k}) for (doc, _, _), k in wanted.items()), Counter())
-    library = Tokenizer.from_file(f"{queries.TOKENIZERS}/word_bpe_49k.json")
+    library = Tokenizer.from_file(queries.tokenizer("word_bpe_49k.json"))
     digest = lambda r: hashlib.sha256(np.array(library.encode(r["text"] or "", add_special_tokens=False).ids, "<u4").tobytes()).hexdigest()
     assert {(r["doc_id"], r["ids_sha256"]) for r in out} <= {(r["doc_id"], digest(r)) for r in rows}
