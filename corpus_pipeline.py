@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from quarrymill.llm import bpe, line_dedup, mixing, near_dedup, toxicity
 from quarrymill.llm.common import read, shared_folder
-from quarrymill.llm.queries import TOKENIZERS
+from quarrymill.llm.queries import tokenizer
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -38,7 +38,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token counts and digests of the encoding and the decoding, one row a document of the mix."""
-    return bpe.digests(docs, f"{TOKENIZERS}/word_bpe_49k.json")
+    return bpe.digests(docs, tokenizer("word_bpe_49k.json"))
 
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
