@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import random
 import re
+import unicodedata
 import zlib
 from collections import Counter
 
@@ -89,6 +90,81 @@ def test_near_dedup_of_nothing(spark):
     assert near_dedup.near_duplicates(small_docs(spark).limit(0)).count() == 0
 
 
+def test_buckets_stream(monkeypatch):
+    import pyarrow as pa
+
+    rng = random.Random(5)
+    rows = sorted(((rng.randrange(40) ** 2, rng.randrange(60)) for _ in range(400)), key=lambda r: r[0])
+    for size in (1, 2, 7, 1000):
+        batches = [pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows[i : i + size]], pa.int64()) for c in (0, 1)], ["key", "node"]) for i in range(0, len(rows), size)]
+        got = {(k, n) for out in components._shared(iter(batches)) for k, n in zip(out.column("key").to_pylist(), out.column("node").to_pylist())}
+        held = {}
+        for k, n in rows:
+            held.setdefault(k, set()).add(n)
+        assert got == {(k, n) for k, own in held.items() if len(own) > 1 for n in own}
+
+
+def test_a_large_group_of_near_lines_gives_few_candidates(spark):
+    """5000 near lines: candidates and pairs of blocks grow with the group, and all end up in one component."""
+    base = prose(random.Random(7), 60).split(" ")
+    lines = [" ".join([*base[:30], f"w{i}", *base[30:]]) for i in range(5000)]
+    docs = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")
+    bands = docs.mapInArrow(lambda it: line_dedup._bands(it, line_dedup.BANDS, line_dedup.ROWS, line_dedup.SHINGLE), "node long, key long")
+    shared = components.buckets(bands)
+    assert components.stars(shared).count() <= line_dedup.BANDS * 5000
+    assert {r["first_doc_id"] for r in line_dedup.repeated_lines(docs).collect()} == {0}
+
+
+def test_ids_of_any_size_and_shared_ids(spark):
+    line = prose(random.Random(8), 40)
+    rows = [(2**61, line, "a"), (-(2**62), line, "b"), (7, line, "c"), (7, "own words of the other text\n" + line, "d"), (7, line, "e")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _id string").withColumns({"_dropped": F.lit(1), "_mark": F.lit(2)})
+    edited = line_dedup.edit_documents(docs)
+    assert edited.columns == docs.columns
+    assert {(r["_id"], r["text"]) for r in edited.collect()} == {("b", line), ("d", "own words of the other text")}
+
+
+def test_clashing_columns(spark):
+    docs = small_docs(spark).withColumns({c: F.lit(c) for c in ("_gone", "_order", "_id", "_row", "_source", "_size", "_times", "_copy")})
+    kept = near_dedup.keep_one(docs)
+    assert kept.columns == docs.columns and kept.count() < docs.count()
+    mixed = mixing.mix(docs)
+    assert mixed.columns == docs.columns and mixed.count() > 0
+    renamed = docs.withColumns({"n_tokens": F.lit("x"), "ids_sha256": F.lit("y"), "wanted": F.lit("z")})
+    assert bpe.digests(renamed, queries.tokenizer("word_bpe_49k.json")).count() == docs.count()
+    assert unigram.token_counts(renamed, [("<unk>", 0.0), ("a", -1.0)]).count() == docs.count()
+
+
+def test_empty_tables(spark):
+    docs = small_docs(spark).limit(0)
+    assert langid.identify(docs).count() == 0 and quality.quality(docs).count() == 0
+    assert unigram.token_counts(docs, [("<unk>", 0.0), ("a", -1.0)]).count() == 0
+    assert chat.format_chats(spark.createDataFrame([], "conv_id long, turn long, role string, text string")).count() == 0
+    assert toxicity.keep_clean(docs, spark.createDataFrame([], "doc_id long, toxic int")).count() == 0
+
+
+def test_repeated_rows_are_encoded_alike(spark):
+    docs = small_docs(spark).where("doc_id < 9")
+    twice = docs.union(docs)
+    for of in (lambda d: bpe.digests(d, queries.tokenizer("word_bpe_49k.json")), lambda d: unigram.token_counts(d, [("<unk>", 0.0), ("a", -1.0), ("b", -2.0)])):
+        once = Counter(map(str, of(docs).collect()))
+        assert Counter(map(str, of(twice).collect())) == Counter({k: 2 * n for k, n in once.items()})
+
+
+def test_top_k_of_repeated_rows(spark):
+    rng = np.random.default_rng(4)
+    rows = [(i, [float(x) for x in rng.normal(size=4)]) for i in range(30)]
+    rows += [(0, rows[0][1]), (20, [float(x) for x in rng.normal(size=4)])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    whole = [(i, np.floor(1024 * np.array(v, np.float32).astype(float)).astype(int)) for i, v in rows]
+    got = {}
+    for r in topk.top_k(df, df.where("vec_id % 20 = 0"), 10).orderBy("query_id", "rank").collect():
+        got.setdefault(r["query_id"], []).append((r["score"], r["vec_id"]))
+    for q in (0, 20):
+        asked = min((v.tolist() for i, v in whole if i == q))
+        assert got[q] == [(-s, v) for s, v in sorted((-int(np.array(asked) @ x), v) for v, x in whole if v != q)][:10]
+
+
 def test_components(spark):
     links = spark.createDataFrame([(i + 1, i) for i in range(60)] + [(200, 100), (300, 200), (300, 100)], "a long, b long")
     assert {r["label"] for r in components.components(links).where("node <= 60").collect()} == {0}
@@ -261,17 +337,70 @@ def test_language_id(spark):
     assert {r["lang_pred"] for r in langid.identify(nothing).collect()} == {"und"}
 
 
-def test_kneser_ney_sums_to_one():
-    import pandas as pd
-
-    text = "the cat sat on the mat and the dog sat on the log".encode()
-    codes, _, _ = langid.grams(np.frombuffer(text, np.uint8), np.array([0, len(text)]))
-    grams, n = np.unique(codes, return_counts=True)
-    model = langid.build(pd.DataFrame({"lang": "en", "gram": grams, "n": n}))
-    for context in (int(codes[5]) >> 5, 12345 % langid.CONTEXTS):
-        every = np.arange(langid.SYMBOLS, dtype=np.int32) + np.int32(context * langid.SYMBOLS)
-        total = sum(np.exp(-model.entropies(np.array([c], np.int32), np.zeros(1, np.int64), 1)[0, 0]) for c in every)
-        assert total == pytest.approx(1.0, abs=1e-4)
+def plain_kneser_ney(texts):
+    """Interpolated Kneser-Ney over 4-grams with a cut-off of two, by dictionaries: a function of a gram."""
+    counts = {4: Counter()}
+    for text in texts:
+        symbols = []
+        for char in text:
+            code = ord(char.lower()[0]) if unicodedata.category(char)[0] in "LM" else 0
+            if code or (symbols and symbols[-1]):
+                symbols.append(code)
+        padded = [0, 0, 0, *symbols]
+        counts[4].update(tuple(padded[i : i + 4]) for i in range(len(symbols)))
+    for k in (3, 2, 1):
+        counts[k] = Counter(g[1:] for g in counts[k + 1])
+
+    def discount(k):
+        one, two = (sum(n == i for n in counts[k].values()) for i in (1, 2))
+        return min(max(one / (one + 2 * two), 0.1), 0.95) if one + two else 0.5
+
+    d = {k: discount(k) for k in counts}
+
+    def probability(gram):
+        if not gram:
+            return 1 / 65536
+        after = {g: n for g, n in counts[len(gram)].items() if g[:-1] == gram[:-1]}
+        total = sum(after.values())
+        if not total:
+            return probability(gram[1:])
+        own = {g: max(n - d[len(gram)], 0) for g, n in after.items() if len(gram) < 4 or n >= 2}
+        return own.get(gram, 0) / total + (1 - sum(own.values()) / total) * probability(gram[1:])
+
+    return probability
+
+
+def test_kneser_ney_equals_plain_version(spark):
+    texts = {"en": ["the cat sat on the mat, and the dog sat on the log", "the cat ran to the other mat"], "ru": ["кот сидел на коврике и собака сидела", "кот кот коврик"], "zh": ["我喜欢喝茶，你喜欢喝茶", "喝茶"]}
+    model = langid.fit(spark.createDataFrame([(t, lang) for lang, own in texts.items() for t in own], "text string, lang string"))
+    assert model.langs == sorted(texts)
+    for text in [t for own in texts.values() for t in own] + ["zebra кот 喜欢 the xx \U0001d400"]:
+        raw = text.encode()
+        codes, _, _ = langid.grams(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]))
+        for code, logs in zip(codes.tolist(), model.logs(codes)):
+            gram = tuple((code >> (16 * j)) & 0xFFFF for j in (3, 2, 1, 0))
+            for lang, log in zip(model.langs, logs):
+                assert np.exp(log) == pytest.approx(plain_kneser_ney(texts[lang])(gram), abs=1e-6)
+
+
+def test_languages_of_one_script_are_told_apart(spark):
+    words = {
+        "ru": "этот большой дом стоит у старой реки где вода всегда быстрая и холодная",
+        "uk": "цей великий будинок стоїть біля старої річки де вода завжди швидка і холодна",
+        "bg": "тази голяма къща стои до старата река където водата винаги е бърза и студена",
+        "el": "αυτό το μεγάλο σπίτι στέκεται δίπλα στο παλιό ποτάμι όπου το νερό είναι κρύο",
+        "zh": "这座 大 房子 站在 古老 的 河边 那里 的 水 总是 又快 又冷",
+        "ja": "この 大きな 家 は 古い 川 の そば に 立って いて 水 は いつも 冷たい",
+        "da": "dette store hus står ved den gamle å hvor vandet altid er hurtigt og koldt",
+        "sv": "detta stora hus står vid den gamla ån där vattnet alltid är snabbt och kallt",
+    }
+    rng = random.Random(3)
+    rows = [(i * len(words) + j, " ".join(rng.choices(own.split(), k=8)), lang) for i in range(60) for j, (lang, own) in enumerate(words.items())]
+    held = [r for r in langid.identify(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect() if r["held_out"]]
+    true = {i: lang for i, _, lang in rows}
+    for lang in words:
+        own = [r["lang_pred"] == lang for r in held if true[r["doc_id"]] == lang]
+        assert sum(own) >= 0.95 * len(own), lang
 
 
 def test_gradients_are_right():
@@ -319,6 +448,54 @@ def test_toxicity(spark):
     assert {r["score"] for r in toxicity.score(docs, untrained).collect()} == {0.0}
 
 
+def plain_logit(net, words):
+    """A window's logit by loops over words and units."""
+    embed = [net.p["word"][s] + np.mean([net.p["gram"][g] for g in own], axis=0) for s, own in words]
+    hidden, states = toxicity.HIDDEN, [[], []]
+    for side, d in enumerate("fb"):
+        h = np.zeros(hidden)
+        for x in embed if d == "f" else embed[::-1]:
+            a, g = x @ net.p[f"x{d}"] + net.p[f"c{d}"], h @ net.p[f"u{d}"]
+            z, r = (1 / (1 + np.exp(-(a[i : i + hidden] + g[i : i + hidden]))) for i in (0, hidden))
+            h = z * h + (1 - z) * np.tanh(a[2 * hidden :] + r * g[2 * hidden :])
+            states[side].append(h)
+    both = [np.concatenate(x) for x in zip(states[0], states[1][::-1])]
+    e = np.array([np.tanh(s @ net.p["aw"] + net.p["ac"]) @ net.p["av"] for s in both])
+    w = np.exp(e - e.max())
+    return float(sum(wi * s for wi, s in zip(w / w.sum(), both)) @ net.p["ow"] + net.p["oc"][0])
+
+
+def test_scores_equal_plain_forward_pass(spark):
+    rng = np.random.default_rng(2)
+    net = toxicity.Network.fresh(3)
+    net.p["word"] += rng.normal(size=net.p["word"].shape).astype(np.float32)
+    net.p["gram"] += rng.normal(size=net.p["gram"].shape).astype(np.float32)
+    net.trained, net.slope, net.shift = True, 1.3, -0.2
+    texts = [prose(random.Random(i), n) for i, n in enumerate((1, 7, 48, 49, 100, 130))]
+    got = {r["doc_id"]: r["score"] for r in toxicity.score(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), net).collect()}
+    for i, text in enumerate(texts):
+        words, index, first = toxicity.read_words(np.frombuffer(text.encode(), np.uint8), np.array([0, len(text.encode())]))
+        own = [(words.slots[w], words.grams[words.bounds[w] : words.bounds[w + 1]]) for w in index]
+        starts = [0] if len(own) <= 48 else [*range(0, len(own) - 48, 40), len(own) - 48]
+        best = max(plain_logit(net, own[s : s + 48]) for s in starts)
+        assert got[i] == pytest.approx(1 / (1 + np.exp(-(1.3 * best - 0.2))), abs=1e-4)
+
+
+def test_verdict_comes_through_the_network(spark):
+    """Words that are harmless alone are toxic in one order: no sum of word odds can tell."""
+    rng = random.Random(12)
+    rows = []
+    for i in range(900):
+        words = prose(rng, 14).split(" ")
+        at = rng.randrange(12)
+        words[at : at + 2] = ["alpha", "omega"] if i % 2 else ["omega", "alpha"]
+        rows.append((i, " ".join(words), i % 2))
+    net = toxicity.train([t for _, t, _ in rows[:700]], [y for _, _, y in rows[:700]])
+    got = {r["doc_id"]: r["score"] for r in toxicity.score(spark.createDataFrame([r[:2] for r in rows[700:]], "doc_id long, text string"), net).collect()}
+    positive, negative = ([got[i] for i, _, y in rows[700:] if y == label] for label in (1, 0))
+    assert np.mean([p > n for p in positive for n in negative]) > 0.9
+
+
 def test_windows_cover_every_word():
     for n in (0, 1, 47, 48, 49, 88, 89, 500):
         start, size, _ = toxicity.windows(np.array([3, 3 + n]))
@@ -371,15 +548,30 @@ def test_chat_collapse(spark):
 
 
 def test_pipeline(spark):
+    """Every stage against a plain version of its work on what the stage before it kept."""
     corpus_pipeline = pytest.importorskip("corpus_pipeline")
     assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "line_dedup", "near_dedup", "mixing", "bpe"]
-    docs = spark.read.parquet(f"{SF}/documents.parquet")
-    left = docs
-    for name, stage in corpus_pipeline.STAGES[:4]:
-        left = stage(spark, left, SF)
-        assert left.columns == docs.columns, name
-    out = corpus_pipeline.run(spark, SF)
-    assert out.columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"] and 0 < out.count()
+    stages = dict(corpus_pipeline.STAGES)
+    docs = small_docs(spark, ["\n".join([prose(random.Random(i % 3), 30), prose(random.Random(50 + i), 20)]) for i in range(6)]).where("length(text) < 100000 or text is null")
+    plain = lambda df: Counter((r["doc_id"], r["text"]) for r in df.collect())
+    clean = stages["toxicity"](spark, docs, SF)
+    assert clean.columns == docs.columns and plain(clean) <= plain(docs)
+    lined = stages["line_dedup"](spark, docs, SF)
+    rows = docs.collect()
+    wanted = brute_components(line_sets(rows), alike)
+    left = Counter()
+    for r in rows:
+        lines = (r["text"] or "").split("\n")
+        text = "\n".join(x for i, x in enumerate(lines) if wanted.get((r["doc_id"], i), (r["doc_id"], i)) == (r["doc_id"], i)) if r["doc_id"] is not None and r["text"] is not None else r["text"]
+        if text == r["text"] or WORD.search(text):
+            left[(r["doc_id"], text)] += 1
+    assert plain(lined) == left
+    near = stages["near_dedup"](spark, lined, SF)
+    sets = {r["doc_id"]: shingle_set(r["text"], 5) for r in lined.collect() if r["doc_id"] is not None}
+    heads = {i for i, head in brute_components(sets, alike).items() if i == head}
+    assert Counter(r["doc_id"] for r in near.collect() if r["doc_id"] is not None) == Counter(heads)
+    assert near.where("doc_id is null").count() == lined.where("doc_id is null").count()
+    assert all(stages[n](spark, docs.limit(0), SF).count() == 0 for n in ("toxicity", "line_dedup", "near_dedup", "mixing", "bpe"))
 
 
 def test_pipeline_equals_plain_mix_and_library(spark, tmp_path):
