@@ -70,12 +70,11 @@ class Encoder:
         self.longest = max(map(len, file.vocab))
         self.leads = {s[0] for s in file.special if s}
         self.names = {i: t for t, i in file.vocab.items()} | {i: t for t, i in file.special.items()}
-        self.joined: dict[tuple[str, str], bool] = {}
+        self.joined: dict[str, bool] = {}
         self.whole: dict[str, bool] = {}
         #: word -> (ids as little-endian 32-bit integers, tokens joined by spaces in UTF-8)
         self.words: dict[str, tuple[bytes, bytes]] = {}
-        for text, i in file.special.items():
-            self.fixed = getattr(self, "fixed", {}) | {text: (np.array([i], "<u4").tobytes(), text.encode())}
+        self.fixed = {text: (np.array([i], "<u4").tobytes(), text.encode()) for text, i in file.special.items()}
 
     def merge(self, parts: list[str]) -> list[str]:
         """BPE by its definition: the pair of the lowest rank, the leftmost first, again and again."""
@@ -100,10 +99,11 @@ class Encoder:
 
     def apart(self, left: str, right: str) -> bool:
         """Whether encoding left + right gives these two tokens."""
-        if (known := self.joined.get((left, right))) is None:
+        pair = f"{left}\0{right}"
+        if (known := self.joined.get(pair)) is None:
             if len(self.joined) >= REMEMBERED:
                 self.joined.clear()
-            known = self.joined[left, right] = self.merge(self.symbols(left) + self.symbols(right)) == [left, right]
+            known = self.joined[pair] = self.merge(self.symbols(left) + self.symbols(right)) == [left, right]
         return known
 
     def last(self, path: list[str], symbols: str, depth: int, suffix: str) -> str:

@@ -78,11 +78,17 @@ def _alike(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
 
 def _confirm(batches: Iterator[pa.RecordBatch], sets: Sets, percent: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        # each distinct text of the batch is cut into elements once
-        coded = pa.concat_arrays([batch.column("text_a"), batch.column("text_b")]).dictionary_encode()
-        own, index = list(sets(coded.dictionary)), coded.indices.to_numpy()
-        good = [_alike(own[p], own[q], percent) for p, q in zip(index[: len(batch)], index[len(batch) :], strict=True)]
-        yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(good, pa.bool_()))
+        volume = np.cumsum(pc.add(pc.binary_length(batch.column("text_a")), pc.binary_length(batch.column("text_b"))).to_numpy())
+        first = 0
+        while first < len(batch):
+            end = max(first + 1, int(np.searchsorted(volume, RUN_BYTES + (volume[first - 1] if first else 0), "right")))
+            rows = batch.slice(first, end - first)
+            # each distinct text of the run is cut into elements once
+            coded = pa.concat_arrays([rows.column("text_a"), rows.column("text_b")]).dictionary_encode()
+            own, index = list(sets(coded.dictionary)), coded.indices.to_numpy()
+            good = [_alike(own[p], own[q], percent) for p, q in zip(index[: len(rows)], index[len(rows) :], strict=True)]
+            yield pa.RecordBatch.from_arrays([rows.column("a"), rows.column("b")], ["a", "b"]).filter(pa.array(good, pa.bool_()))
+            first = end
 
 
 def confirmed(links: DataFrame, texts: DataFrame, sets: Sets, percent: int) -> DataFrame:

@@ -25,7 +25,7 @@ _powers: dict[str, np.ndarray] = {}
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """_BASE and its inverse modulo 2**64, to the powers 0 .. n - 1."""
     if len(_powers.get("up", ())) < n:
-        size = max(n, 1 << 21)
+        size = max(n, 1 << 20)
         for name, base in (("up", _BASE), ("down", pow(_BASE, -1, 1 << 64))):
             steps = np.full(size, base, U64)
             steps[0] = 1

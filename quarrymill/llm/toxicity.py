@@ -36,6 +36,8 @@ THRESHOLD = 0.3
 #: Passes over the training windows, at least, and steps of gradient descent, at least.
 EPOCHS, STEPS = 10, 400
 BATCH, RATE, SEED = 128, 0.01, 5
+#: Bytes of text that are read at a time, about.
+RUN = 1 << 19
 EMBED_RATE, DECAY = 1.0, 1e-5
 #: Documents added to each side of the odds that embeddings start from, and the scale of their logarithm.
 SHRINK, ODDS_SCALE = 2.0, 0.5
@@ -70,7 +72,7 @@ def read_words(data: np.ndarray, offsets: np.ndarray) -> tuple[Words, np.ndarray
         char = np.where((place >= 0) & (place < word_size), low[np.clip(word_start + place, 0, max(len(low) - 1, 0))], 1) if len(low) else code
         code = code * np.uint32(257) + char.astype(np.uint32)
     code = (code ^ (code >> np.uint32(15))) * np.uint32(0x2C1B3C6D)
-    words = Words((distinct >> U64(49)).astype(np.int64) % WORD_SLOTS, ((code >> np.uint32(16)) % GRAM_SLOTS).astype(np.int64), bounds)
+    words = Words(((distinct >> U64(49)) % U64(WORD_SLOTS)).astype(np.int32), ((code >> np.uint32(16)) % GRAM_SLOTS).astype(np.int32), bounds)
     return words, index.reshape(-1), np.concatenate([[0], np.cumsum(np.bincount(doc, minlength=len(offsets) - 1))])
 
 
@@ -225,7 +227,7 @@ class Shelf:
     def fill(cls, texts: list[str]) -> "Shelf":
         slots, grams, bounds, index, start, size, doc, run, first_word = [], [], [np.zeros(1, np.int64)], [], [], [], [], [], [0]
         n_words = n_index = n_grams = 0
-        for first, end, data, offsets in tc.chunks(pa.array(texts, pa.string())):
+        for first, end, data, offsets in tc.chunks(pa.array(texts, pa.string()), RUN):
             words, own, begins = read_words(data, offsets)
             s, z, d = windows(begins)
             slots.append(words.slots)
@@ -287,12 +289,12 @@ def train(texts: list[str], labels: list[int], epochs: int = EPOCHS, steps: int
     seen = {"word": np.zeros((2, WORD_SLOTS)), "gram": np.zeros((2, GRAM_SLOTS))}
     for run in range(len(shelf.first_word) - 1):
         own = np.flatnonzero((shelf.run == run) & learns[doc])
-        pairs = np.unique((at[own] * n + doc[own][:, None])[mask[own]])  # distinct words of each document
+        pairs = np.unique((at[own].astype(np.int64) * n + doc[own][:, None])[mask[own]])  # distinct words of each document
         word, owner = pairs // n, pairs % n
         sizes = np.diff(words.bounds)[word]
         which = np.arange(sizes.sum()) + np.repeat(words.bounds[word] - np.cumsum(sizes) + sizes, sizes)
         for name, slots, docs in (("word", words.slots[word], owner), ("gram", words.grams[which], np.repeat(owner, sizes))):
-            pairs = np.unique(slots * n + docs)
+            pairs = np.unique(slots.astype(np.int64) * n + docs)
             for label in (0, 1):
                 seen[name][label] += np.bincount(pairs[y[pairs % n] == label] // n, minlength=seen[name].shape[1])
     for name, (clean_, toxic_) in seen.items():
@@ -344,7 +346,7 @@ def train(texts: list[str], labels: list[int], epochs: int = EPOCHS, steps: int
 def _score(batches: Iterator[pa.RecordBatch], shared, threshold: float) -> Iterator[pa.RecordBatch]:
     net: Network = shared.value
     for batch in batches:
-        for first, end, data, offsets in tc.chunks(batch.column("text")):
+        for first, end, data, offsets in tc.chunks(batch.column("text"), RUN):
             n, scores = end - first, np.zeros(end - first)
             words, index, bounds = read_words(data, offsets)
             start, size, doc = windows(bounds)
