@@ -15,11 +15,12 @@ from ..config import COMPLEX_MARKERS, HYBRID, INTENT_SUFFIX, SPLIT_TOKENS, STOP_
 TOKEN_BREAK = r"(?U)[\s,，。！？!?:：;；()（）\[\]{}<>《》、/\\\-|_]+"
 #: Fixed value: the characters that lookup keys leave out.
 KEY_DROP = r"(?U)[\s\-_/\\|·•,，。！？!?:：;；'\"“”‘’()（）\[\]{}<>《》、]+"
+#: Forms of codes, and of text in CJK characters alone.
 CODE_PREFIXED = r"\b[a-zA-Z]{1,4}\s*[-_/]?\s*\d{2,10}[a-zA-Z]{0,2}\b"
 CODE_SUFFIXED = r"\b\d{2,10}[a-zA-Z]{1,4}\b"
 CJK = r"^[一-鿿]+$"
 #: A new paragraph starts at such a line.
-HEADING = r"(?=[一二三四五六七八九十]+、|\d+\.|[A-Z]\.)"
+HEADING = r"(?=[一二三四五六七八九十]、|\d+\.|[A-Z]\.)"
 
 
 @F.pandas_udf(StringType())
@@ -38,33 +39,43 @@ def compatible(text: Column, ascii_only: bool = False) -> Column:
 
 
 def trim_all(text: Column) -> Column:
-    return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
+    return F.regexp_replace(text, r"(?U)^[\s\x1C-\x1F]+|[\s\x1C-\x1F]+$", "")
 
 
 def normalise(text: Column) -> Column:
-    """Line ends to \\n, tabs and no-break spaces to spaces, runs of spaces to one, three or more line breaks to two."""
-    out = F.regexp_replace(text, "\r\n?", "\n")
-    out = F.regexp_replace(out, "[ \t]", " ")
+    """Line ends to \\n, no-break spaces to spaces, runs of tabs, form feeds and vertical tabs to one space, three or more line
+    breaks to two, runs of spaces to one; stripped."""
+    out = F.translate(F.regexp_replace(text, "\r\n?", "\n"), "\u00a0", " ")
+    out = F.regexp_replace(out, r"[\t\f\x0B]+", " ")
     out = F.regexp_replace(out, "\n{3,}", "\n\n")
     return trim_all(F.regexp_replace(out, " {2,}", " "))
 
 
 #: What makes a text look like markdown.
-MARKDOWN_SIGNS = (r"(?m)^#{1,6}\s+\S", r"(?m)^\s*[-*+]\s+\S", r"(?m)^\s*\d+\.\s+\S", r"(?m)^```", r"(?m)^>\s+\S", r"\[[^\]]+\]\([^)]+\)")
+MARKDOWN_SIGNS = (r"^#{1,6}\s", r"^[-*]\s", r"^\d+\.\s", r"^\|.*\|", r"^```", r"\n##\s")
+#: Lines that become headings.
+HEADING_LINES = (r"^第[一二三四五六七八九十百0-9]+章", r"^[一二三四五六七八九十]+、", r"^\(?[一二三四五六七八九十]+\)", r"^\d+(?:\.\d+){0,2}\s+")
 
 
 def looks_like_markdown(text: Column) -> Column:
     found = F.lit(False)
     for sign in MARKDOWN_SIGNS:
-        found = found | text.rlike(sign)
-    return found
+        found = found | text.rlike(f"(?mdU){sign}")  # \\n alone ends a line
+    return F.coalesce(found, F.lit(False))
 
 
 def infer_headings(text: Column) -> Column:
-    """Lines such as `第三章 …`, `2. …` or `2.1 …` (at most 60 characters) become second-level headings."""
-    heading = r"^(第[一二三四五六七八九十百\d]+[章节部分]|[一二三四五六七八九十]+、|\d+(\.\d+)*[.、]?\s)"
-    line = lambda x: F.when(F.trim(x).rlike(heading) & (F.length(F.trim(x)) <= 60) & ~F.trim(x).startswith("#"), F.concat(F.lit("## "), F.trim(x))).otherwise(x)
-    return F.array_join(F.transform(F.split(text, "\n", -1), line), "\n")
+    """Lines are stripped, those that look like chapter or section titles become second-level headings, and the whole is
+    normalised."""
+
+    def line(x: Column) -> Column:
+        title = F.lit(False)
+        for sign in HEADING_LINES:
+            title = title | x.rlike(f"(?U){sign}")
+        return F.when(title, F.concat(F.lit("## "), x)).otherwise(x)
+
+    stripped = F.transform(F.split(text, "\n", -1), trim_all)
+    return normalise(F.array_join(F.transform(stripped, line), "\n"))
 
 
 def tokens(text: Column, stop_words: tuple[str, ...] = STOP_WORDS) -> Column:

@@ -87,13 +87,28 @@ def model_usage(kbs: DataFrame, assistants: DataFrame) -> DataFrame:
 
 
 def readable_size(size: Column) -> Column:
-    """1536 -> 1.5 KB; units up to TB."""
-    out, units = F.concat(F.format_number(size / 1024.0**4, 1), F.lit(" TB")), ["B", "KB", "MB", "GB"]
-    for i in range(3, -1, -1):
-        out = F.when(size < 1024.0 ** (i + 1), F.concat(F.format_string("%.1f", F.bround(size / F.lit(1024.0**i), 1)), F.lit(f" {units[i]}"))).otherwise(out)
+    """1536 -> 1.50 KB; units up to PB."""
+    shown = lambda i, unit: F.concat(F.format_string("%.2f", F.bround(size / F.lit(1024.0**i), 2)), F.lit(f" {unit}"))
+    out = shown(5, "PB")
+    for i, unit in reversed(list(enumerate(("B", "KB", "MB", "GB", "TB")))):
+        out = F.when(size < 1024.0 ** (i + 1), shown(i, unit)).otherwise(out)
     return out
 
 
+def valid_kb_name(name: Column) -> Column:
+    """Whether a knowledge base may have this name: up to 100 Chinese characters, letters, digits, underscores, hyphens."""
+    return F.coalesce(name.rlike(r"^[\u4e00-\u9fa5a-zA-Z0-9_-]{1,100}$"), F.lit(False))
+
+
+def clean_path(path: Column) -> Column:
+    """A path without `..` and `~`, empty and `.` steps taken out."""
+    bare = F.replace(F.replace(path, F.lit(".."), F.lit("")), F.lit("~"), F.lit(""))
+    steps = F.array_join(F.filter(F.split(bare, "/"), lambda x: (x != "") & (x != ".")), "/")
+    root = F.when(bare.rlike("^//($|[^/])"), "//").when(bare.startswith("/"), "/").otherwise("")
+    out = F.concat(root, steps)
+    return F.when(out == "", ".").otherwise(out)
+
+
 def apply_updates(table: DataFrame, updates: DataFrame, key: str, now: Column) -> DataFrame:
     """The table with the non-null columns of updates in place, updated_at stamped, processed_at when a row becomes completed."""
     fields = [c for c in updates.columns if c != key]

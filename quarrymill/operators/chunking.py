@@ -17,15 +17,17 @@ from ..functions.text import HEADING, fixed_windows, tokens
 
 #: The separators of each document type, from coarse to fine.
 SEPARATORS = {
-    "text": ["\n\n", "\n", "。", "！", "？", "；", ". ", "! ", "? ", "; ", "，", ", ", " ", ""],
-    "markdown": ["\n# ", "\n## ", "\n### ", "\n\n", "\n", "。", ". ", " ", ""],
-    "code": ["\nclass ", "\ndef ", "\nfunction ", "\n\n", "\n", " ", ""],
+    "text": ["\n# ", "\n## ", "\n### ", "\n#### ", "\n- ", "\n* ", "\n1. ", "\n|", "\n---", "\n\n", "\n", "。", "！", "？", "；", "，", ". ", "! ", "? ", "; ", ", ", " ", ""],
+    "markdown": ["\n# ", "\n## ", "\n### ", "\n#### ", "\n- ", "\n* ", "\n1. ", "\n|", "\n\n", "\n", "。", ". ", " ", ""],
+    "code": ["\n\nclass ", "\n\ndef ", "\n\nasync def ", "\n\nfunc ", "\n\nSELECT ", "\n\nINSERT ", "\n\nUPDATE ", "\n\nDELETE ", "\n\n", "\n", " ", ""],
     "html": ["\n\n", "\n", "。", ". ", " ", ""],
-    "json": ["\n\n", "\n", "},", ",", " ", ""],
+    "json": ["\n\n", "\n", "},", "],", ',"', ",", " ", ""],
 }
-_PUNCTUATION = "。！？；!?;.，,"
+#: Extensions by document type, the punctuation after which long lines are cut, and their length.
+EXTENSIONS = {"code": ["py", "js", "ts", "java", "cpp", "c", "go", "rs", "sql", "sh", "bat"], "html": ["html", "htm", "xml"], "markdown": ["md", "markdown"], "json": ["json", "jsonl"]}
+PUNCTUATION = "。！？!?；;,.，"
 LONG_LINE = 280
-EXTENSION_TYPES = {"md": "markdown", "markdown": "markdown", "html": "html", "htm": "html", "json": "json", "jsonl": "json", "py": "code", "js": "code", "java": "code", "c": "code", "cpp": "code", "go": "code", "sql": "code"}
+EXTENSION_TYPES = {ext: kind for kind, known in EXTENSIONS.items() for ext in known}
 
 
 def document_type(filename: Column) -> Column:
@@ -44,23 +46,31 @@ def with_profile(docs: DataFrame) -> DataFrame:
 
 
 def hard_split(text: str, most: int = LONG_LINE) -> str:
-    """Lines over `most` characters are cut after the last punctuation before the limit, or at the limit. If there is
-    punctuation, a rest of up to 1.3 times the limit stays whole."""
+    """Lines, stripped; those over `most` characters are cut: at the last punctuation before the one that ends `most` characters
+    or more, or there if there is none. The rest stays whole up to 1.3 times the limit, else it is cut every `most`
+    characters, as is a line without punctuation. Blank pieces go, blank lines stay."""
     out = []
-    for line in text.split("\n"):
-        punctuated = any(c in _PUNCTUATION for c in line)
-        while len(line) > (most * 1.3 if punctuated else most):
-            at = max(line.rfind(c, 0, most) for c in _PUNCTUATION) + 1
-            at = at if at > 0 else most
-            out.append(line[:at].strip())
-            line = line[at:]
-        out.append(line)
+    for line in (x.strip() for x in text.split("\n")):
+        if len(line) <= most:
+            out.append(line)
+            continue
+        ends = [i + 1 for i, c in enumerate(line) if c in PUNCTUATION]
+        pieces, start = [], 0
+        for before, end in zip([0, *ends], ends):
+            if end - start >= most:
+                cut = before if before > start else end
+                pieces.append(line[start:cut])
+                start = cut
+        rest = line[start:].strip()
+        step = len(rest) if ends and len(rest) <= 1.3 * most else most
+        pieces += [rest[i : i + step] for i in range(0, len(rest), step or 1)]
+        out += filter(None, (p.strip() for p in pieces))
     return "\n".join(out)
 
 
 def recursive_split(text: str, size: int, overlap: int, separators: list[str]) -> list[str]:
     """By the first separator that occurs; pieces that are too long by the finer ones; packed up to `size`, with up to `overlap`
-    characters of whole pieces carried over; stripped, without blanks."""
+    characters of whole pieces carried over; stripped, without blanks. A piece as long as `size` is split as well."""
     at = next((i for i, s in enumerate(separators) if s == "" or s in text), len(separators) - 1)
     separator, finer = separators[at], separators[at + 1 :]
     parts = list(text) if separator == "" else [p if i == 0 else separator + p for i, p in enumerate(text.split(separator))]
@@ -76,7 +86,7 @@ def recursive_split(text: str, size: int, overlap: int, separators: list[str]) -
             length -= len(held.pop(0))
 
     for part in parts:
-        if len(part) > size and finer:
+        if len(part) >= size and finer:
             close(False)
             chunks += recursive_split(part, size, overlap, finer)
             continue
@@ -90,11 +100,17 @@ def recursive_split(text: str, size: int, overlap: int, separators: list[str]) -
     return [c for c in (c.strip() for c in chunks) if c]
 
 
+def normalise(text: str) -> str:
+    """functions.text.normalise for one text."""
+    text = re.sub(r"[\t\f\v]+", " ", re.sub(r"\r\n?", "\n", text).replace("\u00a0", " "))
+    return re.sub(r" {2,}", " ", re.sub(r"\n{3,}", "\n\n", text)).strip()
+
+
 def _split_one(text: str | None, doc_type: str | None, profile: Profile | None = None) -> list[str]:
     kind = doc_type if doc_type in SEPARATORS else "text"
     size, overlap = (profile.chunk_size, profile.overlap) if profile else (PROFILES[kind].chunk_size, PROFILES[kind].overlap)
     overlap = overlap if overlap < size else size // 5
-    clean = re.sub(r" {2,}", " ", re.sub(r"\n{3,}", "\n\n", re.sub(r"[ \t]", " ", re.sub(r"\r\n?", "\n", text or "")))).strip()
+    clean = normalise(text or "")
     if not clean:
         return []
     clean = hard_split(clean)
@@ -149,46 +165,44 @@ def token_overlap_judge(tail: str, head: str) -> bool:
 
 
 def force_split(text: str, most: int) -> list[str]:
-    """By sentences, packed up to `most`; a sentence that is longer is cut."""
+    """By sentences, packed up to `most`; a longer sentence stays whole."""
     parts = re.split(r"([。！？\.!?]+)", text)
-    sentences = [a + b for a, b in zip(parts[::2], [*parts[1::2], ""])]
     out, held = [], ""
-    for s in sentences:
-        if held and len(held) + len(s) > most:
+    for sentence in (a + b for a, b in zip(parts[::2], [*parts[1::2], ""])):
+        if held and len(held) + len(sentence) > most:
             out.append(held)
             held = ""
-        while len(s) > most:
-            out.append(s[:most])
-            s = s[most:]
-        held += s
+        held += sentence
     return [c for c in (x.strip() for x in [*out, held]) if c]
 
 
-def semantic_split(text: str | None, least: int, most: int, judge: Callable[[str, str], bool] = token_overlap_judge) -> list[str]:
-    """Paragraphs, merged with the next one while they fit, unless they have twice the least size and the judge says that a new topic
-    starts; too long ones cut by sentences; a short one joins the next, once."""
+def semantic_split(text: str | None, least: int, most: int, judge: Callable[[str, str], bool] | None = token_overlap_judge) -> list[str]:
+    """Paragraphs, merged with the next one while both fit into `most`, unless they have twice the least size and the judge says that a
+    new topic starts; too long ones cut by sentences; a short one joins the next, once. The blank line between two doesn't
+    count. Without a judge paragraphs are packed, blank lines included, and nothing follows."""
     pieces = [p.strip() for p in re.split(rf"\n\n+|\n{HEADING}", text or "") if p.strip()]
     merged: list[str] = []
     for p in pieces:
-        cur = merged[-1] if merged else ""
-        if cur and len(cur) + len(p) + 2 <= most and (len(cur) < 2 * least or judge(cur[-200:], p[:200])):
-            merged[-1] = f"{cur}\n\n{p}"
+        last = merged[-1] if merged else ""
+        fits = len(last) + len(p) + (0 if judge else 2) <= most
+        if last and fits and (judge is None or len(last) < 2 * least or judge(last[-200:], p[:200])):
+            merged[-1] = f"{last}\n\n{p}"
         else:
             merged.append(p)
+    if judge is None:
+        return merged
     sized = [x for m in merged for x in (force_split(m, most) if len(m) > most else [m])]
-    out: list[str] = []
-    i = 0
-    while i < len(sized):
-        if len(sized[i]) < least and i + 1 < len(sized) and len(sized[i]) + len(sized[i + 1]) + 2 <= most:
-            out.append(f"{sized[i]}\n\n{sized[i + 1]}")
-            i += 2
+    out: list[tuple[str, bool]] = []
+    for p in sized:
+        # a short piece waits for its neighbour
+        if out and out[-1][1] and len(out[-1][0]) + len(p) <= most:
+            out[-1] = (f"{out[-1][0]}\n\n{p}", False)
         else:
-            out.append(sized[i])
-            i += 1
-    return out
+            out.append((p, len(p) < least))
+    return [p for p, _ in out]
 
 
-def semantic_chunks(docs: DataFrame, least: int = 200, most: int = 800, judge: Callable[[str, str], bool] = token_overlap_judge) -> DataFrame:
+def semantic_chunks(docs: DataFrame, least: int = 200, most: int = 800, judge: Callable[[str, str], bool] | None = token_overlap_judge) -> DataFrame:
     """docs(doc_id, text) -> as recursive_chunks. judge(tail, head) may be a user's function."""
 
     @F.pandas_udf("array<string>")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import trim_all
+
 
 def label_hits(results: DataFrame, relevant: DataFrame, k: int) -> DataFrame:
     """results(query_id, rank, key, content), relevant(query_id, keys, keywords) -> results up to k with hit: the key is relevant, or
@@ -31,14 +33,16 @@ def macro(metrics: DataFrame) -> DataFrame:
 
 
 def ab_summary(runs: DataFrame) -> DataFrame:
-    """runs(mode, category, success, elapsed_ms, steps, quality) by mode and category; the percentile interpolates linearly."""
-    return runs.groupBy("mode", "category").agg(F.count(F.lit(1)).alias("samples"), F.round(F.avg(F.col("success").cast("int")), 6).alias("success_rate"), F.round(F.avg("elapsed_ms"), 4).alias("avg_ms"), F.round(F.percentile("elapsed_ms", 0.95), 4).alias("p95_ms"), F.round(F.avg("steps"), 4).alias("avg_steps"), F.round(F.avg("quality"), 4).alias("avg_quality"))
+    """runs(mode, category, success, elapsed_ms, iterations, steps, quality) by mode and category; the percentile interpolates
+    linearly. The success rate has four decimals, the other figures two."""
+    mean = lambda c, name: F.round(F.avg(c), 2).alias(name)
+    return runs.groupBy("mode", "category").agg(F.count(F.lit(1)).alias("samples"), F.round(F.avg(F.col("success").cast("int")), 4).alias("success_rate"), mean("elapsed_ms", "avg_ms"), F.round(F.percentile("elapsed_ms", 0.95), 2).alias("p95_ms"), mean("iterations", "avg_iterations"), mean("steps", "avg_steps"), mean("quality", "avg_quality"))
 
 
 def ab_overall(summary: DataFrame) -> DataFrame:
     """Sample-weighted means of the groups' figures by mode (of the percentiles as well; see ab_rollup for exact ones)."""
     weigh = lambda c: F.round(F.sum(F.col(c) * F.col("samples")) / F.sum("samples"), 4).alias(c)
-    return summary.groupBy("mode").agg(F.sum("samples").alias("total"), *[weigh(c) for c in ("success_rate", "avg_ms", "p95_ms", "avg_steps", "avg_quality")])
+    return summary.groupBy("mode").agg(F.sum("samples").alias("total"), *[weigh(c) for c in ("success_rate", "avg_ms", "p95_ms", "avg_iterations", "avg_steps", "avg_quality")])
 
 
 def ab_rollup(runs: DataFrame) -> DataFrame:
@@ -47,14 +51,15 @@ def ab_rollup(runs: DataFrame) -> DataFrame:
 
 
 #: Words of answers that failed.
-APOLOGIES = ("抱歉", "无法", "错误", "失败", "sorry", "error", "unable")
+APOLOGIES = ("抱歉", "错误")
 
 
 def answer_quality(answer: Column) -> Column:
-    text = F.trim(F.coalesce(answer, F.lit("")))
+    """1 for no answer, 2 for an apology, else 3 to 5 by length: under 30, under 120, more characters."""
+    text = trim_all(F.coalesce(answer, F.lit("")))
     failed = F.lit(False)
     for word in APOLOGIES:
-        failed = failed | F.lower(text).contains(word)
+        failed = failed | text.contains(word)
     return F.when(text == "", 1).when(failed, 2).when(F.length(text) < 30, 3).when(F.length(text) < 120, 4).otherwise(5)
 
 

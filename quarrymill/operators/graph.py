@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import HYBRID
-from ..functions.text import code_keys, fallbacks, fingerprint, lookup_key
+from ..functions.text import code_keys, fallbacks, fingerprint, lookup_key, result_key
 
 UNKNOWN = "unknown"
 
@@ -142,7 +142,7 @@ def upsert_entities(old: DataFrame, new: DataFrame, run_id: str) -> DataFrame:
         F.coalesce("n.name", "o.name", "canonical_name").alias("name"),
         F.coalesce(known, F.col("o.type"), F.lit(UNKNOWN)).alias("type"),
         *[e.alias(c) for c, e in lists.items()],
-        F.greatest("o.confidence", "n.confidence").alias("confidence"),
+        F.coalesce("n.confidence", "o.confidence").alias("confidence"),
         F.size(lists["chunk_ids"]).cast("long").alias("mention_count"),
         F.coalesce("o.first_run_id", F.lit(run_id)).alias("first_run_id"),
         F.when(F.col("n.confidence").isNotNull(), F.lit(run_id)).otherwise(F.col("o.last_run_id")).alias("last_run_id"),
@@ -154,7 +154,7 @@ def upsert_relations(old: DataFrame, new: DataFrame, run_id: str) -> DataFrame:
     keys = ["kb_id", "source", "target", "type"]
     both = old.alias("o").join(new.alias("n"), keys, "full_outer")
     empty = F.array().cast("array<string>")
-    return both.select(*keys, F.greatest("o.confidence", "n.confidence").alias("confidence"), (F.coalesce("o.evidence_count", F.lit(0)) + F.coalesce("n.evidence_count", F.lit(0))).cast("long").alias("evidence_count"), F.array_sort(F.array_union(F.coalesce("o.chunk_ids", empty), F.coalesce("n.chunk_ids", empty))).alias("chunk_ids"), F.coalesce("o.first_run_id", F.lit(run_id)).alias("first_run_id"))
+    return both.select(*keys, F.coalesce("n.confidence", "o.confidence").alias("confidence"), (F.coalesce("o.evidence_count", F.lit(0)) + F.coalesce("n.evidence_count", F.lit(0))).cast("long").alias("evidence_count"), F.array_sort(F.array_union(F.coalesce("o.chunk_ids", empty), F.coalesce("n.chunk_ids", empty))).alias("chunk_ids"), F.coalesce("o.first_run_id", F.lit(run_id)).alias("first_run_id"))
 
 
 def upsert_counts(old: DataFrame, new: DataFrame, keys: list[str], count: str, run_id: str) -> DataFrame:
@@ -236,7 +236,9 @@ def paths(starts: DataFrame, relations: DataFrame, hops: int = 2, limit: int | N
     """starts(query_id, kb_id, entity) -> query_id, kb_id, entity, target, relations, evidence, hop: undirected paths of up to `hops`
     relations that use none twice and don't end where they start. Equal rows count once; the first `limit` a start, by hop
     and name. A start with enough rows after a hop goes no farther: the order is by hop."""
-    keyed = relations.select("kb_id", "source", "target", "type", F.coalesce("chunk_ids", F.array().cast("array<string>")).alias("chunk_ids"), F.xxhash64("kb_id", "source", "type", "target").alias("edge"))
+    # a path shows the least ids of its relations, which are among the least of each
+    least = F.slice(F.array_sort(F.array_distinct(F.coalesce("chunk_ids", F.array().cast("array<string>")))), 1, most_evidence)
+    keyed = relations.select("kb_id", "source", "target", "type", least.alias("chunk_ids"), F.xxhash64("kb_id", "source", "type", "target").alias("edge"))
     both = keyed.select("kb_id", F.col("source").alias("at"), F.col("target").alias("to"), "type", "chunk_ids", "edge").unionByName(keyed.select("kb_id", F.col("target").alias("at"), F.col("source").alias("to"), "type", "chunk_ids", "edge"))
     front = starts.select("query_id", "kb_id", "entity").distinct().withColumns({"at": F.col("entity"), "edges": F.array().cast("array<bigint>"), "relations": F.array().cast("array<string>"), "ids": F.array().cast("array<string>")})
     order = Window.partitionBy("query_id", "kb_id", "entity").orderBy("hop", "target", F.array_join("relations", ","), F.array_join("evidence", ","))
@@ -269,14 +271,14 @@ def graph_channel(names: DataFrame, entities: DataFrame, relations: DataFrame, t
     related to them, one row a key, the top_k best."""
     hit = lookup(names, entities, ascii_only)
     weight = F.create_map(*[F.lit(x) for pair in STAGE_WEIGHT.items() for x in pair])[F.col("match_stage")]
-    facts = entities.select("kb_id", "canonical_name", F.size("chunk_ids").alias("evidence"))
+    facts = entities.select("kb_id", "canonical_name", (F.col("n_chunks") if "n_chunks" in entities.columns else F.size("chunk_ids")).alias("evidence"))
     direct = hit.join(facts, ["kb_id", "canonical_name"])
     direct = direct.select("query_id", "kb_id", F.concat(F.lit("entity::"), "name", F.lit("::graph_direct")).alias("key"), F.lit("graph_direct").alias("source"), F.col("canonical_name").alias("entity"), F.lit(0).alias("hop"), "match_stage", F.round(weight * graph_score(F.lit(0), F.col("confidence"), F.col("evidence"), F.col("mention_count"), F.lit(True), config), 6).alias("score"))
     starts = hit.select("query_id", "kb_id", F.col("canonical_name").alias("entity"))
     walked = paths(starts, relations, hops)
     ends = entities.select("kb_id", F.col("canonical_name").alias("target"), F.col("confidence").alias("c"), F.col("mention_count").alias("m"))
-    related = walked.join(ends, ["kb_id", "target"])
-    related = related.select("query_id", "kb_id", F.concat(F.lit("path::"), "entity", F.lit("::"), "target", F.lit("::"), F.array_join("relations", ","), F.lit("::hop"), F.col("hop").cast("string")).alias("key"), F.lit("graph_related").alias("source"), F.col("target").alias("entity"), "hop", F.lit("").alias("match_stage"), F.round(graph_score(F.col("hop"), F.col("c"), F.size("evidence"), F.col("m"), F.lit(False), config), 6).alias("score"))
+    related, none = walked.join(ends, ["kb_id", "target"]), F.lit(None).cast("string")
+    related = related.select("query_id", "kb_id", result_key(none, none, none, F.col("entity"), F.col("target"), F.col("relations"), F.col("hop"), F.col("evidence"), none).alias("key"), F.lit("graph_related").alias("source"), F.col("target").alias("entity"), "hop", F.lit("").alias("match_stage"), F.round(graph_score(F.col("hop"), F.col("c"), F.size("evidence"), F.col("m"), F.lit(False), config), 6).alias("score"))
     every = direct.unionByName(related)
     one = F.row_number().over(Window.partitionBy("query_id", "key").orderBy(F.desc("score"), "kb_id", "entity"))
     every = every.withColumn("_one", one).where("_one = 1").drop("_one")
@@ -294,8 +296,11 @@ def delete_file(kb_id, file_id, chunks: DataFrame, mentions: DataFrame, entities
     gone = chunks.where(in_kb & (F.col("file_id") == F.lit(file_id))).select("kb_id", "chunk_id")
     left_chunks = chunks.join(gone, ["kb_id", "chunk_id"], "left_anti")
     left_mentions = mentions.join(gone, ["kb_id", "chunk_id"], "left_anti")
-    ids = gone.groupBy("kb_id").agg(F.collect_set("chunk_id").alias("_gone"))
-    left_relations = relations.join(ids, "kb_id", "left").withColumn("chunk_ids", F.array_except("chunk_ids", F.coalesce("_gone", F.array().cast("array<string>")))).drop("_gone")
+    # one row a chunk of a relation: no list of all deleted chunks, and a relation that loses none isn't rebuilt
+    edge = ["kb_id", "source", "target", "type"]
+    held = relations.where(in_kb).select(*edge, F.explode("chunk_ids").alias("chunk_id"))
+    lost = held.join(gone, ["kb_id", "chunk_id"], "left_semi").groupBy(*edge).agg(F.collect_set("chunk_id").alias("_gone"))
+    left_relations = relations.join(lost, edge, "left").withColumn("chunk_ids", F.when(F.col("_gone").isNotNull(), F.array_except("chunk_ids", "_gone")).otherwise(F.col("chunk_ids"))).drop("_gone")
     left_relations = left_relations.where(~in_kb | (F.size("chunk_ids") > 0))
     left_support = fact_support.join(gone, ["kb_id", "chunk_id"], "left_anti")
     left_facts = facts_of(left_relations).join(left_support.select("kb_id", "fact_id").distinct(), ["kb_id", "fact_id"], "left_semi")
@@ -353,13 +358,26 @@ def build_kpis(entities: DataFrame, relations: DataFrame, raw_mentions: int | Co
 
 
 def entity_text(entities: DataFrame, around: DataFrame) -> DataFrame:
-    """entities joined with around (from neighbours): kb_id, canonical_name, text."""
+    """entities joined with around (from neighbours): kb_id, canonical_name, text: the name and type, then as far as there are any: the
+    attributes, five chunks, three outgoing and three incoming relations."""
     joined = entities.join(around, ["kb_id", "canonical_name"], "left")
-    ties = F.array_join(F.slice(F.transform("outgoing", lambda r: F.concat(r["type"], F.lit(" -> "), r["target"])), 1, 3), "; ")
-    text = F.concat(F.format_string("实体: %s (类型: %s)", "name", F.coalesce("type", F.lit(UNKNOWN))), F.when(F.size("outgoing") > 0, F.concat(F.lit("\n关系: "), ties)).otherwise(""), F.when(F.size("chunk_ids") > 0, F.concat(F.lit("\n证据: "), F.array_join(F.slice("chunk_ids", 1, 5), ", "))).otherwise(""))
+    line = lambda head, items, sign=", ": F.when(F.size(items) > 0, F.concat(F.lit(f"\n{head}: "), F.array_join(items, sign))).otherwise("")
+    own = F.transform(F.array_sort(F.map_entries("attributes")), lambda e: F.concat(F.lit("'"), e["key"], F.lit("': '"), e["value"], F.lit("'")))
+    attributes = F.when(F.size(own) > 0, F.concat(F.lit("\n属性: {"), F.array_join(own, ", "), F.lit("}"))).otherwise("") if "attributes" in entities.columns else F.lit("")
+    out = F.transform(F.slice("outgoing", 1, 3), lambda r: F.concat(r["type"], F.lit("->"), r["target"]))
+    in_ = F.transform(F.slice("incoming", 1, 3), lambda r: F.concat(r["source"], F.lit("-"), r["type"], F.lit("->此实体")))
+    head = F.format_string("实体: %s (类型: %s)", "name", F.coalesce("type", F.lit(UNKNOWN)))
+    text = F.concat(head, attributes, line("证据块", F.slice(F.array_distinct("chunk_ids"), 1, 5)), line("关系", out), line("相关", in_))
     return joined.select("kb_id", "canonical_name", text.alias("text"))
 
 
+def relation_text(source: Column, target: Column, kind: Column, relations: Column, hop: Column, evidence: Column) -> Column:
+    """How a related entity is told: the path of relations, its type and distance, and five chunks of evidence."""
+    path = F.when(F.size(relations) > 0, F.concat(F.lit(" 通过 ["), F.array_join(relations, " -> "), F.lit("]"))).otherwise("")
+    chunks = F.when(F.size(evidence) > 0, F.concat(F.lit("\n证据块: "), F.array_join(F.slice(evidence, 1, 5), ", "))).otherwise("")
+    return F.concat(source, path, F.lit(" 关联到 "), target, F.lit(" (类型: "), F.coalesce(kind, F.lit(UNKNOWN)), F.lit(", "), hop.cast("string"), F.lit("跳)"), chunks)
+
+
 def evidence_graph(results: DataFrame) -> tuple[DataFrame, DataFrame]:
     """results(query_id, source, entity, target, relations, hop) of the graph channel -> nodes (query_id, node, kind), where direct beats
     related, and edges (query_id, source, target, relation, hop, parallel), each once, with an index among parallel ones."""

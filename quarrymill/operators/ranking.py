@@ -243,10 +243,22 @@ def public_columns(df: DataFrame) -> DataFrame:
 
 
 def context_text(df: DataFrame, most_evidence: int = 5) -> DataFrame:
-    """df(query_id, rank, content, score, channels, evidence) -> query_id, context: numbered blocks in order of rank."""
-    evidence = F.when(F.size("evidence") > 0, F.concat(F.lit("\n"), F.array_join(F.transform(F.slice("evidence", 1, most_evidence), lambda e: F.concat(F.lit("- "), e)), "\n"))).otherwise("")
-    block = F.concat(F.format_string("[文档%d] (相似度: %.2f%%) (通道: %s)\n", "rank", F.col("score") * 100, F.array_join("channels", "+")), F.coalesce("content", F.lit("")), evidence)
-    return df.groupBy("query_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", block.alias("block")))), lambda x: x["block"]), "\n\n").alias("context"))
+    """df(query_id, rank, content, score, channels, evidence) -> query_id, context: numbered blocks in order of rank, each with its
+    channels and evidence if it has any; a blank line between them."""
+    channels = F.when(F.size("channels") > 0, F.concat(F.lit(" (通道: "), F.array_join("channels", ", "), F.lit(")"))).otherwise("")
+    evidence = F.when(F.size("evidence") > 0, F.concat(F.lit("\n证据块: "), F.array_join(F.slice("evidence", 1, most_evidence), ", "))).otherwise("")
+    block = F.concat(F.format_string("[文档%d] (相似度: %.2f%%)", "rank", F.col("score") * 100), channels, F.lit("\n"), F.coalesce("content", F.lit("")), evidence, F.lit("\n"))
+    return df.groupBy("query_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", block.alias("block")))), lambda x: x["block"]), "\n").alias("context"))
+
+
+def source_items(df: DataFrame, limit: int) -> DataFrame:
+    """df(query_id, rank, content, similarity, score, final_score, file_id, source) -> the first `limit` of each query as a user sees
+    them: a preview of 200 characters, the whole content, the score that counts and the share of the display it gives."""
+    counts = F.coalesce("final_score", "similarity", "score", F.lit(0.0))
+    kept = display_weights(df.where(F.col("rank") <= limit).withColumn("_counts", counts), "_counts")
+    content = F.coalesce("content", F.lit(""))
+    preview_ = F.concat(F.substring(content, 1, 200), F.when(F.length(content) > 200, "...").otherwise(""))
+    return kept.select("query_id", "rank", preview_.alias("content"), content.alias("full_content"), F.col("_counts").alias("similarity"), F.col("weight").alias("display_weight"), F.coalesce("score", F.lit(0.0)).alias("raw_score"), F.coalesce("final_score", "_counts").alias("final_score"), "file_id", F.coalesce("source", F.lit("unknown")).alias("source"))
 
 
 def source_json(df: DataFrame) -> DataFrame:

@@ -23,15 +23,15 @@ def vector_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def text_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents as chunks; the language is the knowledge base."""
+    """Documents of all languages as chunks of one knowledge base."""
     d = table(spark, sf_dir, "documents")
-    return d.select(F.col("lang").alias("kb_id"), F.col("doc_id").cast("string").alias("chunk_id"), F.col("text").alias("content"), "doc_id", "source")
+    return d.select(F.lit("docs").alias("kb_id"), F.col("doc_id").cast("string").alias("chunk_id"), F.col("text").alias("content"), "doc_id", "source")
 
 
 def text_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Benchmark passages as queries to the English knowledge base."""
+    """Benchmark passages as queries to all documents."""
     b = table(spark, sf_dir, "benchmark")
-    return b.select(F.col("item_id").alias("query_id"), F.lit("en").alias("kb_id"), F.col("text").alias("query_text"))
+    return b.select(F.col("item_id").alias("query_id"), F.lit("docs").alias("kb_id"), F.col("text").alias("query_text"))
 
 
 CORPUS_SQL = """corpus AS (

@@ -105,13 +105,25 @@ def model_usage(spark, sf_dir):
     return catalog.model_usage(k, a)
 
 
-@query("""SELECT doc_id, CASE WHEN s < 1024 THEN printf('%.1f B', s / 1) WHEN s < 1048576 THEN printf('%.1f KB', s / 1024) WHEN s < 1073741824 THEN printf('%.1f MB', s / 1048576) ELSE printf('%.1f GB', s / 1073741824) END AS size FROM (SELECT doc_id, n_chars * (doc_id % 4 + 1) * CASE doc_id % 3 WHEN 0 THEN 1 WHEN 1 THEN 1024 ELSE 1048576 END AS s FROM documents)""")
+@query("""SELECT doc_id, CASE WHEN s < 1024 THEN printf('%.2f B', s / 1) WHEN s < 1048576 THEN printf('%.2f KB', s / 1024) WHEN s < 1073741824 THEN printf('%.2f MB', s / 1048576) ELSE printf('%.2f GB', s / 1073741824) END AS size FROM (SELECT doc_id, n_chars * (doc_id % 4 + 1) * CASE doc_id % 3 WHEN 0 THEN 1 WHEN 1 THEN 1024 ELSE 1048576 END AS s FROM documents)""")
 def readable_size(spark, sf_dir):
     d = table(spark, sf_dir, "documents")
     s = F.col("n_chars") * (F.col("doc_id") % 4 + 1) * F.when(F.col("doc_id") % 3 == 0, 1).when(F.col("doc_id") % 3 == 1, 1024).otherwise(1048576)
     return d.select("doc_id", catalog.readable_size(s).alias("size"))
 
 
+PATH_SQL = "'/data/../' || source || '//./~' || doc_id || '/' AS path, CASE doc_id % 5 WHEN 0 THEN '' WHEN 1 THEN 'kb ' || doc_id WHEN 2 THEN '知识库_' || doc_id WHEN 3 THEN repeat('x', 95 + doc_id::INTEGER % 10) ELSE source || '-' || doc_id END AS name"
+
+
+@query(rf"""SELECT doc_id, '/data/' || source || '/' || doc_id AS path, length(name) <= 100 AND regexp_matches(name, '^[\x{{4e00}}-\x{{9fa5}}a-zA-Z0-9_-]+$') AS valid FROM (SELECT doc_id, source, {PATH_SQL} FROM documents)""")
+def checked_names(spark, sf_dir):
+    """Which names a knowledge base may have, and paths made safe."""
+    d, id_ = table(spark, sf_dir, "documents"), F.col("doc_id").cast("string")
+    name = F.when(F.col("doc_id") % 5 == 0, "").when(F.col("doc_id") % 5 == 1, F.concat(F.lit("kb "), id_)).when(F.col("doc_id") % 5 == 2, F.concat(F.lit("知识库_"), id_)).when(F.col("doc_id") % 5 == 3, F.repeat(F.lit("x"), (95 + F.col("doc_id") % 10).cast("int"))).otherwise(F.concat("source", F.lit("-"), id_))
+    path = F.concat(F.lit("/data/../"), "source", F.lit("//./~"), id_, F.lit("/"))
+    return d.select("doc_id", catalog.clean_path(path).alias("path"), catalog.valid_kb_name(name).alias("valid"))
+
+
 @query(f"WITH {FILES_SQL} SELECT file_id, CASE WHEN file_id % 4 = 0 THEN 'completed' ELSE status END AS status, CASE WHEN file_id % 4 = 0 THEN 99 ELSE chunk_count END::BIGINT AS chunk_count, CASE WHEN file_id % 4 = 0 THEN TIMESTAMP '2024-05-01' ELSE TIMESTAMP '2024-01-01' END AS updated_at, CASE WHEN file_id % 4 = 0 THEN TIMESTAMP '2024-05-01' END AS processed_at FROM files")
 def apply_updates(spark, sf_dir):
     ntz = lambda t: F.lit(t).cast("timestamp_ntz")

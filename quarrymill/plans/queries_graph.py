@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from ..functions.text import fingerprint
 from ..operators import extraction, graph
 from . import retrieval
 from .inputs import GRAPH_SQL, corpus, mentions, table, ties, vector_queries
@@ -19,8 +21,11 @@ def relations(spark, sf_dir):
 
 
 def settled(spark, sf_dir):
-    """Entities and relations for plans that read them several times: kept by Spark, recomputed where a copy is lost."""
-    return entities(spark, sf_dir).persist(), relations(spark, sf_dir).persist()
+    """Entities and relations for plans that read them several times, with the columns that look-up and traversal need. Spark keeps
+    them as long as there is room and recomputes what was lost; clearing the session's cache frees them."""
+    e = entities(spark, sf_dir).select("kb_id", "canonical_name", "name", "aliases", "confidence", "mention_count", "n_chunks")
+    r = relations(spark, sf_dir).select("kb_id", "source", "target", "type", "chunk_ids")
+    return e.persist(), r.persist()
 
 
 @query(f"""WITH {GRAPH_SQL} SELECT kb_id, name AS canonical_name, name, type, labels, upper(name) AS aliases, confidence, mention_count, n_chunks AS chunks, (SELECT any_value(m.chunk) FROM mentions m WHERE m.kb_id = e.kb_id AND m.name = e.name AND m.seq = (SELECT min(seq) FROM mentions x WHERE x.kb_id = e.kb_id AND x.name = e.name)) AS first_seen FROM entities e""")
@@ -64,7 +69,7 @@ def _split(spark, sf_dir):
 
 
 UPSERT_SQL = """half AS (SELECT kb_id, name, seq % 2 AS h, round(max(confidence), 4) AS confidence, list(DISTINCT chunk) AS chunks FROM mentions GROUP BY ALL),
-ups AS (SELECT kb_id, name, max(confidence) AS confidence, len(list_distinct(flatten(list(chunks)))) AS mention_count, CASE WHEN min(h) = 0 THEN 'run1' ELSE 'run2' END AS first_run_id, CASE WHEN max(h) = 1 THEN 'run2' ELSE 'run1' END AS last_run_id FROM half GROUP BY kb_id, name)"""
+ups AS (SELECT kb_id, name, arg_max(confidence, h) AS confidence, len(list_distinct(flatten(list(chunks)))) AS mention_count, CASE WHEN min(h) = 0 THEN 'run1' ELSE 'run2' END AS first_run_id, CASE WHEN max(h) = 1 THEN 'run2' ELSE 'run1' END AS last_run_id FROM half GROUP BY kb_id, name)"""
 
 
 def _upserted(spark, sf_dir):
@@ -78,7 +83,7 @@ def graph_upsert(spark, sf_dir):
     return _upserted(spark, sf_dir).select("kb_id", "canonical_name", "confidence", "mention_count", "first_run_id", "last_run_id")
 
 
-@query(f"WITH {GRAPH_SQL}, half AS (SELECT kb_id, source, target, type, seq % 2 AS h, count(*) AS n, round(max(confidence), 4) AS c FROM ties GROUP BY ALL) SELECT kb_id, source, target, type, max(c) AS confidence, sum(n)::BIGINT AS evidence_count, CASE WHEN min(h) = 0 THEN 'run1' ELSE 'run2' END AS first_run_id FROM half GROUP BY ALL")
+@query(f"WITH {GRAPH_SQL}, half AS (SELECT kb_id, source, target, type, seq % 2 AS h, count(*) AS n, round(max(confidence), 4) AS c FROM ties GROUP BY ALL) SELECT kb_id, source, target, type, arg_max(c, h) AS confidence, sum(n)::BIGINT AS evidence_count, CASE WHEN min(h) = 0 THEN 'run1' ELSE 'run2' END AS first_run_id FROM half GROUP BY ALL")
 def relation_upsert(spark, sf_dir):
     t, e = ties(spark, sf_dir), entities(spark, sf_dir)
     old = graph.merge_relations(t.where("seq % 2 = 0"), e).withColumn("first_run_id", F.lit("run1"))
@@ -97,19 +102,23 @@ def mention_upsert(spark, sf_dir):
     return graph.upsert_counts(counted(old).withColumn("first_run_id", F.lit("run1")), counted(new), ["kb_id", "chunk_id", "canonical_name"], "count", "run2")
 
 
-NAMES_SQL = """names AS (SELECT s_suppkey AS query_id, 0 AS kb_id, CASE s_suppkey % 4 WHEN 0 THEN s_name WHEN 1 THEN lower(s_name) || ' ' WHEN 2 THEN 'about/' || s_name ELSE upper(s_name) END AS query_entity FROM supplier)"""
+NAMES_SQL = """names AS (SELECT s_suppkey AS query_id, kb.k::INTEGER AS kb_id, CASE s_suppkey % 4 WHEN 0 THEN s_name WHEN 1 THEN lower(s_name) || ' ' WHEN 2 THEN 'about/' || s_name ELSE upper(s_name) END AS query_entity FROM supplier, range(3) kb(k))"""
+
+
+def _every_kb():
+    return F.explode(F.array(F.lit(0), F.lit(1), F.lit(2))).alias("kb_id")
 
 
 def _names(spark, sf_dir):
     s, name = table(spark, sf_dir, "supplier"), F.col("s_name")
     k = F.col("s_suppkey") % 4
     asked = F.when(k == 0, name).when(k == 1, F.concat(F.lower(name), F.lit(" "))).when(k == 2, F.concat(F.lit("about/"), name)).otherwise(F.upper(name))
-    return s.select(F.col("s_suppkey").alias("query_id"), F.lit(0).alias("kb_id"), asked.alias("query_entity"))
+    return s.select(F.col("s_suppkey").alias("query_id"), _every_kb(), asked.alias("query_entity"))
 
 
 # exact: the name or its upper case (an alias); normalized: the key of the name; split names hit through the key of a part
 @query(f"""WITH {GRAPH_SQL}, {NAMES_SQL} SELECT query_id, query_entity, n.kb_id, e.name AS canonical_name, e.mention_count, CASE WHEN query_id % 4 IN (0, 3) THEN 'exact' ELSE 'normalized' END AS match_stage
-FROM names n JOIN entities e ON e.kb_id = 0 AND lower(e.name) = replace(trim(lower(query_entity)), 'about/', '')""")
+FROM names n JOIN entities e ON e.kb_id = n.kb_id AND lower(e.name) = replace(trim(lower(query_entity)), 'about/', '')""")
 def entity_lookup(spark, sf_dir):
     return graph.lookup(_names(spark, sf_dir), entities(spark, sf_dir)).select("query_id", "query_entity", "kb_id", "canonical_name", "mention_count", "match_stage")
 
@@ -124,9 +133,9 @@ h2 AS (SELECT DISTINCT h1.query_id, h1.kb_id, h1.entity, e.too AS target, h1.rel
 walk AS (SELECT *, row_number() OVER (PARTITION BY query_id, kb_id, entity ORDER BY hop, target, rels, array_to_string(ev, ',')) AS n FROM (SELECT * FROM r1 UNION ALL SELECT * FROM h2))"""
 
 
-@query(f"WITH {GRAPH_SQL}, starts AS (SELECT n_nationkey AS query_id, 0 AS kb_id, n_name AS entity FROM nation), {PATHS_SQL} SELECT query_id, kb_id, entity, target, rels AS relations, array_to_string(ev, ',') AS evidence, hop FROM walk WHERE n <= 5")
+@query(f"WITH {GRAPH_SQL}, starts AS (SELECT n_nationkey AS query_id, k::INTEGER AS kb_id, n_name AS entity FROM nation, range(3) kb(k)), {PATHS_SQL} SELECT query_id, kb_id, entity, target, rels AS relations, array_to_string(ev, ',') AS evidence, hop FROM walk WHERE n <= 5")
 def two_hop(spark, sf_dir):
-    starts = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("query_id"), F.lit(0).alias("kb_id"), F.col("n_name").alias("entity"))
+    starts = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("query_id"), _every_kb(), F.col("n_name").alias("entity"))
     return graph.paths(starts, relations(spark, sf_dir)).select("query_id", "kb_id", "entity", "target", F.array_join("relations", ",").alias("relations"), F.array_join("evidence", ",").alias("evidence"), "hop")
 
 
@@ -137,11 +146,11 @@ def graph_score(spark, sf_dir):
     return e.select("kb_id", "canonical_name", score(F.col("mention_count") % 3, False).alias("score"), score(F.lit(0), True).alias("direct"))
 
 
-CHANNEL_SQL = f"""{NAMES_SQL}, hit AS (SELECT query_id, n.kb_id, e.name, CASE WHEN query_id % 4 IN (0, 3) THEN 1.0 ELSE 0.97 END::DOUBLE AS w, confidence, n_chunks, mention_count FROM names n JOIN entities e ON e.kb_id = 0 AND lower(e.name) = replace(trim(lower(query_entity)), 'about/', '')),
+CHANNEL_SQL = f"""{NAMES_SQL}, hit AS (SELECT query_id, n.kb_id, e.name, CASE WHEN query_id % 4 IN (0, 3) THEN 1.0 ELSE 0.97 END::DOUBLE AS w, confidence, n_chunks, mention_count FROM names n JOIN entities e ON e.kb_id = n.kb_id AND lower(e.name) = replace(trim(lower(query_entity)), 'about/', '')),
 starts AS (SELECT DISTINCT query_id, kb_id, name AS entity FROM hit), {PATHS_SQL},
-chan AS (SELECT query_id, 'entity::' || name || '::graph_direct' AS key, 'graph_direct' AS source, name AS entity, 0 AS hop, round(w * least(1, 0.82 + 0.22 * confidence + 0.16 * least(1, n_chunks / 5) + 0.08 * least(1, mention_count / 8)), 6) AS score FROM hit UNION ALL
-  SELECT query_id, 'path::' || walk.entity || '::' || target || '::' || rels || '::hop' || hop, 'graph_related', target, hop, round(least(1, greatest(0, 0.62 - greatest(0, hop - 1) * 0.25) + 0.22 * confidence + 0.16 * least(1, len(ev) / 5) + 0.08 * least(1, mention_count / 8)), 6) FROM walk JOIN entities e ON e.kb_id = walk.kb_id AND e.name = target WHERE n <= 5),
-one AS (SELECT *, row_number() OVER (PARTITION BY query_id, key ORDER BY score DESC, entity) AS o FROM chan),
+chan AS (SELECT query_id, kb_id, 'entity::' || name || '::graph_direct' AS key, 'graph_direct' AS source, name AS entity, 0 AS hop, round(w * least(1, 0.82 + 0.22 * confidence + 0.16 * least(1, n_chunks / 5) + 0.08 * least(1, mention_count / 8)), 6) AS score FROM hit UNION ALL
+  SELECT query_id, walk.kb_id, 'path::' || walk.entity || '::' || target || '::' || rels || '::hop' || hop || '::ev' || substr(md5(array_to_string(ev, '|')), 1, 8), 'graph_related', target, hop, round(least(1, greatest(0, 0.62 - greatest(0, hop - 1) * 0.25) + 0.22 * confidence + 0.16 * least(1, len(ev) / 5) + 0.08 * least(1, mention_count / 8)), 6) FROM walk JOIN entities e ON e.kb_id = walk.kb_id AND e.name = target WHERE n <= 5),
+one AS (SELECT *, row_number() OVER (PARTITION BY query_id, key ORDER BY score DESC, kb_id, entity) AS o FROM chan),
 gr AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, key)::INTEGER AS rank FROM one WHERE o = 1)"""
 
 
@@ -200,14 +209,26 @@ def match_endpoints(spark, sf_dir):
     return graph.match_endpoints(shouted, entities(spark, sf_dir)).select("kb_id", "source", "target", "type", "evidence_count")
 
 
-@query(f"""WITH {GRAPH_SQL}, o AS (SELECT kb_id, source AS name, list_sort(list(target || chr(1) || type)) AS l FROM relations GROUP BY kb_id, source), c AS (SELECT kb_id, name, list_sort(list(DISTINCT chunk))[1:5] AS ch FROM mentions GROUP BY kb_id, name)
-SELECT e.kb_id, e.name AS canonical_name, '实体: ' || e.name || ' (类型: ' || e.type || ')' || CASE WHEN l IS NULL THEN '' ELSE chr(10) || '关系: ' || array_to_string(list_transform(l[1:3], lambda x: split_part(x, chr(1), 2) || ' -> ' || split_part(x, chr(1), 1)), '; ') END || chr(10) || '证据: ' || array_to_string(ch, ', ') AS text
-FROM entities e LEFT JOIN o USING (kb_id, name) JOIN c USING (kb_id, name)""")
+@query(f"""WITH {GRAPH_SQL}, o AS (SELECT kb_id, source AS name, list_sort(list(target || chr(1) || type)) AS l FROM relations GROUP BY kb_id, source), i AS (SELECT kb_id, target AS name, list_sort(list(source || chr(1) || type)) AS r FROM relations GROUP BY kb_id, target),
+c AS (SELECT kb_id, name, list_sort(list(DISTINCT chunk))[1:5] AS ch, arg_min(chunk, seq) AS first_seen FROM mentions GROUP BY kb_id, name)
+SELECT e.kb_id, e.name AS canonical_name, '实体: ' || e.name || ' (类型: ' || e.type || ')' || chr(10) || '属性: {{' || chr(39) || 'first_seen' || chr(39) || ': ' || chr(39) || first_seen || chr(39) || '}}' || chr(10) || '证据块: ' || array_to_string(ch, ', ')
+  || CASE WHEN l IS NULL THEN '' ELSE chr(10) || '关系: ' || array_to_string(list_transform(l[1:3], lambda x: split_part(x, chr(1), 2) || '->' || split_part(x, chr(1), 1)), ', ') END
+  || CASE WHEN r IS NULL THEN '' ELSE chr(10) || '相关: ' || array_to_string(list_transform(r[1:3], lambda x: split_part(x, chr(1), 1) || '-' || split_part(x, chr(1), 2) || '->此实体'), ', ') END AS text
+FROM entities e LEFT JOIN o USING (kb_id, name) LEFT JOIN i USING (kb_id, name) JOIN c USING (kb_id, name)""")
 def entity_text(spark, sf_dir):
     e = entities(spark, sf_dir)
     return graph.entity_text(e, graph.neighbours(relations(spark, sf_dir), e))
 
 
+@query(f"""WITH {GRAPH_SQL}, starts AS (SELECT n_nationkey AS query_id, k::INTEGER AS kb_id, n_name AS entity FROM nation, range(3) kb(k)), {PATHS_SQL}
+SELECT query_id, walk.kb_id, entity || ' 通过 [' || replace(rels, ',', ' -> ') || '] 关联到 ' || target || ' (类型: ' || e.type || ', ' || hop || '跳)' || chr(10) || '证据块: ' || array_to_string(ev, ', ') AS text FROM walk JOIN entities e ON e.kb_id = walk.kb_id AND e.name = target WHERE n <= 5""")
+def relation_text(spark, sf_dir):
+    starts = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("query_id"), _every_kb(), F.col("n_name").alias("entity"))
+    kinds = entities(spark, sf_dir).select("kb_id", F.col("canonical_name").alias("target"), "type")
+    walked = graph.paths(starts, relations(spark, sf_dir)).join(kinds, ["kb_id", "target"])
+    return walked.select("query_id", "kb_id", graph.relation_text(*map(F.col, ("entity", "target", "type", "relations", "hop", "evidence"))).alias("text"))
+
+
 @query("""WITH l AS (SELECT event_type || user_id AS key, ts AS cached_at, props AS payload FROM events), n AS (SELECT max(cached_at) AS now FROM l)
 SELECT key, max(cached_at) AS cached_at FROM l, n WHERE cached_at >= now - INTERVAL 168 HOURS GROUP BY key""")
 def live_cache(spark, sf_dir):
@@ -223,7 +244,7 @@ def extraction_metrics(spark, sf_dir):
     return graph.extraction_metrics(e.select((F.col("user_id") % 3).cast("int").alias("kb_id"), (F.col("user_id") % 7).alias("entities"), (F.col("user_id") % 4).alias("relations"), (F.col("event_id") % 2 == 0).alias("cached"), (F.col("event_id") % 1000 == 0).alias("failed")))
 
 
-@query()
+@query("""SELECT event_id AS chunk_id, CASE WHEN event_id % 3 = 2 THEN 0 ELSE 2 END AS entities, CASE WHEN event_id % 3 = 2 THEN 0 ELSE 1 END AS triples, event_id % 3 = 2 AS parse_failed FROM events""")
 def parsed_replies(spark, sf_dir):
     """Events written as replies of a model, some of them malformed, parsed."""
     e = table(spark, sf_dir, "events")
@@ -233,7 +254,13 @@ def parsed_replies(spark, sf_dir):
     return out.select("chunk_id", F.size("entities").alias("entities"), F.size("triples").alias("triples"), "parse_failed")
 
 
-@query()
+CODES_SQL = r"""found AS (SELECT doc_id, list_concat(regexp_extract_all(text, '(\b[a-zA-Z]{1,4}\s*[-_/]?\s*\d{2,10}[a-zA-Z]{0,2}\b)', 1), regexp_extract_all(text, '(\b\d{2,10}[a-zA-Z]{1,4}\b)', 1)) AS l FROM documents),
+spread AS (SELECT doc_id, trim(l[i]) AS name, i FROM (SELECT doc_id, l, unnest(range(1, len(l) + 1)) AS i FROM found)),
+places AS (SELECT doc_id, name, row_number() OVER (PARTITION BY doc_id ORDER BY min(i)) - 1 AS seq FROM spread GROUP BY doc_id, name),
+codes AS (SELECT doc_id, trim(regexp_replace(name, '\s+', ' ', 'g')) AS name, min(seq) AS seq FROM places GROUP BY ALL HAVING length(trim(regexp_replace(name, '\s+', ' ', 'g'))) >= 2)"""
+
+
+@query(f"WITH {CODES_SQL} SELECT a.name AS head, b.name AS tail, count(*) AS chunks FROM codes a JOIN codes b ON a.doc_id = b.doc_id AND b.seq > a.seq AND b.seq - a.seq <= 3 AND a.name <> b.name GROUP BY ALL")
 def rule_extraction(spark, sf_dir):
     """Codes in documents as entities, and their neighbourhood as cleaned relations."""
     d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_id"), F.col("text").alias("content"))
@@ -250,16 +277,106 @@ def evidence_graph(spark, sf_dir):
     return graph.evidence_graph(walked.withColumn("source", F.lit("graph_related")))[1]
 
 
+@query(f"""WITH {GRAPH_SQL}, {CHANNEL_SQL}, n AS (SELECT query_id, name AS node, 0 AS k FROM hit UNION ALL SELECT query_id, entity, 1 FROM walk WHERE n <= 5 UNION ALL SELECT query_id, target, 1 FROM walk WHERE n <= 5)
+SELECT query_id, node, CASE WHEN min(k) = 0 THEN 'direct' ELSE 'related' END AS kind FROM n GROUP BY query_id, node""")
+def evidence_nodes(spark, sf_dir):
+    e, r = settled(spark, sf_dir)
+    hit = graph.lookup(_names(spark, sf_dir), e).select("query_id", "kb_id", F.col("canonical_name").alias("entity"))
+    direct = hit.select("query_id", F.lit("graph_direct").alias("source"), "entity", F.lit(None).cast("string").alias("target"), F.array().cast("array<string>").alias("relations"), F.lit(0).alias("hop"))
+    walked = graph.paths(hit, r).select("query_id", F.lit("graph_related").alias("source"), "entity", "target", "relations", "hop")
+    return graph.evidence_graph(direct.unionByName(walked))[0]
+
+
+RAW_SQL = """raw AS (SELECT l_orderkey AS chunk_id, l_linenumber AS seq, '  ' || replace(s_name, '#', '  # ') || ' ' AS name, 'supplier' AS type, CASE WHEN l_linenumber % 3 = 0 THEN NULL ELSE l_discount * 30 - 0.5 END AS confidence FROM lineitem JOIN supplier ON l_suppkey = s_suppkey UNION ALL
+  SELECT l_orderkey, 10 + l_linenumber, CASE WHEN l_linenumber % 2 = 0 THEN ' x ' ELSE n_name END, 'nation', 0.5 FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey),
+clean AS (SELECT *, row_number() OVER (PARTITION BY chunk_id, name ORDER BY seq) AS r FROM (SELECT chunk_id, seq, trim(regexp_replace(name, '\\s+', ' ', 'g')) AS name, type, greatest(0, least(1, coalesce(confidence, 0.7))) AS confidence FROM raw) WHERE length(name) >= 2)"""
+
+
+def _raw(spark, sf_dir):
+    li, s, n = (table(spark, sf_dir, t) for t in ("lineitem", "supplier", "nation"))
+    rows = li.join(s, F.col("l_suppkey") == F.col("s_suppkey")).join(n, F.col("s_nationkey") == F.col("n_nationkey"))
+    padded = F.concat(F.lit("  "), F.replace("s_name", F.lit("#"), F.lit("  # ")), F.lit(" "))
+    first = rows.select(F.col("l_orderkey").alias("chunk_id"), F.col("l_linenumber").cast("long").alias("seq"), padded.alias("name"), F.lit("supplier").alias("type"), F.when(F.col("l_linenumber") % 3 != 0, F.col("l_discount") * 30 - 0.5).alias("confidence"))
+    second = rows.select(F.col("l_orderkey").alias("chunk_id"), (F.col("l_linenumber") + 10).cast("long").alias("seq"), F.when(F.col("l_linenumber") % 2 == 0, " x ").otherwise(F.col("n_name")).alias("name"), F.lit("nation").alias("type"), F.lit(0.5).alias("confidence"))
+    return first.unionByName(second)
+
+
+@query(f"WITH {RAW_SQL} SELECT chunk_id, seq, name, type, round(confidence::DOUBLE, 6) AS confidence FROM clean WHERE r = 1")
+def clean_entities(spark, sf_dir):
+    """Line items as a model's raw entities, with spaces, repeats and confidences out of range, cleaned."""
+    return graph.clean_entities(_raw(spark, sf_dir)).select("chunk_id", "seq", "name", "type", F.round("confidence", 6).alias("confidence"))
+
+
+@query(f"""WITH {RAW_SQL}, kept AS (SELECT *, lead(name) OVER (PARTITION BY chunk_id ORDER BY seq, name) AS after FROM clean WHERE r = 1)
+SELECT chunk_id, seq, name AS head, 'next to' AS relation, after AS tail, 0.6::DOUBLE AS confidence FROM kept WHERE seq % 4 <> 0 AND seq % 5 <> 0 AND after IS NOT NULL""")
+def clean_triples(spark, sf_dir):
+    kept = graph.clean_entities(_raw(spark, sf_dir))
+    after = F.lead("name").over(Window.partitionBy("chunk_id").orderBy("seq", "name"))
+    raw = kept.select("chunk_id", "seq", F.concat(F.lit(" "), "name").alias("head"), F.when(F.col("seq") % 4 == 0, " ").otherwise("next  to").alias("relation"), F.when(F.col("seq") % 5 == 0, F.col("name")).otherwise(after).alias("tail"), F.lit(None).cast("double").alias("confidence"))
+    stray = raw.where("seq = 1").withColumns({"tail": F.lit("nobody named this"), "seq": F.lit(99).cast("long")})
+    return graph.clean_triples(raw.unionByName(stray), kept)
+
+
+@query("SELECT doc_id AS chunk_id, md5(text) AS payload FROM documents WHERE sha1(trim(text)) IN (SELECT sha1(trim(text)) FROM documents WHERE doc_id % 7 = 0)")
+def rebound(spark, sf_dir):
+    """What was extracted for a text serves every chunk with the same text."""
+    d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_id"), fingerprint(F.col("text")).alias("fingerprint"), F.md5(F.col("text").cast("binary")).alias("payload"))
+    cached = d.where("chunk_id % 7 = 0").groupBy("fingerprint").agg(F.min("payload").alias("payload"))
+    return graph.rebind(cached, d.select("chunk_id", "fingerprint"))
+
+
+@query(f"WITH {GRAPH_SQL} SELECT kb_id, source || '|' || type || '|' || target AS fact_id, source, target, type, confidence, evidence_count FROM relations")
+def facts(spark, sf_dir):
+    return graph.facts_of(relations(spark, sf_dir))
+
+
+@query(f"""WITH {GRAPH_SQL}, s AS (SELECT kb_id, source || '|' || type || '|' || target AS fact_id, chunk, seq % 2 AS h, count(*) AS n FROM ties GROUP BY ALL)
+SELECT kb_id, fact_id, chunk AS chunk_id, sum(n)::BIGINT AS weight, CASE WHEN min(h) = 0 THEN 'run1' ELSE 'run2' END AS first_run_id FROM s GROUP BY ALL""")
+def support_upsert(spark, sf_dir):
+    keys = ["kb_id", "fact_id", "chunk_id"]
+    t = ties(spark, sf_dir).select("kb_id", "seq", F.concat_ws("|", "source", "type", "target").alias("fact_id"), F.col("chunk_ids")[0].alias("chunk_id"))
+    half = lambda h: t.where(F.col("seq") % 2 == h).groupBy(*keys).agg(F.count(F.lit(1)).alias("weight"))
+    return graph.upsert_counts(half(0).withColumn("first_run_id", F.lit("run1")), half(1), keys, "weight", "run2")
+
+
+@query(f"WITH {GRAPH_SQL} SELECT kb_id, name AS canonical_name FROM entities WHERE kb_id <> 1")
+def kb_removed(spark, sf_dir):
+    return graph.delete_kb(entities(spark, sf_dir), 1).select("kb_id", "canonical_name")
+
+
+@query(r"""SELECT s_suppkey, CASE WHEN s_suppkey % 3 = 0 THEN 'kept' ELSE lower(regexp_replace(s_name, '[\s\-_]+', '', 'g')) END AS normalized_name FROM supplier""")
+def filled_keys(spark, sf_dir):
+    s = table(spark, sf_dir, "supplier").select("s_suppkey", F.col("s_name").alias("name"), F.when(F.col("s_suppkey") % 3 == 0, "kept").when(F.col("s_suppkey") % 3 == 1, "").alias("normalized_name"))
+    return graph.with_lookup_keys(s).select("s_suppkey", "normalized_name")
+
+
+@query(f"WITH {GRAPH_SQL} SELECT kb_id, source, target, type, array_to_string(list_transform(chunk_ids[1:5], lambda c: 'order ' || c), '; ') AS previews FROM relations")
+def relation_evidence(spark, sf_dir):
+    chunks = table(spark, sf_dir, "orders").select((F.col("o_orderkey") % 3).cast("int").alias("kb_id"), F.col("o_orderkey").cast("string").alias("chunk_id"), F.concat(F.lit("order "), F.col("o_orderkey").cast("string")).alias("preview"))
+    out = graph.with_evidence(relations(spark, sf_dir), chunks)
+    return out.select("kb_id", "source", "target", "type", F.array_join("previews", "; ").alias("previews"))
+
+
+@query("SELECT user_id AS run_id, (user_id % 3)::INTEGER AS kb_id, arg_max(event_type, (ts, event_type)) AS status, max(ts) AS at FROM events GROUP BY user_id")
+def latest_runs(spark, sf_dir):
+    e = table(spark, sf_dir, "events")
+    return graph.latest_runs(e.select(F.col("user_id").alias("run_id"), (F.col("user_id") % 3).cast("int").alias("kb_id"), F.col("event_type").alias("status"), F.col("ts").alias("at")))
+
+
 @query()
 def hybrid_search(spark, sf_dir):
-    """All three channels: vectors, chunk texts and the line items' graph, one plan."""
+    """All three channels in one plan: vectors, the texts of the documents with the vectors' ids, and the line items' graph. Queries
+    are benchmark passages with a vector and a nation's name each."""
+    from ..operators.vectors import knn
+
     q = vector_queries(spark, sf_dir)
     n = table(spark, sf_dir, "nation").select("n_nationkey", "n_name")
+    b = table(spark, sf_dir, "benchmark").select((F.row_number().over(Window.orderBy("item_id")) - 1).alias("place"), F.col("text").alias("query_text"))
+    items = b.withColumn("items", F.count(F.lit(1)).over(Window.partitionBy()))
     asked = q.withColumn("n_nationkey", (F.col("query_id") / 20 % 25).cast("int")).join(n, "n_nationkey")
-    asked = asked.select("query_id", F.col("kb_id").cast("string").alias("kb_id"), F.concat(F.lit("chunk number "), F.col("query_id").cast("string"), F.lit(" of "), F.col("n_name")).alias("query_text"), F.col("n_name").alias("query_entity"))
-    chunks = corpus(spark, sf_dir).select(F.col("kb_id").cast("string").alias("kb_id"), "chunk_id", F.concat(F.lit("chunk number "), F.col("chunk_id"), F.lit(" in file "), F.col("file_id").cast("string")).alias("content"))
-    from ..operators.vectors import knn
-
-    near = knn(q, corpus(spark, sf_dir), 50)
-    names = asked.select("query_id", F.lit(0).alias("kb_id"), "query_entity")
-    return retrieval.hybrid_search(asked, chunks, 5, near, names, *settled(spark, sf_dir))
+    asked = asked.join(F.broadcast(items), F.expr("cast(query_id / 20 as bigint) % items = place"))
+    asked = asked.select("query_id", F.col("kb_id").cast("string").alias("kb_id"), "query_text", F.col("n_name").alias("query_entity"))
+    texts = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("vec_id"), F.col("text").alias("content"))
+    chunks = corpus(spark, sf_dir).join(texts, "vec_id").select(F.col("kb_id").cast("string").alias("kb_id"), "chunk_id", "content")
+    names = asked.select("query_id", _every_kb(), "query_entity")
+    return retrieval.hybrid_search(asked, chunks, 5, knn(q, corpus(spark, sf_dir), 50), names, *settled(spark, sf_dir))

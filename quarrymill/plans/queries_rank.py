@@ -55,7 +55,7 @@ def multi_kb_knn(spark, sf_dir):
 
 
 def lsh_knn(spark, sf_dir):
-    return vectors.lsh_knn(vector_queries(spark, sf_dir), corpus(spark, sf_dir), K)
+    return vectors.indexed_knn(vector_queries(spark, sf_dir), corpus(spark, sf_dir), K)
 
 
 query()(lsh_knn)
@@ -191,12 +191,23 @@ def search_diagnostics(spark, sf_dir):
     return ranking.diagnostics(rows).withColumn("effective_threshold", F.round("effective_threshold", 6))
 
 
-@query(f"""WITH {SIMILARITY_SQL} SELECT query_id, string_agg('[文档' || rank || '] (相似度: ' || printf('%.2f', similarity * 100) || '%) (通道: keyword+vector)' || chr(10) || chunk_id || chr(10) || '- file ' || file_id, chr(10) || chr(10) ORDER BY rank) AS context FROM near WHERE rank <= 5 GROUP BY query_id""")
+@query(f"""WITH {SIMILARITY_SQL} SELECT query_id, string_agg('[文档' || rank || '] (相似度: ' || printf('%.2f', similarity * 100) || '%) (通道: keyword, vector)' || chr(10) || chunk_id || chr(10) || '证据块: file ' || file_id || chr(10), chr(10) ORDER BY rank) AS context FROM near WHERE rank <= 5 GROUP BY query_id""")
 def context_text(spark, sf_dir):
     rows = near(spark, sf_dir, 5).select("query_id", "rank", F.col("chunk_id").alias("content"), F.col("similarity").alias("score"), F.array(F.lit("keyword"), F.lit("vector")).alias("channels"), F.array(F.concat(F.lit("file "), F.col("file_id").cast("string"))).alias("evidence"))
     return ranking.context_text(rows)
 
 
+@query(f"""WITH {SIMILARITY_SQL}, k AS (SELECT near.*, text, min(similarity) OVER w AS lo, max(similarity) OVER w AS hi, count(*) OVER w AS n FROM near LEFT JOIN documents ON doc_id = vec_id WHERE rank <= 5 WINDOW w AS (PARTITION BY query_id)),
+x AS (SELECT *, CASE WHEN hi > lo THEN (similarity - lo) / (hi - lo) END AS x FROM k)
+SELECT query_id, rank, md5(substr(coalesce(text, ''), 1, 200) || CASE WHEN length(text) > 200 THEN '...' ELSE '' END) AS preview, length(coalesce(text, '')) AS size, similarity, round(coalesce(x / sum(x) OVER (PARTITION BY query_id), 1.0 / n), 6) AS display_weight, 0.0::DOUBLE AS raw_score, similarity AS final_score, file_id, 'unknown' AS source FROM x""")
+def source_items(spark, sf_dir):
+    d = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("chunk_id"), F.col("text").alias("content"))
+    none = F.lit(None).cast("double")
+    rows = near(spark, sf_dir, 5).select("query_id", "rank", "chunk_id", "similarity", "file_id").join(d, "chunk_id", "left").withColumns({"score": none, "final_score": none, "source": F.lit(None).cast("string")})
+    out = ranking.source_items(rows, 5)
+    return out.select("query_id", "rank", F.md5(F.col("content").cast("binary")).alias("preview"), F.length("full_content").cast("long").alias("size"), "similarity", F.round("display_weight", 6).alias("display_weight"), "raw_score", "final_score", "file_id", "source")
+
+
 @query(f"""WITH {SIMILARITY_SQL} SELECT query_id, '{{"chunk_id":"' || chunk_id || '","rank":' || rank || ',"file_id":' || file_id || '}}' AS sources FROM near WHERE rank <= 5""")
 def source_json(spark, sf_dir):
     return ranking.source_json(near(spark, sf_dir, 5).select("query_id", "chunk_id", "rank", "file_id"))
@@ -251,13 +262,13 @@ def ir_macro(spark, sf_dir):
     return evaluate.macro(ir_metrics(spark, sf_dir))
 
 
-RUNS_SQL = """runs AS (SELECT CASE WHEN user_id % 2 = 0 THEN 'A' ELSE 'B' END AS mode, event_type AS category, value > 5 AS success, value AS elapsed_ms, user_id % 4 AS steps, 1 + user_id % 5 AS quality FROM events),
-summary AS (SELECT mode, category, count(*) AS samples, round(avg(success::INTEGER), 6) AS success_rate, round(avg(elapsed_ms), 4) AS avg_ms, round(quantile_cont(elapsed_ms, 0.95), 4) AS p95_ms, round(avg(steps), 4) AS avg_steps, round(avg(quality), 4) AS avg_quality FROM runs GROUP BY mode, category)"""
+RUNS_SQL = """runs AS (SELECT CASE WHEN user_id % 2 = 0 THEN 'A' ELSE 'B' END AS mode, event_type AS category, value > 5 AS success, value AS elapsed_ms, event_id % 3 AS iterations, user_id % 4 AS steps, 1 + user_id % 5 AS quality FROM events),
+summary AS (SELECT mode, category, count(*) AS samples, round(avg(success::INTEGER), 4) AS success_rate, round(avg(elapsed_ms), 2) AS avg_ms, round(quantile_cont(elapsed_ms, 0.95), 2) AS p95_ms, round(avg(iterations), 2) AS avg_iterations, round(avg(steps), 2) AS avg_steps, round(avg(quality), 2) AS avg_quality FROM runs GROUP BY mode, category)"""
 
 
 def _runs(spark, sf_dir):
     e = table(spark, sf_dir, "events")
-    return e.select(F.when(F.col("user_id") % 2 == 0, "A").otherwise("B").alias("mode"), F.col("event_type").alias("category"), (F.col("value") > 5).alias("success"), F.col("value").alias("elapsed_ms"), (F.col("user_id") % 4).alias("steps"), (1 + F.col("user_id") % 5).alias("quality"))
+    return e.select(F.when(F.col("user_id") % 2 == 0, "A").otherwise("B").alias("mode"), F.col("event_type").alias("category"), (F.col("value") > 5).alias("success"), F.col("value").alias("elapsed_ms"), (F.col("event_id") % 3).alias("iterations"), (F.col("user_id") % 4).alias("steps"), (1 + F.col("user_id") % 5).alias("quality"))
 
 
 @query(f"WITH {RUNS_SQL} SELECT * FROM summary")
@@ -265,7 +276,7 @@ def ab_summary(spark, sf_dir):
     return evaluate.ab_summary(_runs(spark, sf_dir))
 
 
-@query(f"WITH {RUNS_SQL} SELECT mode, sum(samples)::BIGINT AS total, {', '.join(f'round(sum({c} * samples) / sum(samples), 4) AS {c}' for c in ('success_rate', 'avg_ms', 'p95_ms', 'avg_steps', 'avg_quality'))} FROM summary GROUP BY mode")
+@query(f"WITH {RUNS_SQL} SELECT mode, sum(samples)::BIGINT AS total, {', '.join(f'round(sum({c} * samples) / sum(samples), 4) AS {c}' for c in ('success_rate', 'avg_ms', 'p95_ms', 'avg_iterations', 'avg_steps', 'avg_quality'))} FROM summary GROUP BY mode")
 def ab_overall(spark, sf_dir):
     return evaluate.ab_overall(evaluate.ab_summary(_runs(spark, sf_dir)))
 
@@ -275,7 +286,7 @@ def ab_rollup(spark, sf_dir):
     return evaluate.ab_rollup(_runs(spark, sf_dir))
 
 
-@query("""SELECT conv_id, turn, CASE WHEN trim(text) = '' THEN 1 WHEN regexp_matches(lower(text), '抱歉|无法|错误|失败|sorry|error|unable') THEN 2 WHEN length(trim(text)) < 30 THEN 3 WHEN length(trim(text)) < 120 THEN 4 ELSE 5 END AS quality FROM conversations WHERE role = 'assistant'""")
+@query("""SELECT conv_id, turn, CASE WHEN trim(text) = '' THEN 1 WHEN contains(text, '抱歉') OR contains(text, '错误') THEN 2 WHEN length(trim(text)) < 30 THEN 3 WHEN length(trim(text)) < 120 THEN 4 ELSE 5 END AS quality FROM conversations WHERE role = 'assistant'""")
 def answer_quality(spark, sf_dir):
     c = table(spark, sf_dir, "conversations").where("role = 'assistant'")
     return c.select("conv_id", "turn", evaluate.answer_quality(F.col("text")).alias("quality"))
@@ -287,6 +298,21 @@ def monitoring(spark, sf_dir):
     return evaluate.monitoring(e.select((F.col("user_id") % 5).cast("int").alias("kb_id"), (10 + F.col("event_id") % 13).alias("candidate_count"), (F.col("event_id") % 7).alias("returned_count"), F.col("value").alias("elapsed_ms"), (F.col("value") / 100).alias("threshold")))
 
 
+@query("SELECT doc_id, md5(CASE WHEN doc_id % 2 = 0 THEN 'query: ' ELSE '' END || text) AS asked, md5(CASE WHEN doc_id % 2 = 0 THEN 'passage: ' ELSE '' END || text) AS stored FROM documents")
+def role_texts(spark, sf_dir):
+    """What an encoder of either family gets for queries and for passages."""
+    d = table(spark, sf_dir, "documents").withColumn("model", F.when(F.col("doc_id") % 2 == 0, "multilingual-E5-base").otherwise("bge-m3"))
+    made = lambda role: F.md5(vectors.role_text(F.col("model"), role, F.col("text")).cast("binary"))
+    return d.select("doc_id", made("query").alias("asked"), made("passage").alias("stored"))
+
+
+@query(f"WITH {SIMILARITY_SQL} SELECT query_id, chunk_id, similarity, rank FROM near WHERE rank <= 3")
+def public_columns(spark, sf_dir):
+    """What a user gets of results that carry vectors and working columns."""
+    rows = near(spark, sf_dir, 3).select("query_id", "chunk_id", "similarity", "rank", "embedding").withColumn("_debug", F.lit(1))
+    return ranking.public_columns(rows)
+
+
 DISTINCT_SQL = "SELECT count(*) AS total, count(*) FILTER (found) AS hit, count(*) - count(*) FILTER (found) AS miss, count(DISTINCT text) FILTER (NOT found) AS unique_miss, round(count(*) FILTER (found) / count(*), 4) AS hit_rate FROM (SELECT text, text IN (SELECT text FROM documents WHERE source = 'src0') AS found FROM documents)"
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..config import STOP_WORDS
 from ..functions import text as tx
 from ..operators import chunking, datasets, evaluate, keyword
 from ..sources import files
@@ -17,16 +18,33 @@ def _docs(spark, sf_dir):
     return table(spark, sf_dir, "documents")
 
 
-@query(r"""SELECT doc_id, md5(trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '\r\n?', chr(10), 'g'), '[ \t]', ' ', 'g'), '\n{3,}', chr(10) || chr(10), 'g'), ' {2,}', ' ', 'g'), ' ' || chr(10) || chr(9) || chr(13))) AS text_md5 FROM documents""")
+def normal_sql(text: str) -> str:
+    return rf"""regexp_replace(regexp_replace(regexp_replace(regexp_replace(replace(regexp_replace({text}, '\r\n?', chr(10), 'g'), chr(160), ' '), '[\t\f\x0B]+', ' ', 'g'), '\n{{3,}}', chr(10) || chr(10), 'g'), ' {{2,}}', ' ', 'g'), '^\s+|\s+$', '', 'g')"""
+
+
+@query(f"SELECT doc_id, md5({normal_sql('text')}) AS text_md5 FROM documents")
 def normalize_text(spark, sf_dir):
     return _docs(spark, sf_dir).select("doc_id", F.md5(tx.normalise(F.col("text")).cast("binary")).alias("text_md5"))
 
 
-@query(r"""SELECT doc_id, regexp_matches(text, '(?m)^#{1,6}\s+\S') OR regexp_matches(text, '(?m)^\s*[-*+]\s+\S') OR regexp_matches(text, '(?m)^\s*\d+\.\s+\S') OR regexp_matches(text, '(?m)^```') OR regexp_matches(text, '(?m)^>\s+\S') OR regexp_matches(text, '\[[^\]]+\]\([^)]+\)') AS is_markdown FROM documents""")
+@query(r"""SELECT doc_id, coalesce(regexp_matches(text, '(?m)^#{1,6}\s') OR regexp_matches(text, '(?m)^[-*]\s') OR regexp_matches(text, '(?m)^\d+\.\s') OR regexp_matches(text, '(?m)^\|.*\|') OR regexp_matches(text, '(?m)^```') OR regexp_matches(text, '\n##\s'), FALSE) AS is_markdown FROM documents""")
 def detect_markdown(spark, sf_dir):
     return _docs(spark, sf_dir).select("doc_id", tx.looks_like_markdown(F.col("text")).alias("is_markdown"))
 
 
+NUMBERED = "concat_ws(chr(10), '第三章 ' || source, '  二、' || lang, '（三)', '(四) x', doc_id || '.2 section', '12 apples', '3. listed', text)"
+
+
+@query(rf"""WITH t AS (SELECT doc_id, {NUMBERED} AS text FROM documents), l AS (SELECT doc_id, list_transform(string_split(text, chr(10)), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')) AS l FROM t),
+h AS (SELECT doc_id, array_to_string(list_transform(l, lambda x: CASE WHEN regexp_matches(x, '^第[一二三四五六七八九十百0-9]+章') OR regexp_matches(x, '^[一二三四五六七八九十]+、') OR regexp_matches(x, '^\(?[一二三四五六七八九十]+\)') OR regexp_matches(x, '^\d+(\.\d+){{0,2}}\s+') THEN '## ' || x ELSE x END), chr(10)) AS text FROM l)
+SELECT doc_id, md5({normal_sql('text')}) AS text_md5, len(regexp_extract_all(text, '(?m)^## ')) AS headings FROM h""")
+def inferred_headings(spark, sf_dir):
+    """Documents below lines that look like titles, some of them really, with the headings inferred."""
+    lines = [F.concat(F.lit("第三章 "), "source"), F.concat(F.lit("  二、"), "lang"), F.lit("（三)"), F.lit("(四) x"), F.concat(F.col("doc_id").cast("string"), F.lit(".2 section")), F.lit("12 apples"), F.lit("3. listed"), F.col("text")]
+    d = _docs(spark, sf_dir).select("doc_id", tx.infer_headings(F.concat_ws("\n", *lines)).alias("t"))
+    return d.select("doc_id", F.md5(F.col("t").cast("binary")).alias("text_md5"), F.size(F.regexp_extract_all("t", F.lit("(?m)^(## )"))).cast("long").alias("headings"))
+
+
 @query("""SELECT doc_id, source AS kb_id, md5(text) AS file_hash, min(doc_id) OVER (PARTITION BY source, md5(text)) AS first_id, doc_id = min(doc_id) OVER (PARTITION BY source, md5(text)) AS is_first FROM documents""")
 def doc_dedup(spark, sf_dir):
     from ..operators.catalog import content_duplicates
@@ -62,13 +80,16 @@ def layer_windows(spark, sf_dir):
     return chunking.layered_windows(_docs(spark, sf_dir)).select("doc_id", "layer", F.md5(F.col("content").cast("binary")).alias("content_md5"))
 
 
-@query(r"""SELECT doc_id, len(p) AS n, md5(array_to_string(p, '|')) AS pieces FROM (SELECT doc_id, list_filter(list_transform(regexp_split_to_array(regexp_replace(text, '\n([一二三四五六七八九十]+、|\d+\.|[A-Z]\.)', chr(10) || chr(10) || '\1', 'g'), '\n\n+'), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: x <> '') AS p FROM documents)""")
+@query(r"""SELECT doc_id, len(p) AS n, md5(array_to_string(p, '|')) AS pieces FROM (SELECT doc_id, list_filter(list_transform(regexp_split_to_array(regexp_replace(text, '\n([一二三四五六七八九十]、|\d+\.|[A-Z]\.)', chr(10) || chr(10) || '\1', 'g'), '\n\n+'), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: x <> '') AS p FROM documents)""")
 def paragraphs(spark, sf_dir):
     p = _docs(spark, sf_dir).select("doc_id", tx.paragraphs(F.col("text")).alias("p"))
     return p.select("doc_id", F.size("p").cast("long").alias("n"), F.md5(F.array_join("p", "|").cast("binary")).alias("pieces"))
 
 
-@query()
+@query("""WITH RECURSIVE l AS (SELECT doc_id, list_transform(list_filter(string_split(text, chr(10)), lambda x: trim(x) <> ''), lambda x: length(x)) AS l FROM documents),
+p AS (SELECT doc_id, l, 1 AS i, l[1] AS held, 0 AS k FROM l WHERE len(l) > 0 UNION ALL
+  SELECT doc_id, l, i + 1, CASE WHEN held + l[i + 1] + 2 <= 800 THEN held + l[i + 1] + 2 ELSE l[i + 1] END, CASE WHEN held + l[i + 1] + 2 <= 800 THEN k ELSE k + 1 END FROM p WHERE i < len(l))
+SELECT doc_id, k AS chunk_index, max(held)::INTEGER AS chunk_size FROM p GROUP BY doc_id, k""")
 def packed_paragraphs(spark, sf_dir):
     """Lines packed into blocks of up to 800 characters."""
     lines = F.filter(F.split("text", "\n"), lambda x: F.trim(x) != "")
@@ -94,8 +115,8 @@ def chunk_profiles(spark, sf_dir):
     return chunking.with_profile(p.select("page_id", chunking.document_type(name).alias("doc_type")))
 
 
-_BREAK = r"[\s,，。！？!?:：;；()（）\[\]{}<>《》、/\\\-|_]+"
-_STOP = ", ".join(f"'{w}'" for w in ("的", "了", "和", "与", "及", "由", "是", "是什么", "怎么", "如何", "哪些", "哪几", "吗", "呢", "啊", "呀"))
+_BREAK = tx.TOKEN_BREAK.removeprefix("(?U)")
+_STOP = ", ".join(f"'{w}'" for w in STOP_WORDS)
 
 
 def tokens_sql(source: str, key: str, text: str) -> str:
@@ -126,11 +147,10 @@ def query_variants(spark, sf_dir):
     return b.select("item_id", F.posexplode(tx.variants(F.col("text"), intent=True)).alias("place", "form"))
 
 
-@query(r"""WITH m AS (SELECT doc_id, list_distinct(list_transform(list_concat(regexp_extract_all(text, '(\b[a-zA-Z]{1,4}\s*[-_/]?\s*\d{2,10}[a-zA-Z]{0,2}\b)', 1), regexp_extract_all(text, '(\b\d{2,10}[a-zA-Z]{1,4}\b)', 1)), lambda x: trim(x))) AS codes FROM (SELECT doc_id, regexp_replace(text, '[^\x00-\x7F]', ' ', 'g') AS text FROM documents))
+@query(r"""WITH m AS (SELECT doc_id, list_distinct(list_transform(list_concat(regexp_extract_all(text, '(\b[a-zA-Z]{1,4}\s*[-_/]?\s*\d{2,10}[a-zA-Z]{0,2}\b)', 1), regexp_extract_all(text, '(\b\d{2,10}[a-zA-Z]{1,4}\b)', 1)), lambda x: trim(x))) AS codes FROM documents)
 SELECT doc_id, len(codes) AS n, array_to_string(list_sort(codes), '|') AS codes FROM m""")
 def code_entities(spark, sf_dir):
-    """Codes in the documents' ASCII parts."""
-    c = _docs(spark, sf_dir).select("doc_id", tx.code_entities(F.regexp_replace("text", r"[^\x00-\x7F]", " ")).alias("c"))
+    c = _docs(spark, sf_dir).select("doc_id", tx.code_entities(F.col("text")).alias("c"))
     return c.select("doc_id", F.size("c").cast("long").alias("n"), F.array_join(F.array_sort("c"), "|").alias("codes"))
 
 
@@ -140,10 +160,10 @@ def lookup_keys(spark, sf_dir):
     return s.select("s_suppkey", tx.lookup_key(F.col("s_name")).alias("lookup_key"), tx.min_extraction_length(F.col("s_name")).alias("min_length"))
 
 
-BM25_SQL = r"""cw AS (SELECT lang AS kb_id, doc_id::VARCHAR AS chunk_id, list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}_]+'), lambda t: t <> '') AS words FROM documents),
+BM25_SQL = r"""cw AS (SELECT 'docs' AS kb_id, doc_id::VARCHAR AS chunk_id, list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}_]+'), lambda t: t <> '') AS words FROM documents),
 tf AS (SELECT kb_id, chunk_id, token, count(*) AS tf, any_value(length) AS length FROM (SELECT kb_id, chunk_id, len(words) AS length, unnest(words) AS token FROM cw) GROUP BY ALL),
 st AS (SELECT kb_id, count(*) AS n, avg(len(words)) AS mean FROM cw GROUP BY kb_id), df AS (SELECT kb_id, token, count(*) AS df FROM tf GROUP BY ALL),
-qt AS (SELECT DISTINCT item_id AS query_id, 'en' AS kb_id, unnest(list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}_]+'), lambda t: t <> '')) AS token FROM benchmark),
+qt AS (SELECT DISTINCT item_id AS query_id, 'docs' AS kb_id, unnest(list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}_]+'), lambda t: t <> '')) AS token FROM benchmark),
 bm AS (SELECT query_id, kb_id, chunk_id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * length / mean))), 6) AS ft_score FROM qt JOIN tf USING (kb_id, token) JOIN df USING (kb_id, token) JOIN st USING (kb_id) GROUP BY ALL)"""
 
 
@@ -152,7 +172,7 @@ def bm25(spark, sf_dir):
     return keyword.bm25(text_queries(spark, sf_dir), text_chunks(spark, sf_dir))
 
 
-@query(f"WITH t AS ({tokens_sql('benchmark', 'item_id', 'text')}) SELECT DISTINCT item_id AS query_id, 'en' AS kb_id, doc_id::VARCHAR AS chunk_id FROM t JOIN documents ON lang = 'en' AND contains(lower(text), token)")
+@query(f"WITH t AS ({tokens_sql('benchmark', 'item_id', 'text')}) SELECT DISTINCT item_id AS query_id, 'docs' AS kb_id, doc_id::VARCHAR AS chunk_id FROM t JOIN documents ON contains(lower(text), token)")
 def keyword_contains(spark, sf_dir):
     return keyword.containing(text_queries(spark, sf_dir), text_chunks(spark, sf_dir))
 
@@ -168,12 +188,12 @@ scored AS (SELECT query_id, chunk_id, round(x / max(x) OVER (PARTITION BY query_
 kw AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id)::INTEGER AS rank FROM scored)"""
 
 
-@query(f"WITH {BM25_SQL}, {SCORE_SQL} SELECT query_id, 'en' AS kb_id, chunk_id, score, rank FROM kw WHERE rank <= 10")
+@query(f"WITH {BM25_SQL}, {SCORE_SQL} SELECT query_id, 'docs' AS kb_id, chunk_id, score, rank FROM kw WHERE rank <= 10")
 def keyword_score(spark, sf_dir):
     return keyword.search(text_queries(spark, sf_dir), text_chunks(spark, sf_dir), 10)
 
 
-@query(f"""WITH {BM25_SQL}, {SCORE_SQL}, r AS (SELECT item_id AS query_id, doc_id::VARCHAR AS chunk_id FROM benchmark b JOIN documents d ON lang = 'en' AND contains(d.text, b.text)),
+@query(f"""WITH {BM25_SQL}, {SCORE_SQL}, r AS (SELECT item_id AS query_id, doc_id::VARCHAR AS chunk_id FROM benchmark b JOIN documents d ON contains(d.text, b.text)),
 total AS (SELECT item_id AS query_id, greatest(1, count(chunk_id)) AS total FROM benchmark LEFT JOIN r ON item_id = query_id GROUP BY item_id),
 h AS (SELECT kw.query_id, rank, r.chunk_id IS NOT NULL AS hit FROM kw LEFT JOIN r USING (query_id, chunk_id) WHERE rank <= 10),
 g AS (SELECT query_id, min(rank) FILTER (hit) AS first, sum(CASE WHEN hit THEN 1 / log2(rank + 1) ELSE 0 END) AS dcg FROM h GROUP BY query_id)
@@ -221,9 +241,37 @@ def conversation_text(spark, sf_dir):
     return datasets.conversation_text(table(spark, sf_dir, "conversations"))
 
 
-@query("""SELECT conv_id, string_agg(role || ': ' || substr(text, 1, 100), chr(10) ORDER BY turn) AS summary FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS p FROM conversations) WHERE p <= 4 GROUP BY conv_id""")
+HISTORY_SQL = """hist AS (SELECT * FROM conversations WHERE conv_id % 5 <> 0),
+last4 AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS p FROM hist),
+summ AS (SELECT conv_id, string_agg(role || ': ' || substr(text, 1, 100) || CASE WHEN length(text) > 100 THEN '...' ELSE '' END, chr(10) ORDER BY turn) AS summary FROM last4 WHERE p <= 4 GROUP BY conv_id)"""
+
+
+def _history(spark, sf_dir):
+    return table(spark, sf_dir, "conversations").where("conv_id % 5 <> 0")
+
+
+@query(f"WITH {HISTORY_SQL} SELECT conv_id, summary FROM summ")
+def history_summary(spark, sf_dir):
+    return datasets.history_summary(_history(spark, sf_dir))
+
+
+def _filled_sql(template: str) -> str:
+    out = "'" + template.replace("'", "''") + "'"
+    for name in ("summary", "context", "query"):
+        out = f"replace({out}, '{{{name}}}', {name})" if f"{{{name}}}" in template else out
+    return out
+
+
+@query(f"""WITH {HISTORY_SQL}, asked AS (SELECT DISTINCT conv_id, 'what about ' || conv_id AS query, CASE WHEN conv_id % 3 <> 0 THEN 'passage ' || conv_id ELSE '' END AS context, CASE WHEN conv_id % 2 = 0 THEN 'be brief' END AS system FROM conversations),
+k AS (SELECT asked.*, summary FROM asked LEFT JOIN summ USING (conv_id)),
+m AS (SELECT conv_id, 0 AS part, 0 AS turn, 'system' AS role, CASE WHEN summary IS NOT NULL THEN coalesce(system, '{datasets.DEFAULT_SYSTEM}') || '{datasets.HISTORY_RULE}' ELSE system END AS content FROM k UNION ALL
+  SELECT conv_id, 1, turn, role, text FROM hist UNION ALL
+  SELECT conv_id, 2, 0, 'user', CASE WHEN context <> '' AND summary IS NOT NULL THEN {_filled_sql(datasets.WITH_HISTORY)} WHEN context <> '' THEN {_filled_sql(datasets.WITH_CONTEXT)} ELSE query END FROM k)
+SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY part, turn)::INTEGER AS place, role, content FROM m WHERE part = 1 OR content IS NOT NULL""")
 def prompt_messages(spark, sf_dir):
-    return datasets.prompt_messages(table(spark, sf_dir, "conversations"))
+    c, conv = table(spark, sf_dir, "conversations").select("conv_id").distinct(), F.col("conv_id").cast("string")
+    asked = c.select("conv_id", F.concat(F.lit("what about "), conv).alias("query"), F.when(F.col("conv_id") % 3 != 0, F.concat(F.lit("passage "), conv)).otherwise("").alias("context"), F.when(F.col("conv_id") % 2 == 0, "be brief").alias("system"))
+    return datasets.prompt_messages(asked, _history(spark, sf_dir))
 
 
 _PAIRS_SQL = "WITH p AS (SELECT a.conv_id, a.turn, a.text AS instruction, b.text AS output FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND b.turn = a.turn + 1 WHERE a.role = 'user' AND b.role = 'assistant')"
@@ -236,6 +284,12 @@ def _pairs(spark, sf_dir):
     return a.join(b, ["conv_id", "turn"])
 
 
+@query("SELECT CASE WHEN count(*) > 0 THEN 'conversation' END AS format FROM conversations")
+def dataset_format(spark, sf_dir):
+    none, c = F.lit(None).cast("string"), table(spark, sf_dir, "conversations")
+    return datasets.dataset_format(c.select("conv_id", datasets.record_format(none, none, F.col("text")).alias("format")), "conv_id")
+
+
 @query(f"{_PAIRS_SQL} SELECT conv_id, turn, '### Instruction:' || chr(10) || instruction || chr(10) || chr(10) || '### Response:' || chr(10) || output AS text FROM p")
 def alpaca_text(spark, sf_dir):
     return _pairs(spark, sf_dir).select("conv_id", "turn", datasets.alpaca_text(F.col("instruction"), F.lit(""), F.col("output")).alias("text"))
@@ -263,7 +317,7 @@ def html_text(spark, sf_dir):
     return p.select("page_id", files.html_to_text("html").alias("text"))
 
 
-@query()
+@query("SELECT event_id, 'k: ' || (props->>'k') AS text FROM events")
 def json_record_text(spark, sf_dir):
     """Event properties rendered as JSON files are."""
     e = table(spark, sf_dir, "events")

@@ -108,36 +108,40 @@ def html_text(html: str | None) -> str | None:
     return "\n\n".join(dict.fromkeys(_blocks(tree.root)))
 
 
-def json_lines(value, indent: int = 0) -> list[str]:
-    """`key: value` lines; nested values two spaces deeper; scalars of a list as `- x`."""
-    pad, out = " " * indent, []
+def json_lines(value, depth: int = 0) -> list[str]:
+    """`key: value` lines, nested values two spaces deeper; a list of scalars as `- x`, other lists with a blank line between
+    their items."""
+    pad = "  " * depth
     if isinstance(value, dict):
-        for k, v in value.items():
-            out += [f"{pad}{k}:", *json_lines(v, indent + 2)] if isinstance(v, dict | list) else [f"{pad}{k}: {v}"]
-    elif isinstance(value, list):
-        for v in value:
-            out += json_lines(v, indent + 2) if isinstance(v, dict | list) else [f"{pad}- {v}"]
-    else:
-        out.append(f"{pad}{value}")
+        return [line for k, v in value.items() for line in ([f"{pad}{k}:", *(json_lines(v, depth + 1) or [""])] if isinstance(v, dict | list) else [f"{pad}{k}: {v}"])]
+    if not isinstance(value, list):
+        return [f"{pad}{value}"]
+    if all(isinstance(v, str | int | float | bool) for v in value):
+        return [f"{pad}- {v}" for v in value]
+    out: list[str] = []
+    for i, v in enumerate(value):
+        out += ([""] if i else []) + (json_lines(v, depth) or [""])
     return out
 
 
 def json_text(raw: str | None, lines: bool = False) -> str | None:
-    """A JSON document, or JSON lines as `[Record i]` blocks; what can't be parsed stays as it is."""
-    if raw is None:
-        return None
-    if not lines:
+    """A JSON document; or JSON lines as `[Record i]` blocks, where i counts all lines and a line that can't be parsed stays as it is.
+    Documents of several lines that don't start with a bracket, or that can't be parsed, are read as lines."""
+    if raw is None or not (raw := raw.strip()):
+        return raw
+    if not lines and ("\n" not in raw or raw[0] in "[{"):
         try:
             return "\n".join(json_lines(json.loads(raw)))
         except ValueError:
-            return raw
+            pass
     blocks = []
-    for i, line in enumerate((x for x in raw.splitlines() if x.strip()), 1):
-        try:
-            body = "\n".join(json_lines(json.loads(line)))
-        except ValueError:
-            body = line
-        blocks.append(f"[Record {i}]\n{body}")
+    for i, line in enumerate((x.strip() for x in raw.split("\n")), 1):
+        if line:
+            try:
+                line = "\n".join(json_lines(json.loads(line)))
+            except ValueError:
+                pass
+            blocks.append(f"[Record {i}]\n{line}")
     return "\n\n".join(blocks)
 
 

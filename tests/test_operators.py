@@ -22,7 +22,7 @@ def test_tokens_and_keys(spark):
     assert one(spark, tx.lookup_key(F.lit("Ｎ－４７ （冷室）"))) == "n47冷室"
     assert one(spark, tx.code_entities(F.lit("see N-47 and P_1127, 1127A; 见N-47冷室"))) == ["N-47", "P_1127", "1127A"]
     assert one(spark, tx.vector_recall(F.lit(5), F.lit(750))) == 43
-    assert one(spark, tx.fallbacks(F.lit("水泵的结构"))) == ["水泵", "结构", "水泵的", "的结构"] or "水泵" in one(spark, tx.fallbacks(F.lit("水泵的结构")))
+    assert one(spark, tx.fallbacks(F.lit("水泵的结构"))) == ["水泵", "结构", "水泵的", "的结构"]
     assert one(spark, tx.variants(F.lit(""))) == []
 
 
@@ -43,6 +43,21 @@ def test_recursive_split_keeps_its_contract(text):
 def test_semantic_split():
     assert chunking.semantic_split("one two three\n\none two four", 1, 100) == ["one two three\n\none two four"]
     assert all(len(c) <= 50 for c in chunking.semantic_split("A sentence here. " * 30, 5, 50))
+    assert chunking.force_split("x" * 70 + ". Short. Other.", 50) == ["x" * 70 + ".", "Short. Other."]
+    assert chunking.semantic_split("aaaa\n\nbbbb", 1, 8) == ["aaaa\n\nbbbb"] and chunking.semantic_split("aaaa\n\nbbbb", 1, 8, None) == ["aaaa", "bbbb"]
+    assert chunking.semantic_split("一、甲\n十一、乙\n二、丙", 1, 4, None) == ["一、甲\n十一、乙", "二、丙"]
+
+
+def test_hard_split():
+    assert chunking.hard_split("  a. b  \n\nc", 10) == "a. b\n\nc"
+    assert chunking.hard_split("aaaa,bbbb,cccccccc,dd", 10) == "aaaa,bbbb,\ncccccccc,dd"  # the rest fits into 1.3 times the limit
+    assert chunking.hard_split("x" * 25, 10) == "x" * 10 + "\n" + "x" * 10 + "\n" + "x" * 5
+    assert chunking.hard_split("y" * 12 + "." + "z" * 14, 10) == "y" * 12 + ".\n" + "z" * 10 + "\n" + "z" * 4
+
+
+def test_separators_come_first():
+    text = "intro " * 10 + "\n\nclass A:\n" + "    pass\n" * 5 + "\n\ndef f():\n" + "    return 1\n" * 5
+    assert [c.split("\n")[0][:7] for c in chunking._split_one(text, "code", Profile(80, 0))] == ["intro i", "class A", "def f()"]
     assert chunking.semantic_split(None, 1, 10) == []
 
 
@@ -50,7 +65,9 @@ def test_html_and_json_text():
     page = "<html><head><title>t</title></head><body><nav>skip</nav><h2>Head</h2><p>One <b>two</b></p><ul><li>a</li><li>b</li></ul><table><tr><td>1</td><td>2</td></tr></table><p>One <b>two</b></p><span>short</span><script>x</script></body></html>"
     assert files.html_text(page) == "## Head\n\nOne two\n\n- a\n- b\n\n1 | 2"
     assert files.json_text('{"a": 1, "b": {"c": [1, 2]}}') == "a: 1\nb:\n  c:\n    - 1\n    - 2"
-    assert files.json_text('{"a": 1}\n{"a": 2}', True) == "[Record 1]\na: 1\n\n[Record 2]\na: 2"
+    assert files.json_text('{"a": 1}\n\n{"a": 2}', True) == "[Record 1]\na: 1\n\n[Record 3]\na: 2"
+    assert files.json_text('{"r": [{"x": 1}, {"x": 2}]}') == "r:\n  x: 1\n\n  x: 2"
+    assert files.json_text('{"a": 1}\n{"a": 2}') == "[Record 1]\na: 1\n\n[Record 2]\na: 2" and files.json_text("plain\ntext") == "[Record 1]\nplain\n\n[Record 2]\ntext"
     assert files.decode("图书馆".encode("gbk")) == "图书馆" and files.decode(b"\xff\xfe\xfa") is not None
 
 
@@ -76,7 +93,7 @@ def test_ir_metrics(spark):
 
 
 def test_percentile_interpolates(spark):
-    df = spark.createDataFrame([("A", "c", True, float(x), 1, 1) for x in (100, 200, 300, 400)], "mode string, category string, success boolean, elapsed_ms double, steps int, quality int")
+    df = spark.createDataFrame([("A", "c", True, float(x), 2, 1, 1) for x in (100, 200, 300, 400)], "mode string, category string, success boolean, elapsed_ms double, iterations int, steps int, quality int")
     assert evaluate.ab_summary(df).first()["p95_ms"] == 385.0
 
 
