@@ -208,7 +208,8 @@ def lookup(names: DataFrame, entities: DataFrame, ascii_only: bool = False) -> D
     the parts of the name); by a part itself; by a code that the entity's key contains. The first stage that hits counts,
     then mentions, confidence, the shorter name, the name.
 
-    Three stages are equi-joins. The fourth only takes the names that are left, and meets entities on 4-grams of the codes.
+    Three stages are equi-joins. The fourth only takes names that are codes, and meets entities on trigrams; where an earlier stage
+    hits, what it finds doesn't count.
     """
     pick = ["kb_id", "canonical_name", "name", "mention_count", "confidence"]
     parts = names.withColumn("_parts", F.array_distinct(F.filter(F.concat(F.array(F.trim("query_entity")), fallbacks(F.col("query_entity"))), lambda x: x != "")))
@@ -221,13 +222,11 @@ def lookup(names: DataFrame, entities: DataFrame, ascii_only: bool = False) -> D
     normal = keys.join(keyed.select(*pick, "_key"), ["kb_id", "_key"]).withColumns({"stage": F.lit(2), "match_stage": F.lit("normalized")})
     split = part.join(surface.withColumnRenamed("_form", "_part"), ["kb_id", "_part"]).withColumns({"stage": F.lit(3), "match_stage": F.lit("split")})
     columns = ["query_id", "query_entity", *pick, "stage", "match_stage"]
-    found = exact.select(columns).unionByName(normal.select(columns)).unionByName(split.select(columns))
-    left = keys.join(found.select("query_id", "kb_id", "query_entity").distinct(), ["query_id", "kb_id", "query_entity"], "left_anti")
-    codes = left.select("query_id", "kb_id", "query_entity", F.explode(code_keys(F.array("_key"))).alias("_code")).withColumn("_gram", F.substring("_code", 1, 3))
+    codes = keys.select("query_id", "kb_id", "query_entity", F.explode(code_keys(F.array("_key"))).alias("_code")).withColumn("_gram", F.substring("_code", 1, 3))
     n = F.length("_key")
     grams = F.array_distinct(F.transform(F.when(n > 2, F.sequence(F.lit(1), n - 2)).otherwise(F.array().cast("array<int>")), lambda i: F.substring("_key", i, F.lit(3))))
     contains = keyed.select(*pick, "_key", F.explode(grams).alias("_gram")).join(codes, ["kb_id", "_gram"]).where(F.contains("_key", "_code")).withColumns({"stage": F.lit(4), "match_stage": F.lit("code_contains")})
-    every = found.unionByName(contains.select(columns))
+    every = exact.select(columns).unionByName(normal.select(columns)).unionByName(split.select(columns)).unionByName(contains.select(columns))
     best = F.row_number().over(Window.partitionBy("query_id", "kb_id", "query_entity").orderBy("stage", F.desc("mention_count"), F.desc("confidence"), F.length("name"), "canonical_name"))
     return every.withColumn("_best", best).where("_best = 1").drop("_best", "stage")
 
@@ -266,10 +265,10 @@ def graph_score(hop: Column, confidence: Column, evidence: Column, mentions: Col
 STAGE_WEIGHT = {"exact": 1.0, "normalized": 0.97, "split": 0.92, "code_contains": 0.84}
 
 
-def graph_channel(names: DataFrame, entities: DataFrame, relations: DataFrame, top_k: int, hops: int = 2, ascii_only: bool = False, config=HYBRID) -> DataFrame:
-    """names(query_id, kb_id, query_entity) -> query_id, kb_id, key, source, entity, hop, score: the matched entities and what is
+def graph_channel(names: DataFrame, entities: DataFrame, relations: DataFrame, top_k: int, hops: int = 2, ascii_only: bool = False, config=HYBRID, hit: DataFrame | None = None) -> DataFrame:
+    """names(query_id, kb_id, query_entity), hit: what lookup gives for them, if it is there already -> query_id, kb_id, key, source, entity, hop, score: the matched entities and what is
     related to them, one row a key, the top_k best."""
-    hit = lookup(names, entities, ascii_only)
+    hit = lookup(names, entities, ascii_only) if hit is None else hit
     weight = F.create_map(*[F.lit(x) for pair in STAGE_WEIGHT.items() for x in pair])[F.col("match_stage")]
     facts = entities.select("kb_id", "canonical_name", (F.col("n_chunks") if "n_chunks" in entities.columns else F.size("chunk_ids")).alias("evidence"))
     direct = hit.join(facts, ["kb_id", "canonical_name"])

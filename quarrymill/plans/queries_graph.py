@@ -156,7 +156,8 @@ gr AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, k
 
 @query(f"WITH {GRAPH_SQL}, {CHANNEL_SQL} SELECT query_id, key, source, entity, hop, score, rank FROM gr WHERE rank <= 10")
 def graph_channel(spark, sf_dir):
-    out = graph.graph_channel(_names(spark, sf_dir), *settled(spark, sf_dir), 10)
+    (e, r), names = settled(spark, sf_dir), _names(spark, sf_dir)
+    out = graph.graph_channel(names, e, r, 10, hit=graph.lookup(names, e).persist())
     return out.select("query_id", "key", "source", "entity", "hop", "score", "rank")
 
 

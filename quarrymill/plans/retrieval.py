@@ -45,7 +45,7 @@ def hybrid_search(queries: DataFrame, chunks: DataFrame, top_k: int, vector: Dat
         found = keyword.search(queries, chunks, max(top_k * 4, config.window), config)
         parts.append(row(found.select("query_id", F.concat(F.lit("chunk::"), "chunk_id").alias("key"), "score", F.lit("").alias("match_stage")), "keyword", "keyword").select(columns))
     if "graph" in channels and names is not None:
-        parts.append(row(graph.graph_channel(names, entities, relations, config.window), "graph", None).select(columns))
+        parts.append(row(graph.graph_channel(names, entities, relations, config.window, config=config, hit=graph.lookup(names, entities).persist()), "graph", None).select(columns))
     union = parts[0]
     for part in parts[1:]:
         union = union.unionByName(part)

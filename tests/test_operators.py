@@ -44,13 +44,13 @@ def test_semantic_split():
     assert chunking.semantic_split("one two three\n\none two four", 1, 100) == ["one two three\n\none two four"]
     assert all(len(c) <= 50 for c in chunking.semantic_split("A sentence here. " * 30, 5, 50))
     assert chunking.force_split("x" * 70 + ". Short. Other.", 50) == ["x" * 70 + ".", "Short. Other."]
-    assert chunking.semantic_split("aaaa\n\nbbbb", 1, 8) == ["aaaa\n\nbbbb"] and chunking.semantic_split("aaaa\n\nbbbb", 1, 8, None) == ["aaaa", "bbbb"]
+    assert chunking.semantic_split("aaaa\n\nbbbb", 5, 8) == ["aaaa\n\nbbbb"] and chunking.semantic_split("aaaa\n\nbbbb", 1, 8, None) == ["aaaa", "bbbb"]
     assert chunking.semantic_split("一、甲\n十一、乙\n二、丙", 1, 4, None) == ["一、甲\n十一、乙", "二、丙"]
 
 
 def test_hard_split():
     assert chunking.hard_split("  a. b  \n\nc", 10) == "a. b\n\nc"
-    assert chunking.hard_split("aaaa,bbbb,cccccccc,dd", 10) == "aaaa,bbbb,\ncccccccc,dd"  # the rest fits into 1.3 times the limit
+    assert chunking.hard_split("aaaa,bbbb,cccccccc,dd", 10) == "aaaa,\nbbbb,\ncccccccc,dd"  # the rest fits into 1.3 times the limit
     assert chunking.hard_split("x" * 25, 10) == "x" * 10 + "\n" + "x" * 10 + "\n" + "x" * 5
     assert chunking.hard_split("y" * 12 + "." + "z" * 14, 10) == "y" * 12 + ".\n" + "z" * 10 + "\n" + "z" * 4
 
