@@ -66,13 +66,11 @@ def merge_entities(rows: DataFrame) -> DataFrame:
         F.sum("mention_count").cast("long").alias("mention_count"),
     )
     lists = ("labels", "aliases", "chunk_ids")
-    item = lambda kind, key, value: F.struct(F.lit(kind).alias("_kind"), key.cast("string").alias("_key"), value.cast("string").alias("_value"))
-    elements = lambda kind: F.transform(kind, lambda x: item(kind, F.lit(None), x))
-    entries = F.transform(F.map_entries("attributes"), lambda e: item("attributes", e["key"], e["value"]))
-    items = rows.select(*keys, "seq", F.explode(F.flatten(F.array_compact(F.array(*map(elements, lists), entries)))).alias("_i")).select(*keys, "seq", "_i.*")
-    # of an attribute all values are one group, of a list each value is one
-    group = F.when(F.col("_kind") != "attributes", F.col("_value")).alias("_group")
-    items = items.groupBy(*keys, "_kind", "_key", group).agg(F.min_by("_value", F.struct("seq", "_value")).alias("_value")).drop("_group")
+    elements = lambda kind: F.transform(kind, lambda x: F.struct(F.lit(kind).alias("_kind"), x.cast("string").alias("_value")))
+    held = rows.select(*keys, F.explode(F.flatten(F.array_compact(F.array(*map(elements, lists))))).alias("_i")).select(*keys, "_i.*").distinct()
+    entries = rows.select(*keys, "seq", F.explode("attributes").alias("_key", "_value"))
+    first = entries.groupBy(*keys, "_key").agg(F.min_by("_value", F.struct("seq", "_value")).alias("_value")).withColumn("_kind", F.lit("attributes"))
+    items = held.unionByName(first, allowMissingColumns=True)
     both = merged.unionByName(items, allowMissingColumns=True)
     of = lambda kind: F.collect_list(F.when(F.col("_kind") == kind, F.struct(F.col("_key").alias("key"), F.col("_value").alias("value"))))
     return both.groupBy(*keys).agg(
