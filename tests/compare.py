@@ -17,7 +17,7 @@ def tables(sf_dir: str) -> duckdb.DuckDBPyConnection:
 
 def plain(df: pd.DataFrame) -> list[tuple]:
     def value(x):
-        if x is None or x is pd.NaT or (isinstance(x, float) and x != x):
+        if x is None or x is pd.NaT or x is pd.NA or (isinstance(x, float) and x != x):
             return ""
         if isinstance(x, bool) or type(x).__name__ == "bool_":
             return str(bool(x))
