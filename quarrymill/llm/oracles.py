@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, mixing, quality, topk
+from . import chat, mixing, quality, topk, trie
 
 _WORDS = r"'[^\x20\x09-\x0D]+'"
 _BLANKS = r"'[\x20\x09-\x0D]+'"
@@ -103,10 +103,45 @@ m AS (
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND {_rules()} AS kept, n_stop_words, longest_word_chars FROM f
 """
 
+TRIE = f"""
+WITH o AS (
+  SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+         row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS place
+  FROM conversations WHERE conv_id IS NOT NULL
+), crc_table AS (
+  SELECT i, list_reduce(list_prepend(i, range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS v FROM range(256) AS r(i)
+), crc_list AS (SELECT list(v ORDER BY i) AS t FROM crc_table),
+plans AS (
+  SELECT conv_id, conv_id - conv_id % {trie.GROUP} AS base,
+         xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(conv_id::VARCHAR, ''), lambda x: ord(x)::BIGINT)),
+             lambda c, b: xor(c >> 8, t[xor(c & 255, b) + 1]))) % {trie.OPENINGS} AS h
+  FROM (SELECT DISTINCT conv_id FROM o), crc_list
+), rebuilt AS (
+  SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY own, place) AS d, role, text FROM (
+    SELECT p.conv_id, 0 AS own, o.place, role, text FROM plans p JOIN o ON o.conv_id = p.base AND o.place <= h
+    UNION ALL SELECT p.conv_id, 1, o.place, role, text FROM plans p JOIN o ON o.conv_id = p.conv_id AND o.place > h)
+), steps AS (
+  SELECT conv_id, d, length(text) AS chars, md5(string_agg(md5(role) || md5(text), '') OVER (PARTITION BY conv_id ORDER BY d ROWS UNBOUNDED PRECEDING)) AS k FROM rebuilt
+  UNION ALL SELECT conv_id, 0, 0, 'root' FROM plans
+), nodes AS (SELECT d, k, min(conv_id) AS conv_id, count(*) AS n_convs, max(chars) AS chars FROM steps GROUP BY d, k),
+lengths AS (SELECT conv_id, max(d) AS d FROM steps GROUP BY conv_id),
+ended AS (SELECT s.d, s.k, sha256(string_agg(s.conv_id::VARCHAR, ',' ORDER BY s.conv_id)) AS digest FROM steps s JOIN lengths l ON l.conv_id = s.conv_id AND l.d = s.d GROUP BY ALL),
+parents AS (
+  SELECT n.d, n.k, p.conv_id AS parent, p.k AS parent_k FROM nodes n JOIN steps s ON s.conv_id = n.conv_id AND s.d = n.d - 1 JOIN nodes p ON p.d = s.d AND p.k = s.k
+), children AS (SELECT d - 1 AS d, parent_k AS k, count(*) AS n FROM parents GROUP BY ALL),
+below AS (
+  SELECT s.d, s.k, sum(CASE WHEN c.n IS NULL THEN 1 ELSE 0 END)::BIGINT AS n_leaves, sum((n.n_convs - 1) * n.chars)::BIGINT AS saved
+  FROM nodes n JOIN steps s ON s.conv_id = n.conv_id AND s.d <= n.d LEFT JOIN children c ON c.d = n.d AND c.k = n.k GROUP BY ALL
+)
+SELECT n.conv_id, n.d AS depth, parent AS parent_conv_id, n_convs, coalesce(c.n, 0)::BIGINT AS n_children, n_leaves, saved AS saved_tokens, coalesce(digest, sha256('')) AS ends_sha256
+FROM nodes n LEFT JOIN parents p ON p.d = n.d AND p.k = n.k LEFT JOIN children c ON c.d = n.d AND c.k = n.k LEFT JOIN ended e ON e.d = n.d AND e.k = n.k JOIN below b ON b.d = n.d AND b.k = n.k
+"""
+
 ORACLE_SQL: dict[str, str] = {
     "op1_minhash_near_dedup": NEAR_DEDUP,
     "op2_chat_format": CHAT,
     "op5_exact_top_k": TOP_K,
     "op8_mix_sources": MIXING,
     "op9_quality_rules": QUALITY,
+    "op13_prefix_trie": TRIE,
 }

@@ -2,22 +2,18 @@
 
 from __future__ import annotations
 
-import os
 from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat, langid, line_dedup, mixing, near_dedup, oracles, quality, topk, toxicity, unigram
+from . import bpe, chat, langid, line_dedup, mixing, near_dedup, oracles, quality, topk, toxicity, trie, unigram, whitening
 from .common import read
 
 
-
 def tokenizer(name: str) -> str:
-    """The place of a public tokenizer's file: in the folder that QUARRYMILL_TOKENIZERS names, else in the public_tokenizers
-    package."""
-    folder = os.environ.get("QUARRYMILL_TOKENIZERS")
-    return os.path.join(folder, name) if folder else public_tokenizers.path(name)
+    """The place of a public tokenizer's file."""
+    return public_tokenizers.path(name)
 
 
 def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -65,6 +61,14 @@ def op10_bpe_encode_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(read(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"))
 
 
+def op11_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(read(spark, sf_dir, "embeddings"))
+
+
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie.prefix_trie(read(spark, sf_dir, "conversations"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -78,6 +82,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_mix_sources,
         op9_quality_rules,
         op10_bpe_encode_decode,
+        op11_embedding_whitening,
+        op13_prefix_trie,
     )
 }
 
