@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat, langid, line_dedup, mixing, near_dedup, oracles, quality, topk, toxicity, trie, unigram, whitening
+from . import bpe, chat, gbt, langid, line_dedup, mixing, near_dedup, oracles, quality, topk, toxicity, trie, unigram, whitening
 from .common import read
 
 
@@ -65,6 +65,10 @@ def op11_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whiten(read(spark, sf_dir, "embeddings"))
 
 
+def op12_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return gbt.classify(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
 def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return trie.prefix_trie(read(spark, sf_dir, "conversations"))
 
@@ -83,6 +87,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op9_quality_rules,
         op10_bpe_encode_decode,
         op11_embedding_whitening,
+        op12_quality_classifier,
         op13_prefix_trie,
     )
 }
