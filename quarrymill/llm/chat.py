@@ -5,37 +5,30 @@ gives every prefix of a conversation an identity of 128 bits; conversations whos
 or which equal one with a smaller id, are dropped by anti-joins. The maximal ones are rendered.
 
 Defined results: turns without a conversation id are left out; null roles and texts are values of their own and render
-as empty; turns are ordered by turn, role, text (nulls first); repeated rows are repeated turns; other columns are ignored.
+as empty; turns are ordered by turn, role, text (nulls first), for the hashes as for rendering, so equal turn numbers never depend
+on the order of rows; repeated rows are repeated turns; a very long conversation is hashed by many tasks, and its rendering is one
+row; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut
+from .turns import ordered, prefixes
 
 BEFORE, BETWEEN, AFTER = "<|im_start|>", "\n", "<|im_end|>\n"
 
 
-def prefixes(turns: DataFrame) -> DataFrame:
-    """turns(conv_id, turn, role, text) -> conv_id, position, h1, h2 (of the turns up to there), n (turns in all).
+def maximal(turns: DataFrame) -> DataFrame:
+    """conv_id and n_turns of the conversations that are no proper prefix of another one, equal ones once.
 
-    The texts stay where they are: only their hashes are shuffled.
+    Texts are shuffled once, to put the turns in order; from there on their hashes stand for them.
     """
-    content = [F.xxhash64(F.lit(seed), F.col("role").isNull(), "role", F.col("text").isNull(), "text") for seed in (1, 2)]
-    slim = turns.where("conv_id is not null").select("conv_id", "turn", content[0].alias("c1"), content[1].alias("c2"))
-    order = Window.partitionBy("conv_id").orderBy("turn", "c1", "c2")
-    placed = slim.withColumn("position", F.row_number().over(order))
-    so_far = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    for h, c in (("h1", "c1"), ("h2", "c2")):
-        placed = placed.withColumn(h, F.bit_xor(F.xxhash64(F.lit(h), "position", c)).over(so_far))
-    return placed.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("conv_id"))).select("conv_id", "position", "h1", "h2", "n")
-
-
-def maximal(turns: DataFrame) -> DataFrame:
-    """conv_id and n_turns of the conversations that are no proper prefix of another one, equal ones once."""
-    rolled = cut(prefixes(turns))
+    placed = ordered(turns)
+    sizes = placed.groupBy("conv_id").agg(F.count(F.lit(1)).alias("n"))
+    rolled = cut(prefixes(placed.drop("chars")).join(sizes, "conv_id"))
     whole = rolled.where("position = n").groupBy("h1", "h2", "n").agg(F.min("conv_id").alias("conv_id"))
     inner = rolled.where("position < n").select("h1", "h2", F.col("position").alias("n")).distinct()
     return whole.join(inner, ["h1", "h2", "n"], "left_anti").select("conv_id", F.col("n").alias("n_turns"))

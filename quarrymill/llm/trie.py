@@ -25,33 +25,17 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import written
+from .turns import ordered, prefixes
 
 #: Depths of a band.
 HEIGHT = 8
 #: Shared opening turns: conversation c takes the first crc32(c) % OPENINGS turns of conversation c - c % GROUP.
 GROUP, OPENINGS = 100, 6
-#: Turns whose hashes roll in one group, and ids of a run at most.
-STRETCH, RUN = 1024, 4096
+#: Ids of a run at most.
+RUN = 4096
 NO_ENDS = hashlib.sha256(b"").hexdigest()
 
 
-def ordered(turns: DataFrame) -> DataFrame:
-    """turns(conv_id, turn, role, text) -> conv_id, position (from 1), c1, c2 (hashes of role and text), chars.
-
-    Rows are sorted by ranges, so a conversation may lie in several tasks: its parts are counted first.
-    """
-    role, text = F.coalesce(F.col("role").cast("string"), F.lit("")), F.coalesce(F.col("text").cast("string"), F.lit(""))
-    rows = turns.where("conv_id is not null").select(F.col("conv_id").cast("long").alias("conv_id"), "turn", role.alias("role"), text.alias("text"), F.monotonically_increasing_id().alias("row"))
-    order = [F.col("conv_id").asc(), F.col("turn").asc_nulls_first(), F.col("role").asc(), F.col("text").asc(), F.col("row").asc()]  # row: equal rows may lie apart
-    hashes = [F.xxhash64(F.lit(seed), "role", "text").alias(name) for seed, name in ((1, "c1"), (2, "c2"))]
-    placed = rows.repartitionByRange(*order).sortWithinPartitions(*order).select("conv_id", *hashes, F.length("text").cast("long").alias("chars"), F.monotonically_increasing_id().alias("at"))
-    placed = written(placed, "turns").withColumn("part", F.shiftright("at", 33))
-    parts = placed.groupBy("conv_id", "part").agg(F.min("at").alias("first"), F.count(F.lit(1)).alias("held"))
-    before = F.sum("held").over(Window.partitionBy("conv_id").orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
-    parts = parts.select("conv_id", "part", (F.col("first") - F.coalesce(before, F.lit(0))).alias("start"))
-    return placed.join(parts, ["conv_id", "part"]).select("conv_id", (F.col("at") - F.col("start") + 1).alias("position"), "c1", "c2", "chars")
-
-
 def shared_openings(turns: DataFrame) -> DataFrame:
     """Ordered turns -> those of the rebuilt conversations: conv_id, position, c1, c2, chars, n (turns in all); a conversation
     that is left without turns has one row with position 0."""
@@ -69,19 +53,6 @@ def shared_openings(turns: DataFrame) -> DataFrame:
     return opening.select(*columns).union(rest.select(*columns)).union(nothing)
 
 
-def prefixes(turns: DataFrame) -> DataFrame:
-    """Turns with positions -> conv_id, depth, h1, h2 (of the turns up to there), chars (of the last one), n."""
-    own = {name: F.xxhash64("position", c) for name, c in (("x1", "c1"), ("x2", "c2"))}
-    turns = turns.withColumns(own | {"stretch": F.floor(F.col("position") / STRETCH).cast("long")})
-    totals = turns.groupBy("conv_id", "stretch").agg(F.bit_xor("x1").alias("t1"), F.bit_xor("x2").alias("t2"))
-    past = Window.partitionBy("conv_id").orderBy("stretch").rowsBetween(Window.unboundedPreceding, -1)
-    totals = totals.select("conv_id", "stretch", F.bit_xor("t1").over(past).alias("b1"), F.bit_xor("t2").over(past).alias("b2")).where("stretch > 0")
-    here = Window.partitionBy("conv_id", "stretch").orderBy("position").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    rolled = turns.withColumns({"r1": F.bit_xor("x1").over(here), "r2": F.bit_xor("x2").over(here)}).join(totals, ["conv_id", "stretch"], "left")
-    both = [F.col(r).bitwiseXOR(F.coalesce(b, F.lit(0))).alias(h) for r, b, h in (("r1", "b1", "h1"), ("r2", "b2", "h2"))]
-    return rolled.select("conv_id", F.col("position").alias("depth"), *both, "chars", "n")
-
-
 def members(steps: DataFrame) -> DataFrame:
     """Prefixes -> conv_id, depth, n, and of the node there: owner (its smallest member), n_convs, leaf (1 or 0), saved.
 
@@ -195,7 +166,9 @@ def ends(rows: DataFrame) -> DataFrame:
 def prefix_trie(turns: DataFrame) -> DataFrame:
     """turns(conv_id, turn, role, text) with shared openings -> a row for each node: conv_id, depth, parent_conv_id, n_convs,
     n_children, n_leaves, saved_tokens, ends_sha256."""
-    steps = written(prefixes(shared_openings(ordered(turns.select("conv_id", "turn", "role", "text")))), "prefixes")
+    plain = [F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ("role", "text")]
+    steps = shared_openings(ordered(turns.select("conv_id", "turn", *plain)))
+    steps = written(prefixes(steps).withColumnRenamed("position", "depth"), "prefixes")
     rows = written(members(steps), "members")
     paths = written(_paths(rows), "paths")
     children = paths.where("depth > 0").groupBy(F.col("parent").alias("conv_id"), (F.col("depth") - 1).alias("depth")).agg(F.count(F.lit(1)).alias("n_children"))
