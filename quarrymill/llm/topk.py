@@ -11,7 +11,8 @@ most k rows for a query and block, however many candidates tie.
 Defined results: vectors that are null or hold null or non-finite components take no part; vectors of different lengths
 are never scored against each other; rows without an id take no part; rows with the query's own id aren't candidates; of query
 rows that share an id the one with the least vector asks, while candidate rows that share an id are candidates each; fewer
-than k candidates are all returned; an empty table gives an empty result; other columns are ignored.
+than k candidates are all returned; components and scores beyond a long count as its limits (the scores of a block pair
+that could pass a long are worked out in Python's integers); an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ from pyspark.sql import functions as F
 from .common import cut
 
 SCALE, BINS, QUERY_BLOCK, BLOCK = 1024, 2048, 512, 2048
-_LOWEST = np.iinfo(np.int64).min
+_LOWEST, _HIGHEST = np.iinfo(np.int64).min, np.iinfo(np.int64).max
 
 
 def integer_vectors(vectors: DataFrame, scale: int = SCALE) -> DataFrame:
@@ -47,7 +48,7 @@ def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 own = rows[first : first + BLOCK]
                 flat = vectors.take(pa.array(own)).flatten().to_numpy().reshape(len(own), dim)
                 norm = float(np.sqrt((flat.astype(float) ** 2).sum(axis=1)).max())
-                narrow = flat.astype(np.int16) if dim and np.abs(flat).max() < 2**15 else flat
+                narrow = flat.astype(np.int16) if dim and -(2**15) <= flat.min() and flat.max() < 2**15 else flat
                 yield pa.RecordBatch.from_arrays([pa.array([int(ids[own[0]])]), pa.array([int(dim)], pa.int32()), pa.array([ids[own].tobytes()], pa.binary()), pa.array([narrow.tobytes()], pa.binary()), pa.array([norm])], ["block", "dim", "ids", "numbers", "norm"])
 
 
@@ -60,9 +61,12 @@ def _scored(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[dict], np.
             raw = batch.column("numbers")[row].as_py()
             numbers = np.frombuffer(raw, np.int64 if len(raw) == 8 * dim * len(ids) else np.int16).reshape(len(ids), dim)
             wanted = np.array([q["v"] for q in queries], np.int64).reshape(len(queries), dim)
-            bound = float(np.abs(wanted).max(initial=0)) * float(np.abs(numbers.astype(float)).max(initial=0)) * dim
-            exact = float if bound < 2**53 else np.int64
-            scores = (wanted.astype(exact) @ numbers.astype(exact).T).astype(np.int64)
+            bound = float(np.abs(wanted.astype(float)).max(initial=0)) * float(np.abs(numbers.astype(float)).max(initial=0)) * dim
+            exact = float if bound < 2**53 else np.int64 if bound < 2**62 else object
+            scores = wanted.astype(exact) @ numbers.astype(exact).T
+            if exact is object:
+                scores = np.clip(scores, -_HIGHEST, _HIGHEST)
+            scores = scores.astype(np.int64)
             scores[np.array([q["vec_id"] for q in queries])[:, None] == ids[None, :]] = _LOWEST
             yield queries, ids, scores
 
@@ -73,7 +77,7 @@ def _histograms(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.Record
         low, high, width = (np.array([q[c] for q in queries], np.int64)[:, None] for c in ("low", "high", "width"))
         at, _ = np.nonzero((best >= low) & (best <= high) & (best > _LOWEST))
         inside = best[(best >= low) & (best <= high) & (best > _LOWEST)]
-        bins = (inside - low[at, 0]) // width[at, 0]
+        bins = ((inside.view(np.uint64) - low[at, 0].view(np.uint64)) // width[at, 0].view(np.uint64)).astype(np.int64)  # the distance may pass a long
         pairs, counts = np.unique(np.stack([at, bins], 1), axis=0, return_counts=True)
         yield pa.RecordBatch.from_arrays([pa.array([queries[i]["vec_id"] for i in pairs[:, 0]], pa.int64()), pa.array(pairs[:, 1].astype(np.int64)), pa.array(counts.astype(np.int64))], ["query_id", "bin", "n"])
 
@@ -99,9 +103,11 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, scale: int = SCAL
     n_blocks = max(1, -(-asked.count() // QUERY_BLOCK))
     norm = blocks.agg(F.max("norm")).first()[0] or 0.0
     own = F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x.cast("double") * x))
-    high = F.ceil(own * norm + 1).cast("long")
+    high = F.when(own * norm < 2.0**62, F.ceil(F.least(own * norm, F.lit(2.0**62)) + 1)).otherwise(_HIGHEST).cast("long")
     state = asked.withColumns({"part": F.pmod(F.xxhash64("vec_id"), F.lit(n_blocks)), "dim": F.size("v"), "high": high, "low": -high, "above": F.lit(0).cast("long")})
-    state = state.withColumn("width", F.ceil((F.col("high") - F.col("low") + 1) / BINS).cast("long"))
+    wide = lambda c: F.col(c).cast("decimal(20,0)")
+    width = F.floor((wide("high") - wide("low")) / BINS).cast("long") + 1
+    state = state.withColumn("width", width)
     placed = blocks.withColumn("lot", F.pmod(F.xxhash64("block"), F.lit(groups)))
 
     def pairs(now: DataFrame) -> DataFrame:
@@ -109,7 +115,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, scale: int = SCAL
         everywhere = packed.select("queries", "dim", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(groups - 1).cast("long"))).alias("lot"))
         return placed.join(everywhere, ["lot", "dim"]).select("queries", "dim", "ids", "numbers")
 
-    while (widest := state.agg(F.max(F.col("high") - F.col("low"))).first()[0]) is not None and widest > 0:
+    while (open_ := state.agg(F.bool_or(F.col("high") > F.col("low"))).first()[0]) is not None and open_:
         counted = pairs(state).mapInArrow(lambda it: _histograms(it, k), "query_id long, bin long, n long").groupBy("query_id", "bin").agg(F.sum("n").alias("n"))
         down = Window.partitionBy("query_id").orderBy(F.desc("bin"))
         reached = counted.withColumn("seen", F.sum("n").over(down.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
@@ -117,10 +123,11 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, scale: int = SCAL
         found = found.where("so_far + seen >= %d and so_far + seen - n < %d" % (k, k)).select("query_id", "bin", (F.col("so_far") + F.col("seen") - F.col("n")).alias("over"))
         next_ = state.join(found, state["vec_id"] == found["query_id"], "left")
         # a query with fewer than k candidates keeps everything
-        low = F.when(F.col("bin").isNull(), F.lit(_LOWEST + 1)).otherwise(F.col("low") + F.col("bin") * F.col("width"))
-        high = F.when(F.col("bin").isNull(), F.lit(_LOWEST + 1)).otherwise(F.least("high", F.col("low") + (F.col("bin") + 1) * F.col("width") - 1))
+        at = lambda bins: wide("low") + bins.cast("decimal(5,0)") * wide("width")
+        low = F.when(F.col("bin").isNull(), F.lit(_LOWEST + 1)).otherwise(at(F.col("bin")).cast("long"))
+        high = F.when(F.col("bin").isNull(), F.lit(_LOWEST + 1)).otherwise(F.least(F.col("high").cast("decimal(38,0)"), at(F.col("bin") + 1) - 1).cast("long"))
         next_ = next_.select("vec_id", "v", "part", "dim", high.alias("high"), low.alias("low"), F.coalesce("over", "above").alias("above"))
-        state = cut(next_.withColumn("width", F.greatest(F.lit(1), F.ceil((F.col("high") - F.col("low") + 1) / BINS)).cast("long")))
+        state = cut(next_.withColumn("width", width))
     chosen = pairs(state).mapInArrow(lambda it: _select(it, k), "query_id long, vec_id long, score long")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return chosen.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
