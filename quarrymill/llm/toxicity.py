@@ -8,8 +8,10 @@ window's, calibrated by a logistic fit on labelled texts that training didn't se
 Training is multiple-instance learning on a bounded sample of labelled documents (PER_LABEL, LABEL_BYTES and TEXT_BYTES are its
 bounds), in one task; the driver only receives the network. A toxic teaches by the window that looks most toxic (at first by its words' log odds), a clean one by any window.
 
-Defined results: null and blank texts score 0; a row without a doc_id is scored but never learned from; with labels of one
-kind only, or none, every text scores 0; other columns are ignored.
+Defined results: null and blank texts score 0; a row without a doc_id is scored but never learned from; equal texts teach once, as
+toxic if any of them is, and repeated rows score alike; texts of any length are scored whole, and those over TEXT_BYTES teach
+nothing; with labels of one kind only, or none, every text scores 0; an empty table gives an empty result; other columns are
+ignored.
 """
 
 from __future__ import annotations
@@ -24,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textcore as tc
-from .common import held_out
+from .common import held_out, written
 
 WINDOW, OVERLAP = 48, 8
 EMBED, HIDDEN, ATTEND = 12, 8, 8
@@ -359,39 +361,40 @@ def _score(batches: Iterator[pa.RecordBatch], shared, threshold: float) -> Itera
 
 
 def _train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The pickled network of a sorted sample of (doc_id, text, toxic); each text teaches once, and a label's texts end with its
-    bytes."""
+    """The pickled network of a sorted sample of (text, toxic); a label's texts end with its bytes."""
     texts: list[str] = []
     labels: list[int] = []
-    seen, left = set(), {0: LABEL_BYTES, 1: LABEL_BYTES}
+    left = {0: LABEL_BYTES, 1: LABEL_BYTES}
     for batch in batches:
         for text, toxic in zip(batch.column("text").to_pylist(), batch.column("toxic").to_pylist(), strict=True):
             left[toxic] -= len(text.encode())
-            if left[toxic] >= 0 and text not in seen:
-                seen.add(text)
+            if left[toxic] >= 0:
                 texts.append(text)
                 labels.append(toxic)
-    del seen
     order = np.random.default_rng(SEED).permutation(len(texts))
     net = train([texts[i] for i in order], [labels[i] for i in order])
     yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(net)], pa.binary())], ["net"])
 
 
 def learn(docs: DataFrame, labels: DataFrame, per_label: int = PER_LABEL) -> Network:
-    """Trains on labelled documents that aren't held out: about per_label a label, chosen by a hash of their ids.
+    """Trains on labelled documents that aren't held out: about per_label different texts a label, chosen by a hash of the text.
 
-    Only the chosen ids, bounded by per_label, are broadcast to fetch the texts; the sample is bounded in rows and bytes, and
-    one task reads it. Without labels of both kinds the network is untrained.
+    Copies become one text before anything is counted or chosen, by hashes that meet the labels without the texts. Only the chosen
+    ids, bounded by per_label, are broadcast to fetch texts; the sample is bounded in rows and bytes, and one task reads it.
+    Without labels of both kinds the network is untrained.
     """
-    rows = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1) & ~held_out()).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").cast("int").alias("toxic"))
-    counts = {r["toxic"]: r["n"] for r in rows.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
+    known = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1) & ~held_out()).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").cast("int").alias("toxic"))
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where(F.octet_length("text") <= TEXT_BYTES)
+    texts = texts.withColumn("copy", F.xxhash64("text"))
+    different = texts.select("doc_id", "copy").join(known, "doc_id").groupBy("copy").agg(F.max("toxic").alias("toxic"), F.min("doc_id").alias("doc_id"))
+    different = written(different, "labelled")
+    counts = {r["toxic"]: r["n"] for r in different.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     spread = 1 << 20
-    draw = F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(spread))
+    draw = F.pmod(F.xxhash64("copy", F.lit(3)), F.lit(spread))
     share = {label: int(spread * min(1.0, per_label / n)) for label, n in counts.items()}
-    chosen = rows.where(F.when(F.col("toxic") == 1, draw < share.get(1, 0)).otherwise(draw < share.get(0, 0))).limit(3 * per_label)
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where(F.octet_length("text") <= TEXT_BYTES)
-    sample = texts.join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "toxic", draw.alias("draw"))
-    made = sample.repartition(1).sortWithinPartitions("toxic", "draw", "doc_id", F.xxhash64("text")).mapInArrow(_train, "net binary").first()
+    chosen = different.where(F.when(F.col("toxic") == 1, draw < share.get(1, 0)).otherwise(draw < share.get(0, 0))).limit(3 * per_label)
+    sample = texts.join(F.broadcast(chosen), ["doc_id", "copy"]).groupBy("copy", "toxic").agg(F.max("text").alias("text"))  # rows may share an id
+    made = sample.withColumn("draw", draw).repartition(1).sortWithinPartitions("toxic", "draw", "copy").mapInArrow(_train, "net binary").first()
     return pickle.loads(made["net"]) if made else Network.fresh()
 
 
