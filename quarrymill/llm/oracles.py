@@ -62,7 +62,7 @@ open{i + 1} AS (SELECT doc_id, source, size, draw FROM cum{i} WHERE NOT fits)"""
 MIXING = f"""
 WITH sized AS (
   SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), {_WORDS}))::BIGINT AS size,
-         substr(md5('{mixing.SEED}' || coalesce(':' || doc_id::VARCHAR, '')), 1, 16) AS draw FROM documents
+         substr(md5('{mixing.SEED}:' || coalesce(doc_id::VARCHAR, md5(coalesce(text, '')))), 1, 16) AS draw FROM documents
 ), s AS (
   SELECT source, sum(size)::BIGINT AS source_size, [{', '.join(map(str, mixing.WEIGHTS))}][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % {len(mixing.WEIGHTS)} + 1] AS weight,
          row_number() OVER (ORDER BY source NULLS LAST) AS place FROM sized GROUP BY source
