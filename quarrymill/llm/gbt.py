@@ -125,7 +125,7 @@ class Trees:
         inner = self.feature.shape[1]
         while inner and at.size and at.min() < inner:
             at = 2 * at + 1 + (x[rows, self.feature[trees, at]] > self.bound[trees, at])
-        total = self.start + (self.leaf[trees, at - inner].sum(axis=1) if at.size else 0.0)
+        total = self.start + self.leaf[trees, at - inner].sum(axis=1)
         return 1 / (1 + np.exp(-np.clip(total, -30, 30)))
 
 
