@@ -232,10 +232,11 @@ def test_mixing(spark):
 
 def plain_mix(rows):
     """How often each (doc_id, source, size) is taken, all its rows together, by loops over lists; how often a row is at least."""
-    rows = [(r["doc_id"], r["source"], len(WORD.findall(r["text"] or ""))) for r in rows]
-    names = sorted({s for _, s, _ in rows}, key=lambda s: (s is None, s or ""))
+    md5 = lambda x: hashlib.md5(x.encode()).hexdigest()
+    rows = [(r["doc_id"], r["source"], len(WORD.findall(r["text"] or "")), md5(f"17:{r['doc_id'] if r['doc_id'] is not None else md5(r['text'] or '')}")[:16]) for r in rows]
+    names = sorted({r[1] for r in rows}, key=lambda s: (s is None, s or ""))
     weight = {s: (5, 2, 1)[i % 3] for i, s in enumerate(names)}
-    sizes = {s: sum(n for _, x, n in rows if x == s) for s in names}
+    sizes = {s: sum(r[2] for r in rows if r[1] == s) for s in names}
     target, free, open_ = {}, float(sum(sizes.values())), set(names)
     while True:
         level = free / sum(weight[s] for s in open_)
@@ -248,10 +249,10 @@ def plain_mix(rows):
     taken = Counter()
     for s in names:
         rest, left = target[s] - whole[s] * sizes[s], []
-        for doc, x, n in rows:
+        for doc, x, n, draw in rows:
             if x == s:
                 taken[(doc, s, n)] += whole[s]
-                left.append((hashlib.md5((f"17:{doc}" if doc is not None else "17").encode()).hexdigest()[:16], doc is not None, doc or 0, n))
+                left.append((draw, doc is not None, doc or 0, n))
         left.sort()
         for _ in range(3):
             total, over, limit = 0, [], rest
@@ -288,6 +289,21 @@ def test_mix_takes_every_row_as_planned(spark, make):
     assert sum(r["taken"] for r in repeats) == sum(len(WORD.findall(r["text"] or "")) for r in mixed)
 
 
+def test_rows_without_ids_fall_into_many_slices(spark):
+    docs = spark.createDataFrame([(None, f"text number {i}", "s") for i in range(1000)] + [(None, "same", "s")] * 500, "doc_id long, text string, source string")
+    groups = mixing.drawn(docs).groupBy("draw").count().collect()
+    assert len(groups) == 1001 and len({r["draw"][: mixing.SLICE_DIGITS] for r in groups}) > 800
+    assert mixing.planned(docs).count() == 1001  # copies are one row with a number
+
+
+def test_repeated_rows_come_back_in_lots(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "LOT", 3)
+    docs = spark.createDataFrame([(1, "a b", "s")] * 10 + [(2, "c", "t")] * 7, "doc_id long, text string, source string")
+    rows = mixing.repeats(docs).collect()
+    assert len(rows) == 17 and Counter(r["doc_id"] for r in rows) == {1: 10, 2: 7}
+    assert mixing.mix(docs).count() == sum(r["times"] for r in rows)
+
+
 def test_water_filling_clamps_and_reshares(spark):
     table = spark.createDataFrame([("a", 10, 5, 1), ("b", 100, 2, 2), ("c", 1000, 1, 3)], "source string, source_size long, weight int, place int")
     got = {r["source"]: r["target"] for r in mixing.water_fill(table).collect()}
@@ -547,6 +563,59 @@ def test_chat_collapse(spark):
     assert rows[3]["text"] == "<|im_start|>user\nhi<|im_end|>\n<|im_start|>assistant\nyo<|im_end|>\n<|im_start|>user\n<|im_end|>\n"
 
 
+def test_equal_turn_numbers_are_ordered_by_role_and_text(spark):
+    """{user xN} is a prefix of {user xN, user yN} whatever the hashes and the order of rows are."""
+    rows = []
+    for i in range(8):
+        rows += [(2 * i, 0, "user", f"x{i}"), (2 * i + 1, 0, "user", f"y{i}"), (2 * i + 1, 0, "user", f"x{i}")]
+    for df in (rows, rows[::-1]):
+        got = chat.format_chats(spark.createDataFrame(df, "conv_id long, turn long, role string, text string").repartition(3)).collect()
+        assert sorted(r["conv_id"] for r in got) == [2 * i + 1 for i in range(8)]
+        assert all(r["text"].index(f"x{r['conv_id'] // 2}") < r["text"].index(f"y{r['conv_id'] // 2}") for r in got)
+
+
+def test_chats_of_nothing_and_of_repeated_rows(spark):
+    schema = "conv_id long, turn long, role string, text string, h1 string, n string, position string"
+    assert chat.format_chats(spark.createDataFrame([], schema)).collect() == []
+    rows = [(1, 0, "u", "a", "x", "y", "z")] * 3 + [(2, 0, "u", "a", "x", "y", "z")] * 2 + [(3, None, None, None, "x", "y", "z"), (None, 1, "u", "a", "x", "y", "z")]
+    got = {r["conv_id"]: r["n_turns"] for r in chat.format_chats(spark.createDataFrame(rows, schema)).collect()}
+    assert got == {1: 3, 3: 1}
+
+
+def test_top_k_of_extreme_vectors(spark):
+    """Scores beyond floats are exact, and those beyond a long count as its limits; other rows don't suffer."""
+    rng = random.Random(2)
+    rows = [(i, [rng.uniform(-1, 1) for _ in range(8)]) for i in range(30)]
+    rows += [(100, [4e6] * 8), (101, [-4e6] * 8), (102, [3e6] * 8), (103, [1e30] * 8), (104, [2.0**20 + 1] * 8), (105, [1e5, -1e5] * 4)]
+    got = {(r["query_id"], r["rank"]): (r["vec_id"], r["score"]) for r in topk.top_k(*[spark.createDataFrame(rows, "vec_id long, embedding array<double>")] * 2, k=7).collect()}
+    most = 2**63 - 1
+    whole = {i: [max(-(2**63), min(most, int(np.floor(1024 * x)))) for x in v] for i, v in rows}
+    for q in whole:
+        scores = sorted((-max(-most, min(most, sum(a * b for a, b in zip(whole[q], whole[c])))), c) for c in whole if c != q)
+        assert [got[(q, r + 1)] for r in range(7)] == [(c, -s) for s, c in scores[:7]]
+
+
+def test_copies_do_not_starve_the_training(spark, monkeypatch):
+    """500 copies of one long toxic text are one text: the bytes of a label are left to the others."""
+    rng = random.Random(3)
+    long = prose(rng, 9000)
+    rows = [(i, long) for i in range(500)] + [(1000 + i, prose(rng, 30)) for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = docs.selectExpr("doc_id", "int(doc_id < 1200) as toxic")
+
+    def fake(batches):
+        import pickle
+
+        import pyarrow as pa
+
+        n = Counter(x for b in batches for x in b.column("toxic").to_pylist())
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(dict(n))], pa.binary())], ["net"])
+
+    monkeypatch.setattr(toxicity, "_train", fake)
+    kept = [r for r in rows if r[0] >= 1000 and zlib.crc32(str(r[0]).encode()) % 4 != 2]
+    assert toxicity.learn(docs, labels) == {1: 1 + sum(r[0] < 1200 for r in kept), 0: sum(r[0] >= 1200 for r in kept)}
+
+
 def test_pipeline(spark):
     """Every stage against a plain version of its work on what the stage before it kept."""
     corpus_pipeline = pytest.importorskip("corpus_pipeline")
