@@ -213,27 +213,3 @@ def test_sql_functions(spark):
     assert spark.sql("SELECT clamped_dot(array(1D, 0D), array(0.5D, 1D)) AS x").first()["x"] == 0.5
     assert spark.sql("SELECT code_entities('N-47 x') AS x").first()["x"] == ["N-47"]
     assert spark.sql("SELECT count(*) AS n FROM VALUES ('some text') AS t(text), LATERAL chunk_text(text, 'text')").first()["n"] == 1
-
-
-def test_stream_equals_batch(spark, tmp_path):
-    """Windows that the watermark has closed are those of the batch twin."""
-    events = spark.read.parquet("/root/testdata/sf0.001/events.parquet").select(F.col("ts"), F.col("event_type").alias("scope"), F.col("value").alias("elapsed"))
-    events.repartition(1).write.parquet(str(tmp_path / "in"))
-    stream = spark.readStream.schema(events.schema).parquet(str(tmp_path / "in"))
-    q = jobs.windowed_figures(stream).writeStream.format("memory").queryName("figures").outputMode("append").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
-    q.awaitTermination(120)
-    got = {tuple(r) for r in spark.sql("SELECT * FROM figures").collect()}
-    wanted = {tuple(r) for r in jobs.windowed_figures(events).collect()}
-    assert got and got <= wanted
-
-
-def test_stream_dedup_and_ingest(spark, tmp_path):
-    docs = spark.createDataFrame([(1, "text one", "text"), (2, "text two", "text")], "doc_id long, text string, doc_type string")
-    docs.write.parquet(str(tmp_path / "in"))
-    stream = spark.readStream.schema(docs.schema).parquet(str(tmp_path / "in"))
-    for _ in range(2):  # the second run finds nothing new
-        q = jobs.ingest(stream, chunking.recursive_chunks, str(tmp_path / "out"), str(tmp_path / "cp")).trigger(availableNow=True).start()
-        q.awaitTermination(120)
-    assert spark.read.parquet(str(tmp_path / "out")).count() == 2
-
-

@@ -5,7 +5,7 @@ from __future__ import annotations
 import pytest
 from compare import same, tables
 
-from quarrymill.plans import queries_catalog, queries_graph, queries_rank, queries_text  # noqa: F401
+from quarrymill.plans import queries_catalog, queries_graph, queries_rank, queries_stream, queries_text  # noqa: F401
 from quarrymill.plans.registry import ORACLE_SQL, QUERIES
 
 SF = "/root/testdata/sf0.001"
