@@ -1,36 +1,51 @@
-"""Keyword retrieval: token postings, BM25, substring candidates, and the keyword score."""
+"""Keyword retrieval: token postings, BM25 whole and pruned, substring candidates, and the keyword score."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Iterator
+from dataclasses import dataclass
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import HYBRID
 from ..functions.text import let, occurrences, tokens
+from ..sources.scratch import settled
 
 #: Robertson & Zaragoza (2009).
 K1, B = 1.2, 0.75
 WORD_BREAK = r"[^\p{L}\p{N}_]+"
+#: Postings of a block, queries that look at a chunk's text together, and what rounding may add to a score.
+BLOCK, TOGETHER, SLACK = 256, 256, 1e-6
 
 
-def postings(chunks: DataFrame) -> DataFrame:
-    """chunks(kb_id, chunk_id, content) -> kb_id, token, chunk_id, tf, length (tokens of the chunk, with repeats)."""
+def postings(chunks: DataFrame, wanted: DataFrame | None = None) -> DataFrame:
+    """chunks(kb_id, chunk_id, content) -> kb_id, token, chunk_id, tf, length (tokens of the chunk, with repeats); of the tokens in
+    wanted(kb_id, token) only, if given."""
     split = F.filter(F.split(F.lower("content"), WORD_BREAK), lambda t: t != "")
     words = chunks.select("kb_id", "chunk_id", split.alias("words")).select("kb_id", "chunk_id", F.size("words").alias("length"), F.explode("words").alias("token"))
+    if wanted is not None:
+        words = words.join(wanted, ["kb_id", "token"], "left_semi")
     return words.groupBy("kb_id", "token", "chunk_id").agg(F.count(F.lit(1)).alias("tf"), F.first("length").alias("length"))
 
 
+def _asked(queries: DataFrame) -> DataFrame:
+    split = F.array_distinct(F.filter(F.split(F.lower("query_text"), WORD_BREAK), lambda t: t != ""))
+    return queries.select("query_id", "kb_id", F.explode(split).alias("token"))
+
+
 def bm25(queries: DataFrame, chunks: DataFrame) -> DataFrame:
     """queries(query_id, kb_id, query_text) -> query_id, kb_id, chunk_id, ft_score for chunks that share a token.
 
     The postings meet the queries' tokens in an equi-join; no query is compared with a chunk that has none of its tokens.
     """
-    index = postings(chunks)
+    asked = _asked(queries)
+    wanted = postings(chunks, asked.select("kb_id", "token").distinct())
     sizes = chunks.select("kb_id", F.size(F.filter(F.split(F.lower("content"), WORD_BREAK), lambda t: t != "")).alias("length"))
     stats = sizes.groupBy("kb_id").agg(F.count(F.lit(1)).alias("n"), F.avg("length").alias("mean"))
-    split = F.array_distinct(F.filter(F.split(F.lower("query_text"), WORD_BREAK), lambda t: t != ""))
-    asked = queries.select("query_id", "kb_id", F.explode(split).alias("token"))
-    wanted = index.join(asked.select("kb_id", "token").distinct(), ["kb_id", "token"], "left_semi")
     df = wanted.groupBy("kb_id", "token").agg(F.count(F.lit(1)).alias("df"))
     scored = wanted.join(df, ["kb_id", "token"]).join(stats, "kb_id")
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
@@ -39,6 +54,93 @@ def bm25(queries: DataFrame, chunks: DataFrame) -> DataFrame:
     return found.groupBy("query_id", "kb_id", "chunk_id").agg(F.round(F.sum("part"), 6).alias("ft_score"))
 
 
+# --- pruned ---------------------------------------------------------------------------------------------------------
+
+
+@dataclass(frozen=True)
+class Impacts:
+    """postings(kb_id, token, chunk_id, impact), and the same as blocks in falling order of impact: blocks(kb_id, token, block, top,
+    ids, impacts), where top is the greatest impact."""
+
+    postings: DataFrame
+    blocks: DataFrame
+
+
+def _blocks(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
+    """Postings sorted by (kb_id, token, impact falling) as blocks of up to `most` of one token; `at`, a row's number, names its block."""
+    for batch in batches:
+        changed = np.zeros(len(batch), bool)
+        changed[:1] = True
+        for name in ("kb_id", "token"):
+            column = batch.column(name)
+            changed[1:] |= pc.not_equal(column.slice(1), column.slice(0, len(batch) - 1)).to_numpy(zero_copy_only=False)
+        runs = np.flatnonzero(changed)
+        sizes = np.diff(np.append(runs, len(batch)))
+        pieces = -(-sizes // most)
+        starts = np.repeat(runs, pieces) + most * (np.arange(pieces.sum()) - np.repeat(np.cumsum(pieces) - pieces, pieces))
+        offsets = pa.array(np.append(starts, len(batch)).astype(np.int32))
+        lists = [pa.ListArray.from_arrays(offsets, batch.column(c)) for c in ("chunk_id", "impact")]
+        heads = [batch.column(c).take(pa.array(starts)) for c in ("kb_id", "token", "at", "impact")]
+        yield pa.RecordBatch.from_arrays([*heads, *lists], ["kb_id", "token", "block", "top", "ids", "impacts"])
+
+
+def impacts(chunks: DataFrame, queries: DataFrame | None = None) -> Impacts:
+    """chunks(kb_id, chunk_id, content) -> what each token adds to a chunk's BM25 score; for the tokens of `queries` only, if given.
+
+    Postings are sorted by ranges of (token, impact), so a frequent token lies in many tasks and blocks.
+    """
+    words = F.filter(F.split(F.lower("content"), WORD_BREAK), lambda t: t != "")
+    stats = chunks.select("kb_id", F.size(words).alias("length")).groupBy("kb_id").agg(F.count(F.lit(1)).alias("n"), F.avg("length").alias("mean"))
+    wanted = None if queries is None else _asked(queries).select("kb_id", "token").distinct()
+    index = settled(postings(chunks, wanted), "postings")
+    df = index.groupBy("kb_id", "token").agg(F.count(F.lit(1)).alias("df"))
+    idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.col("mean")))
+    weighed = index.join(df.join(stats, "kb_id"), ["kb_id", "token"]).select(F.col("kb_id").cast("string").alias("kb_id"), "token", F.col("chunk_id").cast("string").alias("chunk_id"), part.alias("impact"))
+    weighed = settled(weighed, "impacts")
+    order = [F.col("kb_id"), F.col("token"), F.col("impact").desc(), F.col("chunk_id")]
+    ranged = weighed.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("at", F.monotonically_increasing_id())
+    made = ranged.mapInArrow(lambda it, most=BLOCK: _blocks(it, most), "kb_id string, token string, block long, top double, ids array<string>, impacts array<double>")
+    return Impacts(weighed, settled(made, "blocks"))
+
+
+def bm25_top(queries: DataFrame, index: Impacts, most: int, looked: bool = False) -> DataFrame:
+    """queries(query_id, kb_id, query_text) -> query_id, kb_id, chunk_id, ft_score: of each query the `most` chunks that bm25 puts first,
+    with the same scores, ties to the smaller chunk_id. looked: query_id and the numbers of blocks read and skipped instead.
+
+    The first blocks of a query's tokens give sums that `most` chunks reach at least: a bound. Tokens whose peaks together stay below
+    it can't bring a chunk in, so candidates come from the other tokens, and of those only from blocks whose top may reach the
+    bound with the other tokens' peaks. The rest of a candidate's tokens is looked up by chunk.
+    """
+    asked = _asked(queries).select("query_id", F.col("kb_id").cast("string").alias("kb_id"), "token")
+    of = ["query_id", "kb_id"]
+    heads = index.blocks.select("kb_id", "token", "block", "top")
+    first = F.row_number().over(Window.partitionBy("kb_id", "token").orderBy(F.desc("top"), "block"))
+    peaks = heads.withColumn("_f", first).where("_f = 1").drop("_f").withColumnRenamed("top", "peak")
+    held = settled(asked.join(peaks, ["kb_id", "token"]), "asked")
+    opened = lambda pairs: pairs.join(index.blocks.select("block", F.arrays_zip("ids", "impacts").alias("z")), "block").select(*of, F.explode("z").alias("z")).select(*of, F.col("z.ids").alias("chunk_id"), F.col("z.impacts").alias("impact"))
+    sums = opened(held.select(*of, "block")).groupBy(*of, "chunk_id").agg(F.sum("impact").alias("s"))
+    nth = F.row_number().over(Window.partitionBy(*of).orderBy(F.desc("s")))
+    bound = sums.withColumn("_n", nth).where(F.col("_n") == most).select(*of, (F.col("s") - SLACK).alias("bound"))
+    rising = Window.partitionBy(*of).orderBy("peak", "token")
+    tokens_ = held.join(bound, of, "left").withColumn("bound", F.coalesce("bound", F.lit(0.0)))
+    tokens_ = tokens_.withColumns({"below": F.sum("peak").over(rising.rowsBetween(Window.unboundedPreceding, Window.currentRow)), "all": F.sum("peak").over(Window.partitionBy(*of))})
+    tokens_ = settled(tokens_.withColumn("needed", F.col("below") >= F.col("bound")), "tokens")
+    wide = tokens_.where("needed").drop("block").join(heads, ["kb_id", "token"])
+    kept = F.col("top") + F.col("all") - F.col("peak") >= F.col("bound")
+    if looked:
+        every = tokens_.select("query_id", "kb_id", "token").join(heads, ["kb_id", "token"]).groupBy("query_id").agg(F.count(F.lit(1)).alias("blocks"))
+        read = wide.where(kept).groupBy("query_id").agg(F.count(F.lit(1)).alias("read"))
+        return every.join(read, "query_id", "left").select("query_id", F.coalesce("read", F.lit(0)).alias("read"), (F.col("blocks") - F.coalesce("read", F.lit(0))).alias("skipped"))
+    seen = opened(wide.where(kept).select(*of, "block")).groupBy(*of, "chunk_id").agg(F.sum("impact").alias("s"))
+    rest = tokens_.groupBy(*of).agg(F.max("bound").alias("bound"), F.coalesce(F.sum(F.when(~F.col("needed"), F.col("peak"))), F.lit(0.0)).alias("rest"))
+    able = settled(seen.join(rest, of).where("s + rest >= bound").select(*of, "chunk_id", "s"), "able")
+    more = able.join(tokens_.where("not needed").select(*of, "token"), of).join(index.postings, ["kb_id", "token", "chunk_id"]).groupBy(*of, "chunk_id").agg(F.sum("impact").alias("m"))
+    scored = able.join(more, [*of, "chunk_id"], "left").select(*of, "chunk_id", F.round(F.col("s") + F.coalesce("m", F.lit(0.0)), 6).alias("ft_score"))
+    rank = F.row_number().over(Window.partitionBy(*of).orderBy(F.desc("ft_score"), "chunk_id"))
+    return scored.withColumn("_r", rank).where(F.col("_r") <= most).drop("_r")
+
+
 def containing(queries: DataFrame, chunks: DataFrame, gram: int = 3) -> DataFrame:
     """Pairs (query_id, kb_id, chunk_id) where the chunk contains one of the query's tokens anywhere, whatever its case.
 
@@ -59,39 +161,77 @@ def containing(queries: DataFrame, chunks: DataFrame, gram: int = 3) -> DataFram
     return matched.join(words, ["kb_id", "word"]).select("query_id", "kb_id", "chunk_id").distinct()
 
 
-def score(candidates: DataFrame, top_k: int | None = None, config=HYBRID) -> DataFrame:
-    """candidates(query_id, chunk_id, query_text, content, ft_score) with score, best 1.0 within a query, rounded; only hits.
-
-    Coverage and damped counts of the query's tokens as substrings, a penalty for long chunks, a share of the full-text
-    score where there is one.
-    """
-    counts = let(F.struct(tokens(F.col("query_text")).alias("t"), F.lower("content").alias("low")), lambda x: F.transform(x["t"], lambda t: occurrences(x["low"], t)))
-    counted = candidates.withColumn("_counts", counts)
-    hits, tf = F.size(F.filter("_counts", lambda n: n > 0)), F.aggregate("_counts", F.lit(0), lambda s, n: s + F.least(F.lit(3), n))
-    raw = (0.7 * hits / F.size("_counts") + 0.3 * (tf / (tf + 2.0))) * F.greatest(F.lit(0.6), F.least(F.lit(1.0), 300.0 / F.greatest(F.lit(300.0), F.length("content").cast("double"))))
-    ft = F.coalesce(F.col("ft_score"), F.lit(0.0))
+def _keyword_scores(hits: Column, tf: Column, asked: Column, length: Column, ft: Column, config) -> Column:
+    """Coverage and damped counts of the query's tokens, a penalty for long chunks, a share of the full-text score where there is one."""
+    raw = (0.7 * hits / asked + 0.3 * (tf / (tf + 2.0))) * F.greatest(F.lit(0.6), F.least(F.lit(1.0), 300.0 / F.greatest(F.lit(300.0), length.cast("double"))))
     mixed = F.when(ft > 0, raw * 0.75 + F.least(F.lit(1.0), ft / (ft + 5.0)) * 0.25).otherwise(raw)
-    final = F.pow(F.greatest(F.lit(0.0), F.least(F.lit(1.0), mixed)), F.lit(max(0.5, config.keyword_power)))
-    out = counted.withColumn("_raw", F.when(hits > 0, final)).where("_raw IS NOT NULL")
+    return F.when(hits > 0, F.pow(F.greatest(F.lit(0.0), F.least(F.lit(1.0), mixed)), F.lit(max(0.5, config.keyword_power))))
+
+
+def _ranked(rows: DataFrame, top_k: int | None) -> DataFrame:
+    """rows(query_id, chunk_id, _raw, ...) with score, best 1.0 within a query, rounded; only hits; the top_k with their rank."""
     best = F.max("_raw").over(Window.partitionBy("query_id"))
-    out = out.withColumn("_best", best).where("_best > 0").withColumn("score", F.round(F.col("_raw") / F.col("_best"), 6)).drop("_counts", "_raw", "_best")
+    out = rows.where("_raw IS NOT NULL").withColumn("_best", best).where("_best > 0").withColumn("score", F.round(F.col("_raw") / F.col("_best"), 6)).drop("_raw", "_best")
     if top_k is None:
         return out
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "chunk_id"))
     return out.withColumn("rank", rank).where(F.col("rank") <= top_k)
 
 
-def search(queries: DataFrame, chunks: DataFrame, top_k: int, config=HYBRID) -> DataFrame:
+def score(candidates: DataFrame, top_k: int | None = None, config=HYBRID) -> DataFrame:
+    """candidates(query_id, chunk_id, query_text, content, ft_score) with score, best 1.0 within a query, rounded; only hits."""
+    counts = let(F.struct(tokens(F.col("query_text")).alias("t"), F.lower("content").alias("low")), lambda x: F.transform(x["t"], lambda t: occurrences(x["low"], t)))
+    counted = candidates.withColumn("_counts", counts)
+    hits, tf = F.size(F.filter("_counts", lambda n: n > 0)), F.aggregate("_counts", F.lit(0), lambda s, n: s + F.least(F.lit(3), n))
+    raw = _keyword_scores(hits, tf, F.size("_counts"), F.length("content"), F.coalesce(F.col("ft_score"), F.lit(0.0)), config)
+    return _ranked(counted.withColumn("_raw", raw).drop("_counts"), top_k)
+
+
+def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For each chunk and each query that looks at it: tokens found, and their occurrences, three a token at most."""
+    for batch in batches:
+        rows = []
+        for kb, chunk_id, low, length, asking in zip(*(batch.column(c).to_pylist() for c in ("kb_id", "chunk_id", "low", "length", "asking")), strict=True):
+            known: dict[str, int] = {}
+            for q in asking:
+                counts = []
+                for t in q["tokens"]:
+                    n = known.get(t)
+                    if n is None:
+                        n = known[t] = min(3, low.count(t))
+                    counts.append(n)
+                rows.append((q["query_id"], kb, chunk_id, q["ft_score"], len(counts), sum(n > 0 for n in counts), sum(counts), length))
+        kinds = (pa.int64(), pa.string(), pa.string(), pa.float64(), pa.int32(), pa.int32(), pa.int32(), pa.int32())
+        names = ["query_id", "kb_id", "chunk_id", "ft_score", "asked", "hits", "tf", "length"]
+        columns = zip(*rows, strict=True) if rows else [[]] * len(kinds)
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names)
+
+
+def counted(pairs: DataFrame, queries: DataFrame, chunks: DataFrame) -> DataFrame:
+    """pairs(query_id, kb_id, chunk_id, ft_score) -> with asked, hits, tf and length, as score works them out.
+
+    A chunk's text comes once for all the queries that look at it (TOGETHER at a time), not once a pair.
+    """
+    said = queries.select("query_id", F.col("kb_id").cast("string").alias("kb_id"), tokens(F.col("query_text")).alias("tokens"))
+    rows = pairs.join(said, ["query_id", "kb_id"])
+    lot = F.floor(F.row_number().over(Window.partitionBy("kb_id", "chunk_id", F.pmod(F.xxhash64("query_id"), F.lit(64))).orderBy("query_id")) / TOGETHER)
+    asking = rows.withColumn("lot", lot).groupBy("kb_id", "chunk_id", "lot", F.when(F.col("lot") > 0, F.pmod(F.xxhash64("query_id"), F.lit(64))).otherwise(0).alias("part")).agg(F.collect_list(F.struct("query_id", F.col("ft_score").cast("double").alias("ft_score"), "tokens")).alias("asking"))
+    texts = chunks.select(F.col("kb_id").cast("string").alias("kb_id"), F.col("chunk_id").cast("string").alias("chunk_id"), F.lower("content").alias("low"), F.length("content").alias("length")).where("low is not null")
+    met = texts.join(asking, ["kb_id", "chunk_id"]).select("kb_id", "chunk_id", "low", "length", "asking")
+    return met.mapInArrow(_count, "query_id long, kb_id string, chunk_id string, ft_score double, asked int, hits int, tf int, length int")
+
+
+def search(queries: DataFrame, chunks: DataFrame, top_k: int, config=HYBRID, index: Impacts | None = None) -> DataFrame:
     """Full text first; queries without a full-text hit fall back to substrings. -> query_id, kb_id, chunk_id, score, rank.
 
-    Only full-text candidates are limited before scoring; those of the fallback have no order yet, so all of them are scored.
+    Only full-text candidates are limited before scoring, as an index would; those of the fallback have no order yet, so all of
+    them are scored. Texts are read once they are candidates, and what comes out are ids and numbers.
     """
-    full = bm25(queries, chunks)
-    left = queries.join(full.select("query_id", "kb_id").distinct(), ["query_id", "kb_id"], "left_anti")
-    # the candidates of a query are cut by full-text score before texts are fetched, as its index would
-    most = max(top_k * 8, 60)
-    rank = F.row_number().over(Window.partitionBy("query_id", "kb_id").orderBy(F.desc("ft_score"), "chunk_id"))
-    full = full.withColumn("_r", rank).where(F.col("_r") <= most).drop("_r")
-    pairs = full.unionByName(containing(left, chunks).withColumn("ft_score", F.lit(0.0)))
-    rows = pairs.join(queries.select("query_id", "kb_id", "query_text"), ["query_id", "kb_id"]).join(chunks.select("kb_id", "chunk_id", "content"), ["kb_id", "chunk_id"])
-    return score(rows, top_k, config).select("query_id", "kb_id", "chunk_id", "score", "rank")
+    q = queries.select("query_id", F.col("kb_id").cast("string").alias("kb_id"), "query_text")
+    full = settled(bm25_top(q, index or impacts(chunks, queries), max(top_k * 8, 60)), "full")
+    left = q.join(full.select("query_id", "kb_id").distinct(), ["query_id", "kb_id"], "left_anti")
+    typed = chunks.withColumns({"kb_id": F.col("kb_id").cast("string"), "chunk_id": F.col("chunk_id").cast("string")})
+    pairs = full.unionByName(containing(left, typed).withColumn("ft_score", F.lit(0.0)))
+    made = counted(pairs, q, typed)
+    raw = _keyword_scores(F.col("hits"), F.col("tf"), F.col("asked"), F.col("length"), F.coalesce("ft_score", F.lit(0.0)), config)
+    return _ranked(made.withColumn("_raw", raw), top_k).select("query_id", "kb_id", "chunk_id", "score", "rank")

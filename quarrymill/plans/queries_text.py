@@ -172,6 +172,13 @@ def bm25(spark, sf_dir):
     return keyword.bm25(text_queries(spark, sf_dir), text_chunks(spark, sf_dir))
 
 
+@query(f"WITH {BM25_SQL}, r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY ft_score DESC, chunk_id) AS r FROM bm) SELECT query_id, kb_id, chunk_id, ft_score FROM r WHERE r <= 10")
+def bm25_top(spark, sf_dir):
+    """The best ten by pruned postings."""
+    q, c = text_queries(spark, sf_dir), text_chunks(spark, sf_dir)
+    return keyword.bm25_top(q, keyword.impacts(c, q), 10)
+
+
 @query(f"WITH t AS ({tokens_sql('benchmark', 'item_id', 'text')}) SELECT DISTINCT item_id AS query_id, 'docs' AS kb_id, doc_id::VARCHAR AS chunk_id FROM t JOIN documents ON contains(lower(text), token)")
 def keyword_contains(spark, sf_dir):
     return keyword.containing(text_queries(spark, sf_dir), text_chunks(spark, sf_dir))
@@ -193,6 +200,26 @@ def keyword_score(spark, sf_dir):
     return keyword.search(text_queries(spark, sf_dir), text_chunks(spark, sf_dir), 10)
 
 
+FRAGMENTS_SQL = """(SELECT item_id, substr(w, 2, 7) AS text FROM (SELECT item_id, regexp_extract(text, '[a-z]{9,}') AS w FROM benchmark) WHERE length(w) >= 9)"""
+
+
+@query(f"""WITH {BM25_SQL.replace('FROM benchmark', 'FROM ' + FRAGMENTS_SQL)}, f AS {FRAGMENTS_SQL}, bare AS (SELECT item_id AS query_id, text AS token FROM f WHERE item_id NOT IN (SELECT query_id FROM bm)),
+cand AS (SELECT query_id, chunk_id, ft_score, token, lower(d.text) AS low, length(d.text) AS len FROM (
+  SELECT bm.query_id, chunk_id, ft_score, f.text AS token, row_number() OVER (PARTITION BY bm.query_id ORDER BY ft_score DESC, chunk_id) AS r FROM bm JOIN f ON item_id = query_id) x JOIN documents d ON x.chunk_id = d.doc_id::VARCHAR WHERE r <= 80
+  UNION ALL SELECT query_id, doc_id::VARCHAR, 0, token, lower(text), length(text) FROM bare JOIN documents ON contains(lower(text), token)),
+hit AS (SELECT *, least(3, (length(low) - length(replace(low, token, ''))) // length(token)) AS tf FROM cand),
+raw AS (SELECT *, (0.7 + 0.3 * (tf / (tf + 2.0::DOUBLE))) * greatest(0.6, least(1.0, 300.0::DOUBLE / greatest(300, len))) AS x FROM hit WHERE tf > 0),
+mixed AS (SELECT query_id, chunk_id, CASE WHEN ft_score > 0 THEN x * 0.75 + least(1.0, ft_score / (ft_score + 5.0)) * 0.25 ELSE x END AS x FROM raw),
+scored AS (SELECT query_id, chunk_id, round(x / max(x) OVER (PARTITION BY query_id), 6) AS score FROM mixed),
+kw AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id)::INTEGER AS rank FROM scored)
+SELECT query_id, 'docs' AS kb_id, chunk_id, score, rank FROM kw WHERE rank <= 10""")
+def keyword_fragments(spark, sf_dir):
+    """Seven letters from inside a word of each benchmark passage as queries: those that are no word themselves are found as parts."""
+    b = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.lit("docs").alias("kb_id"), F.regexp_extract("text", "([a-z]{9,})", 1).alias("w"))
+    q = b.where(F.length("w") >= 9).select("query_id", "kb_id", F.substring("w", 2, 7).alias("query_text"))
+    return keyword.search(q, text_chunks(spark, sf_dir), 10)
+
+
 @query(f"""WITH {BM25_SQL}, {SCORE_SQL}, r AS (SELECT item_id AS query_id, doc_id::VARCHAR AS chunk_id FROM benchmark b JOIN documents d ON contains(d.text, b.text)),
 total AS (SELECT item_id AS query_id, greatest(1, count(chunk_id)) AS total FROM benchmark LEFT JOIN r ON item_id = query_id GROUP BY item_id),
 h AS (SELECT kw.query_id, rank, r.chunk_id IS NOT NULL AS hit FROM kw LEFT JOIN r USING (query_id, chunk_id) WHERE rank <= 10),
