@@ -17,11 +17,6 @@ from ..functions.text import code_keys, fallbacks, fingerprint, lookup_key, resu
 UNKNOWN = "unknown"
 
 
-def _union(column: str) -> Column:
-    """The distinct elements of an array column over a group, sorted."""
-    return F.array_sort(F.array_distinct(F.flatten(F.collect_list(column))))
-
-
 # --- cleaning and merging -------------------------------------------------------------------------------------------
 
 
@@ -84,13 +79,23 @@ def merge_entities(rows: DataFrame) -> DataFrame:
 
 
 def merge_relations(rows: DataFrame, entities: DataFrame) -> DataFrame:
-    """rows(kb_id, seq, source, target, type, confidence, evidence_count, chunk_ids) -> one row a (source, type, target) whose ends are
-    kept entities; no self-loops."""
+    """rows(kb_id, seq, source, target, type, confidence, evidence_count, chunk_ids[, attributes]) -> one row a (source, type, target)
+    whose ends are in entities(kb_id, canonical_name, ...); no self-loops. The best confidence, all evidence, the distinct ids, and the
+    attributes of the first row that has any. n_chunks is the number of ids.
+
+    Ids are distinct rows before they become a list; where chunk_ids isn't selected, Spark leaves that list out.
+    """
     kept = rows.where("source != target")
-    names = entities.select("kb_id", "canonical_name")
+    names = entities.select("kb_id", "canonical_name").distinct()
     for end in ("source", "target"):
         kept = kept.join(names.withColumnRenamed("canonical_name", end), ["kb_id", end], "left_semi")
-    return kept.groupBy("kb_id", "source", "target", "type").agg(F.round(F.max("confidence"), 4).alias("confidence"), F.sum("evidence_count").cast("long").alias("evidence_count"), _union("chunk_ids").alias("chunk_ids"))
+    keys = ["kb_id", "source", "target", "type"]
+    told = [F.min_by("attributes", F.when(F.size("attributes") > 0, F.col("seq"))).alias("attributes")] if "attributes" in rows.columns else []
+    merged = kept.groupBy(*keys).agg(F.round(F.max("confidence"), 4).alias("confidence"), F.sum("evidence_count").cast("long").alias("evidence_count"), *told)
+    held = kept.select(*keys, F.explode("chunk_ids").alias("_id")).distinct()
+    both = merged.unionByName(held, allowMissingColumns=True)
+    figures = [F.first(c, ignorenulls=True).alias(c) for c in ("confidence", "evidence_count", *(["attributes"] if told else []))]
+    return both.groupBy(*keys).agg(*figures, F.array_sort(F.collect_list("_id")).alias("chunk_ids"), F.count("_id").alias("n_chunks"))
 
 
 def reclassify_entities(entities: DataFrame, mapping: DataFrame) -> DataFrame:
@@ -128,13 +133,23 @@ def changed_chunks(incoming: DataFrame, stored: DataFrame) -> DataFrame:
     return marked.where(~F.col("fingerprint").eqNullSafe(F.col("_old"))).drop("_old")
 
 
+def _newer(old: str, new: str) -> Column:
+    """Two maps of texts as one, where a key of the new one wins; null if both are."""
+    none = F.create_map().cast("map<string,string>")
+    before, after = F.coalesce(old, none), F.coalesce(new, none)
+    joined = F.map_concat(F.map_filter(before, lambda k, _: ~F.map_contains_key(after, k)), after)
+    return F.when(F.col(old).isNotNull() | F.col(new).isNotNull(), joined)
+
+
 def upsert_entities(old: DataFrame, new: DataFrame, run_id: str) -> DataFrame:
-    """Full outer merge: new values win over old ones, mentions count per distinct chunk, lists are united."""
+    """Full outer merge: new values win over old ones, mentions count per distinct chunk, lists are united; of attributes the new
+    value of a key, or the old one where there is none."""
     keys = ["kb_id", "canonical_name"]
     o, n = old.alias("o"), new.alias("n")
     both = o.join(n, keys, "full_outer")
     lists = {c: F.array_sort(F.array_union(F.coalesce(f"o.{c}", F.array().cast("array<string>")), F.coalesce(f"n.{c}", F.array().cast("array<string>")))) for c in ("labels", "aliases", "chunk_ids")}
     known = F.when(F.coalesce("n.type", F.lit(UNKNOWN)) != UNKNOWN, F.col("n.type"))
+    attributes = [_newer("o.attributes", "n.attributes").alias("attributes")] if "attributes" in old.columns and "attributes" in new.columns else []
     return both.select(
         *keys,
         F.coalesce("n.name", "o.name", "canonical_name").alias("name"),
@@ -142,17 +157,19 @@ def upsert_entities(old: DataFrame, new: DataFrame, run_id: str) -> DataFrame:
         *[e.alias(c) for c, e in lists.items()],
         F.coalesce("n.confidence", "o.confidence").alias("confidence"),
         F.size(lists["chunk_ids"]).cast("long").alias("mention_count"),
+        *attributes,
         F.coalesce("o.first_run_id", F.lit(run_id)).alias("first_run_id"),
         F.when(F.col("n.confidence").isNotNull(), F.lit(run_id)).otherwise(F.col("o.last_run_id")).alias("last_run_id"),
     )
 
 
 def upsert_relations(old: DataFrame, new: DataFrame, run_id: str) -> DataFrame:
-    """Full outer merge: evidence adds up once a run, ids are united."""
+    """Full outer merge: evidence adds up once a run, ids are united; the new attributes, or the old ones where there are none."""
     keys = ["kb_id", "source", "target", "type"]
     both = old.alias("o").join(new.alias("n"), keys, "full_outer")
     empty = F.array().cast("array<string>")
-    return both.select(*keys, F.coalesce("n.confidence", "o.confidence").alias("confidence"), (F.coalesce("o.evidence_count", F.lit(0)) + F.coalesce("n.evidence_count", F.lit(0))).cast("long").alias("evidence_count"), F.array_sort(F.array_union(F.coalesce("o.chunk_ids", empty), F.coalesce("n.chunk_ids", empty))).alias("chunk_ids"), F.coalesce("o.first_run_id", F.lit(run_id)).alias("first_run_id"))
+    attributes = [F.coalesce("n.attributes", "o.attributes").alias("attributes")] if "attributes" in old.columns and "attributes" in new.columns else []
+    return both.select(*keys, *attributes, F.coalesce("n.confidence", "o.confidence").alias("confidence"), (F.coalesce("o.evidence_count", F.lit(0)) + F.coalesce("n.evidence_count", F.lit(0))).cast("long").alias("evidence_count"), F.array_sort(F.array_union(F.coalesce("o.chunk_ids", empty), F.coalesce("n.chunk_ids", empty))).alias("chunk_ids"), F.coalesce("o.first_run_id", F.lit(run_id)).alias("first_run_id"))
 
 
 def upsert_counts(old: DataFrame, new: DataFrame, keys: list[str], count: str, run_id: str) -> DataFrame:
@@ -232,11 +249,19 @@ def lookup(names: DataFrame, entities: DataFrame, ascii_only: bool = False) -> D
 def paths(starts: DataFrame, relations: DataFrame, hops: int = 2, limit: int | None = 5, most_evidence: int = 5) -> DataFrame:
     """starts(query_id, kb_id, entity) -> query_id, kb_id, entity, target, relations, evidence, hop: undirected paths of up to `hops`
     relations that use none twice and don't end where they start. Equal rows count once; the first `limit` a start, by hop
-    and name. A start with enough rows after a hop goes no farther: the order is by hop."""
+    and name. A start with enough rows after a hop goes no farther: the order is by hop.
+
+    With a limit, a step only needs a node's first neighbours by name: `limit` of them, and one more for each relation that the
+    path has used and for the start. So a hub hands on as many rows as any node, and the rows of a hop are bounded by the
+    starts, the limit and the relations between two nodes; the cut is made before rows are exchanged.
+    """
     # a path shows the least ids of its relations, which are among the least of each
     least = F.slice(F.array_sort(F.array_distinct(F.coalesce("chunk_ids", F.array().cast("array<string>")))), 1, most_evidence)
     keyed = relations.select("kb_id", "source", "target", "type", least.alias("chunk_ids"), F.xxhash64("kb_id", "source", "type", "target").alias("edge"))
     both = keyed.select("kb_id", F.col("source").alias("at"), F.col("target").alias("to"), "type", "chunk_ids", "edge").unionByName(keyed.select("kb_id", F.col("target").alias("at"), F.col("source").alias("to"), "type", "chunk_ids", "edge"))
+    if limit is not None:
+        place = F.dense_rank().over(Window.partitionBy("kb_id", "at").orderBy("to"))
+        both = both.withColumn("_place", place).where(F.col("_place") <= limit + hops).drop("_place")
     front = starts.select("query_id", "kb_id", "entity").distinct().withColumns({"at": F.col("entity"), "edges": F.array().cast("array<bigint>"), "relations": F.array().cast("array<string>"), "ids": F.array().cast("array<string>")})
     order = Window.partitionBy("query_id", "kb_id", "entity").orderBy("hop", "target", F.array_join("relations", ","), F.array_join("evidence", ","))
     out = None

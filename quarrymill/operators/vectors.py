@@ -72,6 +72,22 @@ def hashed_encoder(dimension: int = 64) -> Callable[[Iterator[pa.RecordBatch]],
     return encode
 
 
+def letter_encoder() -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """An encoder for (key, text) batches that SQL can follow: how often a text, lower-cased by the caller, has each letter from a to
+    z, at length 1. A text without letters is a zero vector."""
+
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = np.zeros((len(batch), 26))
+            for i, text in enumerate(batch.column("text").to_pylist()):
+                rows[i] = np.bincount(np.frombuffer((text or "").encode(), np.uint8), minlength=256)[97:123]
+            lengths = np.sqrt((rows**2).sum(axis=1, keepdims=True))
+            rows = np.divide(rows, lengths, out=rows, where=lengths > 0).astype(np.float32)
+            yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array(list(rows), pa.list_(pa.float32()))], ["key", "embedding"])
+
+    return encode
+
+
 def encode_distinct(texts: DataFrame, cache: DataFrame | None, encoder: Callable, provider: str, model: str) -> DataFrame:
     """texts(text, ...) with embedding: every distinct text that cache(key, embedding) lacks is encoded once."""
     keyed = texts.withColumn("key", cache_key(F.lit(provider), F.lit(model), F.col("text")))

@@ -7,8 +7,11 @@ from pyspark.sql import functions as F
 
 from ..functions.text import fingerprint
 from ..operators import extraction, graph
+from ..operators.vectors import encode_distinct, knn, letter_encoder
+from ..sources.scratch import settled
 from . import retrieval
-from .inputs import GRAPH_SQL, corpus, mentions, table, ties, vector_queries
+from .inputs import GRAPH_SQL, mentions, table, text_chunks, text_queries, ties
+from .queries_text import BM25_SQL, SCORE_SQL, tokens_sql
 from .registry import query
 
 
@@ -17,15 +20,15 @@ def entities(spark, sf_dir):
 
 
 def relations(spark, sf_dir):
-    return graph.merge_relations(ties(spark, sf_dir), entities(spark, sf_dir))
+    """Relations whose ends are mentioned: of the entities only the names are needed."""
+    return graph.merge_relations(ties(spark, sf_dir), mentions(spark, sf_dir))
 
 
-def settled(spark, sf_dir):
-    """Entities and relations for plans that read them several times, with the columns that look-up and traversal need. Spark keeps
-    them as long as there is room and recomputes what was lost; clearing the session's cache frees them."""
+def stored(spark, sf_dir):
+    """Entities and relations, written once for plans that read them several times, with the columns that look-up and traversal need."""
     e = entities(spark, sf_dir).select("kb_id", "canonical_name", "name", "aliases", "confidence", "mention_count", "n_chunks")
     r = relations(spark, sf_dir).select("kb_id", "source", "target", "type", "chunk_ids")
-    return e.persist(), r.persist()
+    return settled(e, "entities"), settled(r, "relations")
 
 
 @query(f"""WITH {GRAPH_SQL} SELECT kb_id, name AS canonical_name, name, type, labels, upper(name) AS aliases, confidence, mention_count, n_chunks AS chunks, (SELECT any_value(m.chunk) FROM mentions m WHERE m.kb_id = e.kb_id AND m.name = e.name AND m.seq = (SELECT min(seq) FROM mentions x WHERE x.kb_id = e.kb_id AND x.name = e.name)) AS first_seen FROM entities e""")
@@ -36,7 +39,7 @@ def entity_merge(spark, sf_dir):
 
 @query(f"WITH {GRAPH_SQL} SELECT kb_id, source, target, type, confidence, evidence_count, n_chunks AS chunks FROM relations")
 def relation_merge(spark, sf_dir):
-    return relations(spark, sf_dir).select("kb_id", "source", "target", "type", "confidence", "evidence_count", F.size("chunk_ids").cast("long").alias("chunks"))
+    return relations(spark, sf_dir).select("kb_id", "source", "target", "type", "confidence", "evidence_count", F.col("n_chunks").alias("chunks"))
 
 
 @query(f"""WITH {GRAPH_SQL}, u AS (SELECT *, CASE WHEN type = 'supplier' THEN 'unknown' ELSE type END AS t FROM entities), m AS (SELECT s_name AS name, 'vendor' AS new_type FROM supplier WHERE s_suppkey % 2 = 0)
@@ -87,7 +90,7 @@ def graph_upsert(spark, sf_dir):
 def relation_upsert(spark, sf_dir):
     t, e = ties(spark, sf_dir), entities(spark, sf_dir)
     old = graph.merge_relations(t.where("seq % 2 = 0"), e).withColumn("first_run_id", F.lit("run1"))
-    return graph.upsert_relations(old, graph.merge_relations(t.where("seq % 2 = 1"), e), "run2").drop("chunk_ids")
+    return graph.upsert_relations(old, graph.merge_relations(t.where("seq % 2 = 1"), e), "run2").drop("chunk_ids", "attributes")
 
 
 @query(f"WITH {GRAPH_SQL}, {UPSERT_SQL} SELECT kb_id, name AS canonical_name, mention_count FROM ups WHERE first_run_id <> 'run2'")
@@ -156,8 +159,8 @@ gr AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, k
 
 @query(f"WITH {GRAPH_SQL}, {CHANNEL_SQL} SELECT query_id, key, source, entity, hop, score, rank FROM gr WHERE rank <= 10")
 def graph_channel(spark, sf_dir):
-    (e, r), names = settled(spark, sf_dir), _names(spark, sf_dir)
-    out = graph.graph_channel(names, e, r, 10, hit=graph.lookup(names, e).persist())
+    (e, r), names = stored(spark, sf_dir), _names(spark, sf_dir)
+    out = graph.graph_channel(names, e, r, 10, hit=settled(graph.lookup(names, e), "hits"))
     return out.select("query_id", "key", "source", "entity", "hop", "score", "rank")
 
 
@@ -272,7 +275,7 @@ def rule_extraction(spark, sf_dir):
 @query(f"""WITH {GRAPH_SQL}, {CHANNEL_SQL}, e AS (SELECT DISTINCT query_id, walk.entity AS source, target, rels AS relation, hop FROM walk WHERE n <= 5)
 SELECT query_id, source, target, relation, hop, row_number() OVER (PARTITION BY query_id, least(source, target), greatest(source, target) ORDER BY source, relation, hop)::INTEGER - 1 AS parallel FROM e""")
 def evidence_graph(spark, sf_dir):
-    e, r = settled(spark, sf_dir)
+    e, r = stored(spark, sf_dir)
     hit = graph.lookup(_names(spark, sf_dir), e)
     walked = graph.paths(hit.select("query_id", "kb_id", F.col("canonical_name").alias("entity")), r)
     return graph.evidence_graph(walked.withColumn("source", F.lit("graph_related")))[1]
@@ -281,7 +284,7 @@ def evidence_graph(spark, sf_dir):
 @query(f"""WITH {GRAPH_SQL}, {CHANNEL_SQL}, n AS (SELECT query_id, name AS node, 0 AS k FROM hit UNION ALL SELECT query_id, entity, 1 FROM walk WHERE n <= 5 UNION ALL SELECT query_id, target, 1 FROM walk WHERE n <= 5)
 SELECT query_id, node, CASE WHEN min(k) = 0 THEN 'direct' ELSE 'related' END AS kind FROM n GROUP BY query_id, node""")
 def evidence_nodes(spark, sf_dir):
-    e, r = settled(spark, sf_dir)
+    e, r = stored(spark, sf_dir)
     hit = graph.lookup(_names(spark, sf_dir), e).select("query_id", "kb_id", F.col("canonical_name").alias("entity"))
     direct = hit.select("query_id", F.lit("graph_direct").alias("source"), "entity", F.lit(None).cast("string").alias("target"), F.array().cast("array<string>").alias("relations"), F.lit(0).alias("hop"))
     walked = graph.paths(hit, r).select("query_id", F.lit("graph_related").alias("source"), "entity", "target", "relations", "hop")
@@ -364,20 +367,54 @@ def latest_runs(spark, sf_dir):
     return graph.latest_runs(e.select(F.col("user_id").alias("run_id"), (F.col("user_id") % 3).cast("int").alias("kb_id"), F.col("event_type").alias("status"), F.col("ts").alias("at")))
 
 
-@query()
+LETTERS = "abcdefghijklmnopqrstuvwxyz"
+LETTERS_SQL = f"list_transform({list(LETTERS)}, lambda c: length(low) - length(replace(low, c, '')))"
+#: Benchmark passages to all documents: by vectors of letters, by keywords, and by the nation that each passage is given.
+HYBRID_SQL = f"""{BM25_SQL}, {SCORE_SQL.replace('r <= 80', 'r <= 400')}, {GRAPH_SQL},
+names AS (SELECT item_id AS query_id, kb.k::INTEGER AS kb_id, n_name AS query_entity FROM benchmark JOIN nation ON n_nationkey = item_id % 25, range(3) kb(k)),
+ghit AS (SELECT query_id, n.kb_id, e.name, confidence, n_chunks, mention_count FROM names n JOIN entities e ON e.kb_id = n.kb_id AND e.name = query_entity),
+starts AS (SELECT DISTINCT query_id, kb_id, name AS entity FROM ghit), {PATHS_SQL},
+chan AS (SELECT query_id, kb_id, 'entity::' || name || '::graph_direct' AS key, 'graph_direct' AS source, 'exact' AS match_stage, name AS entity, round(least(1, 0.82 + 0.22 * confidence + 0.16 * least(1, n_chunks / 5) + 0.08 * least(1, mention_count / 8)), 6) AS score FROM ghit UNION ALL
+  SELECT query_id, walk.kb_id, 'path::' || walk.entity || '::' || target || '::' || rels || '::hop' || hop || '::ev' || substr(md5(array_to_string(ev, '|')), 1, 8), 'graph_related', '', target, round(least(1, greatest(0, 0.62 - greatest(0, hop - 1) * 0.25) + 0.22 * confidence + 0.16 * least(1, len(ev) / 5) + 0.08 * least(1, mention_count / 8)), 6) FROM walk JOIN entities e ON e.kb_id = walk.kb_id AND e.name = target WHERE n <= 5),
+gone AS (SELECT *, row_number() OVER (PARTITION BY query_id, key ORDER BY score DESC, kb_id, entity) AS o FROM chan),
+dv AS (SELECT doc_id::VARCHAR AS chunk_id, {LETTERS_SQL} AS c FROM (SELECT doc_id, lower(text) AS low FROM documents)), qv AS (SELECT item_id AS query_id, {LETTERS_SQL} AS c FROM (SELECT item_id, lower(text) AS low FROM benchmark)),
+unit AS (SELECT chunk_id, NULL::BIGINT AS query_id, c FROM dv UNION ALL SELECT NULL, query_id, c FROM qv),
+ue AS (SELECT chunk_id, query_id, list_transform(c, lambda x: CASE WHEN n > 0 THEN x / n ELSE x END::FLOAT::DOUBLE) AS e FROM (SELECT *, sqrt(list_sum(list_transform(c, lambda x: x * x))) AS n FROM unit)),
+vs AS (SELECT q.query_id, d.chunk_id, round(greatest(0, least(1, 1 - greatest(0, list_dot_product(q.e, q.e) + list_dot_product(d.e, d.e) - 2 * list_dot_product(q.e, d.e)) / 2)), 6) AS score FROM ue q JOIN ue d ON q.chunk_id IS NULL AND d.query_id IS NULL),
+vn AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS r FROM vs),
+lists AS (SELECT query_id, 'vector' AS channel, 'chunk::' || chunk_id AS key, score, 'vector' AS source, '' AS match_stage FROM vn WHERE r <= 50 UNION ALL SELECT query_id, 'keyword', 'chunk::' || chunk_id, score, 'keyword', '' FROM kw WHERE rank <= 50
+  UNION ALL SELECT query_id, 'graph', key, score, source, match_stage FROM gone WHERE o = 1),
+lr AS (SELECT *, row_number() OVER (PARTITION BY query_id, channel ORDER BY score DESC, key) AS r FROM lists),
+fu AS (SELECT query_id, key, round(sum(CASE channel WHEN 'vector' THEN 0.6 WHEN 'keyword' THEN 0.5 ELSE 0.4 END::DOUBLE / (60 + r)), 8) AS fs, array_to_string(list_sort(list(DISTINCT channel)), ',') AS channels, arg_min(source, (-score, channel)) AS source, arg_min(match_stage, (-score, channel)) AS match_stage FROM lr WHERE r <= 50 GROUP BY query_id, key),
+ct AS (SELECT doc_id, count(DISTINCT token) AS own, item_id FROM (SELECT d.doc_id, d.token, t.item_id FROM ({tokens_sql('documents', 'doc_id', 'text')}) d JOIN t ON d.token = t.token) GROUP BY doc_id, item_id),
+ov AS (SELECT fu.*, min(fs) OVER (PARTITION BY query_id) AS lo, max(fs) OVER (PARTITION BY query_id) AS hi, coalesce(own, 0) / n AS ov, channels LIKE '%graph%' AS g FROM fu JOIN nt ON nt.item_id = query_id LEFT JOIN ct ON 'chunk::' || ct.doc_id = key AND ct.item_id = query_id),
+sc AS (SELECT *, 0.7 * CASE WHEN hi <= lo THEN 1 ELSE (fs - lo) / (hi - lo) END + 0.3 * ov + CASE WHEN g THEN 0.08 ELSE 0 END + CASE WHEN source = 'graph_direct' THEN 0.12 ELSE 0 END + CASE WHEN match_stage = 'exact' THEN 0.08 ELSE 0 END AS x FROM ov),
+fin AS (SELECT query_id, key, channels, source, match_stage, g, round(greatest(0, least(1, CASE WHEN NOT g AND ov < 0.05 THEN x * 0.68 ELSE x END)), 6) AS final_score FROM sc),
+pl AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY final_score DESC, key) AS place FROM fin),
+nd AS (SELECT *, least(1, count(*) FILTER (g) OVER (PARTITION BY query_id), 5) - count(*) FILTER (g AND place <= 5) OVER (PARTITION BY query_id) AS need FROM pl),
+sw AS (SELECT *, CASE WHEN place > 5 AND g AND final_score >= 0.12 THEN row_number() OVER (PARTITION BY query_id, place > 5 AND g AND final_score >= 0.12 ORDER BY place) END AS spare, CASE WHEN place <= 5 AND NOT g THEN row_number() OVER (PARTITION BY query_id, place <= 5 AND NOT g ORDER BY place DESC) END AS leave FROM nd),
+wp AS (SELECT *, least(greatest(need, 0), coalesce(max(spare) OVER (PARTITION BY query_id), 0), coalesce(max(leave) OVER (PARTITION BY query_id), 0)) AS swap FROM sw),
+hybrid AS (SELECT query_id, key, channels, source, match_stage, final_score, row_number() OVER (PARTITION BY query_id ORDER BY final_score DESC, key)::INTEGER AS rank FROM wp WHERE (place <= 5 AND NOT coalesce(leave <= swap, FALSE)) OR coalesce(spare <= swap, FALSE))"""
+
+
+def letters_of(texts, key, text):
+    """The vectors of a table's texts, each different one encoded once."""
+    lower = texts.select(key, F.lower(text).alias("text"))
+    return encode_distinct(lower, None, letter_encoder(), "local", "letters").select(key, "embedding")
+
+
+def hybrid_results(spark, sf_dir, top_k: int = 5):
+    """All three channels in one plan: the letters of passages and documents, their words, and the line items' graph. Queries are the
+    benchmark passages, with a nation's name each."""
+    q, chunks = text_queries(spark, sf_dir), text_chunks(spark, sf_dir).select("kb_id", "chunk_id", "content")
+    n = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("_n"), F.col("n_name").alias("query_entity"))
+    names = q.withColumn("_n", F.col("query_id") % 25).join(n, "_n").select("query_id", _every_kb(), "query_entity")
+    own = letters_of(q, "query_id", "query_text").select("query_id", F.lit("docs").alias("kb_id"), F.col("embedding").alias("vector"))
+    held = letters_of(chunks, "chunk_id", "content").select(F.lit("docs").alias("kb_id"), "chunk_id", "embedding")
+    return retrieval.hybrid_search(q, chunks, top_k, knn(own, held, 50), names, *stored(spark, sf_dir))
+
+
+@query(f"WITH {HYBRID_SQL} SELECT query_id, key, CASE WHEN key LIKE 'chunk::%' THEN substr(key, 8) END AS chunk_id, md5(text) AS content_md5, final_score, channels, hybrid.source, match_stage, rank FROM hybrid LEFT JOIN documents ON key = 'chunk::' || doc_id")
 def hybrid_search(spark, sf_dir):
-    """All three channels in one plan: vectors, the texts of the documents with the vectors' ids, and the line items' graph. Queries
-    are benchmark passages with a vector and a nation's name each."""
-    from ..operators.vectors import knn
-
-    q = vector_queries(spark, sf_dir)
-    n = table(spark, sf_dir, "nation").select("n_nationkey", "n_name")
-    b = table(spark, sf_dir, "benchmark").select((F.row_number().over(Window.orderBy("item_id")) - 1).alias("place"), F.col("text").alias("query_text"))
-    items = b.withColumn("items", F.count(F.lit(1)).over(Window.partitionBy()))
-    asked = q.withColumn("n_nationkey", (F.col("query_id") / 20 % 25).cast("int")).join(n, "n_nationkey")
-    asked = asked.join(F.broadcast(items), F.expr("cast(query_id / 20 as bigint) % items = place"))
-    asked = asked.select("query_id", F.col("kb_id").cast("string").alias("kb_id"), "query_text", F.col("n_name").alias("query_entity"))
-    texts = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("vec_id"), F.col("text").alias("content"))
-    chunks = corpus(spark, sf_dir).join(texts, "vec_id").select(F.col("kb_id").cast("string").alias("kb_id"), "chunk_id", "content")
-    names = asked.select("query_id", _every_kb(), "query_entity")
-    return retrieval.hybrid_search(asked, chunks, 5, knn(q, corpus(spark, sf_dir), 50), names, *settled(spark, sf_dir))
+    found = hybrid_results(spark, sf_dir)
+    return found.select("query_id", "key", "chunk_id", F.md5(F.col("content").cast("binary")).alias("content_md5"), "final_score", "channels", "source", "match_stage", "rank")

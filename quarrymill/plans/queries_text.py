@@ -259,7 +259,8 @@ top AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY final_score
 SELECT query_id, key, final_score, 'keyword' AS channels, 'keyword' AS source, rank FROM top WHERE rank <= 5""")
 def hybrid_keyword_search(spark, sf_dir):
     """The hybrid pipeline with its keyword channel alone, over documents."""
-    return retrieval.hybrid_search(text_queries(spark, sf_dir), text_chunks(spark, sf_dir), 5, channels=("keyword",))
+    found = retrieval.hybrid_search(text_queries(spark, sf_dir), text_chunks(spark, sf_dir), 5, channels=("keyword",))
+    return found.select("query_id", "key", "final_score", "channels", "source", "rank")
 
 
 @query("""WITH l AS (SELECT conv_id, turn, CASE WHEN lower(role) IN ('user', 'human') THEN '### Human:' || chr(10) WHEN lower(role) IN ('assistant', 'gpt') THEN '### Assistant:' || chr(10) END || text AS line FROM conversations WHERE trim(text) <> '')

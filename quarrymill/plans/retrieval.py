@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..config import HYBRID, VECTOR
 from ..operators import graph, keyword, ranking, vectors
+from ..sources.scratch import settled
 
 
 def vector_search(queries: DataFrame, corpus: DataFrame, top_k: int, recall: int, explicit: float | None = None, diversify: bool = False, config=VECTOR) -> DataFrame:
@@ -29,7 +30,8 @@ def vector_search(queries: DataFrame, corpus: DataFrame, top_k: int, recall: int
 
 
 def hybrid_search(queries: DataFrame, chunks: DataFrame, top_k: int, vector: DataFrame | None = None, names: DataFrame | None = None, entities: DataFrame | None = None, relations: DataFrame | None = None, channels: tuple[str, ...] = ("vector", "keyword", "graph"), config=HYBRID) -> DataFrame:
-    """queries(query_id, kb_id, query_text), chunks(kb_id, chunk_id, content) -> query_id, key, final_score, channels, source, rank.
+    """queries(query_id, kb_id, query_text), chunks(kb_id, chunk_id, content) -> query_id, key, chunk_id, content, final_score, channels,
+    source, match_stage, rank. chunk_id and content are null for graph rows.
 
     The channels are independent branches: vector takes its results (query_id, chunk_id, similarity), keyword is computed here, graph
     takes names(query_id, kb_id, query_entity) and the graph's tables. Fused by weighted reciprocal ranks, re-ranked, cut, with a floor
@@ -37,7 +39,7 @@ def hybrid_search(queries: DataFrame, chunks: DataFrame, top_k: int, vector: Dat
     """
     parts = []
     row = lambda df, channel, source: df.withColumns({"channel": F.lit(channel), "source": F.lit(source) if source else F.col("source")})
-    content = chunks.select(F.concat(F.lit("chunk::"), "chunk_id").alias("key"), "content")
+    content = chunks.select(F.concat(F.lit("chunk::"), "chunk_id").alias("key"), F.col("chunk_id").cast("string").alias("chunk_id"), "content")
     columns = ["query_id", "channel", "key", "score", "source", "match_stage"]
     if "vector" in channels and vector is not None:
         parts.append(row(vector.select("query_id", F.concat(F.lit("chunk::"), "chunk_id").alias("key"), F.col("similarity").alias("score"), F.lit("").alias("match_stage")), "vector", "vector").select(columns))
@@ -45,12 +47,13 @@ def hybrid_search(queries: DataFrame, chunks: DataFrame, top_k: int, vector: Dat
         found = keyword.search(queries, chunks, max(top_k * 4, config.window), config)
         parts.append(row(found.select("query_id", F.concat(F.lit("chunk::"), "chunk_id").alias("key"), "score", F.lit("").alias("match_stage")), "keyword", "keyword").select(columns))
     if "graph" in channels and names is not None:
-        parts.append(row(graph.graph_channel(names, entities, relations, config.window, config=config, hit=graph.lookup(names, entities).persist()), "graph", None).select(columns))
+        parts.append(row(graph.graph_channel(names, entities, relations, config.window, config=config, hit=settled(graph.lookup(names, entities), "hits")), "graph", None).select(columns))
     union = parts[0]
     for part in parts[1:]:
         union = union.unionByName(part)
+    union = settled(union, "channels")  # the channels are worked out once
     fused = ranking.fuse_channels(union, {"vector": config.vector_weight, "keyword": config.keyword_weight, "graph": config.graph_weight}, config.rrf_k, config.window)
     texts = fused.join(content, "key", "left").join(queries.select("query_id", "query_text"), "query_id")
     ranked = ranking.rerank_hybrid(texts, config).withColumn("final_score", F.round("rerank_score", 6)).withColumn("is_graph", F.array_contains("channels", "graph"))
     kept = ranking.graph_floor(ranked, top_k, config=config)
-    return kept.select("query_id", "key", "final_score", F.array_join("channels", ",").alias("channels"), "source", "rank")
+    return kept.select("query_id", "key", "chunk_id", "content", "final_score", F.array_join("channels", ",").alias("channels"), "source", "match_stage", "rank")
