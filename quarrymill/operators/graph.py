@@ -44,38 +44,44 @@ def rebind(cached: DataFrame, chunks: DataFrame) -> DataFrame:
     return chunks.join(cached, "fingerprint").select("chunk_id", "payload")
 
 
-def merge_entities(rows: DataFrame) -> DataFrame:
+def merge_entities(rows: DataFrame, attributes: bool = True) -> DataFrame:
     """rows(kb_id, seq, canonical_name, name, type, labels, aliases, confidence, mention_count, chunk_ids, attributes) -> one row
     an entity: mentions added up, best confidence, united lists, the first known type, of each attribute the first value;
     n_chunks is the number of chunk_ids.
 
-    List elements and attributes are rows, reduced to one a value (attributes: one a key) before any list is built. chunk_ids
-    still makes a list of an entity's distinct chunks; where only n_chunks is selected, Spark leaves that list out.
+    One scan: rows are summed up by entity and chunk, then by entity, so a chunk counts once and nothing grows with the mentions
+    but chunk_ids; where only n_chunks is selected, Spark leaves that list out. Attributes are a scan of their own, reduced to
+    one row a key; leave them out where nobody asks for them.
     """
     keys = ["kb_id", "canonical_name"]
     known = F.coalesce("type", F.lit(UNKNOWN)) != UNKNOWN
-    merged = rows.groupBy(*keys).agg(
-        F.min_by("name", "seq").alias("name"),
-        F.coalesce(F.min_by(F.when(known, F.col("type")), F.when(known, F.col("seq"))), F.lit(UNKNOWN)).alias("type"),
+    spread = rows.select(*keys, "seq", "name", "type", "labels", "aliases", "confidence", "mention_count", F.posexplode_outer("chunk_ids").alias("_pos", "_chunk"))
+    united = lambda c: F.array_sort(F.array_distinct(F.flatten(F.collect_set(c))))
+    by_chunk = spread.groupBy(*keys, "_chunk").agg(
+        F.min(F.struct("seq", "name")).alias("_name"),
+        F.min(F.when(known, F.struct("seq", "type"))).alias("_type"),
+        F.max("confidence").alias("confidence"),
+        F.sum(F.when(F.coalesce("_pos", F.lit(0)) == 0, F.col("mention_count"))).alias("mention_count"),
+        united("labels").alias("labels"),
+        united("aliases").alias("aliases"),
+    )
+    merged = by_chunk.groupBy(*keys).agg(
+        F.min("_name")["name"].alias("name"),
+        F.coalesce(F.min("_type")["type"], F.lit(UNKNOWN)).alias("type"),
+        united("labels").alias("labels"),
+        united("aliases").alias("aliases"),
         F.round(F.max("confidence"), 4).alias("confidence"),
         F.sum("mention_count").cast("long").alias("mention_count"),
+        F.array_sort(F.collect_list(F.col("_chunk").cast("string"))).alias("chunk_ids"),
+        F.count("_chunk").alias("n_chunks"),
     )
-    lists = ("labels", "aliases", "chunk_ids")
-    elements = lambda kind: F.transform(kind, lambda x: F.struct(F.lit(kind).alias("_kind"), x.cast("string").alias("_value")))
-    held = rows.select(*keys, F.explode(F.flatten(F.array_compact(F.array(*map(elements, lists))))).alias("_i")).select(*keys, "_i.*").distinct()
+    if not attributes:
+        return merged
     entries = rows.select(*keys, "seq", F.explode("attributes").alias("_key", "_value"))
-    first = entries.groupBy(*keys, "_key").agg(F.min_by("_value", F.struct("seq", "_value")).alias("_value")).withColumn("_kind", F.lit("attributes"))
-    items = held.unionByName(first, allowMissingColumns=True)
-    both = merged.unionByName(items, allowMissingColumns=True)
-    of = lambda kind: F.collect_list(F.when(F.col("_kind") == kind, F.struct(F.col("_key").alias("key"), F.col("_value").alias("value"))))
-    return both.groupBy(*keys).agg(
-        *[F.first(c, ignorenulls=True).alias(c) for c in ("name", "type")],
-        *[F.array_sort(F.transform(of(c), lambda x: x["value"])).alias(c) for c in lists[:2]],
-        *[F.first(c, ignorenulls=True).alias(c) for c in ("confidence", "mention_count")],
-        F.array_sort(F.transform(of("chunk_ids"), lambda x: x["value"])).alias("chunk_ids"),
-        F.map_from_entries(F.array_sort(of("attributes"))).alias("attributes"),
-        F.count_if(F.col("_kind") == "chunk_ids").alias("n_chunks"),
-    )
+    first = entries.groupBy(*keys, "_key").agg(F.min_by("_value", F.struct("seq", "_value")).alias("_value"))
+    held = first.groupBy(*keys).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct(F.col("_key").alias("key"), F.col("_value").alias("value"))))).alias("attributes"))
+    none = F.create_map().cast("map<string,string>")
+    return merged.join(held, keys, "left").withColumn("attributes", F.coalesce("attributes", none))
 
 
 def merge_relations(rows: DataFrame, entities: DataFrame) -> DataFrame:

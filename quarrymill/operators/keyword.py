@@ -20,16 +20,32 @@ K1, B = 1.2, 0.75
 WORD_BREAK = r"[^\p{L}\p{N}_]+"
 #: Postings of a block, queries that look at a chunk's text together, and what rounding may add to a score.
 BLOCK, TOGETHER, SLACK = 256, 256, 1e-6
+#: Tokens of a query, those with the highest peaks, whose first blocks give its bound.
+BOUNDING = 8
+
+
+def _tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Chunks with their words -> a row for each different word of a chunk: kb_id, token, chunk_id, tf, length."""
+    for batch in batches:
+        words = batch.column("words")
+        sizes = np.diff(words.offsets.to_numpy())
+        coded = words.flatten().dictionary_encode()
+        n = max(1, len(coded.dictionary))
+        at = np.repeat(np.arange(len(batch), dtype=np.int64), sizes) * n + coded.indices.to_numpy(zero_copy_only=False)
+        pairs, tf = np.unique(at, return_counts=True)
+        rows, token = pairs // n, pairs % n
+        columns = [batch.column("kb_id").take(pa.array(rows)), coded.dictionary.take(pa.array(token)), batch.column("chunk_id").take(pa.array(rows)), pa.array(tf.astype(np.int64)), pa.array(sizes[rows].astype(np.int32))]
+        yield pa.RecordBatch.from_arrays(columns, ["kb_id", "token", "chunk_id", "tf", "length"])
 
 
 def postings(chunks: DataFrame, wanted: DataFrame | None = None) -> DataFrame:
     """chunks(kb_id, chunk_id, content) -> kb_id, token, chunk_id, tf, length (tokens of the chunk, with repeats); of the tokens in
-    wanted(kb_id, token) only, if given."""
+    wanted(kb_id, token) only, if given. Words are counted inside their chunk, so nothing is exchanged."""
     split = F.filter(F.split(F.lower("content"), WORD_BREAK), lambda t: t != "")
-    words = chunks.select("kb_id", "chunk_id", split.alias("words")).select("kb_id", "chunk_id", F.size("words").alias("length"), F.explode("words").alias("token"))
-    if wanted is not None:
-        words = words.join(wanted, ["kb_id", "token"], "left_semi")
-    return words.groupBy("kb_id", "token", "chunk_id").agg(F.count(F.lit(1)).alias("tf"), F.first("length").alias("length"))
+    words = chunks.select("kb_id", "chunk_id", split.alias("words")).where("words is not null")
+    kinds = dict(words.dtypes)
+    out = words.mapInArrow(_tally, f"kb_id {kinds['kb_id']}, token string, chunk_id {kinds['chunk_id']}, tf long, length int")
+    return out if wanted is None else out.join(wanted, ["kb_id", "token"], "left_semi")
 
 
 def _asked(queries: DataFrame) -> DataFrame:
@@ -119,7 +135,8 @@ def bm25_top(queries: DataFrame, index: Impacts, most: int, looked: bool = False
     peaks = heads.withColumn("_f", first).where("_f = 1").drop("_f").withColumnRenamed("top", "peak")
     held = settled(asked.join(peaks, ["kb_id", "token"]), "asked")
     opened = lambda pairs: pairs.join(index.blocks.select("block", F.arrays_zip("ids", "impacts").alias("z")), "block").select(*of, F.explode("z").alias("z")).select(*of, F.col("z.ids").alias("chunk_id"), F.col("z.impacts").alias("impact"))
-    sums = opened(held.select(*of, "block")).groupBy(*of, "chunk_id").agg(F.sum("impact").alias("s"))
+    highest = F.row_number().over(Window.partitionBy(*of).orderBy(F.desc("peak"), "token"))
+    sums = opened(held.withColumn("_h", highest).where(F.col("_h") <= BOUNDING).select(*of, "block")).groupBy(*of, "chunk_id").agg(F.sum("impact").alias("s"))
     nth = F.row_number().over(Window.partitionBy(*of).orderBy(F.desc("s")))
     bound = sums.withColumn("_n", nth).where(F.col("_n") == most).select(*of, (F.col("s") - SLACK).alias("bound"))
     rising = Window.partitionBy(*of).orderBy("peak", "token")

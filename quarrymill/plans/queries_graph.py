@@ -26,7 +26,7 @@ def relations(spark, sf_dir):
 
 def stored(spark, sf_dir):
     """Entities and relations, written once for plans that read them several times, with the columns that look-up and traversal need."""
-    e = entities(spark, sf_dir).select("kb_id", "canonical_name", "name", "aliases", "confidence", "mention_count", "n_chunks")
+    e = graph.merge_entities(mentions(spark, sf_dir), attributes=False).select("kb_id", "canonical_name", "name", "aliases", "confidence", "mention_count", "n_chunks")
     r = relations(spark, sf_dir).select("kb_id", "source", "target", "type", "chunk_ids")
     return settled(e, "entities"), settled(r, "relations")
 
@@ -195,7 +195,7 @@ def graph_preview(spark, sf_dir):
 
 @query(f"""WITH {GRAPH_SQL} SELECT kb_id, name AS canonical_name, (SELECT count(DISTINCT (target, r.type)) FROM relations r WHERE r.kb_id = e.kb_id AND r.source = e.name) AS outgoing, (SELECT count(DISTINCT (source, r.type)) FROM relations r WHERE r.kb_id = e.kb_id AND r.target = e.name) AS incoming FROM entities e""")
 def neighbours(spark, sf_dir):
-    n = graph.neighbours(relations(spark, sf_dir), entities(spark, sf_dir))
+    n = graph.neighbours(relations(spark, sf_dir), graph.merge_entities(mentions(spark, sf_dir), attributes=False))
     count = lambda c: F.greatest(F.lit(0), F.coalesce(F.size(c), F.lit(0))).cast("long").alias(c)
     return n.select("kb_id", "canonical_name", count("outgoing"), count("incoming"))
 
