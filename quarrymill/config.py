@@ -60,8 +60,6 @@ class VectorSearch:
     adjacent: int = 1
     max_chunks: int = 3
     max_clusters: int = 2
-    max_variants: int = 3
-    rrf_k: int = 60
     second_top: int = 20
     second_alpha: float = 0.7
 

@@ -80,8 +80,9 @@ def merge_entities(rows: DataFrame, attributes: bool = True) -> DataFrame:
     entries = rows.select(*keys, "seq", F.explode("attributes").alias("_key", "_value"))
     first = entries.groupBy(*keys, "_key").agg(F.min_by("_value", F.struct("seq", "_value")).alias("_value"))
     held = first.groupBy(*keys).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct(F.col("_key").alias("key"), F.col("_value").alias("value"))))).alias("attributes"))
-    none = F.create_map().cast("map<string,string>")
-    return merged.join(held, keys, "left").withColumn("attributes", F.coalesce("attributes", none))
+    both, none = merged.unionByName(held, allowMissingColumns=True), F.create_map().cast("map<string,string>")
+    figures = [F.first(c, ignorenulls=True).alias(c) for c in merged.columns if c not in keys]
+    return both.groupBy(*keys).agg(*figures, F.coalesce(F.first("attributes", ignorenulls=True), none).alias("attributes"))
 
 
 def merge_relations(rows: DataFrame, entities: DataFrame) -> DataFrame:

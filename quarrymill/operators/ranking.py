@@ -269,3 +269,31 @@ def source_json(df: DataFrame) -> DataFrame:
 def score_with(df: DataFrame, scorer: Callable) -> DataFrame:
     """df(query_id, query_text, content, ...) with logit from a user's pandas function of (query_text, content)."""
     return df.withColumn("logit", F.pandas_udf(scorer, "double")("query_text", "content"))
+
+
+# --- an agent's evidence --------------------------------------------------------------------------------------------
+
+
+def resolve_kbs(kb_id: Column, kb_ids: Column, every: Column, limit: int = 5) -> Column:
+    """The knowledge bases (array<int>) that a request means: the one it names, unless its list lacks it; else the first `limit` different
+    numbers of its list (array<string>; other entries are skipped); else the first `limit` of `every`."""
+    listed = F.array_distinct(F.filter(F.transform(F.coalesce(kb_ids, F.array().cast("array<string>")), lambda x: x.try_cast("int")), lambda x: x.isNotNull()))
+    named = F.coalesce(kb_id, F.lit(0)) != 0
+    none = F.array().cast("array<int>")
+    one = F.when((F.size(listed) > 0) & ~F.array_contains(listed, kb_id.cast("int")), none).otherwise(F.array(kb_id.cast("int")))
+    return F.when(named, one).when(F.size(listed) > 0, F.slice(listed, 1, limit)).otherwise(F.slice(every, 1, limit))
+
+
+def agent_evidence(asked: DataFrame, hybrid: DataFrame, vector: DataFrame, top_k: int, threshold: float = 0.2) -> DataFrame:
+    """asked(query_id, kbs), hybrid and vector (query_id, kb_id, key, score) -> query_id, kb_id, key, score, branch, rank.
+
+    A query's hybrid rows of all its knowledge bases are merged and the first 2 * top_k stay; a query without any takes the vector
+    branch: rows at the threshold or above, top_k of them. Both are branches of one plan; queries meet their rows by equi-joins.
+    """
+    pairs = asked.select("query_id", F.explode(F.array_distinct(F.col("kbs").cast("array<string>"))).alias("kb_id"))
+    own = lambda df, branch: df.withColumn("kb_id", F.col("kb_id").cast("string")).join(pairs, ["query_id", "kb_id"]).select("query_id", "kb_id", "key", "score", F.lit(branch).alias("branch"))
+    order = by_query(F.desc("score"), "kb_id", "key")
+    first = own(hybrid, "hybrid").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= 2 * top_k)
+    left = pairs.select("query_id").distinct().join(first.select("query_id"), "query_id", "left_anti")
+    rest = own(vector.where(F.col("score") >= threshold), "vector").join(left, "query_id", "left_semi")
+    return first.unionByName(rest.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top_k))

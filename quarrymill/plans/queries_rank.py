@@ -256,6 +256,28 @@ def source_diversity(spark, sf_dir):
     return ranking.diversify_sources(found.select("query_id", F.col("chunk_id").alias("key"), "kb_id", F.concat(F.lit("file"), (F.col("chunk_id").cast("int") % 4).cast("string")).alias("source"), F.col("similarity").alias("score")))
 
 
+# requests of four kinds: one knowledge base that the list lacks (nothing), one, a list with repeats and noise, none named (the first two)
+@query(f"""WITH {CORPUS_SQL}, sims AS (
+  SELECT q.vec_id AS query_id, c.kb_id, c.chunk_id, c.chunk_index, round(greatest(0, least(1, 1 - greatest(0, list_dot_product(q.e, q.e) + list_dot_product(c.e, c.e) - 2 * list_dot_product(q.e, c.e)) / 2)), 6) AS similarity
+  FROM corpus q, corpus c WHERE q.vec_id % 20 = 0
+), near AS (SELECT *, row_number() OVER (PARTITION BY query_id, kb_id ORDER BY similarity DESC, chunk_id) AS r FROM sims),
+asked AS (SELECT DISTINCT query_id, unnest(CASE query_id // 20 % 4 WHEN 0 THEN []::INTEGER[] WHEN 1 THEN [1] WHEN 2 THEN [2, 0] ELSE [0, 1] END) AS kb_id FROM near),
+own AS (SELECT n.*, query_id % 100 <> 0 AND chunk_index % 2 = 0 AS h FROM near n JOIN asked USING (query_id, kb_id) WHERE r <= 20),
+hyb AS (SELECT query_id, kb_id, chunk_id, round(similarity - 0.01, 6) AS score, 'hybrid' AS branch FROM own WHERE h),
+hr AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, kb_id, chunk_id)::INTEGER AS rank FROM hyb),
+vec AS (SELECT query_id, kb_id, chunk_id, similarity AS score, 'vector' AS branch FROM own WHERE similarity >= 0.2 AND query_id NOT IN (SELECT query_id FROM hyb)),
+vr AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, kb_id, chunk_id)::INTEGER AS rank FROM vec)
+SELECT query_id, kb_id::VARCHAR AS kb_id, chunk_id AS key, score, branch, rank FROM (SELECT * FROM hr WHERE rank <= 10 UNION ALL SELECT * FROM vr WHERE rank <= 5)""")
+def agent_evidence(spark, sf_dir):
+    every = vector_queries(spark, sf_dir).drop("kb_id").withColumn("kb_id", F.explode(F.array(F.lit(0), F.lit(1), F.lit(2))))
+    found = settled(vectors.knn(every, corpus(spark, sf_dir), 20), "found").select("query_id", "kb_id", F.col("chunk_id").alias("key"), F.col("similarity").alias("score"))
+    kind = F.floor(F.col("query_id") / 20) % 4
+    one, several = F.when(kind.isin(0, 1), 1), F.when(kind == 0, F.array(F.lit("2"))).when(kind == 2, F.array(*map(F.lit, ("2", "2", "x", "0"))))
+    asked = vector_queries(spark, sf_dir).select("query_id", ranking.resolve_kbs(one, several, F.array(F.lit(0), F.lit(1), F.lit(2)), 2).alias("kbs"))
+    even = (F.col("query_id") % 100 != 0) & (F.col("key").cast("int") % 10 % 2 == 0)
+    return ranking.agent_evidence(asked, found.where(even).withColumn("score", F.round(F.col("score") - 0.01, 6)), found, 5)
+
+
 @query(f"""WITH {CORPUS_SQL.replace('embedding::DOUBLE[]', 'embedding::DOUBLE[]')}, sims AS (
   SELECT q.vec_id AS query_id, c.chunk_id, c.file_id, c.chunk_index, round(greatest(0, least(1, 1 - greatest(0, list_dot_product(q.e, q.e) + list_dot_product(c.e, c.e) - 2 * list_dot_product(q.e, c.e)) / 2)), 4) AS similarity
   FROM corpus q JOIN corpus c ON q.vec_id % 20 = 0 AND q.kb_id = c.kb_id
