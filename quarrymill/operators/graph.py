@@ -253,6 +253,20 @@ def lookup(names: DataFrame, entities: DataFrame, ascii_only: bool = False) -> D
     return every.withColumn("_best", best).where("_best = 1").drop("_best", "stage")
 
 
+def entity_report(names: DataFrame, hit: DataFrame) -> DataFrame:
+    """names(query_id, kb_id, query_entity), hit: what lookup gives for them -> by query the extracted names, their lookup keys, the
+    matched and the unmatched ones, details (kb_id, query_entity, matched_entity, match_stage, fallback_candidates) and fallback_used:
+    whether any name has parts to fall back to. Lists are sorted; a name is matched if a knowledge base has it. A query's names are
+    few, so its lists are short."""
+    key = ["query_id", "kb_id", "query_entity"]
+    every = names.select(*key).distinct().join(hit.select(*key, F.col("name").alias("_found"), "match_stage"), key, "left")
+    every = every.withColumns({"_key": lookup_key(F.col("query_entity")), "_parts": fallbacks(F.col("query_entity"))})
+    detail = F.struct("kb_id", "query_entity", F.col("_found").alias("matched_entity"), F.coalesce("match_stage", F.lit("none")).alias("match_stage"), F.col("_parts").alias("fallback_candidates"))
+    listed = lambda c, when=F.lit(True): F.array_sort(F.collect_set(F.when(when, F.col(c))))
+    out = every.groupBy("query_id").agg(listed("query_entity").alias("extracted_entities"), listed("_key", F.col("_key") != "").alias("normalized_entities"), listed("query_entity", F.col("_found").isNotNull()).alias("matched_entities"), F.array_sort(F.collect_list(detail)).alias("match_details"), F.bool_or(F.size("_parts") > 0).alias("fallback_used"))
+    return out.withColumn("unmatched_entities", F.array_except("extracted_entities", "matched_entities"))
+
+
 def paths(starts: DataFrame, relations: DataFrame, hops: int = 2, limit: int | None = 5, most_evidence: int = 5) -> DataFrame:
     """starts(query_id, kb_id, entity) -> query_id, kb_id, entity, target, relations, evidence, hop: undirected paths of up to `hops`
     relations that use none twice and don't end where they start. Equal rows count once; the first `limit` a start, by hop

@@ -5,10 +5,12 @@ Every order is total: score first, then the result key, so results do not depend
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from ..config import HYBRID, VECTOR
@@ -181,8 +183,6 @@ def mmr(df: DataFrame, top_k: int, recall: int, config=VECTOR) -> DataFrame:
 
     Sequential by nature: one query's candidates (recall at most) make a group.
     """
-    import numpy as np
-
     def diversify(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(["similarity", "key"], ascending=[False, True]).reset_index(drop=True)
         has = [i for i, v in enumerate(rows["embedding"]) if v is not None and len(v)]
@@ -212,24 +212,36 @@ def diversify_sources(df: DataFrame, config=HYBRID) -> DataFrame:
     its key was seen, if its source would exceed max_same_source of the rows so far, or if its knowledge base has max_per_kb.
 
     The ratio depends on what was kept before, so a query's rows are walked in order. Queries with one knowledge base pass.
+
+    Without a key column the key is diversity_key of chunk_id, source, entity and content. Repeated keys go in the JVM: the first of
+    equal keys that a limit turns away may be followed by another, so only rows that agree in all that counts are dropped there. Rows
+    without a knowledge base have no limit of their own.
     """
+    keyed = df if "key" in df.columns else df.withColumn("key", diversity_key(*map(F.col, ("chunk_id", "source", "entity", "content"))))
+    slim = keyed.select("query_id", "key", "kb_id", F.coalesce("source", F.lit("unknown")).alias("source"), "score")
 
-    def walk(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["score", "key"], ascending=[False, True], kind="stable")
+    def kept(rows: pd.DataFrame) -> pd.DataFrame:
         if rows["kb_id"].nunique() <= 1:
             return rows
-        seen, sources, kbs, kept = set(), {}, {}, []
-        for i, key, kb, source in zip(rows.index, rows["key"], rows["kb_id"], rows["source"]):
-            n = sources.get(source, 0)
-            if key in seen or (kept and (n + 1) / (len(kept) + 1) > config.max_same_source) or kbs.get(kb, 0) >= config.max_per_kb:
-                continue
-            seen.add(key)
-            sources[source], kbs[kb] = n + 1, kbs.get(kb, 0) + 1
-            kept.append(i)
-        return rows.loc[kept]
+        chosen: list = []
+        for row in rows.sort_values(["score", "key", "kb_id", "source"], ascending=[False, True, True, True]).itertuples():
+            same = 1 + sum(c.source == row.source for c in chosen)
+            crowded = bool(chosen) and same > config.max_same_source * (len(chosen) + 1)
+            full = sum(c.kb_id == row.kb_id for c in chosen) >= config.max_per_kb
+            if not (crowded or full or any(c.key == row.key for c in chosen)):
+                chosen.append(row)
+        return rows.loc[[c.Index for c in chosen]]
+
+    several = slim.groupBy("query_id").agg(F.count_distinct("kb_id").alias("_kbs"))
+    marked = slim.join(several, "query_id").select(*slim.columns, (F.col("_kbs") > 1).alias("_several"))
+    once = marked.where("_several").drop("_several").dropDuplicates()
+    return marked.where("NOT _several").drop("_several").unionByName(once.groupBy("query_id").applyInPandas(kept, slim.schema))
+
 
-    slim = df.select("query_id", "key", "kb_id", "source", "score")
-    return slim.groupBy("query_id").applyInPandas(walk, slim.schema)
+def diversity_key(chunk_id: Column, source: Column, entity: Column, content: Column) -> Column:
+    """What makes results of several knowledge bases the same: the chunk, else source, entity and the content's first 120 characters."""
+    head = F.substring(F.sha1(F.substring(F.coalesce(content, F.lit("")), 1, 120).cast("binary")), 1, 16)
+    return F.when(F.coalesce(chunk_id, F.lit("")) != "", chunk_id).otherwise(F.concat_ws("|", F.coalesce(source, F.lit("unknown")), F.coalesce(entity, F.lit("")), head))
 
 
 def diagnostics(df: DataFrame) -> DataFrame:
@@ -237,6 +249,30 @@ def diagnostics(df: DataFrame) -> DataFrame:
     return df.groupBy("query_id").agg(F.count(F.lit(1)).alias("candidate_count"), F.count_if(F.col("similarity") >= F.col("effective_threshold")).alias("after_threshold"), F.max("effective_threshold").alias("effective_threshold"), F.array_join(F.array_sort(F.collect_set("channel")), ",").alias("channels"))
 
 
+def search_report(channels: DataFrame, fused: DataFrame, entities: DataFrame | None = None, names: tuple[str, ...] = ("vector", "keyword", "graph")) -> DataFrame:
+    """channels(query_id, channel), fused(query_id) -> by query the rows of each channel and those that were fused, with
+    entities(query_id, ...) of graph.entity_report beside them. Queries that only one side has are rows too."""
+    found = channels.groupBy("query_id").agg(*[F.count_if(F.col("channel") == n).alias(f"{n}_result_count") for n in names])
+    out = found.join(fused.groupBy("query_id").agg(F.count(F.lit(1)).alias("fused_result_count")), "query_id", "full_outer")
+    out = out if entities is None else out.join(entities, "query_id", "full_outer")
+    return out.fillna(0, [*(f"{n}_result_count" for n in names), "fused_result_count"])
+
+
+class Stages:
+    """Row counts of a plan's stages, taken by observation while the plan runs: no second pass."""
+
+    def __init__(self) -> None:
+        self._seen: dict[str, Observation] = {}
+
+    def at(self, name: str, df: DataFrame) -> DataFrame:
+        self._seen[name] = Observation(f"{name}-{uuid.uuid4().hex}")
+        return df.observe(self._seen[name], F.count(F.lit(1)).alias("rows"))
+
+    def counts(self) -> dict[str, int]:
+        """Waits for the first action on the plan."""
+        return {name: seen.get["rows"] for name, seen in self._seen.items()}
+
+
 def public_columns(df: DataFrame) -> DataFrame:
     """Without the columns that start with an underscore, and without embeddings."""
     return df.select(*[c for c in df.columns if not c.startswith("_") and c != "embedding"])
@@ -261,14 +297,37 @@ def source_items(df: DataFrame, limit: int) -> DataFrame:
     return kept.select("query_id", "rank", preview_.alias("content"), content.alias("full_content"), F.col("_counts").alias("similarity"), F.col("weight").alias("display_weight"), F.coalesce("score", F.lit(0.0)).alias("raw_score"), F.coalesce("final_score", "_counts").alias("final_score"), "file_id", F.coalesce("source", F.lit("unknown")).alias("source"))
 
 
+def projected(df: DataFrame, fields: tuple[str, ...] = ()) -> DataFrame:
+    """df(query_id, rank, content, ...) -> query_id, rank, content, similarity, metadata, source, chunk_id: the rows of any pipeline as
+    users see them. similarity is the score that counts; metadata (map of texts) has those of the fields, and the channels, that have
+    a value."""
+    has = lambda *names: [F.col(n) for n in names if n in df.columns]
+    fields = (*fields, "channels") if "channels" in df.columns and "channels" not in fields else fields
+    text = lambda f: F.array_join(f, ",") if df.schema[f].dataType.typeName() == "array" else F.col(f).cast("string")
+    pairs = [F.struct(F.lit(f).alias("key"), text(f).alias("value")) for f in fields]
+    metadata = F.map_from_entries(F.filter(F.array(*pairs), lambda p: p["value"].isNotNull())) if pairs else F.create_map().cast("map<string,string>")
+    score = F.coalesce(*has("final_score", "similarity", "score"), F.lit(0.0)).cast("double")
+    return df.select("query_id", "rank", F.coalesce("content", F.lit("")).alias("content"), score.alias("similarity"), metadata.alias("metadata"), F.coalesce(*has("source"), F.lit("unknown")).alias("source"), F.coalesce(*has("chunk_id"), F.lit(None).cast("string")).alias("chunk_id"))
+
+
 def source_json(df: DataFrame) -> DataFrame:
     """df(query_id, ...) -> query_id, sources: the other columns as one JSON text, timestamps in ISO form."""
     return df.select("query_id", F.to_json(F.struct(*[c for c in df.columns if c != "query_id"]), {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss"}).alias("sources"))
 
 
-def score_with(df: DataFrame, scorer: Callable) -> DataFrame:
-    """df(query_id, query_text, content, ...) with logit from a user's pandas function of (query_text, content)."""
-    return df.withColumn("logit", F.pandas_udf(scorer, "double")("query_text", "content"))
+def score_with(df: DataFrame, scorer: Callable, chosen: Column | None = None, head: int = 1500) -> DataFrame:
+    """df(query_id, query_text, content, ...) with logit from a user's function of two pandas Series, query_text and the content's first
+    characters. Rows that aren't chosen don't reach the function; their logit is null."""
+
+    def score(queries: pd.Series, contents: pd.Series, wanted: pd.Series) -> pd.Series:
+        on = wanted.to_numpy(bool)
+        out = pd.Series([None] * len(queries), dtype="Float64")
+        if on.any():
+            out[on] = np.asarray(scorer(queries[on], contents[on]), float)
+        return out
+
+    wanted = F.lit(True) if chosen is None else F.coalesce(chosen, F.lit(False))
+    return df.withColumn("logit", F.pandas_udf(score, "double")("query_text", F.substring(F.coalesce("content", F.lit("")), 1, head), wanted))
 
 
 # --- an agent's evidence --------------------------------------------------------------------------------------------

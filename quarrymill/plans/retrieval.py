@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..config import HYBRID, VECTOR
+from ..functions.text import variants
 from ..operators import graph, keyword, ranking, vectors
 from ..sources.scratch import settled
 
@@ -18,15 +21,47 @@ def vector_search(queries: DataFrame, corpus: DataFrame, top_k: int, recall: int
     before the threshold; clusters are ranked by their best similarity, so re-ranking only shows in rerank_score.
     """
     near = vectors.knn(queries, corpus, recall, decimals=4)
-    slim = corpus.select(F.col("kb_id").cast("string").alias("kb_id"), "chunk_id", "file_id", "chunk_index", "content", "filename", "embedding")
-    rows = near.drop("rank").join(slim, ["kb_id", "chunk_id"]).withColumn("key", F.concat(F.lit("chunk::"), "chunk_id"))
-    rows = rows.join(queries.select("query_id", "query_text"), "query_id")
-    kept = ranking.rerank_vector(ranking.dynamic_threshold(rows, top_k, explicit, config), config)
+    clusters = postprocess(near.drop("rank"), queries, corpus, top_k, recall, explicit, diversify, config=config)
+    return clusters.select("query_id", "file_id", "key", "content", "similarity", "cluster_size", "rank")
+
+
+def postprocess(found: DataFrame, queries: DataFrame, corpus: DataFrame, top_k: int, recall: int, explicit: float | None = None, diversify: bool = False, scorer: Callable | None = None, stages: ranking.Stages | None = None, config=VECTOR) -> DataFrame:
+    """found(query_id, kb_id, chunk_id, similarity), one row a chunk of a query -> clusters: threshold, token overlap, the second stage of
+    the first second_top rows with a scorer, diversification, clusters of neighbours, cut at top_k.
+
+    The threshold comes before texts and vectors are fetched. rerank_score and second_score are those of a cluster's best chunk.
+    """
+    seen = lambda name, df: df if stages is None else stages.at(name, df)
+    rows = found.withColumns({"kb_id": F.col("kb_id").cast("string"), "chunk_id": F.col("chunk_id").cast("string")}).withColumn("key", F.concat(F.lit("chunk::"), "chunk_id"))
+    passed = seen("threshold", ranking.dynamic_threshold(seen("candidates", rows), top_k, explicit, config))
+    slim = corpus.select(F.col("kb_id").cast("string").alias("kb_id"), F.col("chunk_id").cast("string").alias("chunk_id"), "file_id", "chunk_index", "content", "filename", *(["embedding"] if diversify else []))
+    kept = ranking.rerank_vector(passed.join(slim, ["kb_id", "chunk_id"]).join(queries.select("query_id", "query_text"), "query_id"), config).withColumn("rerank_score", F.round("rerank_score", 8))
+    kept = kept.withColumn("second_score", F.lit(None).cast("double"))
+    if scorer is not None:
+        place = F.row_number().over(ranking.by_query(F.desc("rerank_score"), "key"))
+        scored = ranking.score_with(kept.withColumn("_place", place), scorer, F.col("_place") <= config.second_top)
+        kept = ranking.blend_second_stage(scored.withColumn("base_score", F.col("rerank_score")), config).drop("_place", "base_score", "logit", "rank")
     if diversify:
         order = ranking.mmr(kept.select("query_id", "key", "similarity", "embedding"), top_k, recall, config)
         kept = kept.join(order.select("query_id", "key", F.col("rank").alias("mmr_rank")), ["query_id", "key"])
-    clusters = ranking.cluster_chunks(kept, config)
-    return clusters.where(F.col("rank") <= top_k).select("query_id", "file_id", "key", "content", "similarity", "cluster_size", "rank")
+    best = seen("clusters", ranking.cluster_chunks(kept, config)).where(F.col("rank") <= top_k)
+    return best.join(kept.select("query_id", "key", "kb_id", "chunk_id", "filename", "rerank_score", "second_score"), ["query_id", "key"])
+
+
+def text_search(queries: DataFrame, corpus: DataFrame, top_k: int, recall: int, encode: Callable[[DataFrame], DataFrame], explicit: float | None = None, diversify: bool = False, scorer: Callable | None = None, method: str = "rrf", ascii_only: bool = False, stages: ranking.Stages | None = None, config=VECTOR) -> DataFrame:
+    """queries(query_id long, kb_id, query_text), corpus as in vector_search -> query_id, file_id, kb_id, key, chunk_id, content, filename,
+    similarity, rerank_score, second_score, cluster_size, evidence_chunks, rank.
+
+    Each query is asked in up to three forms; encode adds embedding to a table with a text column. The forms' lists are fused: a chunk
+    counts once, with its best similarity. Queries without text ask nothing.
+    """
+    most = HYBRID.max_variants
+    forms = queries.select("query_id", "kb_id", F.posexplode(variants(F.col("query_text"), most, True, ascii_only)).alias("variant", "text"))
+    asked = encode(forms).select((F.col("query_id") * most + F.col("variant")).alias("query_id"), "kb_id", F.col("embedding").alias("vector"))
+    near = vectors.knn(asked, corpus, recall, decimals=4)
+    lists = near.select(F.expr(f"(query_id - pmod(query_id, {most})) div {most}").alias("query_id"), F.expr(f"pmod(query_id, {most})").alias("variant"), F.struct("kb_id", "chunk_id").alias("key"), F.col("similarity").alias("score"))
+    fused = ranking.fuse_variants(lists, method, HYBRID.rrf_k).select("query_id", "key.kb_id", "key.chunk_id", F.col("best").alias("similarity"), F.col("score").alias("fusion_score"))
+    return postprocess(fused, queries, corpus, top_k, recall, explicit, diversify, scorer, stages, config)
 
 
 def hybrid_search(queries: DataFrame, chunks: DataFrame, top_k: int, vector: DataFrame | None = None, names: DataFrame | None = None, entities: DataFrame | None = None, relations: DataFrame | None = None, channels: tuple[str, ...] = ("vector", "keyword", "graph"), config=HYBRID) -> DataFrame:

@@ -7,7 +7,7 @@ from collections.abc import Iterator
 from html.parser import HTMLParser
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
@@ -172,10 +172,25 @@ def read_files(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
 LABELLED = "kb_id INT, query STRING, relevant_chunk_ids ARRAY<STRING>, relevant_keywords ARRAY<STRING>"
 
 
+def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """file, line (from 1 in its file, blank ones counted), value. Files may be split: a line's number is its place in its block and the
+    lines of the blocks before, so only one row a block is exchanged."""
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_at"))
+    blocks = lines.groupBy("file", "_block").agg(F.min("_at").alias("_first"), F.count(F.lit(1)).alias("_n"))
+    earlier = F.sum("_n").over(Window.partitionBy("file").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1))
+    placed = blocks.select("file", "_block", (F.coalesce(earlier, F.lit(0)) - F.col("_first") + 1).alias("_shift"))
+    return lines.join(placed, ["file", "_block"]).select("file", (F.col("_at") + F.col("_shift")).alias("line"), "value")
+
+
 def read_labelled_queries(spark: SparkSession, path: str, limit: int | None = None) -> DataFrame:
-    """Labelled retrieval queries from JSON lines. A malformed line fails the read; missing lists are empty."""
-    rows = spark.read.schema(LABELLED).json(path, mode="FAILFAST")
-    for c in ("relevant_chunk_ids", "relevant_keywords"):
-        rows = rows.withColumn(c, F.coalesce(c, F.array().cast("array<string>")))
-    rows = rows.where("kb_id IS NOT NULL AND query IS NOT NULL")
-    return rows if limit is None else rows.orderBy("kb_id", "query").limit(limit)
+    """Labelled retrieval queries from JSON lines: kb_id, query, and lists that are empty where they are missing. Blank lines are passed
+    over; a line that isn't a JSON object, or lacks kb_id or query, fails the read with its number. The first `limit` lines by file
+    and number, if given."""
+    lines = numbered_lines(spark, path).where(F.trim("value") != "")
+    keys = F.json_object_keys("value")
+    fail = lambda why: F.raise_error(F.concat(F.lit("line "), F.col("line").cast("string"), F.lit(" of "), F.col("file"), F.lit(f": {why}"))).cast("string")
+    sound = F.when(keys.isNull(), fail("not a JSON object")).when(~F.array_contains(keys, "kb_id") | ~F.array_contains(keys, "query"), fail("kb_id or query is missing")).otherwise(F.col("value"))
+    rows = lines.select("file", "line", F.from_json(sound, LABELLED).alias("row"))
+    rows = rows if limit is None else rows.orderBy("file", "line").limit(limit)
+    lists = [F.coalesce(f"row.{c}", F.array().cast("array<string>")).alias(c) for c in ("relevant_chunk_ids", "relevant_keywords")]
+    return rows.select("row.kb_id", "row.query", *lists)
