@@ -297,17 +297,17 @@ def source_items(df: DataFrame, limit: int) -> DataFrame:
     return kept.select("query_id", "rank", preview_.alias("content"), content.alias("full_content"), F.col("_counts").alias("similarity"), F.col("weight").alias("display_weight"), F.coalesce("score", F.lit(0.0)).alias("raw_score"), F.coalesce("final_score", "_counts").alias("final_score"), "file_id", F.coalesce("source", F.lit("unknown")).alias("source"))
 
 
-def projected(df: DataFrame, fields: tuple[str, ...] = ()) -> DataFrame:
+def projected(df: DataFrame, fields: tuple[str, ...] = (), also: tuple[str, ...] = ()) -> DataFrame:
     """df(query_id, rank, content, ...) -> query_id, rank, content, similarity, metadata, source, chunk_id: the rows of any pipeline as
     users see them. similarity is the score that counts; metadata (map of texts) has those of the fields, and the channels, that have
-    a value."""
+    a value. Columns in `also` follow as they are."""
     has = lambda *names: [F.col(n) for n in names if n in df.columns]
     fields = (*fields, "channels") if "channels" in df.columns and "channels" not in fields else fields
     text = lambda f: F.array_join(f, ",") if df.schema[f].dataType.typeName() == "array" else F.col(f).cast("string")
     pairs = [F.struct(F.lit(f).alias("key"), text(f).alias("value")) for f in fields]
     metadata = F.map_from_entries(F.filter(F.array(*pairs), lambda p: p["value"].isNotNull())) if pairs else F.create_map().cast("map<string,string>")
     score = F.coalesce(*has("final_score", "similarity", "score"), F.lit(0.0)).cast("double")
-    return df.select("query_id", "rank", F.coalesce("content", F.lit("")).alias("content"), score.alias("similarity"), metadata.alias("metadata"), F.coalesce(*has("source"), F.lit("unknown")).alias("source"), F.coalesce(*has("chunk_id"), F.lit(None).cast("string")).alias("chunk_id"))
+    return df.select("query_id", "rank", F.coalesce("content", F.lit("")).alias("content"), score.alias("similarity"), metadata.alias("metadata"), F.coalesce(*has("source"), F.lit("unknown")).alias("source"), F.coalesce(*has("chunk_id"), F.lit(None).cast("string")).alias("chunk_id"), *also)
 
 
 def source_json(df: DataFrame) -> DataFrame:

@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import catalog
+from ..sources import collection
+from ..sources.scratch import fresh_folder
 from ..streaming import jobs
-from .inputs import table
+from .inputs import corpus, table
 from .registry import query
 
 FILES_SQL = "files AS (SELECT doc_id AS file_id, source AS kb, 'doc' || doc_id || '.txt' AS filename, CASE WHEN doc_id % 10 = 0 THEN 'error' ELSE 'completed' END AS status, 1 + n_chars // 750 AS chunk_count, n_chars FROM documents)"
@@ -193,3 +195,13 @@ def chunk_assembly(spark, sf_dir):
     last = c.groupBy("conv_id").agg(F.max("turn").alias("last"))
     parts = c.join(last, "conv_id").select(F.col("conv_id").alias("msg_id"), F.col("turn").alias("seq"), F.when((F.col("turn") == F.col("last")) & (F.col("last") % 2 == 1), "done").otherwise("text").alias("type"), F.col("text").alias("data"))
     return jobs.assembled(parts)
+
+
+# one run of even vectors, added twice, one of odd ones, and one that is taken back
+@query("SELECT (label % 3)::INTEGER AS kb_id, count(*) AS chunks, sum(vec_id)::BIGINT AS ids FROM embeddings GROUP BY label % 3")
+def committed_runs(spark, sf_dir):
+    path, rows = fresh_folder(spark, "collection"), corpus(spark, sf_dir).select("kb_id", "chunk_id", "vec_id", "embedding")
+    for run, half in (("even", 0), ("even", 0), ("odd", 1), ("gone", 1)):
+        collection.add_run(rows.where(F.col("vec_id") % 2 == half), path, run)
+    collection.remove_run(spark, path, "gone")
+    return collection.read_collection(spark, path, "kb_id int, vec_id long").groupBy("kb_id").agg(F.count(F.lit(1)).alias("chunks"), F.sum("vec_id").alias("ids"))

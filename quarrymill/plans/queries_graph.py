@@ -6,11 +6,12 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions.text import fingerprint
-from ..operators import extraction, graph
+from ..operators import extraction, graph, ranking
 from ..operators.vectors import encode_distinct, knn, letter_encoder
 from ..sources.scratch import settled
 from . import retrieval
-from .inputs import GRAPH_SQL, mentions, table, text_chunks, text_queries, ties
+from . import queries_rank
+from .inputs import GRAPH_SQL, SIMILARITY_SQL, mentions, table, text_chunks, text_queries, ties
 from .queries_text import BM25_SQL, SCORE_SQL, tokens_sql
 from .registry import query
 
@@ -418,3 +419,62 @@ def hybrid_results(spark, sf_dir, top_k: int = 5):
 def hybrid_search(spark, sf_dir):
     found = hybrid_results(spark, sf_dir)
     return found.select("query_id", "key", "chunk_id", F.md5(F.col("content").cast("binary")).alias("content_md5"), "final_score", "channels", "source", "match_stage", "rank")
+
+
+# --- the vector pipeline from texts, and what a search reports ---------------------------------------------------------
+
+TEXT_SQL = f"""qt AS ({tokens_sql('benchmark', 'item_id', 'text')}), qn AS (SELECT item_id, count(*) AS n, string_agg(token, ' ' ORDER BY place) AS joined FROM qt GROUP BY item_id),
+fv AS (SELECT b.item_id, unnest([trim(text), regexp_replace(trim(text), '\\s+', ' ', 'g'), joined, joined || ' 定义 作用 场景']) AS form, unnest([0, 1, 2, 3]) AS i FROM benchmark b JOIN qn ON b.item_id = qn.item_id),
+forms AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY i) AS place FROM (SELECT item_id, form, min(i) AS i FROM fv GROUP BY item_id, form)),
+unit AS (SELECT doc_id AS id, NULL::BIGINT AS place, {LETTERS_SQL} AS c FROM (SELECT doc_id, lower(text) AS low FROM documents) UNION ALL SELECT item_id, place, {LETTERS_SQL} FROM (SELECT item_id, place, lower(form) AS low FROM forms WHERE place <= 3)),
+ue AS (SELECT id, place, list_transform(c, lambda x: CASE WHEN n > 0 THEN x / n ELSE x END::FLOAT::DOUBLE) AS e FROM (SELECT *, sqrt(list_sum(list_transform(c, lambda x: x * x))) AS n FROM unit)),
+vs AS (SELECT q.id AS query_id, q.place, d.id AS doc_id, d.id::VARCHAR AS chunk_id, round(greatest(0, least(1, 1 - greatest(0, list_dot_product(q.e, q.e) + list_dot_product(d.e, d.e) - 2 * list_dot_product(q.e, d.e)) / 2)), 4) AS similarity FROM ue q JOIN ue d ON q.place IS NOT NULL AND d.place IS NULL),
+vr AS (SELECT *, row_number() OVER (PARTITION BY query_id, place ORDER BY similarity DESC, chunk_id) AS r FROM vs),
+near AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, chunk_id) AS rank FROM (SELECT query_id, doc_id, chunk_id, doc_id // 10 AS file_id, (doc_id % 10)::INTEGER AS chunk_index, max(similarity) AS similarity FROM vr WHERE r <= 30 GROUP BY query_id, doc_id, chunk_id)),
+{queries_rank.THRESHOLD_SQL.replace(' WHERE rank <= 30', '')},
+pc AS (SELECT p.*, d.source, length(d.text) AS len FROM passed p JOIN documents d USING (doc_id)),
+dt AS ({tokens_sql('(SELECT doc_id, substr(text, 1, 1200) AS text FROM documents WHERE doc_id IN (SELECT doc_id FROM passed))', 'doc_id', 'text')}),
+ov AS (SELECT pc.query_id, pc.doc_id, count(dt.token) AS own, bool_or(contains(lower(pc.source), qt.token)) AS named FROM pc JOIN qt ON qt.item_id = pc.query_id LEFT JOIN dt ON dt.doc_id = pc.doc_id AND dt.token = qt.token GROUP BY pc.query_id, pc.doc_id),
+rr AS (SELECT pc.*, round(0.75 * similarity + 0.25 * least(1, own / n + CASE WHEN named THEN 0.1 ELSE 0 END), 8) AS rerank_score FROM pc JOIN ov USING (query_id, doc_id) JOIN qn ON qn.item_id = pc.query_id),
+rp AS (SELECT rr.*, length(b.text) AS asked, row_number() OVER (PARTITION BY query_id ORDER BY rerank_score DESC, chunk_id) AS pl FROM rr JOIN benchmark b ON b.item_id = query_id),
+sc AS (SELECT *, CASE WHEN pl <= 20 THEN round(round(0.7 * (1 / (1 + exp(asked / 200 - least(len, 1500) / 500))) + 0.3 * rerank_score, 8), 6) END AS second_score FROM rp),
+{queries_rank.CLUSTER_SQL.format(source='passed')},
+tx AS (SELECT query_id, key, md5(string_agg(text, chr(10) ORDER BY i)) AS content_md5 FROM (SELECT query_id, key, unnest(string_split(evidence, ',')) AS id, generate_subscripts(string_split(evidence, ','), 1) AS i FROM clusters WHERE place <= 5) JOIN documents ON doc_id = id::BIGINT WHERE text <> '' GROUP BY query_id, key)"""
+
+
+def text_results(spark, sf_dir, stages=None):
+    """Benchmark passages in up to three forms each, asked by their letters of all documents; the second stage likes long contents."""
+    d = table(spark, sf_dir, "documents")
+    whole = d.select(F.lit("docs").alias("kb_id"), F.col("doc_id").cast("string").alias("chunk_id"), F.floor(F.col("doc_id") / 10).cast("long").alias("file_id"), (F.col("doc_id") % 10).cast("int").alias("chunk_index"), F.col("text").alias("content"), F.col("source").alias("filename"))
+    held = settled(letters_of(whole, "chunk_id", "content"), "letters")
+    encode = lambda t: encode_distinct(t.withColumn("text", F.lower("text")), None, letter_encoder(), "local", "letters")
+    scorer = lambda asked, contents: contents.str.len() / 500 - asked.str.len() / 200
+    return retrieval.text_search(text_queries(spark, sf_dir), whole.join(held, "chunk_id"), 5, 30, encode, scorer=scorer, stages=stages)
+
+
+@query(f"""WITH {TEXT_SQL} SELECT c.query_id, place AS rank, content_md5, c.similarity, '{{"kb_id":"docs","file_id":"' || c.file_id || '","filename":"' || source || '","cluster_size":"' || cluster_size || '"}}' AS metadata, 'unknown' AS source, c.key AS chunk_id, round(rerank_score, 6) AS rerank_score, second_score
+FROM clusters c JOIN sc ON sc.query_id = c.query_id AND sc.chunk_id = c.key LEFT JOIN tx ON tx.query_id = c.query_id AND tx.key = c.key WHERE place <= 5""")
+def text_search(spark, sf_dir):
+    out = ranking.projected(text_results(spark, sf_dir), ("kb_id", "file_id", "filename", "cluster_size"), ("rerank_score", "second_score"))
+    return out.select("query_id", "rank", F.md5(F.col("content").cast("binary")).alias("content_md5"), "similarity", F.to_json("metadata").alias("metadata"), "source", "chunk_id", F.round("rerank_score", 6).alias("rerank_score"), F.round("second_score", 6).alias("second_score"))
+
+
+# the suppliers' names, and for every second query a name that no knowledge base has; result lists of the vectors' queries beside them
+@query(f"""WITH {SIMILARITY_SQL}, {queries_rank.CHANNEL_SQL}, {GRAPH_SQL}, {NAMES_SQL},
+asked AS (SELECT query_id, kb_id, query_entity FROM names UNION ALL SELECT DISTINCT query_id, 0, 'nowhere' FROM names WHERE query_id % 2 = 0),
+m AS (SELECT a.query_id, a.kb_id, a.query_entity, bool_or(e.name IS NOT NULL) AS hit FROM asked a LEFT JOIN entities e ON e.kb_id = a.kb_id AND lower(e.name) = replace(trim(lower(query_entity)), 'about/', '') GROUP BY ALL),
+w AS (SELECT query_id, query_entity, bool_or(hit) AS hit FROM m GROUP BY ALL),
+er AS (SELECT query_id, coalesce(string_agg(query_entity, ',' ORDER BY query_entity) FILTER (hit), '') AS matched_entities, coalesce(string_agg(query_entity, ',' ORDER BY query_entity) FILTER (NOT hit), '') AS unmatched_entities FROM w GROUP BY query_id),
+dn AS (SELECT query_id, count(*) FILTER (hit) AS hits, count(*) FILTER (NOT hit) AS misses FROM m GROUP BY query_id),
+cn AS (SELECT query_id, count(*) FILTER (channel = 'vector') AS v, count(*) FILTER (channel = 'keyword') AS k, count(*) FILTER (channel = 'graph') AS g FROM ch GROUP BY query_id),
+fn AS (SELECT query_id, count(*) AS f FROM fused GROUP BY query_id)
+SELECT query_id, coalesce(v, 0) AS vector_result_count, coalesce(k, 0) AS keyword_result_count, coalesce(g, 0) AS graph_result_count, coalesce(f, 0) AS fused_result_count, matched_entities, unmatched_entities, hits, misses FROM cn LEFT JOIN fn USING (query_id) FULL JOIN (er JOIN dn USING (query_id)) USING (query_id)""")
+def search_report(spark, sf_dir):
+    lists = settled(queries_rank.channel_lists(spark, sf_dir), "lists")
+    known = _names(spark, sf_dir)
+    names = known.unionByName(known.where("query_id % 2 = 0").select("query_id", F.lit(0).alias("kb_id"), F.lit("nowhere").alias("query_entity")).distinct())
+    report = graph.entity_report(names, graph.lookup(names, stored(spark, sf_dir)[0]))
+    out = ranking.search_report(lists, ranking.fuse_channels(lists, queries_rank.WEIGHTS), report)
+    staged = lambda none: F.size(F.filter("match_details", lambda d: (d["match_stage"] == "none") == none)).cast("long")
+    known_ = F.col("match_details").isNotNull()
+    return out.select("query_id", *(f"{n}_result_count" for n in ("vector", "keyword", "graph", "fused")), F.array_join("matched_entities", ",").alias("matched_entities"), F.array_join("unmatched_entities", ",").alias("unmatched_entities"), F.when(known_, staged(False)).alias("hits"), F.when(known_, staged(True)).alias("misses"))

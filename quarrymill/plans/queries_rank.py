@@ -249,7 +249,17 @@ def mmr(spark, sf_dir):
     return ranking.mmr(near(spark, sf_dir).select("query_id", "key", "similarity", "embedding"), K, 43)
 
 
-@query()
+# the rule depends on the rows kept before, so SQL walks a query's rows one by one as well
+@query(f"""WITH RECURSIVE {CORPUS_SQL}, sims AS (
+  SELECT q.vec_id AS query_id, c.kb_id, c.chunk_id, round(greatest(0, least(1, 1 - greatest(0, list_dot_product(q.e, q.e) + list_dot_product(c.e, c.e) - 2 * list_dot_product(q.e, c.e)) / 2)), 6) AS similarity
+  FROM corpus q, corpus c WHERE q.vec_id % 20 = 0
+), near AS (SELECT *, row_number() OVER (PARTITION BY query_id, kb_id ORDER BY similarity DESC, chunk_id) AS r FROM sims),
+few AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, kb_id, chunk_id) AS o FROM near WHERE r <= 40),
+listed AS (SELECT query_id, chunk_id AS key, kb_id::VARCHAR AS kb_id, 'file' || chunk_id::BIGINT % 4 AS source, similarity AS score, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, chunk_id) AS i, count(DISTINCT kb_id) OVER (PARTITION BY query_id) AS kbs FROM few WHERE o <= 20),
+walk AS (SELECT query_id, 0::BIGINT AS i, []::VARCHAR[] AS sources, []::VARCHAR[] AS held, FALSE AS kept FROM listed GROUP BY query_id UNION ALL
+  SELECT query_id, i, CASE WHEN fits THEN list_append(sources, source) ELSE sources END, CASE WHEN fits THEN list_append(held, kb_id) ELSE held END, fits FROM (
+    SELECT w.query_id, l.i, w.sources, w.held, l.source, l.kb_id, kbs = 1 OR (len(list_filter(w.held, lambda x: x = l.kb_id)) < 4 AND (len(w.held) = 0 OR len(list_filter(w.sources, lambda x: x = l.source)) + 1 <= 0.8 * (len(w.held) + 1))) AS fits FROM walk w JOIN listed l ON l.query_id = w.query_id AND l.i = w.i + 1))
+SELECT query_id, key, kb_id, source, score FROM walk JOIN listed USING (query_id, i) WHERE kept""")
 def source_diversity(spark, sf_dir):
     every = vector_queries(spark, sf_dir).drop("kb_id").withColumn("kb_id", F.explode(F.array(F.lit(0), F.lit(1), F.lit(2))))
     found = vectors.multi_kb_knn(every, corpus(spark, sf_dir), 20, 60)
