@@ -6,7 +6,9 @@ The splitters are state machines over one text, so they run as Arrow-batched fun
 from __future__ import annotations
 
 import re
-from collections.abc import Callable
+from bisect import bisect_left
+from collections.abc import Callable, Iterable, Iterator
+from itertools import pairwise
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -45,27 +47,32 @@ def with_profile(docs: DataFrame) -> DataFrame:
     return out.withColumn("overlap", F.when(F.col("overlap") >= F.col("chunk_size"), F.floor(F.col("chunk_size") / 5)).otherwise(F.col("overlap")).cast("int"))
 
 
+def cut_places(ends: list[int], most: int) -> Iterator[int]:
+    """Where a line with punctuation ending at `ends` is cut. A piece reaches for the first end that makes it `most` characters or more,
+    and gives that end up if an earlier one is inside the piece. An end that was reached for isn't reached for again."""
+    start, at = 0, bisect_left(ends, most)
+    while at < len(ends):
+        inside = at > 0 and ends[at - 1] > start
+        start = ends[at - inside]
+        yield start
+        at = bisect_left(ends, start + most, at + 1)
+
+
+def split_line(line: str, most: int) -> list[str]:
+    """A line over `most` characters in pieces: cut at punctuation (see cut_places). The rest stays whole up to 1.3 times the limit, else it is
+    cut every `most` characters, as is a line without punctuation."""
+    ends = [m.end() for m in re.finditer(f"[{re.escape(PUNCTUATION)}]", line)]
+    cuts = [0, *cut_places(ends, most)]
+    rest = line[cuts[-1] :].strip()
+    whole = bool(ends) and len(rest) <= 1.3 * most
+    tail = [rest] if whole else [rest[i : i + most] for i in range(0, len(rest), most)]
+    return [p for p in (x.strip() for x in [*(line[i:j] for i, j in pairwise(cuts)), *tail]) if p]
+
+
 def hard_split(text: str, most: int = LONG_LINE) -> str:
-    """Lines, stripped; those over `most` characters are cut: at the last punctuation before the one that ends `most` characters
-    or more, or there if there is none. The rest stays whole up to 1.3 times the limit, else it is cut every `most`
-    characters, as is a line without punctuation. Blank pieces go, blank lines stay."""
-    out = []
-    for line in (x.strip() for x in text.split("\n")):
-        if len(line) <= most:
-            out.append(line)
-            continue
-        ends = [i + 1 for i, c in enumerate(line) if c in PUNCTUATION]
-        pieces, start = [], 0
-        for before, end in zip([0, *ends], ends):
-            if end - start >= most:
-                cut = before if before > start else end
-                pieces.append(line[start:cut])
-                start = cut
-        rest = line[start:].strip()
-        step = len(rest) if ends and len(rest) <= 1.3 * most else most
-        pieces += [rest[i : i + step] for i in range(0, len(rest), step or 1)]
-        out += filter(None, (p.strip() for p in pieces))
-    return "\n".join(out)
+    """Lines, stripped; those over `most` characters in pieces, each a line of its own. Blank pieces go, blank lines stay."""
+    lines = (x.strip() for x in text.split("\n"))
+    return "\n".join(piece for line in lines for piece in (split_line(line, most) if len(line) > most else [line]))
 
 
 def recursive_split(text: str, size: int, overlap: int, separators: list[str]) -> list[str]:
@@ -164,16 +171,19 @@ def token_overlap_judge(tail: str, head: str) -> bool:
     return bool(a and b) and len(a & b) / min(len(a), len(b)) >= 0.1
 
 
+def packed(pieces: Iterable[str], most: int, joint: str = "", together: Callable[[str, str], bool] = lambda held, piece: True) -> list[str]:
+    """Neighbours joined as long as they fit into `most` characters and belong together; a longer piece stays whole."""
+    out = [""]
+    for p in pieces:
+        joins = out[-1] and len(out[-1]) + len(joint) + len(p) <= most and together(out[-1], p)
+        out[-1:] = [f"{out[-1]}{joint}{p}"] if joins else [out[-1], p]
+    return [p for p in out if p]
+
+
 def force_split(text: str, most: int) -> list[str]:
     """By sentences, packed up to `most`; a longer sentence stays whole."""
-    parts = re.split(r"([。！？\.!?]+)", text)
-    out, held = [], ""
-    for sentence in (a + b for a, b in zip(parts[::2], [*parts[1::2], ""])):
-        if held and len(held) + len(sentence) > most:
-            out.append(held)
-            held = ""
-        held += sentence
-    return [c for c in (x.strip() for x in [*out, held]) if c]
+    sentences = re.findall(r"[^。！？.!?]*[。！？.!?]+|[^。！？.!?]+\Z", text)
+    return [c for c in (x.strip() for x in packed(sentences, most)) if c]
 
 
 def semantic_split(text: str | None, least: int, most: int, judge: Callable[[str, str], bool] | None = token_overlap_judge) -> list[str]:
@@ -181,16 +191,9 @@ def semantic_split(text: str | None, least: int, most: int, judge: Callable[[str
     new topic starts; too long ones cut by sentences; a short one joins the next, once. The blank line between two doesn't
     count. Without a judge paragraphs are packed, blank lines included, and nothing follows."""
     pieces = [p.strip() for p in re.split(rf"\n\n+|\n{HEADING}", text or "") if p.strip()]
-    merged: list[str] = []
-    for p in pieces:
-        last = merged[-1] if merged else ""
-        fits = len(last) + len(p) + (0 if judge else 2) <= most
-        if last and fits and (judge is None or len(last) < 2 * least or judge(last[-200:], p[:200])):
-            merged[-1] = f"{last}\n\n{p}"
-        else:
-            merged.append(p)
     if judge is None:
-        return merged
+        return packed(pieces, most, "\n\n")
+    merged = packed(pieces, most + 2, "\n\n", lambda held, p: len(held) < 2 * least or judge(held[-200:], p[:200]))
     sized = [x for m in merged for x in (force_split(m, most) if len(m) > most else [m])]
     out: list[tuple[str, bool]] = []
     for p in sized:

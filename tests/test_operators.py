@@ -55,6 +55,23 @@ def test_hard_split():
     assert chunking.hard_split("y" * 12 + "." + "z" * 14, 10) == "y" * 12 + ".\n" + "z" * 10 + "\n" + "z" * 4
 
 
+@pytest.mark.parametrize("most", [3, 10, 40])
+@pytest.mark.parametrize("text", ["", ",,,,,", "ab, cd. ef" * 30, "一二三，四五。六" * 20, "x" * 100 + "," + "y" * 9])
+def test_cuts_are_at_punctuation(text, most):
+    ends = [i + 1 for i, c in enumerate(text) if c in chunking.PUNCTUATION]
+    cuts = list(chunking.cut_places(ends, most))
+    assert cuts == sorted(set(cuts)) and set(cuts) <= set(ends)
+    # a piece is longer than the limit only if no punctuation is inside it
+    assert all(b - a <= most or not [e for e in ends if a < e < b] or b - max(e for e in ends if a < e < b) >= most for a, b in zip([0, *cuts], cuts))
+    assert "".join(chunking.split_line(text, most)).replace(" ", "") == text.replace(" ", "")
+
+
+def test_packed():
+    assert chunking.packed(["aa", "bb", "cccc", "d"], 5, "-") == ["aa-bb", "cccc", "d"]
+    assert chunking.packed(["aaaaaaa", "b"], 3) == ["aaaaaaa", "b"] and chunking.packed([], 3) == []
+    assert chunking.packed(["a", "b", "a"], 9, "", lambda held, p: p != "b") == ["a", "ba"]
+
+
 def test_separators_come_first():
     text = "intro " * 10 + "\n\nclass A:\n" + "    pass\n" * 5 + "\n\ndef f():\n" + "    return 1\n" * 5
     assert [c.split("\n")[0][:7] for c in chunking._split_one(text, "code", Profile(80, 0))] == ["intro i", "class A", "def f()"]
