@@ -117,11 +117,11 @@ def blend_second_stage(df: DataFrame, config=VECTOR) -> DataFrame:
     return scored.withColumn("rank", F.row_number().over(by_query(F.when(top_, 0).otherwise(1), F.desc("second_score"), F.when(top_, 0).otherwise(F.col("_place")), "key"))).drop("_place")
 
 
-def cluster_chunks(df: DataFrame, config=VECTOR) -> DataFrame:
+def cluster_chunks(df: DataFrame, config=VECTOR, carry: tuple[str, ...] = ()) -> DataFrame:
     """df(query_id, file_id, chunk_index, key, content, similarity) -> merged clusters of neighbouring chunks of a file.
 
     A cluster ends at a gap or after max_chunks chunks; the max_clusters best of a file stay. Texts are joined in order;
-    key and similarity are those of the best chunk.
+    key, similarity and the columns to carry are those of the best chunk.
     """
     file = Window.partitionBy("query_id", "file_id").orderBy("chunk_index", "key")
     gap = F.col("chunk_index") - F.lag("chunk_index").over(file) > config.adjacent
@@ -131,11 +131,11 @@ def cluster_chunks(df: DataFrame, config=VECTOR) -> DataFrame:
     ordered = F.array_sort(F.collect_list(F.struct("chunk_index", "key", "content")))
     merged = parts.groupBy("query_id", "file_id", "_run", "_part").agg(
         F.max("similarity").alias("similarity"),
-        F.max_by("key", F.struct("similarity", -F.col("chunk_index"))).alias("key"),
+        F.max_by(F.struct("key", *carry), F.struct("similarity", -F.col("chunk_index"))).alias("_payload"),
         F.array_join(F.transform(F.filter(ordered, lambda x: F.coalesce(x["content"], F.lit("")) != ""), lambda x: x["content"]), "\n").alias("content"),
         F.transform(ordered, lambda x: x["key"]).alias("evidence_chunks"),
         F.count(F.lit(1)).alias("cluster_size"),
-    )
+    ).select("*", *(f"_payload.{c}" for c in ("key", *carry))).drop("_payload")
     best = F.row_number().over(Window.partitionBy("query_id", "file_id").orderBy(F.desc("similarity"), "key"))
     kept = merged.withColumn("_best", best).where(F.col("_best") <= config.max_clusters).drop("_best", "_run", "_part")
     return kept.withColumn("rank", F.row_number().over(by_query(F.desc("similarity"), "key")))

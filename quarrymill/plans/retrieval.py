@@ -44,8 +44,7 @@ def postprocess(found: DataFrame, queries: DataFrame, corpus: DataFrame, top_k:
     if diversify:
         order = ranking.mmr(kept.select("query_id", "key", "similarity", "embedding"), top_k, recall, config)
         kept = kept.join(order.select("query_id", "key", F.col("rank").alias("mmr_rank")), ["query_id", "key"])
-    best = seen("clusters", ranking.cluster_chunks(kept, config)).where(F.col("rank") <= top_k)
-    return best.join(kept.select("query_id", "key", "kb_id", "chunk_id", "filename", "rerank_score", "second_score"), ["query_id", "key"])
+    return seen("clusters", ranking.cluster_chunks(kept, config, ("kb_id", "chunk_id", "filename", "rerank_score", "second_score"))).where(F.col("rank") <= top_k)
 
 
 def text_search(queries: DataFrame, corpus: DataFrame, top_k: int, recall: int, encode: Callable[[DataFrame], DataFrame], explicit: float | None = None, diversify: bool = False, scorer: Callable | None = None, method: str = "rrf", ascii_only: bool = False, stages: ranking.Stages | None = None, config=VECTOR) -> DataFrame:
