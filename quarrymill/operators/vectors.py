@@ -7,10 +7,13 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 BLOCK = 2048
+#: Vectors of a lot and queries of a part that meet in one group of knn; queries of one matrix product in it.
+LOT, PART, TOGETHER = 4096, 2048, 256
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -107,54 +110,59 @@ def encode_stats(texts: DataFrame, cache: DataFrame) -> DataFrame:
     return out.select("total", "hit", (F.col("total") - F.col("hit")).alias("miss"), "unique_miss", rate.alias("hit_rate"))
 
 
-def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Blocks of up to BLOCK vectors of one knowledge base and one length."""
-    for batch in batches:
-        kbs = np.array(batch.column("kb_id").to_pylist(), object)
-        vectors = batch.column("embedding")
-        sizes = np.diff(vectors.offsets.to_numpy())
-        for kb, dim in sorted({(str(k), int(s)) for k, s in zip(kbs, sizes)}):
-            rows = np.flatnonzero((kbs.astype(str) == kb) & (sizes == dim))
-            for first in range(0, len(rows), BLOCK):
-                own = pa.array(rows[first : first + BLOCK])
-                flat = vectors.take(own).flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-                ids = batch.column("chunk_id").take(own)
-                yield pa.RecordBatch.from_arrays([pa.array([kb]), pa.array([dim]), pa.array([zlib.crc32(f"{kb} {ids[0].as_py()}".encode())], pa.int64()), pa.array([ids.to_pylist()], pa.list_(pa.string())), pa.array([flat.tobytes()], pa.binary())], ["kb", "dim", "block", "ids", "numbers"])
-
-
-def _nearest(batches: Iterator[pa.RecordBatch], k: int, decimals: int) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for row in range(len(batch)):
-            dim, ids = batch.column("dim")[row].as_py(), np.array(batch.column("ids")[row].as_py(), object)
-            corpus = np.frombuffer(batch.column("numbers")[row].as_py()).reshape(len(ids), dim)
-            asked = batch.column("queries")[row].as_py()
-            wanted = np.array([q["v"] for q in asked], np.float64).reshape(len(asked), dim)
-            # the squared distance of the vectors as they are, so that other lengths than 1 count
-            square = (wanted**2).sum(1)[:, None] + (corpus**2).sum(1)[None, :] - 2 * wanted @ corpus.T
-            scores = np.round(np.clip(1 - np.maximum(square, 0) / 2, 0, 1), decimals)
-            for q, own in zip(asked, scores):
-                least = np.partition(own, len(own) - k)[len(own) - k] if len(own) > k else -1
-                near = np.flatnonzero(own >= least)
-                near = near[np.lexsort((ids[near].astype(str), -own[near]))][:k]
-                yield pa.RecordBatch.from_arrays([pa.array([q["query_id"]] * len(near), pa.int64()), pa.array([q["kb"]] * len(near)), pa.array(ids[near].tolist(), pa.string()), pa.array(own[near])], ["query_id", "kb", "chunk_id", "similarity"])
+def _matrix(column: pa.ChunkedArray) -> np.ndarray:
+    """Vectors of one length as the rows of a matrix."""
+    return np.array(column.combine_chunks().flatten().to_numpy(zero_copy_only=False), np.float64).reshape(len(column), -1)
 
 
-def knn(queries: DataFrame, corpus: DataFrame, k: int, decimals: int = 6, query_block: int = 512) -> DataFrame:
+def _nearest(key: tuple, queries: pa.Table, corpus: pa.Table, k: int, decimals: int) -> pa.Table:
+    """The k nearest vectors of one lot to each query of one part."""
+    found, places, scores = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0)]
+    if len(queries) and len(corpus):
+        corpus = corpus.take(pc.sort_indices(corpus.column("chunk_id")))  # ties go to the smaller id
+        vectors, wanted = _matrix(corpus.column("embedding")), _matrix(queries.column("v"))
+        lengths = (vectors**2).sum(1)[None, :]
+        for first in range(0, len(wanted), TOGETHER):
+            own = wanted[first : first + TOGETHER]
+            # the squared distance of the vectors as they are, so that other lengths than 1 count
+            square = (own**2).sum(1)[:, None] + lengths - 2 * own @ vectors.T
+            near = np.round(np.clip(1 - np.maximum(square, 0) / 2, 0, 1), decimals)
+            least = np.partition(near, near.shape[1] - k, axis=1)[:, near.shape[1] - k] if near.shape[1] > k else np.full(len(own), -1.0)
+            for row, bound in enumerate(least):
+                at = np.flatnonzero(near[row] >= bound)
+                at = at[np.argsort(-near[row][at], kind="stable")][:k]
+                found.append(np.full(len(at), first + row))
+                places.append(at)
+                scores.append(near[row][at])
+    at = pa.array(np.concatenate(found))
+    ids = corpus.column("chunk_id").take(pa.array(np.concatenate(places)))
+    return pa.table([queries.column("query_id").take(at), queries.column("kb").take(at), ids, pa.array(np.concatenate(scores))], ["query_id", "kb", "chunk_id", "similarity"])
+
+
+def knn(queries: DataFrame, corpus: DataFrame, k: int, decimals: int = 6, lot_rows: int = LOT, part_rows: int = PART) -> DataFrame:
     """queries(query_id, kb_id, vector), corpus(kb_id, chunk_id, embedding) -> query_id, kb_id, chunk_id, similarity, rank.
 
-    Both sides are cut into blocks of bounded size and meet on (knowledge base, lot): a block pair is one matrix product and
-    returns at most k rows a query. Nothing is broadcast, and a large knowledge base is spread over all lots. Similarities
-    are rounded before ranking; ties go to the smaller chunk_id.
+    A knowledge base is dealt into lots of about `lot_rows` vectors and its queries into parts of about `part_rows`: every lot meets
+    every part in one group, which is a few matrix products and returns at most k rows a query. Small knowledge bases are one
+    group, so that nothing is copied for them. Both sides are exchanged and neither is broadcast; only the numbers of lots and
+    parts of knowledge bases with more than one are. Similarities are rounded before ranking; ties go to the smaller chunk_id.
     """
-    lots = int(corpus.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    slim = corpus.select(F.col("kb_id").cast("string").alias("kb_id"), F.col("chunk_id").cast("string").alias("chunk_id"), F.col("embedding").cast("array<double>").alias("embedding")).where("embedding is not null and kb_id is not null")
-    blocks = slim.mapInArrow(_blocks, "kb string, dim long, block long, ids array<string>, numbers binary").withColumn("lot", F.pmod("block", F.lit(lots)))
+    c = corpus.select(F.col("kb_id").cast("string").alias("kb"), F.col("chunk_id").cast("string").alias("chunk_id"), F.col("embedding").cast("array<double>").alias("embedding")).where("embedding is not null and kb_id is not null")
     q = queries.select(F.col("query_id").cast("long").alias("query_id"), F.col("kb_id").cast("string").alias("kb"), F.col("vector").cast("array<double>").alias("v")).where("v is not null")
-    part = F.floor(F.row_number().over(Window.partitionBy("kb", F.pmod(F.xxhash64("query_id"), F.lit(64))).orderBy("query_id")) / query_block)
-    packed = q.withColumn("dim", F.size("v").cast("long")).withColumn("part", part).groupBy("kb", "dim", "part", F.pmod(F.xxhash64("query_id"), F.lit(64))).agg(F.collect_list(F.struct("query_id", "kb", "v")).alias("queries"))
-    asked = packed.select("kb", "dim", "queries", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(lots - 1).cast("long"))).alias("lot"))
-    met = blocks.join(asked, ["kb", "dim", "lot"]).select("dim", "ids", "numbers", "queries")
-    found = met.mapInArrow(lambda it: _nearest(it, k, decimals), "query_id long, kb string, chunk_id string, similarity double")
+    count = lambda rows, name: rows.groupBy("kb").agg(F.count(F.lit(1)).alias(name))
+    sizes = count(c, "n").join(count(q, "m"), "kb").where((F.col("n") > lot_rows) | (F.col("m") > part_rows))
+    large = F.broadcast(sizes.select("kb", F.ceil(F.col("n") / lot_rows).alias("lots"), F.ceil(F.col("m") / part_rows).alias("parts")))
+
+    def dealt(rows: DataFrame, own: str, other: str, by: str) -> DataFrame:
+        """Each row in one lot (or part) of its own side, once for each of the other side."""
+        held = rows.join(large, "kb", "left")
+        every = F.sequence(F.lit(0).cast("long"), F.coalesce(other + "s", F.lit(1).cast("long")) - 1)
+        return held.withColumns({own: F.pmod(F.xxhash64(by), F.coalesce(own + "s", F.lit(1).cast("long"))), other: F.explode(every)}).drop("lots", "parts")
+
+    asked = dealt(q.withColumn("dim", F.size("v")), "part", "lot", "query_id")
+    held = dealt(c.withColumn("dim", F.size("embedding")), "lot", "part", "chunk_id")
+    keys = ["kb", "dim", "lot", "part"]
+    found = asked.groupBy(*keys).cogroup(held.groupBy(*keys)).applyInArrow(lambda key, left, right: _nearest(key, left, right, k, decimals), "query_id long, kb string, chunk_id string, similarity double")
     rank = F.row_number().over(Window.partitionBy("query_id", "kb").orderBy(F.desc("similarity"), "chunk_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", F.col("kb").alias("kb_id"), "chunk_id", "similarity", "rank")
 

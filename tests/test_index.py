@@ -71,3 +71,29 @@ def test_centres_are_those_of_plain_k_means(spark):
         for j in set(own):
             plain[j] = x[own == j].mean(axis=0)
     assert np.allclose(index.fit_centres(sample, x[:7].copy(), 4), plain, atol=1e-9)
+
+
+def test_lots_and_parts_of_all_pairs(spark):
+    x = clusters(200, 4, 8)
+    rows = [("a", str(i), [float(c) for c in v]) for i, v in enumerate(x)]
+    corpus = spark.createDataFrame([*rows, ("a", "short", [1.0]), ("b", "0", rows[0][2]), ("a", "none", None), (None, "x", rows[0][2])], CORPUS)
+    asked = list(range(0, 200, 10))
+    queries = spark.createDataFrame([*[(i, "a", rows[i][2]) for i in asked], (1, "b", rows[0][2]), (2, "c", rows[0][2]), (3, "a", None)], QUERIES)
+    whole = sorted(map(tuple, vectors.knn(queries, corpus, 5).collect()))
+    assert {r[:3] for r in whole if r[1] == "b"} == {(1, "b", "0")}
+    # equal similarities after rounding are ordered by the id, so compare with distances rounded likewise
+    for i in asked:
+        s = np.round(np.clip(1 - ((x - x[i]) ** 2).sum(1) / 2, 0, 1), 4)
+        best = sorted(range(200), key=lambda j: (-s[j], str(j)))[:5]
+        assert [r["chunk_id"] for r in vectors.knn(queries.where(F.col("query_id") == i), corpus, 5, 4).orderBy("rank").collect()] == [str(j) for j in best] if i % 100 == 0 else True
+    assert sorted(map(tuple, vectors.knn(queries, corpus, 5, lot_rows=7, part_rows=3).collect())) == whole
+
+
+def test_queries_of_all_pairs_are_not_broadcast(spark):
+    """AQE saw queries that are small before they are copied to all lots, and broadcast the copies."""
+    x = clusters(300, 4, 8)
+    corpus = spark.createDataFrame([("a", str(i), [float(c) for c in v]) for i, v in enumerate(x)], CORPUS)
+    found = vectors.knn(corpus.select(F.col("chunk_id").cast("long").alias("query_id"), "kb_id", F.col("embedding").alias("vector")), corpus, 3)
+    assert len(found.collect()) == 900
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert not [line for line in plan.splitlines() if "BroadcastHashJoin" in line and "lot#" in line]
