@@ -16,8 +16,9 @@ TOKEN_BREAK = r"(?U)[\s,，。！？!?:：;；()（）\[\]{}<>《》、/\\\-|_]+
 #: Fixed value: the characters that lookup keys leave out.
 KEY_DROP = r"(?U)[\s\-_/\\|·•,，。！？!?:：;；'\"“”‘’()（）\[\]{}<>《》、]+"
 #: Forms of codes, and of text in CJK characters alone.
-CODE_PREFIXED = r"\b[a-zA-Z]{1,4}\s*[-_/]?\s*\d{2,10}[a-zA-Z]{0,2}\b"
-CODE_SUFFIXED = r"\b\d{2,10}[a-zA-Z]{1,4}\b"
+#: A letter or digit of any script next to a code makes it part of a longer word; \b is ASCII's alone in newer JVMs.
+CODE_PREFIXED = r"(?<![\p{L}\p{N}_])[a-zA-Z]{1,4}\s*[-_/]?\s*\d{2,10}[a-zA-Z]{0,2}(?![\p{L}\p{N}_])"
+CODE_SUFFIXED = r"(?<![\p{L}\p{N}_])\d{2,10}[a-zA-Z]{1,4}(?![\p{L}\p{N}_])"
 CJK = r"^[一-鿿]+$"
 #: A new paragraph starts at such a line.
 HEADING = r"(?=[一二三四五六七八九十]、|\d+\.|[A-Z]\.)"

@@ -9,7 +9,7 @@ from ..operators.vectors import hashed_encoder
 from ..sources.scratch import fresh_folder
 from ..streaming import jobs, store
 from .inputs import table
-from .queries_text import WINDOWS_SQL
+from .queries_text import WINDOWS_SQL, codes_sql
 from .registry import query
 
 MICRO_BATCHES, DIMENSION = 3, 64
@@ -49,10 +49,10 @@ def filled_store(spark, sf_dir):
 STORE_SQL = f"""{WINDOWS_SQL.format(size=750, step=630, where='')},
 ch AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY start) - 1 AS i, content, sha1(trim(content)) AS fingerprint FROM w WHERE trim(content) <> ''),
 tx AS (SELECT fingerprint, max(content) AS content FROM ch GROUP BY fingerprint),
-found AS (SELECT fingerprint, list_concat(regexp_extract_all(content, '(\\b[a-zA-Z]{{1,4}}\\s*[-_/]?\\s*\\d{{2,10}}[a-zA-Z]{{0,2}}\\b)', 1), regexp_extract_all(content, '(\\b\\d{{2,10}}[a-zA-Z]{{1,4}}\\b)', 1)) AS l FROM tx),
+found AS (SELECT fingerprint, {codes_sql('content')} AS l FROM tx),
 spread AS (SELECT fingerprint, trim(l[i]) AS name, i FROM (SELECT fingerprint, l, unnest(range(1, len(l) + 1)) AS i FROM found)),
 places AS (SELECT fingerprint, name, row_number() OVER (PARTITION BY fingerprint ORDER BY min(i)) - 1 AS seq FROM spread GROUP BY fingerprint, name),
-codes AS (SELECT fingerprint, trim(regexp_replace(name, '\\s+', ' ', 'g')) AS name, min(seq) AS seq FROM places GROUP BY ALL HAVING length(trim(regexp_replace(name, '\\s+', ' ', 'g'))) >= 2),
+codes AS (SELECT fingerprint, trim(regexp_replace(name, '[\\t-\\r ]+', ' ', 'g')) AS name, min(seq) AS seq FROM places GROUP BY ALL HAVING length(trim(regexp_replace(name, '[\\t-\\r ]+', ' ', 'g'))) >= 2),
 near AS (SELECT a.fingerprint FROM codes a JOIN codes b ON a.fingerprint = b.fingerprint AND b.seq > a.seq AND b.seq - a.seq <= 3 AND a.name <> b.name),
 m AS (SELECT fingerprint, count(*) AS n FROM codes GROUP BY fingerprint), r AS (SELECT fingerprint, count(*) AS n FROM near GROUP BY fingerprint)"""
 

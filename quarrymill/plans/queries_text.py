@@ -147,7 +147,15 @@ def query_variants(spark, sf_dir):
     return b.select("item_id", F.posexplode(tx.variants(F.col("text"), intent=True)).alias("place", "form"))
 
 
-@query(r"""WITH m AS (SELECT doc_id, list_distinct(list_transform(list_concat(regexp_extract_all(text, '(\b[a-zA-Z]{1,4}\s*[-_/]?\s*\d{2,10}[a-zA-Z]{0,2}\b)', 1), regexp_extract_all(text, '(\b\d{2,10}[a-zA-Z]{1,4}\b)', 1)), lambda x: trim(x))) AS codes FROM documents)
+def codes_sql(text: str) -> str:
+    """The codes of a text, as a list. RE2's \\b knows ASCII words only and it has no look-around: each letter or digit of another
+    script becomes two underscores first, which are of a word and in no code."""
+    whole = rf"regexp_replace(coalesce({text}, ''), '[^\P{{L}}\x00-\x7F]|[^\P{{N}}\x00-\x7F]', '__', 'g')"
+    forms = (r"(\b[a-zA-Z]{1,4}[\t-\r ]*[-_/]?[\t-\r ]*\d{2,10}[a-zA-Z]{0,2}\b)", r"(\b\d{2,10}[a-zA-Z]{1,4}\b)")
+    return f"list_concat({', '.join(f"regexp_extract_all({whole}, '{form}', 1)" for form in forms)})"
+
+
+@query(f"""WITH m AS (SELECT doc_id, list_distinct(list_transform({codes_sql('text')}, lambda x: trim(x))) AS codes FROM documents)
 SELECT doc_id, len(codes) AS n, array_to_string(list_sort(codes), '|') AS codes FROM m""")
 def code_entities(spark, sf_dir):
     c = _docs(spark, sf_dir).select("doc_id", tx.code_entities(F.col("text")).alias("c"))

@@ -230,3 +230,21 @@ def test_sql_functions(spark):
     assert spark.sql("SELECT clamped_dot(array(1D, 0D), array(0.5D, 1D)) AS x").first()["x"] == 0.5
     assert spark.sql("SELECT code_entities('N-47 x') AS x").first()["x"] == ["N-47"]
     assert spark.sql("SELECT count(*) AS n FROM VALUES ('some text') AS t(text), LATERAL chunk_text(text, 'text')").first()["n"] == 1
+
+
+def test_codes_next_to_letters_of_other_scripts(spark):
+    """Python's \\b, which the reference uses, and so do the expression and its SQL."""
+    import re
+
+    import duckdb
+
+    from quarrymill.functions.text import code_entities
+    from quarrymill.plans.queries_text import codes_sql
+
+    texts = ["verhäheit 82, ab 12", "éab 12 x", "12abé 34cd", "ab é12 ab_é12 é_12", "甲N-47 N-47 乙 P_1127", "N\x0b-47", "a_12 ab__12 ²12ab", "ab１2 ab12", ""]
+    wanted = [[m.strip(" ") for p in (r"\b[a-zA-Z]{1,4}\s*[-_/]?\s*[0-9]{2,10}[a-zA-Z]{0,2}\b", r"\b[0-9]{2,10}[a-zA-Z]{1,4}\b") for m in re.findall(p, t)] for t in texts]
+    got = spark.createDataFrame(list(enumerate(texts)), "i int, t string").select("i", code_entities(F.col("t")).alias("c")).orderBy("i").collect()
+    assert [r["c"] for r in got] == [list(dict.fromkeys(w)) for w in wanted]
+    con = duckdb.connect()
+    assert [con.execute(f"SELECT {codes_sql('t')} FROM (SELECT ? AS t)", [t]).fetchone()[0] for t in texts] == wanted
+    assert con.execute(f"SELECT {codes_sql('t')} FROM (SELECT NULL::VARCHAR AS t)").fetchone()[0] == []
