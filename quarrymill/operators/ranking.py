@@ -283,7 +283,9 @@ def context_text(df: DataFrame, most_evidence: int = 5) -> DataFrame:
     channels and evidence if it has any; a blank line between them."""
     channels = F.when(F.size("channels") > 0, F.concat(F.lit(" (通道: "), F.array_join("channels", ", "), F.lit(")"))).otherwise("")
     evidence = F.when(F.size("evidence") > 0, F.concat(F.lit("\n证据块: "), F.array_join(F.slice("evidence", 1, most_evidence), ", "))).otherwise("")
-    block = F.concat(F.format_string("[文档%d] (相似度: %.2f%%)", "rank", F.col("score") * 100), channels, F.lit("\n"), F.coalesce("content", F.lit("")), evidence, F.lit("\n"))
+    # format_number rounds the double itself, ties to even; format_string rounds its shortest decimal form, halves up
+    percent = F.coalesce(F.call_function("format_number", F.col("score") * 100, F.lit("0.00")), F.lit("null"))
+    block = F.concat(F.format_string("[文档%d] (相似度: %s%%)", "rank", percent), channels, F.lit("\n"), F.coalesce("content", F.lit("")), evidence, F.lit("\n"))
     return df.groupBy("query_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", block.alias("block")))), lambda x: x["block"]), "\n").alias("context"))
 
 

@@ -248,3 +248,11 @@ def test_codes_next_to_letters_of_other_scripts(spark):
     con = duckdb.connect()
     assert [con.execute(f"SELECT {codes_sql('t')} FROM (SELECT ? AS t)", [t]).fetchone()[0] for t in texts] == wanted
     assert con.execute(f"SELECT {codes_sql('t')} FROM (SELECT NULL::VARCHAR AS t)").fetchone()[0] == []
+
+
+def test_percentages_of_a_context(spark):
+    """Two decimals as printf and Python give them: the number itself is rounded, and ties go to the even digit."""
+    scores = [0.00125, 0.38885, 0.12125, 0.401251, 1.0, 0.0]
+    rows = spark.createDataFrame([(i, 1, "x", s, [], []) for i, s in enumerate(scores)], "query_id long, rank int, content string, score double, channels array<string>, evidence array<string>")
+    got = {r["query_id"]: r["context"] for r in ranking.context_text(rows).collect()}
+    assert [got[i].split("\n")[0] for i in range(len(scores))] == [f"[文档1] (相似度: {s * 100:.2f}%)" for s in scores]
