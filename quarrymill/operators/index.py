@@ -16,14 +16,15 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.scratch import settled
-from .vectors import distance, distance_similarity, knn
+from .vectors import distance, distance_similarity, knn, meeting
 
 #: Cells for each unit of the square root of the rows, their least and greatest number, and sampled vectors a cell.
 CELLS_PER_ROOT, FEWEST, MOST, PER_CELL = 4.0, 16, 1 << 16, 64
 #: Passes of k-means; dimensions of a subspace, values of a code; rows that code books are fitted to.
 ROUNDS, SUBSPACE, CODES, BOOK_ROWS = 6, 4, 256, 20_000
-#: Rows of a block of codes, parts that a cell is spread over, queries that meet a block together.
-BLOCK, SPREAD, TOGETHER = 4096, 16, 256
+#: Rows of a block of codes, parts that a cell is spread over and blocks that meet queries together, queries of a group and of one
+#: step in it, cells that give a query its bound.
+BLOCK, SPREAD, TOGETHER, FEW, FIRST = 4096, 16, 2048, 32, 4
 
 
 @dataclass(frozen=True)
@@ -141,41 +142,55 @@ def build(corpus: DataFrame, cells: int | None = None, rounds: int = ROUNDS) ->
 
 
 def _probes(batches: Iterator[pa.RecordBatch], centres: np.ndarray, probes: int) -> Iterator[pa.RecordBatch]:
-    """Queries with the numbers of their nearest centres."""
+    """Queries with the numbers of their nearest centres, the nearest first."""
     for batch in batches:
         for first, x in _matrices(batch.column("vector"), centres.shape[1]):
             far = _far(x, centres)
             cells = np.argpartition(far, probes - 1, axis=1)[:, :probes] if probes < len(centres) else np.tile(np.arange(len(centres)), (len(x), 1))
+            cells = np.take_along_axis(cells, np.take_along_axis(far, cells, axis=1).argsort(axis=1, kind="stable"), axis=1)
             lists = pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * cells.shape[1]), pa.array(cells.ravel().astype(np.int32)))
             rows = batch.slice(first, len(x))
             yield pa.RecordBatch.from_arrays([rows.column("query_id"), rows.column("kb"), rows.column("vector"), lists], ["query_id", "kb", "vector", "cells"])
 
 
-def _near(batches: Iterator[pa.RecordBatch], centres: np.ndarray, books: np.ndarray, keep: int) -> Iterator[pa.RecordBatch]:
-    """For each block and each query that meets it, the `keep` nearest by the tables of its subspaces' distances."""
-    for batch in batches:
-        queries, kbs, ids_out, fars = [], [], [], []
-        for row in range(len(batch)):
-            ids, cell, kb = batch.column("ids")[row].as_py(), batch.column("cell")[row].as_py(), batch.column("kb")[row].as_py()
-            codes = np.frombuffer(batch.column("codes")[row].as_py(), np.uint8).reshape(len(ids), len(books))
-            for q in batch.column("queries")[row].as_py():
-                left = (np.array(q["vector"]) - centres[cell]).reshape(len(books), 1, SUBSPACE)
-                table = ((books - left) ** 2).sum(axis=2)
-                far = table[np.arange(len(books)), codes].sum(axis=1)
-                near = np.argpartition(far, keep - 1)[:keep] if len(far) > keep else np.arange(len(far))
-                queries += [q["query_id"]] * len(near)
-                kbs += [kb] * len(near)
-                ids_out += [ids[i] for i in near]
-                fars.append(far[near])
-        yield pa.RecordBatch.from_arrays([pa.array(queries, pa.int64()), pa.array(kbs, pa.string()), pa.array(ids_out, pa.string()), pa.array(np.concatenate(fars) if fars else np.zeros(0))], ["query_id", "kb_id", "chunk_id", "far"])
+def _tables(books: np.ndarray, left: np.ndarray) -> np.ndarray:
+    """Squared distances of each row's subspaces to all codes: [rows, subspaces, codes]."""
+    parts = left.reshape(len(left), len(books), SUBSPACE)
+    return ((parts**2).sum(axis=2)[:, :, None] - 2 * np.einsum("qsj,scj->qsc", parts, books)) + (books**2).sum(axis=2)[None]
+
+
+def _near(key: tuple, asked: pa.Table, held: pa.Table, centres: np.ndarray, books: np.ndarray, keep: int) -> pa.Table:
+    """Of a cell's blocks, for each query that reads the cell, the `keep` nearest by codes; none beyond the query's bound."""
+    queries, ids_out, fars = [np.zeros(0, np.int64)], [pa.array([], pa.string())], [np.zeros(0)]
+    if len(asked) and len(held):
+        vectors = np.array(asked.column("vector").combine_chunks().flatten().to_numpy(zero_copy_only=False), np.float64).reshape(len(asked), -1)
+        numbers, bounds = asked.column("query_id").to_numpy(), asked.column("bound").to_numpy()
+        cell = key[1].as_py()
+        ids = held.column("ids").combine_chunks().flatten()
+        codes = np.frombuffer(b"".join(held.column("codes").to_pylist()), np.uint8).reshape(-1, len(books))
+        for first in range(0, len(vectors), FEW):
+            table = _tables(books, vectors[first : first + FEW] - centres[cell])
+            far = np.zeros((len(table), len(codes)))
+            for s in range(len(books)):
+                far += table[:, s][:, codes[:, s]]
+            least = bounds[first : first + FEW, None]
+            if len(codes) > keep:
+                least = np.minimum(least, np.partition(far, keep - 1, axis=1)[:, keep - 1 : keep])
+            row, at = np.nonzero(far <= least)
+            queries.append(numbers[first + row])
+            ids_out.append(ids.take(pa.array(at)))
+            fars.append(far[row, at])
+    flat = np.concatenate(queries)
+    return pa.table([pa.array(flat), pa.array([key[0].as_py()] * len(flat), pa.string()), pa.concat_arrays(ids_out), pa.array(np.concatenate(fars))], ["query_id", "kb_id", "chunk_id", "far"])
 
 
 def probed(index: Index, queries: DataFrame, share: float) -> DataFrame:
-    """queries(query_id, kb_id, vector) of the index's length -> query_id, kb, vector, cell: a row for each cell that a query reads."""
+    """queries(query_id, kb_id, vector) of the index's length -> query_id, kb, vector, place, cell: a row for each cell that a query
+    reads, the nearest at place 0."""
     probes = max(1, int(share * len(index.centres)))
     q = queries.select(F.col("query_id").cast("long").alias("query_id"), F.col("kb_id").cast("string").alias("kb"), F.col("vector").cast("array<double>").alias("vector")).where(F.size("vector") == index.dim)
     centres = index.centres
-    return q.mapInArrow(lambda it: _probes(it, centres, probes), "query_id long, kb string, vector array<double>, cells array<int>").select("query_id", "kb", "vector", F.explode("cells").alias("cell"))
+    return q.mapInArrow(lambda it: _probes(it, centres, probes), "query_id long, kb string, vector array<double>, cells array<int>").select("query_id", "kb", "vector", F.posexplode("cells").alias("place", "cell"))
 
 
 def scored_rows(index: Index, queries: DataFrame, share: float) -> DataFrame:
@@ -187,16 +202,23 @@ def scored_rows(index: Index, queries: DataFrame, share: float) -> DataFrame:
 def search(index: Index, queries: DataFrame, corpus: DataFrame, k: int, share: float = 0.1, rerank: int = 10, decimals: int = 6) -> DataFrame:
     """queries(query_id, kb_id, vector), corpus(kb_id, chunk_id, embedding) -> query_id, kb_id, chunk_id, similarity, rank, as knn.
 
-    A query reads `share` of the cells; the rerank * k best by codes are ranked by their vectors. Queries of one cell meet its blocks
-    in lots, a large cell is many blocks, and a pair returns rerank * k rows a query at most.
+    A query reads `share` of the cells; the rerank * k best by codes are ranked by their vectors. A cell's queries (TOGETHER at a
+    time) and its blocks meet in one group, or in several for a cell of many blocks; nothing is broadcast. The nearest FIRST cells
+    are read first: their (rerank * k)th distance bounds what the others may return, so rows don't grow with the cells read.
     """
-    asked = probed(index, queries, share)
-    lot = F.floor(F.row_number().over(Window.partitionBy("kb", "cell", F.pmod(F.xxhash64("query_id"), F.lit(64))).orderBy("query_id")) / TOGETHER)
-    packed = asked.withColumn("lot", lot).groupBy("kb", "cell", "lot", F.pmod(F.xxhash64("query_id"), F.lit(64)).alias("part")).agg(F.collect_list(F.struct("query_id", "vector")).alias("queries"))
     centres, books, keep = index.centres, index.books, rerank * k
-    met = index.blocks.join(packed, ["kb", "cell"]).select("kb", "cell", "ids", "codes", "queries")
-    near = met.mapInArrow(lambda it: _near(it, centres, books, keep), "query_id long, kb_id string, chunk_id string, far double")
+    asked = probed(index, queries, share)
+
+    def read(cells: DataFrame) -> DataFrame:
+        """cells(query_id, kb, vector, cell, bound) -> the rows within the bound."""
+        met = meeting(cells, index.blocks.withColumn("first", F.col("ids")[0]), ["kb", "cell"], ("query_id", TOGETHER), ("first", SPREAD))
+        return met.applyInArrow(lambda key, left, right: _near(key, left, right, centres, books, keep), "query_id long, kb_id string, chunk_id string, far double")
+
     best = F.row_number().over(Window.partitionBy("query_id", "kb_id").orderBy("far", "chunk_id"))
+    start = settled(read(asked.where(F.col("place") < FIRST).withColumn("bound", F.lit(float("inf")))).withColumn("_best", best).where(F.col("_best") <= keep), "start")
+    bound = start.where(F.col("_best") == keep).select("query_id", F.col("kb_id").alias("kb"), F.col("far").alias("bound"))
+    others = asked.where(F.col("place") >= FIRST).join(bound, ["query_id", "kb"], "left").withColumn("bound", F.coalesce("bound", F.lit(float("inf"))))
+    near = start.drop("_best").unionByName(read(others))
     few = near.withColumn("_best", best).where(F.col("_best") <= keep).select("query_id", "kb_id", "chunk_id")
     own = corpus.select(F.col("kb_id").cast("string").alias("kb_id"), F.col("chunk_id").cast("string").alias("chunk_id"), F.col("embedding").cast("array<double>").alias("embedding"))
     vectors = queries.select(F.col("query_id").cast("long").alias("query_id"), F.col("kb_id").cast("string").alias("kb_id"), F.col("vector").cast("array<double>").alias("vector"))

@@ -10,6 +10,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.group_ops import PandasCogroupedOps
 
 BLOCK = 2048
 #: Vectors of a lot and queries of a part that meet in one group of knn; queries of one matrix product in it.
@@ -139,6 +140,27 @@ def _nearest(key: tuple, queries: pa.Table, corpus: pa.Table, k: int, decimals:
     return pa.table([queries.column("query_id").take(at), queries.column("kb").take(at), ids, pa.array(np.concatenate(scores))], ["query_id", "kb", "chunk_id", "similarity"])
 
 
+def meeting(queries: DataFrame, corpus: DataFrame, keys: list[str], parts: tuple[str, int], lots: tuple[str, int]) -> PandasCogroupedOps:
+    """Both sides grouped by keys, so that each query row and each corpus row of equal keys are in one group together.
+
+    parts and lots: the column that a side is dealt by and about how many rows of it a group takes. Keys with more rows than that on
+    either side have several groups; only these keys and their numbers of parts and lots are broadcast, never rows.
+    """
+    (asking, part_rows), (held, lot_rows) = parts, lots
+    count = lambda rows, name: rows.groupBy(*keys).agg(F.count(F.lit(1)).alias(name))
+    sizes = count(corpus, "n").join(count(queries, "m"), keys).where((F.col("n") > lot_rows) | (F.col("m") > part_rows))
+    large = F.broadcast(sizes.select(*keys, F.ceil(F.col("n") / lot_rows).alias("lots"), F.ceil(F.col("m") / part_rows).alias("parts")))
+
+    def dealt(rows: DataFrame, own: str, other: str, by: str) -> DataFrame:
+        """Each row in one lot (or part) of its own side, once for each of the other side."""
+        one = F.lit(1).cast("long")
+        every = F.sequence(F.lit(0).cast("long"), F.coalesce(other + "s", one) - 1)
+        return rows.join(large, keys, "left").withColumns({own: F.pmod(F.xxhash64(by), F.coalesce(own + "s", one)), other: F.explode(every)}).drop("lots", "parts")
+
+    by = [*keys, "lot", "part"]
+    return dealt(queries, "part", "lot", asking).groupBy(*by).cogroup(dealt(corpus, "lot", "part", held).groupBy(*by))
+
+
 def knn(queries: DataFrame, corpus: DataFrame, k: int, decimals: int = 6, lot_rows: int = LOT, part_rows: int = PART) -> DataFrame:
     """queries(query_id, kb_id, vector), corpus(kb_id, chunk_id, embedding) -> query_id, kb_id, chunk_id, similarity, rank.
 
@@ -149,20 +171,8 @@ def knn(queries: DataFrame, corpus: DataFrame, k: int, decimals: int = 6, lot_ro
     """
     c = corpus.select(F.col("kb_id").cast("string").alias("kb"), F.col("chunk_id").cast("string").alias("chunk_id"), F.col("embedding").cast("array<double>").alias("embedding")).where("embedding is not null and kb_id is not null")
     q = queries.select(F.col("query_id").cast("long").alias("query_id"), F.col("kb_id").cast("string").alias("kb"), F.col("vector").cast("array<double>").alias("v")).where("v is not null")
-    count = lambda rows, name: rows.groupBy("kb").agg(F.count(F.lit(1)).alias(name))
-    sizes = count(c, "n").join(count(q, "m"), "kb").where((F.col("n") > lot_rows) | (F.col("m") > part_rows))
-    large = F.broadcast(sizes.select("kb", F.ceil(F.col("n") / lot_rows).alias("lots"), F.ceil(F.col("m") / part_rows).alias("parts")))
-
-    def dealt(rows: DataFrame, own: str, other: str, by: str) -> DataFrame:
-        """Each row in one lot (or part) of its own side, once for each of the other side."""
-        held = rows.join(large, "kb", "left")
-        every = F.sequence(F.lit(0).cast("long"), F.coalesce(other + "s", F.lit(1).cast("long")) - 1)
-        return held.withColumns({own: F.pmod(F.xxhash64(by), F.coalesce(own + "s", F.lit(1).cast("long"))), other: F.explode(every)}).drop("lots", "parts")
-
-    asked = dealt(q.withColumn("dim", F.size("v")), "part", "lot", "query_id")
-    held = dealt(c.withColumn("dim", F.size("embedding")), "lot", "part", "chunk_id")
-    keys = ["kb", "dim", "lot", "part"]
-    found = asked.groupBy(*keys).cogroup(held.groupBy(*keys)).applyInArrow(lambda key, left, right: _nearest(key, left, right, k, decimals), "query_id long, kb string, chunk_id string, similarity double")
+    met = meeting(q.withColumn("dim", F.size("v")), c.withColumn("dim", F.size("embedding")), ["kb", "dim"], ("query_id", part_rows), ("chunk_id", lot_rows))
+    found = met.applyInArrow(lambda key, left, right: _nearest(key, left, right, k, decimals), "query_id long, kb string, chunk_id string, similarity double")
     rank = F.row_number().over(Window.partitionBy("query_id", "kb").orderBy(F.desc("similarity"), "chunk_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", F.col("kb").alias("kb_id"), "chunk_id", "similarity", "rank")
 

@@ -97,3 +97,13 @@ def test_queries_of_all_pairs_are_not_broadcast(spark):
     assert len(found.collect()) == 900
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert not [line for line in plan.splitlines() if "BroadcastHashJoin" in line and "lot#" in line]
+
+
+def test_queries_of_the_index_are_not_broadcast(spark):
+    x = clusters(600)
+    corpus = spark.createDataFrame([("a", str(i), [float(c) for c in v]) for i, v in enumerate(x)], CORPUS)
+    queries = corpus.where("cast(chunk_id as int) % 20 = 0").select(F.col("chunk_id").cast("long").alias("query_id"), "kb_id", F.col("embedding").alias("vector"))
+    found = index.search(index.build(corpus), queries, corpus, 5)
+    assert len(found.collect()) == 150
+    lines = found._jdf.queryExecution().executedPlan().toString().splitlines()
+    assert not [line for above, line in zip(lines, lines[1:]) if "BroadcastHashJoin" in line and "cell#" in line and "Inner" in line and "ids#" in above]
