@@ -107,3 +107,17 @@ def test_queries_of_the_index_are_not_broadcast(spark):
     assert len(found.collect()) == 150
     lines = found._jdf.queryExecution().executedPlan().toString().splitlines()
     assert not [line for above, line in zip(lines, lines[1:]) if "BroadcastHashJoin" in line and "cell#" in line and "Inner" in line and "ids#" in above]
+
+
+def test_small_keys_are_not_copied(spark):
+    """lsh_knn has many small keys: queries went to as many lots as there are shuffle partitions, whatever the key's size."""
+    import pyarrow as pa
+
+    def sizes(left: pa.Table, right: pa.Table) -> pa.Table:
+        return pa.table([pa.array([len(left)], pa.int64()), pa.array([len(right)], pa.int64())], ["q", "c"])
+
+    q, c = spark.range(30).selectExpr("id", "id % 3 as kb"), spark.range(60).selectExpr("id", "id % 3 as kb")
+    whole = vectors.meeting(q, c, ["kb"], ("id", 10), ("id", 20)).applyInArrow(sizes, "q long, c long").collect()
+    assert sorted(map(tuple, whole)) == [(10, 20)] * 3
+    cut = vectors.meeting(q, c, ["kb"], ("id", 10), ("id", 5)).applyInArrow(sizes, "q long, c long")
+    assert tuple(cut.selectExpr("sum(c)", "max(q)").first()) == (60, 10)  # four lots a key: queries are copied, vectors aren't
