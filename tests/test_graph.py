@@ -66,3 +66,29 @@ def test_attributes_survive_an_upsert(spark):
     assert first.first()["attributes"] == {"a": "first"} and first.first()["n_chunks"] == 1
     both = graph.upsert_relations(first.withColumn("first_run_id", F.lit("r1")), made(relation(3, None)), "r2").first()
     assert both["attributes"] == {"a": "first"} and both["evidence_count"] == 4
+
+
+def test_merges_keep_the_least_ids_and_count_all(spark):
+    rows = spark.createDataFrame([entity(i, "a", "t", [f"c{i % 7}"], {"k": str(i)}) for i in range(30)] + [entity(40, "b", "t", [], None)], ENTITY)
+    for chunks, ids in ((None, [f"c{i}" for i in range(7)]), (5, [f"c{i}" for i in range(5)])):
+        (got,) = graph.merge_entities(rows, chunks=chunks).collect()
+        assert (got["chunk_ids"], got["n_chunks"], got["mention_count"], got["attributes"]) == (ids, 7, 31, {"k": "0"})
+    assert graph.merge_entities(rows, attributes=False, chunks=0).columns == ["kb_id", "canonical_name", "name", "type", "labels", "aliases", "confidence", "mention_count"]
+    ties = spark.createDataFrame([(1, i, "N", "M", "t", 0.5, 1, [f"c{i % 7}"]) for i in range(30)] + [(1, 1, "N", "lost", "t", 0.5, 1, ["c1"])], "kb_id int, seq int, source string, target string, type string, confidence double, evidence_count int, chunk_ids array<string>")
+    ends = spark.createDataFrame([(1, "N"), (1, "M")], "kb_id int, canonical_name string")
+    (got,) = graph.merge_relations(ties, ends, chunks=5).collect()
+    assert (got["target"], got["evidence_count"], got["chunk_ids"], got["n_chunks"]) == ("M", 30, [f"c{i}" for i in range(5)], 7)
+    (got,) = graph.merge_relations(ties, ends, chunks=0).collect()
+    assert got["evidence_count"] == 30 and "chunk_ids" not in got.asDict()
+
+
+def test_numbers_of_neighbours_need_no_lists(spark):
+    relations = spark.createDataFrame([(1, "N", f"m{i % 9}", "xy"[i % 2], ["c"]) for i in range(40)], RELATIONS)
+    names = spark.createDataFrame([(1, "N"), (1, "m1"), (1, "alone")], "kb_id int, canonical_name string")
+    found = graph.neighbours(relations, names)
+    counts = found.select("canonical_name", "n_outgoing", "n_incoming")
+    assert {tuple(r) for r in counts.collect()} == {("N", 18, None), ("m1", None, 2), ("alone", None, None)}
+    assert "collect_" not in counts._jdf.queryExecution().optimizedPlan().toString()
+    few = {r["canonical_name"]: r for r in graph.neighbours(relations, names, most=3).collect()}
+    whole = {r["canonical_name"]: r for r in found.collect()}
+    assert few["N"]["outgoing"] == whole["N"]["outgoing"][:3] and len(whole["N"]["outgoing"]) == 18 and few["m1"]["incoming"] == whole["m1"]["incoming"]
