@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -14,38 +16,64 @@ from pyspark.sql import functions as F
 from ..config import HYBRID
 from ..functions.text import let, occurrences, tokens
 from ..sources.scratch import settled
+from .vectors import meeting
 
 #: Robertson & Zaragoza (2009).
 K1, B = 1.2, 0.75
 WORD_BREAK = r"[^\p{L}\p{N}_]+"
 #: Postings of a block, queries that look at a chunk's text together, and what rounding may add to a score.
 BLOCK, TOGETHER, SLACK = 256, 256, 1e-6
+#: Words of chunks that a task looks at together; chunks of a lot and queries of a part that meet in one group of containing.
+WORDS, LOT, PART = 250_000, 2048, 1024
 #: Tokens of a query, those with the highest peaks, whose first blocks give its bound.
 BOUNDING = 8
 
 
 def _tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Chunks with their words -> a row for each different word of a chunk: kb_id, token, chunk_id, tf, length."""
+    """Chunks with their words -> a row for each different word of a chunk: kb_id, token, chunk_id, tf, length; and one with the token
+    "" and tf 0 for the chunk itself, whose length is null where it has no text. A run of WORDS words is counted at a time."""
     for batch in batches:
-        words = batch.column("words")
-        sizes = np.diff(words.offsets.to_numpy())
-        coded = words.flatten().dictionary_encode()
-        n = max(1, len(coded.dictionary))
-        at = np.repeat(np.arange(len(batch), dtype=np.int64), sizes) * n + coded.indices.to_numpy(zero_copy_only=False)
-        pairs, tf = np.unique(at, return_counts=True)
-        rows, token = pairs // n, pairs % n
-        columns = [batch.column("kb_id").take(pa.array(rows)), coded.dictionary.take(pa.array(token)), batch.column("chunk_id").take(pa.array(rows)), pa.array(tf.astype(np.int64)), pa.array(sizes[rows].astype(np.int32))]
-        yield pa.RecordBatch.from_arrays(columns, ["kb_id", "token", "chunk_id", "tf", "length"])
+        volume = np.cumsum(pc.fill_null(pc.list_value_length(batch.column("words")), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+        first = 0
+        while first < len(batch):
+            end = max(first + 1, int(np.searchsorted(volume, WORDS + (volume[first - 1] if first else 0), "right")))
+            rows_, first = batch.slice(first, end - first), end
+            words = rows_.column("words")
+            sizes = pc.list_value_length(words)
+            counts = pc.fill_null(sizes, 0).to_numpy(zero_copy_only=False)
+            coded = words.flatten().dictionary_encode()
+            n = max(1, len(coded.dictionary))
+            at = np.repeat(np.arange(len(rows_), dtype=np.int64), counts) * n + coded.indices.to_numpy(zero_copy_only=False)
+            pairs, tf = np.unique(at, return_counts=True)
+            chunk = pa.array(np.concatenate([pairs // n, np.arange(len(rows_))]))
+            token = pa.concat_arrays([coded.dictionary.take(pa.array(pairs % n)).cast(pa.string()), pa.array([""] * len(rows_), pa.string())])
+            tf = pa.array(np.concatenate([tf, np.zeros(len(rows_))]).astype(np.int64))
+            columns = [rows_.column("kb_id").take(chunk), token, rows_.column("chunk_id").take(chunk), tf, sizes.cast(pa.int32()).take(chunk)]
+            yield pa.RecordBatch.from_arrays(columns, ["kb_id", "token", "chunk_id", "tf", "length"])
+
+
+def _tallied(chunks: DataFrame, wanted: DataFrame | None = None) -> DataFrame:
+    """What _tally gives for chunks(kb_id, chunk_id, content), of the tokens in wanted(kb_id, token) and "" only, if given."""
+    split = F.filter(F.split(F.lower("content"), WORD_BREAK), lambda t: t != "")
+    words = chunks.select("kb_id", "chunk_id", split.alias("words"))
+    kinds = dict(words.dtypes)
+    out = words.mapInArrow(_tally, f"kb_id {kinds['kb_id']}, token string, chunk_id {kinds['chunk_id']}, tf long, length int")
+    if wanted is None:
+        return out
+    own = wanted.withColumn("_own", F.lit(True))
+    return out.join(own, ["kb_id", "token"], "left").where("_own or token = ''").drop("_own")
 
 
 def postings(chunks: DataFrame, wanted: DataFrame | None = None) -> DataFrame:
     """chunks(kb_id, chunk_id, content) -> kb_id, token, chunk_id, tf, length (tokens of the chunk, with repeats); of the tokens in
     wanted(kb_id, token) only, if given. Words are counted inside their chunk, so nothing is exchanged."""
-    split = F.filter(F.split(F.lower("content"), WORD_BREAK), lambda t: t != "")
-    words = chunks.select("kb_id", "chunk_id", split.alias("words")).where("words is not null")
-    kinds = dict(words.dtypes)
-    out = words.mapInArrow(_tally, f"kb_id {kinds['kb_id']}, token string, chunk_id {kinds['chunk_id']}, tf long, length int")
-    return out if wanted is None else out.join(wanted, ["kb_id", "token"], "left_semi")
+    return _tallied(chunks, wanted).where("token != ''")
+
+
+def _indexed(chunks: DataFrame, wanted: DataFrame | None) -> tuple[DataFrame, DataFrame]:
+    """postings, written once, and by knowledge base the number n and the mean length of its chunks: texts are split once for both."""
+    rows = settled(_tallied(chunks, wanted), "postings")
+    return rows.where("token != ''"), rows.where("token = ''").groupBy("kb_id").agg(F.count(F.lit(1)).alias("n"), F.avg("length").alias("mean"))
 
 
 def _asked(queries: DataFrame) -> DataFrame:
@@ -59,9 +87,7 @@ def bm25(queries: DataFrame, chunks: DataFrame) -> DataFrame:
     The postings meet the queries' tokens in an equi-join; no query is compared with a chunk that has none of its tokens.
     """
     asked = _asked(queries)
-    wanted = postings(chunks, asked.select("kb_id", "token").distinct())
-    sizes = chunks.select("kb_id", F.size(F.filter(F.split(F.lower("content"), WORD_BREAK), lambda t: t != "")).alias("length"))
-    stats = sizes.groupBy("kb_id").agg(F.count(F.lit(1)).alias("n"), F.avg("length").alias("mean"))
+    wanted, stats = _indexed(chunks, asked.select("kb_id", "token").distinct())
     df = wanted.groupBy("kb_id", "token").agg(F.count(F.lit(1)).alias("df"))
     scored = wanted.join(df, ["kb_id", "token"]).join(stats, "kb_id")
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
@@ -105,10 +131,8 @@ def impacts(chunks: DataFrame, queries: DataFrame | None = None) -> Impacts:
 
     Postings are sorted by ranges of (token, impact), so a frequent token lies in many tasks and blocks.
     """
-    words = F.filter(F.split(F.lower("content"), WORD_BREAK), lambda t: t != "")
-    stats = chunks.select("kb_id", F.size(words).alias("length")).groupBy("kb_id").agg(F.count(F.lit(1)).alias("n"), F.avg("length").alias("mean"))
     wanted = None if queries is None else _asked(queries).select("kb_id", "token").distinct()
-    index = settled(postings(chunks, wanted), "postings")
+    index, stats = _indexed(chunks, wanted)
     df = index.groupBy("kb_id", "token").agg(F.count(F.lit(1)).alias("df"))
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.col("mean")))
@@ -158,24 +182,60 @@ def bm25_top(queries: DataFrame, index: Impacts, most: int, looked: bool = False
     return scored.withColumn("_r", rank).where(F.col("_r") <= most).drop("_r")
 
 
-def containing(queries: DataFrame, chunks: DataFrame, gram: int = 3) -> DataFrame:
+def _holding(queries: pa.Table, chunks: pa.Table) -> pa.Table:
+    """The pairs of one part's queries and one lot's chunks where the chunk holds one of the query's tokens."""
+    asking: dict[str, list[int]] = {}
+    for i, own in enumerate(queries.column("tokens").to_pylist()):
+        for token in own or ():
+            asking.setdefault(token, []).append(i)
+    width, texts = -(-len(queries) // 8), chunks.column("held")
+    found = np.zeros((len(chunks), width), np.uint8)  # a bit a query
+    volume = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(), dtype=np.int64)
+    first = 0
+    while first < len(chunks) and asking:
+        end = max(first + 1, int(np.searchsorted(volume, 16 * WORDS + (volume[first - 1] if first else 0), "right")))
+        place: dict[str, int] = {}
+        rows = [[place.setdefault(w, len(place)) for w in (x or "").split(" ")] for x in texts.slice(first, end - first).to_pylist()]
+        vocabulary = " ".join(place)
+        starts = list(accumulate((len(w) + 1 for w in place), initial=0))
+        bits = np.zeros((len(place), width), np.uint8)
+        for token, own in asking.items():
+            mark, at, hits = np.zeros(width, np.uint8), vocabulary.find(token), []
+            while at >= 0:
+                word = bisect_right(starts, at) - 1
+                hits.append(word)
+                at = vocabulary.find(token, starts[word + 1])
+            if hits:
+                for i in own:
+                    mark[i >> 3] |= 1 << (i & 7)
+                bits[hits] |= mark
+        for i, own in enumerate(rows):
+            found[first + i] = np.bitwise_or.reduce(bits[own], axis=0)
+        first = end
+    at, query = np.nonzero(np.unpackbits(found, axis=1, bitorder="little")[:, : len(queries)])
+    # rows of one chunk_id are in one lot: they are one chunk
+    coded = chunks.column("chunk_id").combine_chunks().dictionary_encode()
+    if len(coded.dictionary) < len(chunks):
+        _, one = np.unique(coded.indices.to_numpy(zero_copy_only=False)[at].astype(np.int64) * max(1, len(queries)) + query, return_index=True)
+        at, query = at[one], query[one]
+    at, query = pa.array(at), pa.array(query)
+    return pa.table([queries.column("query_id").take(query), chunks.column("kb_id").take(at), chunks.column("chunk_id").take(at)], ["query_id", "kb_id", "chunk_id"])
+
+
+def containing(queries: DataFrame, chunks: DataFrame, lot_rows: int = LOT, part_rows: int = PART) -> DataFrame:
     """Pairs (query_id, kb_id, chunk_id) where the chunk contains one of the query's tokens anywhere, whatever its case.
 
-    A token holds no white space, so it stands within one word of a chunk. Tokens meet the distinct words of a knowledge base
-    on a character trigram (shorter tokens on their first character), the containment is verified on the word, and the words'
-    postings give the chunks: texts are split once and never compared with queries.
+    A token holds no white space, so it stands within one word of a chunk. A lot of chunks and a part of the queries meet in one
+    group: tokens are looked up in the lot's distinct words, and a pair comes out once, whatever the number of its tokens. What is
+    exchanged are the chunks' distinct words, once a part, and never pairs. Knowledge bases without a query are left out first.
     """
-    asked = queries.select("query_id", "kb_id", F.explode(tokens(F.col("query_text"))).alias("token"))
-    asked = asked.withColumn("gram", F.when(F.length("token") < gram, F.substring("token", 1, 1)).otherwise(F.substring("token", 1, gram)))
-    held = F.array_distinct(F.filter(F.split(F.lower("content"), r"(?U)\s+"), lambda w: w != ""))
-    words = chunks.select("kb_id", "chunk_id", F.explode(held).alias("word"))
-    n = F.length("word")
-    grams = F.array_distinct(F.transform(F.sequence(F.lit(1), n), lambda i: F.substring("word", i, F.lit(gram))))
-    grams = F.array_distinct(F.concat(F.split("word", ""), grams))
-    wanted = asked.select("kb_id", "gram").distinct()
-    near = words.select("kb_id", "word").distinct().withColumn("gram", F.explode(grams)).join(wanted, ["kb_id", "gram"], "left_semi")
-    matched = near.join(asked, ["kb_id", "gram"]).where(F.contains("word", "token")).select("query_id", "kb_id", "word").distinct()
-    return matched.join(words, ["kb_id", "word"]).select("query_id", "kb_id", "chunk_id").distinct()
+    kinds = dict(chunks.dtypes)
+    kb = queries.select("query_id", F.col("kb_id").cast(kinds["kb_id"]).alias("kb_id"), tokens(F.col("query_text")).alias("tokens")).where("kb_id is not null")
+    asked = kb.groupBy("query_id", "kb_id").agg(F.array_distinct(F.flatten(F.collect_list("tokens"))).alias("tokens")).where("size(tokens) > 0")
+    own = chunks.join(F.broadcast(asked.select("kb_id").distinct()), "kb_id", "left_semi")
+    held = own.select("kb_id", "chunk_id", F.array_join(F.array_distinct(F.split(F.lower("content"), r"(?U)\s+")), " ").alias("held")).where("chunk_id is not null")
+    met = meeting(asked, held, ["kb_id"], ("query_id", part_rows), ("chunk_id", lot_rows))
+    return met.applyInArrow(_holding, f"query_id {dict(asked.dtypes)['query_id']}, kb_id {kinds['kb_id']}, chunk_id {kinds['chunk_id']}")
 
 
 def _keyword_scores(hits: Column, tf: Column, asked: Column, length: Column, ft: Column, config) -> Column:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import random
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
@@ -104,3 +105,24 @@ def test_counts_equal_the_expression(spark):
     plain = keyword.score(pairs.join(queries, ["query_id", "kb_id"]).join(chunks, ["kb_id", "chunk_id"]), 400).select("query_id", "chunk_id", "score", "rank")
     got = keyword.search(queries, chunks, 400).select("query_id", "chunk_id", "score", "rank")
     assert {tuple(r) for r in got.collect()} == {tuple(r) for r in plain.collect()}
+
+
+def test_containing_gives_each_pair_once_without_exchanging_pairs(spark):
+    """Lots and parts of a few rows, equal chunk ids, queries without tokens, knowledge bases without queries."""
+    texts = [("a", f"c{i % 40:02d}", " ".join(w for j, w in enumerate(("Alpha", "betamax", "gamma\tdelta", "日本語", "omega")) if (i >> j) & 1)) for i in range(60)] + [("b", "c00", "alpha"), ("c", "c00", "alpha"), ("a", "none", None)]
+    asked = [(1, "a", "alph max"), (2, "a", "delta omega alpha"), (3, "a", ""), (4, "b", "pha"), (5, "a", "本"), (6, "z", "alpha"), (7, "a", "gamma delta")]
+    chunks, queries = spark.createDataFrame(texts, "kb_id string, chunk_id string, content string"), spark.createDataFrame(asked, "query_id long, kb_id string, query_text string")
+    parts = {1: ("alph", "max"), 2: ("delta", "omega", "alpha"), 3: (), 4: ("pha",), 5: ("本",), 6: ("alpha",), 7: ("gamma", "delta")}
+    wanted = sorted({(q, kb, c) for q, kb, _ in asked for b, c, x in texts if b == kb and any(p in (x or "").lower() for p in parts[q])})
+    for lot, part in ((5, 2), (1000, 1000)):
+        assert sorted(tuple(r) for r in keyword.containing(queries, chunks, lot, part).collect()) == wanted
+    assert keyword.containing(queries.where("query_id = 3"), chunks).count() == 0
+
+
+def test_words_are_counted_in_runs_and_once_for_all_figures(spark, monkeypatch):
+    monkeypatch.setattr(keyword, "WORDS", 3)
+    batch = pa.RecordBatch.from_arrays([pa.array(["k"] * 4), pa.array(list("abcd")), pa.array([["x", "y", "x"], None, [], ["z"] * 9])], ["kb_id", "chunk_id", "words"])
+    made = list(keyword._tally(iter([batch])))
+    assert len(made) > 1
+    rows = {(r["chunk_id"], r["token"]): (r["tf"], r["length"]) for b in made for r in b.to_pylist()}
+    assert rows == {("a", "x"): (2, 3), ("a", "y"): (1, 3), ("a", ""): (0, 3), ("b", ""): (0, None), ("c", ""): (0, 0), ("d", "z"): (9, 9), ("d", ""): (0, 9)}
