@@ -10,7 +10,9 @@ from bisect import bisect_left
 from collections.abc import Callable, Iterable, Iterator
 from itertools import pairwise
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -29,6 +31,8 @@ SEPARATORS = {
 EXTENSIONS = {"code": ["py", "js", "ts", "java", "cpp", "c", "go", "rs", "sql", "sh", "bat"], "html": ["html", "htm", "xml"], "markdown": ["md", "markdown"], "json": ["json", "jsonl"]}
 PUNCTUATION = "。！？!?；;,.，"
 LONG_LINE = 280
+#: Bytes of text that a task splits at a time.
+RUN_BYTES = 1 << 20
 EXTENSION_TYPES = {ext: kind for kind, known in EXTENSIONS.items() for ext in known}
 
 
@@ -127,16 +131,37 @@ def _split_one(text: str | None, doc_type: str | None, profile: Profile | None =
 def recursive_chunks(docs: DataFrame, profile: Profile | None = None) -> DataFrame:
     """docs(doc_id, text, doc_type) -> doc_id, chunk_index, content, chunk_size, chunk_id."""
 
-    @F.pandas_udf("array<string>")
-    def split(texts: pd.Series, kinds: pd.Series) -> pd.Series:
-        return pd.Series([_split_one(t, k, profile) for t, k in zip(texts, kinds)], dtype=object)
+    return _split_rows(docs.select("doc_id", "text", "doc_type"), lambda text, kind: _split_one(text, kind, profile))
 
-    return as_rows(docs.select("doc_id", split("text", "doc_type").alias("chunks")))
+
+def _split_runs(batches: Iterator[pa.RecordBatch], split: Callable[..., list[str]]) -> Iterator[pa.RecordBatch]:
+    """Rows (doc_id, text, what else split takes) -> doc_id, chunk_index, content. Texts of RUN_BYTES, or one longer text, are split and
+    handed on at a time, so that a task holds no more of them as Python objects, whatever the size of a batch."""
+    for batch in batches:
+        volume = np.cumsum(pc.fill_null(pc.binary_length(batch.column("text")), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+        first = 0
+        while first < len(batch):
+            end = max(first + 1, int(np.searchsorted(volume, RUN_BYTES + (volume[first - 1] if first else 0), "right")))
+            run, first = batch.slice(first, end - first), end
+            made = [split(*own) for own in zip(*(c.to_pylist() for c in run.columns[1:]), strict=True)]
+            sizes = np.array([len(m) for m in made], np.int64)
+            place = np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+            doc = run.column("doc_id").take(pa.array(np.repeat(np.arange(len(made)), sizes)))
+            yield pa.RecordBatch.from_arrays([doc, pa.array(place.astype(np.int32)), pa.array([c for m in made for c in m], pa.string())], ["doc_id", "chunk_index", "content"])
+
+
+def _split_rows(docs: DataFrame, split: Callable[..., list[str]]) -> DataFrame:
+    """docs(doc_id, text, ...), split(text, ...) -> as as_rows."""
+    kind = dict(docs.dtypes)["doc_id"]
+    return _named(docs.mapInArrow(lambda it: _split_runs(it, split), f"doc_id {kind}, chunk_index int, content string"))
 
 
 def as_rows(docs: DataFrame) -> DataFrame:
     """docs(doc_id, chunks array<string>) -> one row a chunk, with its id file_{doc}_chunk_{i}."""
-    rows = docs.select("doc_id", F.posexplode("chunks").alias("chunk_index", "content"))
+    return _named(docs.select("doc_id", F.posexplode("chunks").alias("chunk_index", "content")))
+
+
+def _named(rows: DataFrame) -> DataFrame:
     return rows.select("doc_id", "chunk_index", "content", F.length("content").alias("chunk_size"), F.concat(F.lit("file_"), F.col("doc_id").cast("string"), F.lit("_chunk_"), F.col("chunk_index").cast("string")).alias("chunk_id"))
 
 
@@ -207,12 +232,7 @@ def semantic_split(text: str | None, least: int, most: int, judge: Callable[[str
 
 def semantic_chunks(docs: DataFrame, least: int = 200, most: int = 800, judge: Callable[[str, str], bool] | None = token_overlap_judge) -> DataFrame:
     """docs(doc_id, text) -> as recursive_chunks. judge(tail, head) may be a user's function."""
-
-    @F.pandas_udf("array<string>")
-    def split(texts: pd.Series) -> pd.Series:
-        return pd.Series([semantic_split(t, least, most, judge) for t in texts], dtype=object)
-
-    return as_rows(docs.select("doc_id", split("text").alias("chunks")))
+    return _split_rows(docs.select("doc_id", "text"), lambda text: semantic_split(text, least, most, judge))
 
 
 def chunk_quality(chunks: DataFrame, by: str = "doc_id") -> DataFrame:

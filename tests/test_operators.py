@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -256,3 +257,16 @@ def test_percentages_of_a_context(spark):
     rows = spark.createDataFrame([(i, 1, "x", s, [], []) for i, s in enumerate(scores)], "query_id long, rank int, content string, score double, channels array<string>, evidence array<string>")
     got = {r["query_id"]: r["context"] for r in ranking.context_text(rows).collect()}
     assert [got[i].split("\n")[0] for i in range(len(scores))] == [f"[文档1] (相似度: {s * 100:.2f}%)" for s in scores]
+
+
+def test_texts_are_split_in_runs(spark):
+    """A task hands on the chunks of about RUN_BYTES of text at a time, and loses no text, null or empty ones included."""
+    texts = [("w" * 700 + ".\n\n") * 40, None, "", "one\n\ntwo"] * 60
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts, pa.string())], ["doc_id", "text"])
+    split = lambda text: chunking.semantic_split(text, 200, 800)
+    made = list(chunking._split_runs(iter([batch]), split))
+    assert len(made) > 1 and all(b.column("content").nbytes <= chunking.RUN_BYTES + 40_000 for b in made)
+    rows = [tuple(r.values()) for b in made for r in b.to_pylist()]
+    assert rows == [(i, k, c) for i, t in enumerate(texts) for k, c in enumerate(split(t))]
+    docs = spark.createDataFrame([("a", None), ("b", "one\n\ntwo"), (None, "three")], "doc_id string, text string")
+    assert sorted((r["doc_id"] or "", r["chunk_index"], r["content"]) for r in chunking.semantic_chunks(docs).collect()) == [("", 0, "three"), ("b", 0, "one\n\ntwo")]
