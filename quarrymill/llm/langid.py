@@ -9,8 +9,8 @@ contexts. All tasks get the levels. The language with the lowest cross-entropy p
 4-grams seen fewer than LEAST times give their mass to the lower orders (a count cut-off, as is usual for the highest order);
 they still count in all sums. So the model grows with the different grams of the corpus, at 8 bytes and 4 a language each.
 
-A share of the training texts, RESERVED, is not counted but calibrates the confidence and the rejection; a language of few
-texts has all of them counted.
+A share of the training texts, RESERVED, calibrates the confidence and the rejection: all of these texts, whole, against a model
+of the others. Then every training text is counted in the model that predicts. A language of few texts calibrates nothing.
 
 Defined results: a null text or one without a letter is `und` with score 0 (also when nothing was learned); a row without
 a doc_id is predicted but never learned from; repeated rows teach and are predicted each; an empty table gives an empty
@@ -36,9 +36,10 @@ SYMBOLS = 1 << SYMBOL_BITS
 #: Times that a 4-gram must have been seen to have a probability of its own.
 LEAST = 2
 UNKNOWN = "und"
-#: One in RESERVED training texts of languages with at least RESERVED_FROM calibrates, CALIBRATION at most, about, that are no longer
-#: than CALIBRATION_BYTES.
-RESERVED, RESERVED_FROM, CALIBRATION, CALIBRATION_BYTES = 8, 32, 2000, 100_000
+#: One in RESERVED training texts of languages with at least RESERVED_FROM calibrates.
+RESERVED, RESERVED_FROM = 8, 32
+#: What the confidence's sharpness is chosen from, and the units that entropies and losses are rounded to, so that sums are exact.
+SHARPNESS, ENTROPY_UNIT, LOSS_UNIT = 2.0 ** np.arange(-4, 6), 1e-4, 1e-6
 #: Different grams that a task holds before it hands them on, about.
 HELD = 2_000_000
 U64, BITS, SPREAD = np.uint64, np.uint64(SYMBOL_BITS), np.uint64(0x9E3779B97F4A7C15)
@@ -272,46 +273,57 @@ def _posteriors(entropies: np.ndarray, letters: np.ndarray, sharpness: float) ->
     return e / e.sum(axis=1, keepdims=True)
 
 
-def calibrate(model: Model, entropies: np.ndarray, letters: np.ndarray, true: np.ndarray) -> Model:
+def calibrate(model: Model, sums: dict[int, tuple[int, int, int]], losses: np.ndarray) -> Model:
     """Fits the confidence's sharpness by likelihood, and for each language the entropy above which a text is rejected: six
-    deviations above its mean. entropies[text, language], true[text] of texts that weren't counted."""
+    deviations above its mean. sums: by language the texts, their entropies and the squares of these, in ENTROPY_UNIT; losses: one
+    sum for each SHARPNESS."""
     model.limits = np.full(len(model.langs), np.inf)
-    if len(true):
-        loss = {s: -np.log(np.maximum(_posteriors(entropies, letters, s)[np.arange(len(true)), true], 1e-9)).mean() for s in 2.0 ** np.arange(-4, 6)}
-        model.sharpness = float(min(loss, key=loss.get))
-        own = entropies[np.arange(len(true)), true]
-        spread = np.sqrt(np.mean([(own[true == i] - own[true == i].mean()) ** 2 @ np.ones((true == i).sum()) / (true == i).sum() for i in np.unique(true)]))
-        for i in np.unique(true):
-            model.limits[i] = own[true == i].mean() + 6 * max(own[true == i].std(), spread) + 0.1
+    if sums:
+        model.sharpness = float(SHARPNESS[int(np.argmin(losses))])
+        mean = {i: total / n for i, (n, total, _) in sums.items()}
+        # whole numbers, so that the difference is exact
+        variance = {i: (n * square - total * total) / n**2 for i, (n, total, square) in sums.items()}
+        spread = np.sqrt(np.mean(list(variance.values())))
+        for i in sums:
+            model.limits[i] = (mean[i] + 6 * max(np.sqrt(variance[i]), spread)) * ENTROPY_UNIT + 0.1
     return model
 
 
 def _measure(batches: Iterator[pa.RecordBatch], shared) -> Iterator[pa.RecordBatch]:
+    """One row for each language of a run of texts: lang, n, total, square, losses (see calibrate) of its texts with letters."""
     model: Model = shared.value
+    place = {lang: i for i, lang in enumerate(model.langs)}
     for batch in batches:
-        for first, end, data, offsets in tc.chunks(batch.column("text")):
+        for first, end, data, offsets in tc.chunks(batch.column("text"), 1 << 18):
             codes, doc, letters = grams(data, offsets)
             e = model.entropies(codes, doc, end - first)
-            flat = pa.ListArray.from_arrays(pa.array(np.arange(0, e.size + 1, e.shape[1], dtype=np.int32)), pa.array(e.reshape(-1)))
-            yield pa.RecordBatch.from_arrays([batch.column("lang").slice(first, end - first), pa.array(letters), flat], ["lang", "letters", "entropies"])
+            true = np.array([place.get(x, -1) for x in batch.column("lang").slice(first, end - first).to_pylist()])
+            on = np.flatnonzero((letters > 0) & (true >= 0))
+            own = np.rint(e[on, true[on]] / ENTROPY_UNIT).astype(np.int64)
+            loss = np.stack([np.rint(-np.log(np.maximum(_posteriors(e[on], letters[on], s)[np.arange(len(on)), true[on]], 1e-9)) / LOSS_UNIT) for s in SHARPNESS], axis=1).astype(np.int64)
+            rows = [(int(i), int(at.sum()), int(own[at].sum()), int((own[at] ** 2).sum()), loss[at].sum(axis=0).tolist()) for i in np.unique(true[on]) for at in [true[on] == i]]
+            yield pa.RecordBatch.from_pylist([dict(zip(("lang", "n", "total", "square", "losses"), r)) for r in rows], pa.schema([("lang", pa.int32()), ("n", pa.int64()), ("total", pa.int64()), ("square", pa.int64()), ("losses", pa.list_(pa.int64()))]))
 
 
 def learn(docs: DataFrame) -> Model:
     """docs(doc_id, text, lang), all of them to learn from."""
     sizes = {r["lang"]: r["n"] for r in docs.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
     large = sorted(lang for lang, n in sizes.items() if n >= RESERVED_FROM)
-    apart = F.col("lang").isin(large) & (F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(RESERVED)) == 0) if large else F.lit(False)
+    if not large:
+        return calibrate(fit(docs), {}, np.zeros(len(SHARPNESS)))
+    apart = F.col("lang").isin(large) & (F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(RESERVED)) == 0)
     model = fit(docs.where(~apart))
-    if not model.langs or not large:
-        return calibrate(model, np.zeros((0, len(model.langs))), np.zeros(0), np.zeros(0, int))
-    every = max(1, sum(sizes[x] for x in large) // (RESERVED * CALIBRATION))
-    sample = docs.where(apart & (F.pmod(F.xxhash64("doc_id", F.lit(6)), F.lit(every)) == 0) & (F.octet_length("text") <= CALIBRATION_BYTES))
+    langs = model.langs
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    rows = sample.select("lang", "text").mapInArrow(lambda it: _measure(it, shared), "lang string, letters long, entropies array<double>").where("letters > 0").collect()
-    shared.unpersist()
+    del model
+    measured = docs.where(apart).select("lang", "text").mapInArrow(lambda it: _measure(it, shared), "lang int, n long, total long, square long, losses array<long>")
+    exact = lambda c: F.sum(c.cast("decimal(20,0)"))
+    rows = measured.groupBy("lang").agg(F.sum("n").alias("n"), exact(F.col("total")).alias("total"), exact(F.col("square")).alias("square"), F.array(*[exact(F.col("losses")[i]) for i in range(len(SHARPNESS))]).alias("losses")).collect()
+    shared.destroy()
+    model = fit(docs)
     place = {lang: i for i, lang in enumerate(model.langs)}
-    rows = [r for r in rows if r["lang"] in place]
-    return calibrate(model, np.array([r["entropies"] for r in rows]).reshape(len(rows), -1), np.array([r["letters"] for r in rows]), np.array([place[r["lang"]] for r in rows], int))
+    sums = {place[langs[r["lang"]]]: (r["n"], int(r["total"]), int(r["square"])) for r in rows}
+    return calibrate(model, sums, np.array([[int(x) for x in r["losses"]] for r in rows], float).reshape(-1, len(SHARPNESS)).sum(axis=0))
 
 
 def _predict(batches: Iterator[pa.RecordBatch], shared) -> Iterator[pa.RecordBatch]:

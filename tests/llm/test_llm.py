@@ -399,6 +399,15 @@ def test_kneser_ney_equals_plain_version(spark):
                 assert np.exp(log) == pytest.approx(plain_kneser_ney(texts[lang])(gram), abs=1e-6)
 
 
+def test_every_text_teaches_and_long_ones_calibrate(spark):
+    """Each text has a letter of its own, which the model knows, and texts of any length set the limits."""
+    rows = [(i, chr(0x4E00 + i) + " one two three four" * 5300, "en") for i in range(60)] + [(100 + i, chr(0x5E00 + i) + " eins zwei drei", "de") for i in range(60)]
+    model = langid.learn(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    known = {int(g) & 0xFFFF for g in model.levels[1].grams}
+    assert {ord(text[0]) for _, text, _ in rows} <= known
+    assert np.isfinite(model.limits).all()
+
+
 def test_languages_of_one_script_are_told_apart(spark):
     words = {
         "ru": "этот большой дом стоит у старой реки где вода всегда быстрая и холодная",
