@@ -244,16 +244,32 @@ def keyword_relevance(spark, sf_dir):
     return evaluate.ir_metrics(hits.select("query_id", "rank", "hit"), rel.select("query_id", "total"), 10)
 
 
+#: Rows that short query texts are packed into; words of a query text that its mark takes at most.
+PACKS, MARKED = 64, 4
+
+
 def _holders(queries, chunks):
-    """Which chunks contain a whole query text: both meet on a hash of the query's second to fifth word, then that is checked."""
+    """Which chunks contain a whole query text, of any length.
+
+    The words between a text's first and last one stand whole in a chunk that contains it: both meet on a hash of the first four of
+    them, or as many as there are, then that is checked. A text of fewer than three words may lie inside a word or between two:
+    every chunk is searched for these, packed in a few rows, and nothing but what is found is exchanged.
+    """
     words = lambda c: F.filter(F.split(c, r"(?U)\s+"), lambda w: w != "")
-    at = lambda w, i: F.xxhash64(*[F.element_at(w, i + j) for j in range(4)])
-    q = queries.where(F.size(words(F.col("query_text"))) > 5).withColumn("mark", let(words(F.col("query_text")), lambda w: at(w, F.lit(2))))
+    at = lambda w, i, m: F.xxhash64(F.slice(w, i, m))
     n = F.size("w")
-    marks = F.array_distinct(F.transform(F.when(n > 3, F.sequence(F.lit(1), n - 3)).otherwise(F.array().cast("array<int>")), lambda i: at(F.col("w"), i)))
-    c = chunks.select("kb_id", "chunk_id", words(F.col("content")).alias("w")).select("kb_id", "chunk_id", F.explode(marks).alias("mark")).join(q.select("kb_id", "mark").distinct(), ["kb_id", "mark"], "left_semi")
-    met = c.join(q, ["kb_id", "mark"]).join(chunks.select("kb_id", "chunk_id", "content"), ["kb_id", "chunk_id"])
-    return met.where(F.contains("content", "query_text")).select("query_id", "chunk_id").distinct()
+    q = queries.where("query_text is not null and kb_id is not null").withColumn("w", words(F.col("query_text")))
+    long = q.where(n > 2).withColumn("m", F.least(F.lit(MARKED), n - 2)).withColumn("mark", at(F.col("w"), F.lit(2), F.col("m"))).select("query_id", "kb_id", "query_text", "m", "mark")
+    sizes = [r["m"] for r in long.select("m").distinct().collect()]  # numbers up to MARKED
+    runs = lambda m: F.transform(F.when(n >= m, F.sequence(F.lit(1), n - m + 1)).otherwise(F.array().cast("array<int>")), lambda i: at(F.col("w"), i, F.lit(m)))
+    marks = F.array_distinct(F.flatten(F.array(*map(runs, sizes)))) if sizes else F.array().cast("array<bigint>")
+    c = chunks.select("kb_id", "chunk_id", words(F.col("content")).alias("w")).select("kb_id", "chunk_id", F.explode(marks).alias("mark")).join(long.select("kb_id", "mark").distinct(), ["kb_id", "mark"], "left_semi")
+    met = c.join(long.drop("m"), ["kb_id", "mark"]).join(chunks.select("kb_id", "chunk_id", "content"), ["kb_id", "chunk_id"])
+    found = met.where(F.contains("content", "query_text")).select("query_id", "chunk_id")
+    packs = q.where(n < 3).groupBy(F.pmod(F.xxhash64("query_id"), F.lit(PACKS)).alias("pack")).agg(F.collect_list(F.struct("query_id", "kb_id", "query_text")).alias("asked"))
+    inside = F.filter("asked", lambda x: (x["kb_id"] == F.col("kb_id")) & F.contains(F.col("content"), x["query_text"]))
+    short = chunks.select("kb_id", "chunk_id", "content").crossJoin(packs.select("asked")).select("chunk_id", F.explode(inside).alias("x")).select("x.query_id", "chunk_id")
+    return found.unionByName(short).distinct()
 
 
 @query(f"""WITH {BM25_SQL}, {SCORE_SQL.replace('r <= 80', 'r <= 400')}, few AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, 'chunk::' || chunk_id) AS r FROM kw WHERE rank <= 50),

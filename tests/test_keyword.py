@@ -126,3 +126,13 @@ def test_words_are_counted_in_runs_and_once_for_all_figures(spark, monkeypatch):
     assert len(made) > 1
     rows = {(r["chunk_id"], r["token"]): (r["tf"], r["length"]) for b in made for r in b.to_pylist()}
     assert rows == {("a", "x"): (2, 3), ("a", "y"): (1, 3), ("a", ""): (0, 3), ("b", ""): (0, None), ("c", ""): (0, 0), ("d", "z"): (9, 9), ("d", ""): (0, 9)}
+
+
+def test_holders_of_texts_of_any_length(spark):
+    """Texts of any number of words, inside words, blank, null, of another knowledge base."""
+    from quarrymill.plans.queries_text import _holders
+
+    texts = [(1, "k", "aa bb cc dd ee ff gg"), (2, "k", "a bb cc dd ee f"), (3, "k", "bb"), (4, "k", "b c"), (5, "k", "aa bb cc"), (6, "k", "a bb cc d"), (7, "k", "zz\nbb yy"), (8, "k", ""), (9, "k", " "), (10, "k", None), (11, "j", "bb"), (12, "k", "d ee ff gg h"), (13, "k", "bb  cc"), (14, "k", " bb cc ")]
+    held = [("k", "c1", "x aa bb cc dd ee ff gg hh"), ("k", "c2", "aa bb cc"), ("k", "c3", "abba"), ("k", "c4", None), ("k", "c5", ""), ("k", "c6", "zz\nbb yyy"), ("j", "c7", "bbb cc"), ("k", "c8", "aa bb  cc")]
+    got = sorted(tuple(r) for r in _holders(spark.createDataFrame(texts, QUERIES), spark.createDataFrame(held, CHUNKS)).collect())
+    assert got == sorted((i, c) for i, kb, t in texts for b, c, x in held if kb == b and t is not None and x is not None and t in x)
