@@ -165,6 +165,25 @@ def test_top_k_of_repeated_rows(spark):
         assert got[q] == [(-s, v) for s, v in sorted((-int(np.array(asked) @ x), v) for v, x in whole if v != q)][:10]
 
 
+def test_top_k_meets_in_groups_and_broadcasts_nothing(spark, monkeypatch):
+    """Many lots and parts, vectors of two lengths: the result of all pairs, without copies of the queries in a broadcast."""
+    monkeypatch.setattr(topk, "BLOCK", 8)
+    monkeypatch.setattr(topk, "PART", 5, raising=False)
+    monkeypatch.setattr(topk, "LOT", 2, raising=False)
+    rng = np.random.default_rng(7)
+    rows = [(i, [float(x) for x in rng.integers(-3, 4, size=3 + i % 2)]) for i in range(90)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(3)
+    made = topk.top_k(df, df.where("vec_id % 4 = 0"), 6)
+    got = {}
+    for r in made.orderBy("query_id", "rank").collect():
+        got.setdefault(r["query_id"], []).append((r["score"], r["vec_id"]))
+    score = lambda a, b: int(sum(1024 * x * 1024 * y for x, y in zip(a, b)))
+    for q, v in rows[::4]:
+        assert got[q] == [(-s, i) for s, i in sorted((-score(v, x), i) for i, x in rows if i != q and len(x) == len(v))][:6]
+    plan = made._jdf.queryExecution().executedPlan().toString()
+    assert "CoGroups" in plan and "Broadcast" not in plan
+
+
 def test_components(spark):
     links = spark.createDataFrame([(i + 1, i) for i in range(60)] + [(200, 100), (300, 200), (300, 100)], "a long, b long")
     assert {r["label"] for r in components.components(links).where("node <= 60").collect()} == {0}
