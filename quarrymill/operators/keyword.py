@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from ..config import HYBRID
 from ..functions.text import let, occurrences, tokens
-from ..sources.scratch import settled
+from ..sources.scratch import among, settled
 from .vectors import meeting
 
 #: Robertson & Zaragoza (2009).
@@ -27,6 +27,8 @@ BLOCK, TOGETHER, SLACK = 256, 256, 1e-6
 WORDS, LOT, PART = 250_000, 2048, 1024
 #: Tokens of a query, those with the highest peaks, whose first blocks give its bound.
 BOUNDING = 8
+#: Words and chunks of a lot of leading, queries of a part, parts that come to every task, slots that more are dealt by, lots of a file.
+LOT_WORDS, LOT_CHUNKS, LEADING, PARTS, SLOTS, FILE = 500_000, 4096, 1024, 8, 64, 8
 
 
 def _tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -182,6 +184,137 @@ def bm25_top(queries: DataFrame, index: Impacts, most: int, looked: bool = False
     return scored.withColumn("_r", rank).where(F.col("_r") <= most).drop("_r")
 
 
+def _lots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Chunks with their words -> a row for a run of chunks of one knowledge base: their number n, how many are told (have a text) and
+    the total of their words; ids and lengths of the chunks; the run's words and in how many chunks (df) each is; the pairs of a chunk
+    and a word of it, as steps from one to the next in the grid of both, and their tf."""
+    names = ["kb_id", "n", "told", "total", "ids", "words", "df", "lengths", "steps", "tf"]
+    one = lambda values: pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
+    for batch in batches:
+        batch = batch.take(pc.sort_indices(batch.column("kb_id")))
+        volume = np.cumsum(pc.fill_null(pc.list_value_length(batch.column("words")), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+        kb, first = batch.column("kb_id").dictionary_encode().indices.to_numpy(zero_copy_only=False), 0
+        while first < len(batch):
+            end = min(first + LOT_CHUNKS, int(np.searchsorted(volume, LOT_WORDS + (volume[first - 1] if first else 0), "right")), int(np.searchsorted(kb, kb[first], "right")))
+            rows, first = batch.slice(first, max(first + 1, end) - first), max(first + 1, end)
+            words = rows.column("words")
+            lengths = pc.list_value_length(words)
+            counts = pc.fill_null(lengths, 0).to_numpy(zero_copy_only=False)
+            coded = words.flatten().dictionary_encode()
+            n = max(1, len(coded.dictionary))
+            pairs, tf = np.unique(np.repeat(np.arange(len(rows), dtype=np.int64), counts) * n + coded.indices.to_numpy(zero_copy_only=False), return_counts=True)
+            figures = [pa.array([x], pa.int64()) for x in (len(rows), len(rows) - lengths.null_count, int(counts.sum()))]
+            blobs = [pa.array([_narrow(x)], pa.binary()) for x in (counts, np.diff(pairs, prepend=0), tf)]
+            df = pa.array(np.bincount(pairs % n, minlength=len(coded.dictionary)).astype(np.int64))
+            yield pa.RecordBatch.from_arrays([rows.column("kb_id").slice(0, 1), *figures, one(rows.column("chunk_id")), one(coded.dictionary.cast(pa.string())), one(df), *blobs], names)
+
+
+def _narrow(values: np.ndarray) -> bytes:
+    """Numbers from 0 up to 32 bits as bytes: how many bytes each takes (1, 2 or 4), and they."""
+    size = 1 << int(np.searchsorted([2**8, 2**16], values.max(initial=0), "right"))
+    return bytes([size]) + values.astype(f"u{size}").tobytes()
+
+
+def _widened(raw: bytes) -> np.ndarray:
+    return np.frombuffer(raw, f"u{raw[0]}", offset=1).astype(np.int64)
+
+
+def _best(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
+    """Pairs of a lot and a part of the queries -> of each query the `most` chunks that bm25 puts first among all lots that the task
+    sees; between lots no more than about four times as many rows are kept."""
+    held: dict[tuple, dict] = {}
+    for batch in batches:
+        for row in range(len(batch)):
+            get = lambda name: batch.column(name)[row]  # noqa: E731, B023
+            kb, key = get("kb_id").as_py(), (get("kb_id").as_py(), get("part").as_py())
+            if key not in held:
+                token, query, idf = get("asked").values.flatten()
+                query, token = query.dictionary_encode(), token.dictionary_encode()
+                order = np.argsort(np.array(token.dictionary.to_pylist(), object))  # one order of addition for all lots
+                place = np.empty(len(order), np.int64)
+                place[order] = np.arange(len(order))
+                at, who = place[token.indices.to_numpy(zero_copy_only=False)], query.indices.to_numpy(zero_copy_only=False)
+                by = np.argsort(at, kind="stable")
+                weights = np.empty(len(order))
+                weights[at] = idf.to_numpy(zero_copy_only=False)
+                asking = np.split(who[by], np.flatnonzero(np.diff(at[by])) + 1)
+                held[key] = {"tokens": token.dictionary.take(pa.array(order)), "asking": asking, "idf": weights, "queries": query.dictionary, "bound": np.zeros(len(query.dictionary)), "rows": [], "n": 0}
+            own = held[key]
+            ids, words, lengths, tf = get("ids").values, get("words").values, *(_widened(get(c).as_py()) for c in ("lengths", "tf"))
+            chunk, code = np.divmod(np.cumsum(_widened(get("steps").as_py())), max(1, len(words)))
+            found = pc.fill_null(pc.index_in(own["tokens"], value_set=words), -1).to_numpy(zero_copy_only=False)
+            token_of = np.full(len(words) + 1, -1, np.int64)
+            token_of[found] = np.arange(len(found))
+            token_of[-1] = -1
+            tokens_ = token_of[code]
+            kept = np.flatnonzero(tokens_ >= 0)
+            kept = kept[np.argsort(tokens_[kept], kind="stable")]
+            chunk, tf, tokens_ = chunk[kept], tf[kept].astype(float), tokens_[kept]
+            part = own["idf"][tokens_] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * lengths[chunk] / get("mean").as_py()))
+            scores = np.zeros((len(ids), len(own["queries"])))
+            starts = np.flatnonzero(np.diff(tokens_, prepend=-1))
+            for first, end in zip(starts, np.append(starts, len(tokens_))[1:], strict=True):
+                asking = own["asking"][tokens_[first]]
+                if len(asking) == 1:
+                    scores[chunk[first:end], asking[0]] += part[first:end]
+                else:
+                    scores[chunk[first:end, None], asking] += part[first:end, None]
+            at, query = np.nonzero((scores > 0) & (scores >= own["bound"] - SLACK))
+            rounded = np.floor(scores[at, query] * 1e6 + 0.5) / 1e6
+            own["rows"].append(pa.table([pa.array(query), pa.array(rounded), ids.take(pa.array(at))], ["query", "score", "id"]))
+            own["n"] += len(at)
+            if own["n"] > 4 * most * len(own["queries"]):
+                _prune(own, most)
+    for (kb, _), own in held.items():
+        rows = _prune(own, most)
+        for batch in rows.combine_chunks().to_batches():
+            yield pa.RecordBatch.from_arrays([own["queries"].take(batch.column("query")), pa.array([kb] * len(batch), pa.string()), batch.column("id"), batch.column("score")], ["query_id", "kb_id", "chunk_id", "ft_score"])
+
+
+def _prune(own: dict, most: int) -> pa.Table:
+    """Leaves each query's `most` first rows, and the score that the next rows have to reach."""
+    rows = pa.concat_tables(own["rows"])
+    rows = rows.take(pc.sort_indices(rows, sort_keys=[("query", "ascending"), ("score", "descending"), ("id", "ascending")]))
+    query = rows.column("query").to_numpy()
+    place = np.arange(len(query)) - np.searchsorted(query, query)
+    last = np.flatnonzero(place == most - 1)
+    own["bound"][query[last]] = rows.column("score").to_numpy()[last]
+    rows = rows.filter(pa.array(place < most))
+    own["rows"], own["n"] = [rows], len(rows)
+    return rows
+
+
+def leading(queries: DataFrame, chunks: DataFrame, most: int) -> DataFrame:
+    """What bm25_top gives, without an exchange of postings: every lot of chunks meets every part of the queries in a task, and `most`
+    rows a query and task come out.
+
+    Texts are split once; lots are written once, in a few bytes for each different word of a chunk. Some parts come to all tasks;
+    more of them, and the lots, are dealt by slots. Of the words in lots only those that queries ask for are exchanged, for
+    the number of chunks that have them.
+    """
+    asked = settled(_asked(queries.where("kb_id is not null").withColumn("kb_id", F.col("kb_id").cast("string"))), "asked")
+    split = F.filter(F.split(F.lower("content"), WORD_BREAK), lambda t: t != "")
+    words = chunks.select(F.col("kb_id").cast("string").alias("kb_id"), F.col("chunk_id").cast("string").alias("chunk_id"), split.alias("words")).where("kb_id is not null")
+    made = among(words, asked, ["kb_id"]).mapInArrow(_lots, "kb_id string, n long, told long, total long, ids array<string>, words array<string>, df array<long>, lengths binary, steps binary, tf binary")
+    lots = settled(made, "lots", compression="zstd", maxRecordsPerFile=FILE)  # a file is read at once
+    stats = lots.groupBy("kb_id").agg(F.sum("n").alias("n"), (F.sum("total") / F.sum("told")).alias("mean"))
+    told = among(lots.select("kb_id", F.explode(F.arrays_zip("words", "df")).alias("w")).select("kb_id", F.col("w.words").alias("token"), "w.df"), asked, ["kb_id", "token"])
+    df = told.groupBy("kb_id", "token").agg(F.sum("df").alias("df"))
+    idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    parts = -(-asked.select("query_id").distinct().count() // LEADING)
+    weighed = asked.join(df, ["kb_id", "token"]).join(stats, "kb_id")
+    packed = weighed.groupBy("kb_id", F.pmod(F.xxhash64("query_id"), F.lit(max(1, parts))).alias("part")).agg(F.collect_list(F.struct("token", "query_id", idf.alias("idf"))).alias("asked"), F.first("mean").alias("mean"))
+    slim = lots.select("kb_id", "ids", "words", "lengths", "steps", "tf")
+    if parts <= PARTS:
+        met = slim.join(F.broadcast(packed), "kb_id")
+    else:
+        every = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SLOTS - 1).cast("long"))).alias("slot")
+        met = slim.withColumn("slot", F.pmod(F.xxhash64("ids"), F.lit(SLOTS))).join(packed.select("*", every).hint("merge"), ["kb_id", "slot"]).drop("slot")
+    found = met.mapInArrow(lambda it: _best(it, most), f"query_id {dict(asked.dtypes)['query_id']}, kb_id string, chunk_id string, ft_score double")
+    rank = F.row_number().over(Window.partitionBy("query_id", "kb_id").orderBy(F.desc("ft_score"), "chunk_id"))
+    return found.withColumn("_r", rank).where(F.col("_r") <= most).drop("_r")
+
+
 def _holding(queries: pa.Table, chunks: pa.Table) -> pa.Table:
     """The pairs of one part's queries and one lot's chunks where the chunk holds one of the query's tokens."""
     asking: dict[str, list[int]] = {}
@@ -287,13 +420,15 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def counted(pairs: DataFrame, queries: DataFrame, chunks: DataFrame) -> DataFrame:
     """pairs(query_id, kb_id, chunk_id, ft_score) -> with asked, hits, tf and length, as score works them out.
 
-    A chunk's text comes once for all the queries that look at it (TOGETHER at a time), not once a pair.
+    A chunk's text comes once for all the queries that look at it (TOGETHER at a time), not once a pair; texts that no query looks at
+    aren't exchanged.
     """
     said = queries.select("query_id", F.col("kb_id").cast("string").alias("kb_id"), tokens(F.col("query_text")).alias("tokens"))
     rows = pairs.join(said, ["query_id", "kb_id"])
     lot = F.floor(F.row_number().over(Window.partitionBy("kb_id", "chunk_id", F.pmod(F.xxhash64("query_id"), F.lit(64))).orderBy("query_id")) / TOGETHER)
     asking = rows.withColumn("lot", lot).groupBy("kb_id", "chunk_id", "lot", F.when(F.col("lot") > 0, F.pmod(F.xxhash64("query_id"), F.lit(64))).otherwise(0).alias("part")).agg(F.collect_list(F.struct("query_id", F.col("ft_score").cast("double").alias("ft_score"), "tokens")).alias("asking"))
     texts = chunks.select(F.col("kb_id").cast("string").alias("kb_id"), F.col("chunk_id").cast("string").alias("chunk_id"), F.lower("content").alias("low"), F.length("content").alias("length")).where("low is not null")
+    texts = among(texts, pairs, ["kb_id", "chunk_id"])
     met = texts.join(asking, ["kb_id", "chunk_id"]).select("kb_id", "chunk_id", "low", "length", "asking")
     return met.mapInArrow(_count, "query_id long, kb_id string, chunk_id string, ft_score double, asked int, hits int, tf int, length int")
 
@@ -305,10 +440,11 @@ def search(queries: DataFrame, chunks: DataFrame, top_k: int, config=HYBRID, ind
     them are scored. Texts are read once they are candidates, and what comes out are ids and numbers.
     """
     q = queries.select("query_id", F.col("kb_id").cast("string").alias("kb_id"), "query_text")
-    full = settled(bm25_top(q, index or impacts(chunks, queries), max(top_k * 8, 60)), "full")
-    left = q.join(full.select("query_id", "kb_id").distinct(), ["query_id", "kb_id"], "left_anti")
+    most = max(top_k * 8, 60)
+    full = settled(bm25_top(q, index, most) if index else leading(q, chunks, most), "full")
+    left = settled(q.join(full.select("query_id", "kb_id").distinct(), ["query_id", "kb_id"], "left_anti"), "left")
     typed = chunks.withColumns({"kb_id": F.col("kb_id").cast("string"), "chunk_id": F.col("chunk_id").cast("string")})
-    pairs = full.unionByName(containing(left, typed).withColumn("ft_score", F.lit(0.0)))
+    pairs = full if left.isEmpty() else settled(full.unionByName(containing(left, typed).withColumn("ft_score", F.lit(0.0))), "pairs")
     made = counted(pairs, q, typed)
     raw = _keyword_scores(F.col("hits"), F.col("tf"), F.col("asked"), F.col("length"), F.coalesce("ft_score", F.lit(0.0)), config)
     return _ranked(made.withColumn("_raw", raw), top_k).select("query_id", "kb_id", "chunk_id", "score", "rank")

@@ -8,6 +8,7 @@ from ..config import STOP_WORDS
 from ..functions import text as tx
 from ..operators import chunking, datasets, evaluate, keyword
 from ..sources import files
+from ..sources.scratch import among, settled
 from ..functions.text import let
 from . import retrieval
 from .inputs import table, text_chunks, text_queries
@@ -236,7 +237,8 @@ SELECT query_id, CASE WHEN first IS NULL THEN 0.0 ELSE 1.0 END::DOUBLE AS recall
 def keyword_relevance(spark, sf_dir):
     """How well keyword search finds the documents that hold a benchmark passage."""
     q, c = text_queries(spark, sf_dir), text_chunks(spark, sf_dir)
-    found = keyword.search(q, c, 10).join(c.select("kb_id", "chunk_id", "content"), ["kb_id", "chunk_id"]).withColumn("key", F.col("chunk_id"))
+    # the labels are keys alone, so no content is looked at
+    found = keyword.search(q, c, 10).withColumns({"key": F.col("chunk_id"), "content": F.lit(None).cast("string")})
     holds = _holders(q, c)
     rel = q.select("query_id").join(holds.groupBy("query_id").agg(F.collect_list("chunk_id").alias("keys"), F.count(F.lit(1)).alias("total")), "query_id", "left")
     rel = rel.select("query_id", F.coalesce("keys", F.array().cast("array<string>")).alias("keys"), F.array().cast("array<string>").alias("keywords"), F.coalesce("total", F.lit(1)).alias("total"))
@@ -260,11 +262,13 @@ def _holders(queries, chunks):
     n = F.size("w")
     q = queries.where("query_text is not null and kb_id is not null").withColumn("w", words(F.col("query_text")))
     long = q.where(n > 2).withColumn("m", F.least(F.lit(MARKED), n - 2)).withColumn("mark", at(F.col("w"), F.lit(2), F.col("m"))).select("query_id", "kb_id", "query_text", "m", "mark")
+    long = settled(long, "long")
     sizes = [r["m"] for r in long.select("m").distinct().collect()]  # numbers up to MARKED
     runs = lambda m: F.transform(F.when(n >= m, F.sequence(F.lit(1), n - m + 1)).otherwise(F.array().cast("array<int>")), lambda i: at(F.col("w"), i, F.lit(m)))
     marks = F.array_distinct(F.flatten(F.array(*map(runs, sizes)))) if sizes else F.array().cast("array<bigint>")
-    c = chunks.select("kb_id", "chunk_id", words(F.col("content")).alias("w")).select("kb_id", "chunk_id", F.explode(marks).alias("mark")).join(long.select("kb_id", "mark").distinct(), ["kb_id", "mark"], "left_semi")
-    met = c.join(long.drop("m"), ["kb_id", "mark"]).join(chunks.select("kb_id", "chunk_id", "content"), ["kb_id", "chunk_id"])
+    marked = chunks.select("kb_id", "chunk_id", words(F.col("content")).alias("w")).select("kb_id", "chunk_id", F.explode(marks).alias("mark"))
+    pairs = settled(among(marked, long, ["kb_id", "mark"]).join(long.select("query_id", "kb_id", "mark"), ["kb_id", "mark"]), "marked")
+    met = among(chunks.select("kb_id", "chunk_id", "content"), pairs, ["kb_id", "chunk_id"]).join(pairs, ["kb_id", "chunk_id"]).join(long.select("query_id", "query_text"), "query_id")
     found = met.where(F.contains("content", "query_text")).select("query_id", "chunk_id")
     packs = q.where(n < 3).groupBy(F.pmod(F.xxhash64("query_id"), F.lit(PACKS)).alias("pack")).agg(F.collect_list(F.struct("query_id", "kb_id", "query_text")).alias("asked"))
     inside = F.filter("asked", lambda x: (x["kb_id"] == F.col("kb_id")) & F.contains(F.col("content"), x["query_text"]))

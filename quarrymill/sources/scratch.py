@@ -6,6 +6,10 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+#: Keys that come to every task of among.
+FEW = 200_000
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -24,13 +28,20 @@ def fresh_folder(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def settled(df: DataFrame, name: str) -> DataFrame:
+def settled(df: DataFrame, name: str, **options) -> DataFrame:
     """df written once, for plans that read it several times: later readers read only the columns that they need."""
     path = fresh_folder(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     return df.sparkSession.read.parquet(path)
 
 
+def among(rows: DataFrame, held: DataFrame, keys: list[str]) -> DataFrame:
+    """The rows whose keys are in held, a table that is written already: up to FEW different keys come to every task, so that no row is
+    exchanged before it is known to be wanted."""
+    wanted = held.select(*keys).distinct()
+    return rows.join(F.broadcast(wanted) if wanted.limit(FEW + 1).count() <= FEW else wanted, keys, "left_semi")
+
+
 def subfolders(spark: SparkSession, path: str) -> list[str]:
     """Names of the folders in a folder of any file system that Spark reaches; none if it isn't there."""
     where = spark._jvm.org.apache.hadoop.fs.Path(path)

@@ -136,3 +136,44 @@ def test_holders_of_texts_of_any_length(spark):
     held = [("k", "c1", "x aa bb cc dd ee ff gg hh"), ("k", "c2", "aa bb cc"), ("k", "c3", "abba"), ("k", "c4", None), ("k", "c5", ""), ("k", "c6", "zz\nbb yyy"), ("j", "c7", "bbb cc"), ("k", "c8", "aa bb  cc")]
     got = sorted(tuple(r) for r in _holders(spark.createDataFrame(texts, QUERIES), spark.createDataFrame(held, CHUNKS)).collect())
     assert got == sorted((i, c) for i, kb, t in texts for b, c, x in held if kb == b and t is not None and x is not None and t in x)
+
+
+def test_leading_equals_whole_and_exchanges_no_postings(spark, monkeypatch):
+    """Few parts and many, lots of a few words; chunks without text, words of one chunk more than a lot has."""
+    for limits in ({}, {"LEADING": 3, "PARTS": 1, "SLOTS": 3}):
+        for name, value in limits.items():
+            monkeypatch.setattr(keyword, name, value)
+        rng = random.Random(len(limits))
+        chunks, queries = spark.createDataFrame(corpus(rng, 300), CHUNKS).repartition(5), spark.createDataFrame(questions(rng), QUERIES)
+        for most in (3, 500):
+            rank = F.row_number().over(Window.partitionBy("query_id", "kb_id").orderBy(F.desc("ft_score"), "chunk_id"))
+            wanted = {tuple(r) for r in keyword.bm25(queries, chunks).withColumn("r", rank).where(F.col("r") <= most).drop("r").collect()}
+            made = keyword.leading(queries, chunks, most)
+            assert {tuple(r) for r in made.collect()} == wanted and wanted
+        plan = made._jdf.queryExecution().executedPlan().toString()
+        assert ("SortMergeJoin" in plan) == bool(limits)
+
+
+def test_lots_hold_what_their_chunks_hold(monkeypatch):
+    monkeypatch.setattr(keyword, "LOT_WORDS", 4)
+    texts = [["x", "y", "x"], None, [], ["z"] * 300, ["y"], ["x", "y"]]
+    batch = pa.RecordBatch.from_arrays([pa.array(["k", "j", "k", "k", "k", "k"]), pa.array(list("abcdef")), pa.array(texts, pa.list_(pa.string()))], ["kb_id", "chunk_id", "words"])
+    made, got = [r for b in keyword._lots(iter([batch])) for r in b.to_pylist()], {}
+    assert len(made) > 2 and sum(r["n"] for r in made) == 6 and sum(r["told"] for r in made) == 5 and sum(r["total"] for r in made) == 306
+    for r in made:
+        at = keyword._widened(r["steps"]).cumsum()
+        for place, tf in zip(at, keyword._widened(r["tf"]), strict=True):
+            got[r["kb_id"], r["ids"][place // len(r["words"])], r["words"][place % len(r["words"])]] = tf
+        assert dict(zip(r["words"], r["df"], strict=True)) == {w: sum(w in (texts["abcdef".index(i)] or ()) for i in r["ids"]) for w in r["words"]}
+        assert keyword._widened(r["lengths"]).tolist() == [len(texts["abcdef".index(i)] or ()) for i in r["ids"]]
+    assert got == {("k", "a", "x"): 2, ("k", "a", "y"): 1, ("k", "d", "z"): 300, ("k", "e", "y"): 1, ("k", "f", "x"): 1, ("k", "f", "y"): 1}
+
+
+def test_search_exchanges_candidates_texts_only(spark):
+    """Of many texts a few are candidates: the others' bytes are in no exchange."""
+    rows = [("a", f"c{i:04d}", " ".join(f"t{i * 50 + j}" for j in range(50)) + (" needle" if i % 100 == 0 else "")) for i in range(2000)]
+    chunks = spark.createDataFrame(rows, CHUNKS)
+    found = keyword.search(spark.createDataFrame([(1, "a", "needle")], QUERIES), chunks, 5)
+    assert [r["chunk_id"] for r in found.orderBy("rank").collect()] == [f"c{100 * i:04d}" for i in range(5)]
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "LeftSemi, BuildRight" in plan
