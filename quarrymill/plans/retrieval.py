@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..config import HYBRID, VECTOR
 from ..functions.text import variants
 from ..operators import graph, keyword, ranking, vectors
-from ..sources.scratch import settled
+from ..sources.scratch import among, settled
 
 
 def vector_search(queries: DataFrame, corpus: DataFrame, top_k: int, recall: int, explicit: float | None = None, diversify: bool = False, config=VECTOR) -> DataFrame:
@@ -87,6 +87,7 @@ def hybrid_search(queries: DataFrame, chunks: DataFrame, top_k: int, vector: Dat
         union = union.unionByName(part)
     union = settled(union, "channels")  # the channels are worked out once
     fused = ranking.fuse_channels(union, {"vector": config.vector_weight, "keyword": config.keyword_weight, "graph": config.graph_weight}, config.rrf_k, config.window)
+    content = among(content, union, ["key"])
     texts = fused.join(content, "key", "left").join(queries.select("query_id", "query_text"), "query_id")
     ranked = ranking.rerank_hybrid(texts, config).withColumn("final_score", F.round("rerank_score", 6)).withColumn("is_graph", F.array_contains("channels", "graph"))
     kept = ranking.graph_floor(ranked, top_k, config=config)
