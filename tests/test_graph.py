@@ -92,3 +92,34 @@ def test_numbers_of_neighbours_need_no_lists(spark):
     few = {r["canonical_name"]: r for r in graph.neighbours(relations, names, most=3).collect()}
     whole = {r["canonical_name"]: r for r in found.collect()}
     assert few["N"]["outgoing"] == whole["N"]["outgoing"][:3] and len(whole["N"]["outgoing"]) == 18 and few["m1"]["incoming"] == whole["m1"]["incoming"]
+
+
+def test_counts_left_equals_delete_file(spark):
+    """Counted from extractions by chunk: what delete_file leaves of the merged tables, with repeated rows, self-loops and null ends."""
+    rows = [(i % 2, f"c{i % 13}-{i % 2}", int(i % 13 % 3 == 0), f"a{i % 4}", f"a{i % 5}" if i % 7 else None) for i in range(120)]
+    df = spark.createDataFrame(rows, "kb_id int, chunk_id string, file_id int, a string, b string")
+    told = lambda kind, name: F.struct(F.lit(kind).alias("kind"), name.alias("name"))
+    spoken = lambda x: F.array(told("entity", x["a"]), told("entity", x["b"]), F.when(x["a"] != x["b"], told("relation", F.concat_ws("|", x["a"], F.lit("t"), x["b"]))))
+    wanted = {}
+    for kb, chunk, file, a, b in rows:
+        if not (kb == 0 and file == 1):
+            for name in (("entity", a), ("entity", b), *([("relation", f"{a}|t|{b}")] if b is not None and a != b else [])):
+                wanted.setdefault((kb, *name), set()).add(chunk)
+    for per_task in (250_000, 7):
+        made = graph.counts_left(0, 1, df, spoken, per_task)
+        assert {tuple(r)[:3]: r["n"] for r in made.collect()} == {k: len(c) for k, c in wanted.items()}
+    seq = df.withColumn("seq", F.monotonically_increasing_id())
+    ties = seq.where("b is not null").select("kb_id", "seq", F.col("a").alias("source"), F.col("b").alias("target"), F.lit("t").alias("type"), F.lit(0.5).alias("confidence"), F.lit(1).alias("evidence_count"), F.array("chunk_id").alias("chunk_ids"))
+    mentions = seq.select("kb_id", "chunk_id", F.explode(F.array("a", "b")).alias("canonical_name")).where("canonical_name is not null").distinct()
+    relations = graph.merge_relations(ties, mentions)
+    support = relations.select("kb_id", F.concat_ws("|", "source", "type", "target").alias("fact_id"), F.explode("chunk_ids").alias("chunk_id"))
+    left = graph.delete_file(0, 1, df.select("kb_id", "chunk_id", "file_id").distinct(), mentions, mentions.select("kb_id", "canonical_name").distinct(), relations, support)
+    assert {(r["kb_id"], "relation", f"{r['source']}|t|{r['target']}"): len(r["chunk_ids"]) for r in left["relations"].collect()} == {k: len(c) for k, c in wanted.items() if k[1] == "relation"}
+    assert {(r["kb_id"], "entity", r["canonical_name"]) for r in left["entities"].collect()} == {k for k in wanted if k[1] == "entity" and k[2] is not None}
+
+
+def test_delete_file_makes_no_lists_of_a_names_chunks(spark):
+    from quarrymill.plans.queries_graph import delete_file
+
+    plan = delete_file(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "chunk_ids" not in plan and "Join" not in plan
