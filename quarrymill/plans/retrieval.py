@@ -63,12 +63,12 @@ def text_search(queries: DataFrame, corpus: DataFrame, top_k: int, recall: int,
     return postprocess(fused, queries, corpus, top_k, recall, explicit, diversify, scorer, stages, config)
 
 
-def hybrid_search(queries: DataFrame, chunks: DataFrame, top_k: int, vector: DataFrame | None = None, names: DataFrame | None = None, entities: DataFrame | None = None, relations: DataFrame | None = None, channels: tuple[str, ...] = ("vector", "keyword", "graph"), config=HYBRID) -> DataFrame:
+def hybrid_search(queries: DataFrame, chunks: DataFrame, top_k: int, vector: DataFrame | None = None, names: DataFrame | None = None, entities: DataFrame | None = None, relations: DataFrame | None = None, channels: tuple[str, ...] = ("vector", "keyword", "graph"), config=HYBRID, mentioned: DataFrame | None = None, evidence: DataFrame | None = None) -> DataFrame:
     """queries(query_id, kb_id, query_text), chunks(kb_id, chunk_id, content) -> query_id, key, chunk_id, content, final_score, channels,
     source, match_stage, rank. chunk_id and content are null for graph rows.
 
     The channels are independent branches: vector takes its results (query_id, chunk_id, similarity), keyword is computed here, graph
-    takes names(query_id, kb_id, query_entity) and the graph's tables. Fused by weighted reciprocal ranks, re-ranked, cut, with a floor
+    takes names(query_id, kb_id, query_entity) and the graph's tables, with mentioned and evidence as graph_channel has them. Fused by weighted reciprocal ranks, re-ranked, cut, with a floor
     for graph evidence. Which channels run is the caller's choice.
     """
     parts = []
@@ -81,7 +81,7 @@ def hybrid_search(queries: DataFrame, chunks: DataFrame, top_k: int, vector: Dat
         found = keyword.search(queries, chunks, max(top_k * 4, config.window), config)
         parts.append(row(found.select("query_id", F.concat(F.lit("chunk::"), "chunk_id").alias("key"), "score", F.lit("").alias("match_stage")), "keyword", "keyword").select(columns))
     if "graph" in channels and names is not None:
-        parts.append(row(graph.graph_channel(names, entities, relations, config.window, config=config, hit=settled(graph.lookup(names, entities), "hits")), "graph", None).select(columns))
+        parts.append(row(graph.graph_channel(names, entities, relations, config.window, config=config, hit=settled(graph.lookup(names, entities), "hits"), mentioned=mentioned, evidence=evidence), "graph", None).select(columns))
     union = parts[0]
     for part in parts[1:]:
         union = union.unionByName(part)

@@ -123,3 +123,40 @@ def test_delete_file_makes_no_lists_of_a_names_chunks(spark):
 
     plan = delete_file(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     assert "chunk_ids" not in plan and "Join" not in plan
+
+
+def test_channel_with_ids_looked_up_equals_the_one_with_lists(spark):
+    """Ids taken from rows that repeat, for what is found only, make the same paths, counts and scores as lists in the tables."""
+    rng = random.Random(8)
+    edges = sorted({(rng.randrange(2), f"n{rng.randrange(9)}", f"n{rng.randrange(9)}", rng.choice("xy")) for _ in range(60)} | {(0, "n1", "n2", "x"), (0, "n2", "n1", "x")})
+    rows = [(kb, s, t, k, [f"c{rng.randrange(12):02d}" for _ in range(rng.randrange(9))]) for kb, s, t, k in edges if s != t]
+    listed = spark.createDataFrame(rows, RELATIONS)
+    evidence = listed.select("kb_id", "source", "target", "type", F.explode("chunk_ids").alias("chunk_id"))
+    evidence = evidence.unionByName(evidence.limit(40)).unionByName(evidence.limit(3).withColumn("chunk_id", F.lit(None).cast("string")))
+    names = [(kb, f"n{i}", [f"c{j}" for j in range(i)]) for kb in range(2) for i in range(9)]
+    entities = spark.createDataFrame(names, "kb_id int, canonical_name string, chunk_ids array<string>").withColumns({"name": F.col("canonical_name"), "aliases": F.array(F.upper("canonical_name")), "confidence": F.lit(0.5), "mention_count": F.lit(3).cast("long")})
+    mentioned = entities.select("kb_id", "canonical_name", F.explode("chunk_ids").alias("chunk_id"))
+    mentioned = mentioned.unionByName(mentioned)
+    asked = spark.createDataFrame([(i, kb, f"N{i}") for i in range(9) for kb in range(2)], "query_id long, kb_id int, query_entity string")
+    starts = asked.select("query_id", "kb_id", F.lower("query_entity").alias("entity"))
+    key = lambda r: tuple(map(str, r))
+    columns = ["query_id", "kb_id", "entity", "target", "relations", "evidence", "hop"]
+    plain = graph.paths(starts, listed).select(columns).collect()
+    assert sorted(map(key, graph.paths(starts, listed.drop("chunk_ids"), evidence=evidence).select(columns).collect())) == sorted(map(key, plain)) and plain
+    columns = ["query_id", "kb_id", "key", "source", "entity", "hop", "score", "rank"]
+    plain = graph.graph_channel(asked, entities, listed, 20).select(columns).collect()
+    hit = graph.lookup(asked, entities)
+    got = graph.graph_channel(asked, entities.drop("chunk_ids"), listed.drop("chunk_ids"), 20, hit=hit, mentioned=mentioned, evidence=evidence)
+    assert sorted(map(key, got.select(columns).collect())) == sorted(map(key, plain)) and plain
+
+
+def test_letters_and_the_graph_of_hybrid_search_carry_no_texts_or_ids(spark):
+    from quarrymill.plans import queries_graph
+
+    texts = spark.createDataFrame([(1, "Abba"), (2, None), (3, "abba")], "id long, text string")
+    made = queries_graph.letters_of(texts, "id", "text")
+    got = {r["id"]: list(r["embedding"]) for r in made.collect()}
+    assert got[1] == got[3] and not any(got[2]) and len(got[1]) == 26
+    assert "Exchange" not in made._jdf.queryExecution().executedPlan().toString()
+    held = queries_graph.looked_up(spark, "/root/testdata/sf0.001")
+    assert "chunk_ids" not in held["entities"].columns + held["relations"].columns
